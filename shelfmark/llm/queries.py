@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import html, media, urls
+from shelfmark.llm import html, media, packing, simhash, urls
 from shelfmark.llm.common import table
 
 
@@ -18,6 +18,14 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
@@ -26,6 +34,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_url_filter": op4_url_filter,
         "op6_html_extraction": op6_html_extraction,
+        "op8_simhash_near_dedup": op8_simhash_near_dedup,
+        "op9_best_fit_packing": op9_best_fit_packing,
         "op10_media_columns": op10_media_columns,
     }
 
