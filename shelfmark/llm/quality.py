@@ -52,7 +52,9 @@ def passages(text: str | None) -> np.ndarray:
     lower, upper, digit, space, mark, symbol, wide = counts.T
     chars = np.maximum(counts.sum(axis=1) - space, 1)
     letters = np.maximum(lower + upper, 1)
-    place = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data)))) if starts[0] == 0 else np.arange(len(data)) - np.concatenate((np.zeros(starts[0], np.int64), np.repeat(starts, np.diff(np.append(starts, len(data))))))
+    begun = np.zeros(len(data), np.int64)
+    begun[starts] = starts
+    place = np.arange(len(data)) - np.maximum.accumulate(begun)
     value = np.where(kind == 4, 0, data.astype(np.uint64) + 1) * _PLACE[place & 63]
     word = np.add.reduceat(value, starts, dtype=np.uint64)
     same = np.concatenate(([False], word[1:] == word[:-1]))
@@ -65,7 +67,7 @@ def passages(text: str | None) -> np.ndarray:
     length = np.add.reduceat(kind != 4, starts, dtype=np.int64)
     short = np.add.reduceat(length <= 3, first, dtype=np.int64)
     single = np.add.reduceat((length == 1) & (kind[starts] == 6), first, dtype=np.int64)
-    last = kind[np.append(starts[1:], len(data)) - 1] if False else kind[np.minimum(starts + length - 1, len(data) - 1)]
+    last = kind[starts + length - 1]
     ends_in_symbol = np.add.reduceat(last == 6, first, dtype=np.int64)
     return np.stack(
         [
