@@ -18,12 +18,15 @@ from __future__ import annotations
 
 import bisect
 import functools
+import json
+import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +38,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Pieces of one length that are ranked in one window group.
 GROUP = 20_000
 #: Words whose ids a worker remembers.
-REMEMBER = 300_000
+REMEMBER = 500_000
 
 Segment = tuple[int, int, int, int, int]
 
@@ -43,22 +46,75 @@ Segment = tuple[int, int, int, int, int]
 # ---- tokens ------------------------------------------------------------------
 
 
+#: Words that need no Unicode care: printable ASCII and precomposed Latin letters.
+PLAIN = re.compile("[!-~\u00c0-\u024f]+")
+#: Fixed value: how the vocabulary's file parts lower-cased text.
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: A byte that UTF-8 never has; it stands for the end of a word.
+WORD_END = b"\xff"
+
+
 @functools.lru_cache(maxsize=1)
-def _tokenizer(path: str):
+def _load(path: str):
+    """The tokenizer; and, for single words, its merges as byte ranks with the ids they stand for."""
+    import tiktoken
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    tokenizer = Tokenizer.from_file(path)
+    model = json.loads(tokenizer.to_str())["model"]
+    # The usual alphabet of byte-level vocabularies: printable Latin-1 stands for itself, the other bytes follow from 256.
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in own]
+    shown = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+    suffix = model["end_of_word_suffix"]
+
+    def raw(token: str) -> bytes:
+        end = token.endswith(suffix)
+        return bytes(shown[sign] for sign in (token[: -len(suffix)] if end else token)) + WORD_END * end
+
+    ranks = {bytes([b]): b for b in range(256)}
+    ids = [-1] * 256
+    for sign, byte in shown.items():
+        ids[byte] = model["vocab"][sign]
+    for sign, byte in shown.items():
+        ranks[bytes([byte]) + WORD_END] = len(ids)
+        ids.append(model["vocab"][sign + suffix])
+    for pair in model["merges"]:
+        first, second = pair.split(" ") if isinstance(pair, str) else pair
+        ranks[raw(first) + raw(second)] = len(ids)
+        ids.append(model["vocab"][first + second])
+    bpe = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
+    return tokenizer, bpe._core_bpe.encode_single_piece, np.array(ids, "<u4")
 
 
 class Encoder:
-    """Ids of whole texts. The vocabulary never joins what white space parts, so each
-    space-separated word is encoded once and remembered; ``ids`` equals encoding the text at once."""
+    """Ids of whole texts, as the tokenizer gives them.
+
+    The vocabulary never joins what white space parts, so each space-separated word is
+    encoded once and remembered. Plain words take their merges from byte ranks; all others
+    go through the tokenizer itself.
+    """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {}
+        self.tokenizer, self.merge, self.of_rank = _load(path)
+        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def part(self, part: str) -> bytes:
+        if (found := self.parts.get(part)) is None:
+            if len(self.parts) > REMEMBER:
+                self.parts.clear()
+            found = self.parts[part] = self.of_rank[self.merge(part.encode("utf-8") + WORD_END)].tobytes()
+        return found
+
+    def word(self, word: str) -> bytes:
+        """Little-endian unsigned 32-bit ids of a word."""
+        if PLAIN.fullmatch(word) and "<|" not in word:
+            low = word.lower()
+            return self.part(low) if low.isalpha() else b"".join(map(self.part, PARTS.findall(low)))
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
         words = text.replace("\n", " ").split(" ")
         known = self.known
         try:
@@ -66,19 +122,25 @@ class Encoder:
         except KeyError:
             if len(known) > REMEMBER:
                 known.clear()
-            new = list({w for w in words if w not in known})
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+            for w in words:
+                if w not in known:
+                    known[w] = self.word(w)
             return b"".join([known[w] for w in words])
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One encoder, and so one memory of words, for all tasks of a worker."""
+    return Encoder(path)
+
+
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the documents' tokens, cut at ``capacity``."""
     key = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def cut(batches):
-        encoder = Encoder(public_tokenizers.path(vocabulary))
+        encoder = _encoder(public_tokenizers.path(vocabulary))
         end, step = np.array([END_ID], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             owner, rows = [], []
