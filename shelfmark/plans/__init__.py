@@ -1,0 +1,12 @@
+"""Registered queries of the portfolio operators: name -> (query, SQL for the same rows or None)."""
+
+from __future__ import annotations
+
+from shelfmark.plans import history, text
+
+
+def all_plans() -> dict:
+    found: dict = {}
+    for module in (text, history):
+        found |= module.PLANS
+    return found
