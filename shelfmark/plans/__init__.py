@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from shelfmark.plans import history, text
+from shelfmark.plans import history, registry, results, text
 
 
 def all_plans() -> dict:
     found: dict = {}
-    for module in (text, history):
+    for module in (text, history, registry, results):
         found |= module.PLANS
     return found
