@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from shelfmark.plans import files, history, registry, results, text
+from shelfmark.plans import files, history, registry, results, scans, text
 
 
 def all_plans() -> dict:
     found: dict = {}
-    for module in (text, history, registry, results, files):
+    for module in (text, history, registry, results, files, scans):
         found |= module.PLANS
     return found

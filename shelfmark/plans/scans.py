@@ -1,0 +1,94 @@
+"""Scan, analysis and streaming queries: documents are the files that are scanned."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from shelfmark.operators import analyze as a
+from shelfmark.operators import scans as s
+from shelfmark.plans import history as hp
+from shelfmark.sources.shared import shared_path
+from shelfmark.streaming import decisions as d
+
+PLANS: dict = {}
+NOW = 1_706_659_200  # Fixed value: 2024-01-31.
+
+
+def plan(sql: str | None = None):
+    def keep(f):
+        PLANS[f.__name__] = (f, sql)
+        return f
+
+    return keep
+
+
+def _read(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def files(spark, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select(F.col("source").alias("repo_name"), F.concat(F.when(F.col("doc_id") % 10 == 0, "arch-docs/").otherwise("src/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
+
+
+def _scan_sql(patterns, matched: str = "m", where: str = "true") -> str:
+    one = " UNION ALL ".join(f"SELECT repo_name, path, '{k}' AS kind, unnest(regexp_extract_all(content, '{p.replace(chr(39), chr(39) * 2)}')) AS m FROM f" for k, p in patterns)
+    return f"WITH f AS (SELECT source AS repo_name, CASE WHEN doc_id % 10 = 0 THEN 'arch-docs/' ELSE 'src/' END || doc_id AS path, text AS content FROM documents), x AS ({one}) SELECT repo_name, path, kind, {matched} AS matched, count(*) AS count FROM x WHERE {where} GROUP BY ALL"
+
+
+#: The defaults, and two words of the test texts for imports and calls.
+_USAGE = (*s.LLM_USAGE, ("import", r"(?i)\bfrom\s+[a-z]+\b"), ("call", r"(?i)\bwith\s+the\b"))
+
+
+@plan(_scan_sql(_USAGE, where="NOT contains(path, 'arch-docs')"))
+def scan_llm_usage(spark, sf_dir):
+    return s.scan_llm_usage(files(spark, sf_dir), _USAGE)
+
+
+@plan(_scan_sql(s.PERSONAL_DATA))
+def scan_personal_data(spark, sf_dir):
+    return s.scan_personal_data(files(spark, sf_dir))
+
+
+@plan(_scan_sql(s.SECRETS, matched="substr(m, 1, 4) || '***'"))
+def scan_secrets(spark, sf_dir):
+    return s.scan_secrets(files(spark, sf_dir))
+
+
+@plan("""WITH f AS (SELECT source AS repo_name, printf('%09d', d.doc_id) AS location, CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'junk' WHEN quality = 1 THEN 'fine' ELSE 'unread' END AS kind FROM documents d LEFT JOIN labels l USING (doc_id)),
+r AS (SELECT *, CASE kind WHEN 'toxic' THEN 1 WHEN 'junk' THEN 2 WHEN 'unread' THEN 3 ELSE 4 END AS rank FROM f),
+t AS (SELECT *, CAST(row_number() OVER (PARTITION BY repo_name ORDER BY rank, location, kind) AS INT) AS place, count(*) FILTER (rank = 1) OVER (PARTITION BY repo_name) AS critical FROM r)
+SELECT repo_name, place, location, kind, (['CRITICAL', 'HIGH', 'MEDIUM', 'LOW'])[rank] AS severity, critical FROM t WHERE place <= 10""")
+def top_findings(spark, sf_dir):
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    kind = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").when(F.col("quality") == 1, "fine").otherwise("unread")
+    found = docs.select("doc_id", "source").join(labels, "doc_id", "left").select(F.col("source").alias("repo_name"), F.format_string("%09d", "doc_id").alias("location"), kind.alias("kind"))
+    severity = spark.createDataFrame([("toxic", "CRITICAL"), ("junk", "HIGH"), ("unread", "MEDIUM"), ("fine", "LOW")], "kind string, severity string")
+    return s.top_findings(found, severity)
+
+
+@plan("""SELECT conv_id, turn, CASE WHEN turn % 7 = 6 THEN 'failed' ELSE 'success' END AS status, CASE WHEN turn % 7 <> 6 THEN length(text) || ' characters, ' || (length(text) - length(replace(text, chr(10), '')) + 1) || ' lines, ' || md5(text) END AS content, CASE WHEN turn % 7 = 6 THEN 'empty prompt' END AS error FROM conversations""")
+def analyze_tasks(spark, sf_dir):
+    tasks = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 7 == 6, " ").otherwise(F.col("text")).alias("prompt"))
+    return a.analyze_tasks(tasks)
+
+
+@plan("""WITH m AS (SELECT CAST(conv_id AS VARCHAR) AS repo_name, string_agg('## Batch ' || (turn + 1) || chr(10) || chr(10) || length(text) || ' characters, ' || (length(text) - length(replace(text, chr(10), '')) + 1) || ' lines, ' || md5(text), chr(10) || chr(10) ORDER BY turn) AS p FROM conversations GROUP BY 1)
+SELECT repo_name, 'dependencies' AS step_name, 'success' AS status, length(p) || ' characters, ' || (length(p) - length(replace(p, chr(10), '')) + 1) || ' lines, ' || md5(p) AS content, CAST(NULL AS VARCHAR) AS error FROM m""")
+def map_reduce_analyze(spark, sf_dir):
+    batches = _read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("repo_name"), F.col("turn").alias("batch_index"), F.col("text").alias("prompt"))
+    return a.map_reduce_analyze(batches)
+
+
+@plan(hp.PLANS["investigation_decision"][1])
+def stream_decisions(spark, sf_dir):
+    """States arrive twice, in two files; what comes again is dropped. The decisions are those of one batch run."""
+    past, arrivals, decided, checkpoint = (shared_path(spark, n) for n in ("history", "arrivals", "decisions", "stream"))
+    hp.past(spark, sf_dir).write.parquet(f"{past}/batch=-1")
+    states = hp.state_table(spark, sf_dir).withColumn("event_time", F.timestamp_seconds(F.lit(NOW)))
+    for _ in range(2):
+        states.coalesce(1).write.mode("append").parquet(arrivals)
+    stream = spark.readStream.schema(states.schema).option("maxFilesPerTrigger", 1).parquet(arrivals)
+    query = d.stream_decisions(stream, past, decided, checkpoint, now=NOW)
+    query.awaitTermination()
+    return spark.read.parquet(decided).select("repo_name", "commit_sha", "branch_name", "needs_investigation", "reason", "last_timestamp")
