@@ -113,19 +113,22 @@ def branch_label(spark, sf_dir):
     return _read(spark, sf_dir, "orders").select("o_orderkey", t.branch_label(branch, F.md5(F.col("o_orderkey").cast("string"))).alias("branch"))
 
 
-#: Conversations as prompts: some with a version line, some with a broken one.
-_PROMPTS = F.concat(F.when(F.col("turn") % 3 == 0, F.concat(F.lit("version="), (F.col("conv_id") % 7).cast("string"), F.lit("\n\n \n"))).when(F.col("turn") % 3 == 1, "version = 2\n").otherwise(""), "text")
+# Conversations as prompts: some with a version line, some with a broken one.
+def _prompts():
+    return F.concat(F.when(F.col("turn") % 3 == 0, F.concat(F.lit("version="), (F.col("conv_id") % 7).cast("string"), F.lit("\n\n \n"))).when(F.col("turn") % 3 == 1, "version = 2\n").otherwise(""), "text")
+
+
 _PROMPTS_SQL = "(SELECT conv_id, turn, role, CASE turn % 3 WHEN 0 THEN 'version=' || (conv_id % 7) || chr(10) || chr(10) || ' ' || chr(10) WHEN 1 THEN 'version = 2' || chr(10) ELSE '' END || text AS content FROM conversations)"
 
 
 @plan(f"""SELECT conv_id, turn, CASE WHEN starts_with(string_split(content, chr(10))[1], 'version=') AND trim(string_split(string_split(content, chr(10))[1], '=')[2]) <> '' THEN trim(string_split(string_split(content, chr(10))[1], '=')[2]) ELSE '1' END AS version FROM {_PROMPTS_SQL}""")
 def prompt_version(spark, sf_dir):
-    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", t.prompt_version(_PROMPTS).alias("version"))
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", t.prompt_version(_prompts()).alias("version"))
 
 
 @plan(rf"""SELECT conv_id, turn, md5(regexp_replace(content, '\A(?:version[^\n]*(?:\n|\z)(?:[^\S\n]*(?:\n|\z))*)', '')) AS cleaned FROM {_PROMPTS_SQL}""")
 def clean_prompt(spark, sf_dir):
-    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(t.clean_prompt(_PROMPTS)).alias("cleaned"))
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(t.clean_prompt(_prompts())).alias("cleaned"))
 
 
 @plan("SELECT doc_id, CAST(coalesce(floor(length(text) / 3.5), 0) AS BIGINT) AS tokens FROM documents")
