@@ -49,6 +49,17 @@ def row_hash(column: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")), F.col(column).isNull())
 
 
+def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for working columns that clash with none of ``df``'s, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row, however often it is used."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import let, materialise, row_hash
+from shelfmark.llm.common import fresh_names, let, materialise, row_hash
 
 WINDOW = 3
 
@@ -61,13 +61,16 @@ def _without(text, gone):
 
 def drop_repeated_lines(docs: DataFrame, text: str = "text", size: int = WINDOW) -> DataFrame:
     """The documents without the lines of later windows; n_chars, where there is one, follows the text."""
-    gone = covered_lines(docs, text, size).withColumnsRenamed({"doc_id": "gone_id", "text_hash": "gone_hash"})
-    mine = docs.withColumn("line_key_", row_hash(text))
-    joined = mine.join(gone, mine["doc_id"].eqNullSafe(gone["gone_id"]) & (mine["line_key_"] == gone["gone_hash"]), "left")
-    cleaned = joined.withColumn(text, F.when(F.col("gone").isNull(), F.col(text)).otherwise(_without(F.col(text), F.col("gone"))))
+    key, gone_id, gone_hash, places = fresh_names(docs, "line_key", "gone_id", "gone_hash", "gone")
+    gone = covered_lines(docs, text, size).withColumnsRenamed({"doc_id": gone_id, "text_hash": gone_hash, "gone": places})
+    mine = docs.withColumn(key, row_hash(text))
+    joined = mine.join(gone, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone_hash)), "left")
+    touched = F.col(places).isNotNull()
+    clean = F.when(touched, _without(F.col(text), F.col(places))).otherwise(F.col(text))
+    changed = {text: clean}
     if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType))
-    return cleaned.select(*docs.columns)
+        changed["n_chars"] = F.when(touched, F.length(clean)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*(changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
 
 def line_report(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import WORD, materialise, row_hash, with_rank
+from shelfmark.llm.common import WORD, fresh_names, materialise, row_hash, with_rank
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -167,13 +167,13 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP)
 
     Rows alike in id, text and source are told apart by their number, so each gets its own copies.
     """
-    same = ["doc_id", "text_hash", "source"]
-    taken = mix(docs, weights, cap).groupBy(F.xxhash64(*same).alias("row_key")).agg(F.sort_array(F.collect_list("copies")).alias("copies"))
-    keyed = docs.withColumn("text_hash", row_hash()).withColumn("row_key", F.xxhash64(*same)).drop("text_hash")
-    nth = F.row_number().over(Window.partitionBy("row_key").orderBy("row_key"))
+    key, nth, copies, copy = fresh_names(docs, "row_key", "nth", "copies", "copy")
+    taken = mix(docs, weights, cap).groupBy(F.xxhash64("doc_id", "text_hash", "source").alias(key)).agg(F.sort_array(F.collect_list("copies")).alias(copies))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", row_hash(), "source"))
+    times = F.get(copies, F.col(nth) - 1).cast("int")
     return (
-        keyed.withColumn("nth", nth).join(taken, "row_key")
-        .withColumn("times", F.get("copies", F.col("nth") - 1)).filter("times > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+        keyed.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key))).join(taken, key)
+        .filter(times > 0)
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), times)))
         .select(*docs.columns)
     )

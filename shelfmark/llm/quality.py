@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.llm.common import fresh_names
+
 PASSAGE = 64
 FIT_DOCUMENTS = 4000
 FIT_PASSAGES = 256
@@ -158,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS
 
         return texts.map(one)
 
-    rows = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "quality", described("text").alias("bag")).collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", described("text").alias("bag")).collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["bag"])))
     return fit([np.frombuffer(bytes(r["bag"]), np.float32).reshape(-1, FEATURES) for r in rows], np.array([r["quality"] for r in rows]))
 
@@ -180,5 +182,5 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score at least 0.5, as they are."""
-    columns = docs.columns
-    return docs.withColumn("quality_score_", quality_score(F.col("text"), train(docs, labels))).filter("quality_score_ >= 0.5").select(*columns)
+    [score] = fresh_names(docs, "quality_score")
+    return docs.withColumn(score, quality_score(F.col("text"), train(docs, labels))).filter(F.col(score) >= 0.5).select(*docs.columns)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import materialise, row_hash
+from shelfmark.llm.common import fresh_names, materialise, row_hash
 
 SHINGLE = 4
 SEED = 42
@@ -270,8 +270,9 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("text_hash") == F.col("keeper.text_hash"))).groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
     kept = materialise(kept, "kept")
-    mine = docs.withColumn("text_hash_", row_hash())
-    left = mine.join(kept, mine["doc_id"].eqNullSafe(kept["doc_id"]) & (mine["text_hash_"] == kept["text_hash"]), "left_semi")
+    key, kept_id, kept_hash = fresh_names(docs, "text_key", "kept_id", "kept_hash")
+    mine, named = docs.withColumn(key, row_hash()), kept.select(F.col("doc_id").alias(kept_id), F.col("text_hash").alias(kept_hash))
+    left = mine.join(named, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(key) == F.col(kept_hash)), "left_semi")
     if not kept.filter("copies > 1").isEmpty():  # rows alike in id and text
-        left = left.dropDuplicates(["doc_id", "text_hash_"])
-    return left.drop("text_hash_")
+        left = left.dropDuplicates(["doc_id", key])
+    return left.drop(key)
