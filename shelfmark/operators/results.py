@@ -13,11 +13,9 @@ UNORDERED = 999
 
 
 def union_steps(base: DataFrame, more: DataFrame) -> DataFrame:
-    """Base steps, then those of a type, order and repeats kept: (ordinal, step_name, ...) with ordinals in one row."""
-    shift = base.agg(F.coalesce(F.max("ordinal") + 1, F.lit(0)).alias("shift"))
-    # One row: the number of base steps.
-    later = more.crossJoin(F.broadcast(shift)).withColumn("ordinal", F.col("ordinal") + F.col("shift")).drop("shift")
-    return base.unionByName(later, allowMissingColumns=True)
+    """Base steps, then those of a type, order and repeats kept: (ordinal, step_name, ...). Catalogues are configuration; one number comes to the driver."""
+    shift = base.agg(F.coalesce(F.max("ordinal") + 1, F.lit(0))).first()[0]
+    return base.unionByName(more.withColumn("ordinal", F.col("ordinal") + F.lit(shift)), allowMissingColumns=True)
 
 
 def order_steps(steps: DataFrame, by: list[str]) -> DataFrame:

@@ -40,10 +40,10 @@ def read_steps(configurations: DataFrame, prompts: DataFrame) -> DataFrame:
     shape = f"struct<extends:string,processing_order:array<{STEP}>,additional_prompts:array<{STEP}>>"
     parsed = configurations.select("repo_type", F.from_json("value", shape).alias("c"))
     nothing = F.array().cast(f"array<{STEP}>")
-    base = parsed.filter("repo_type = 'base'").select(F.col("c.processing_order").alias("base"))
+    base = parsed.filter("repo_type = 'base'").select(F.col("repo_type").alias("base_type"), F.col("c.processing_order").alias("base"))
     own = F.concat(F.coalesce("c.processing_order", nothing), F.coalesce("c.additional_prompts", nothing))
-    # One row: the base configuration.
-    all_steps = parsed.filter("repo_type <> 'base'").crossJoin(F.broadcast(base)).select("repo_type", F.when(F.col("c.extends").isNotNull(), F.concat(F.coalesce("base", nothing), own)).otherwise(own).alias("steps"))
+    extending = parsed.filter("repo_type <> 'base'").withColumn("base_type", F.when(F.col("c.extends").isNotNull(), "base"))
+    all_steps = extending.join(base, "base_type", "left").select("repo_type", F.concat(F.coalesce("base", nothing), own).alias("steps"))
     rows = all_steps.select("repo_type", F.posexplode("steps").alias("ordinal", "s"))
     read = prompts.select(F.col("file").alias("prompt_file"), prompt_version(F.col("content")).alias("version"))
     return rows.join(read, F.col("s.file") == F.col("prompt_file"), "left").select(
