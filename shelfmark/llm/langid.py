@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 FIT_PER_LANGUAGE = 500
+#: Parts in which a language's documents are looked through for those to learn from.
+PARTS = 64
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.02
 #: Brings term frequencies, which sum to 1 for a text, near 1 each.
@@ -141,9 +143,12 @@ def train(docs: DataFrame, per_language: int = FIT_PER_LANGUAGE) -> Model:
     usable = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
     frequency = document_frequencies(usable)
     idf = np.log((1 + frequency[BUCKETS]) / (1 + frequency[:BUCKETS])) + 1
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # Every task keeps its first few of each language, so no language is gathered whole.
-    ids = usable.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_language).select("doc_id", "lang").distinct()
+    # The first few of each part of a language, then of the language: no language is gathered whole.
+    ids = usable.select("doc_id", "lang").distinct().withColumn("part", F.pmod(F.xxhash64(F.lit(PARTS), "doc_id"), F.lit(PARTS)))
+    for group in (["lang", "part"], ["lang"]):
+        order = Window.partitionBy(*group).orderBy(F.xxhash64("doc_id"), "doc_id")
+        ids = ids.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_language).drop("nth")
+    ids = ids.drop("part")
 
     @F.pandas_udf("struct<ids:binary,counts:binary>")
     def described(texts: pd.Series) -> pd.DataFrame:
