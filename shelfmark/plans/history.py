@@ -153,7 +153,7 @@ def prompt_metadata(spark, sf_dir):
 
 
 @plan("""WITH r AS (SELECT CAST(o_orderkey AS VARCHAR) AS repo_name, CASE WHEN o_orderkey % 9 = 0 THEN ' ' ELSE o_orderpriority END AS branch_name, substr(md5(CAST(o_orderkey AS VARCHAR)), 1, CAST(4 + o_orderkey % 8 AS INT)) AS commit_sha,
-CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'success' ELSE 'pending' END AS status, CAST(o_totalprice AS BIGINT) % 400 AS ttl_days, CASE WHEN o_orderkey % 4 = 0 THEN 'ftp://x' ELSE 'https://x' END AS repo_url FROM orders),
+CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'success' ELSE 'pending' END AS status, CAST(floor(o_totalprice) AS BIGINT) % 400 AS ttl_days, CASE WHEN o_orderkey % 4 = 0 THEN 'ftp://x' ELSE 'https://x' END AS repo_url FROM orders),
 v AS (SELECT repo_name, 'branch_name' AS "column", 'blank' AS rule FROM r WHERE trim(branch_name) = '' UNION ALL SELECT repo_name, 'commit_sha', 'shorter than 7' FROM r WHERE length(commit_sha) < 7
 UNION ALL SELECT repo_name, 'status', 'unknown' FROM r WHERE status = 'pending' UNION ALL SELECT repo_name, 'ttl_days', 'outside 1 to 365' FROM r WHERE ttl_days NOT BETWEEN 1 AND 365 UNION ALL SELECT repo_name, 'repo_url', 'not http' FROM r WHERE repo_url LIKE 'ftp%') SELECT * FROM v""")
 def validate_rows(spark, sf_dir):
@@ -161,7 +161,7 @@ def validate_rows(spark, sf_dir):
     rows = _read(spark, sf_dir, "orders").select(
         key.cast("string").alias("repo_name"), F.when(key % 9 == 0, " ").otherwise(F.col("o_orderpriority")).alias("branch_name"), F.substring(F.md5(key.cast("string")), F.lit(1), (4 + key % 8).cast("int")).alias("commit_sha"),
         F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "O", "success").otherwise("pending").alias("status"),
-        (F.round("o_totalprice").cast("long") % 400).alias("ttl_days"), F.when(key % 4 == 0, "ftp://x").otherwise("https://x").alias("repo_url"),
+        (F.floor("o_totalprice").cast("long") % 400).alias("ttl_days"), F.when(key % 4 == 0, "ftp://x").otherwise("https://x").alias("repo_url"),
     )
     return h.validate_rows(rows)
 
