@@ -166,7 +166,7 @@ def validate_rows(spark, sf_dir):
     return h.validate_rows(rows)
 
 
-@plan("""SELECT CAST(o_orderkey AS VARCHAR) AS repository_name, 1706659200 AS analysis_timestamp, printf('%012d', o_orderkey) AS latest_commit, o_orderpriority AS branch_name, 1 AS prompt_count, 'all=' || (o_shippriority_x) AS versions, 1706659200 + 90 * 86400 AS ttl_at FROM (SELECT *, 1 + o_orderkey % 3 AS o_shippriority_x FROM orders)""")
+@plan("""SELECT CAST(o_orderkey AS VARCHAR) AS repository_name, CAST(1706659200 AS BIGINT) AS analysis_timestamp, printf('%012d', o_orderkey) AS latest_commit, o_orderpriority AS branch_name, 1 AS prompt_count, 'all=' || (o_shippriority_x) AS versions, CAST(1706659200 + 90 * 86400 AS BIGINT) AS ttl_at FROM (SELECT *, 1 + o_orderkey % 3 AS o_shippriority_x FROM orders)""")
 def append_history(spark, sf_dir):
     o = _read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("string").alias("repo_name"), F.lit("https://x").alias("repo_url"), F.format_string("%012d", "o_orderkey").alias("commit_sha"), F.col("o_orderpriority").alias("branch_name"),

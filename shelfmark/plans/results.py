@@ -73,7 +73,7 @@ def force_section(spark, sf_dir):
     return r.cache_lookup(tasks(spark, sf_dir), results(spark, sf_dir), NOW, forced="click")
 
 
-@plan(_R + f"SELECT repo_name, step_name, commit_sha, prompt_version, step_name || ' done' AS content, {NOW} AS created_at, {NOW} + 90 * 86400 AS ttl_at FROM tasks")
+@plan(_R + f"SELECT repo_name, step_name, commit_sha, prompt_version, step_name || ' done' AS content, CAST({NOW} AS BIGINT) AS created_at, CAST({NOW} + 90 * 86400 AS BIGINT) AS ttl_at FROM tasks")
 def append_results(spark, sf_dir):
     """Appended as a dated table and read back."""
     path = shared_path(spark, "results")
