@@ -26,6 +26,7 @@ SHINGLE = 5
 BIN_BITS = 8
 BINS = 1 << BIN_BITS
 BITS = 8
+HALF = 1 << (BITS - 1)
 #: Filled bins are looked for at this many places before all are compared.
 PROBES = 12
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -89,23 +90,26 @@ def densified(found: Column) -> Column:
 
         return let(places, lambda p: F.transform(b, lambda x, i: fill(x, i, p)))
 
-    return let(found, lambda b: F.when(F.size(b) == 0, F.array_repeat(F.lit(0).cast("long"), BINS)).otherwise(filled(b)))
+    return let(found, lambda b: F.when(F.size(b) == 0, b).otherwise(filled(b)))
 
 
-def fingerprint(text: Column) -> Column:
-    """Hexadecimal: two digits a bin. A text without words has zeros."""
+def low_bits(text: Column) -> Column:
+    """The kept bits of every bin, as a signed byte; an empty array for a text without words."""
+    kept = lambda v: (v.bitwiseAND(F.lit((1 << BITS) - 1)) - HALF).cast("tinyint")
+    return let(densified(bins(shingle_hashes(text))), lambda b: F.transform(b, kept))
+
+
+def packed(kept: Column) -> Column:
+    """The bits of the bins as hexadecimal digits, zeros for a text without words."""
     digits = BITS // 4
-    kept = F.transform(densified(bins(shingle_hashes(text))), lambda v: F.lower(F.lpad(F.hex(v.bitwiseAND(F.lit((1 << BITS) - 1))), digits, "0")))
-    return F.array_join(kept, "")
+    return F.when(F.size(kept) == 0, "0" * (digits * BINS)).otherwise(F.array_join(F.transform(kept, lambda v: F.lower(F.lpad(F.hex(v + F.lit(HALF)), digits, "0"))), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The estimated share of common shingles, 0 to 1, free of agreement by chance."""
-    digits = BITS // 4
+    """The estimated share of common shingles, 0 to 1, from the kept bits, free of agreement by chance."""
     chance = 1.0 / (1 << BITS)
-    same = F.size(F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.substring(a, i * digits + 1, F.lit(digits)) == F.substring(b, i * digits + 1, F.lit(digits)))) / F.lit(float(BINS))
-    nothing = F.lit("0" * (digits * BINS))
-    return F.when(a == b, 1.0).when((a == nothing) | (b == nothing), 0.0).otherwise(F.greatest(F.lit(0.0), (same - chance) / (1 - chance)))
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda equal: equal)) / F.lit(float(BINS))
+    return F.when(a == b, 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.greatest(F.lit(0.0), (same - chance) / (1 - chance)))
 
 
 def next_rows(keys: DataFrame) -> DataFrame:
@@ -140,16 +144,15 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
     once = givers.join(asked, joined(givers, asked, "next_id", "next_hash")).select("to_id", "to_hash", F.substring("text", F.lit(1), F.col("half")).alias("start"))
     edited = texts.join(once, joined(texts, once, "to_id", "to_hash")).withColumn("n_chars", F.length("text").cast("long"))
     edited = edited.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 2)).cast("int")), "start"))
-    printed = materialise(
-        edited.select("doc_id", "text_hash", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint")),
-        "fingerprints",
-    )
+    kept = edited.select("doc_id", "text_hash", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), low_bits(F.col("text")).alias("kept"), low_bits(F.col("edited")).alias("edited_kept"))
+    printed = materialise(kept, "kept-bits")
     follow = after.select(F.col("doc_id").alias("to_id"), F.col("text_hash").alias("to_hash"), "next_id", "next_hash")
-    targets = printed.select(F.col("doc_id").alias("n_id"), F.col("text_hash").alias("n_hash"), F.col("fingerprint").alias("next_fingerprint")).distinct()
+    targets = printed.select(F.col("doc_id").alias("n_id"), F.col("text_hash").alias("n_hash"), F.col("kept").alias("next_kept"))
+    if repeated:
+        targets = targets.dropDuplicates(["n_id", "n_hash"])
     linked = printed.join(follow, joined(printed, follow, "to_id", "to_hash"))
     linked = linked.join(targets, F.col("next_id").eqNullSafe(F.col("n_id")) & (F.col("next_hash") == F.col("n_hash")))
     return linked.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", packed(F.col("kept")).alias("fingerprint"), packed(F.col("edited_kept")).alias("edited_fingerprint"),
+        likeness(F.col("kept"), F.col("edited_kept")).alias("near_edited"), likeness(F.col("kept"), F.col("next_kept")).alias("near_next"),
     )
