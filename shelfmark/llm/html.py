@@ -27,7 +27,7 @@ BOILERPLATE = ("head", "nav", "header", "footer", "aside", "form", "button", "se
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 INLINE = ("a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr")
 # Words in class or id that mark what is not the article.
-MARKS = ("ad", "ads", "advert", "advertisement", "banner", "sponsor", "sponsored", "promo", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "sidebar", "header", "footer", "masthead", "cookie", "cookies", "consent", "notice", "popup", "modal", "newsletter", "subscribe", "share", "social", "related", "comment", "comments", "widget", "login", "search", "copyright", "disqus")
+MARKS = ("ad", "ads", "advert", "advertisement", "banner", "sponsor", "sponsored", "promo", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "sidebar", "header", "footer", "masthead", "cookie", "cookies", "consent", "notice", "popup", "modal", "newsletter", "subscribe", "share", "social", "related", "comment", "comments", "widget", "login", "search", "copyright", "disqus", "advertising", "notices", "notification", "alert", "gdpr", "topbar", "toolbar", "overlay", "replies", "respond", "pagination", "pager", "aside", "sidebars", "banners", "contentinfo", "complementary", "menubar", "dialog", "skip")
 
 # Labelled pages. Text between [[ and ]] is the article.
 LABELLED_PAGES = (
@@ -40,6 +40,8 @@ LABELLED_PAGES = (
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+UNSEEN = re.compile(r"(?:^|\s)hidden(?=[\s=]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+MARK_PARTS = re.compile(r"[\s_\-:]+|(?<=[a-z])(?=[A-Z])")
 WORDS = re.compile(r"\S+")
 SPACE = re.compile(r"\s+")
 NO_SCORE = 0.0
@@ -49,7 +51,8 @@ _raw_end = {name: re.compile(rf"</{name}[\s/>]", re.I) for name in RAW}
 
 
 def _marked(attrs: str) -> bool:
-    return any(w in _marks for found in ATTR.findall(attrs) for w in re.split(r"[\s_\-:]+", "".join(found).lower()))
+    """Whether a container is named like what surrounds an article, or is not shown."""
+    return bool(UNSEEN.search(attrs)) or any(w.lower() in _marks for found in ATTR.findall(attrs) for w in MARK_PARTS.split("".join(found)))
 
 
 def tokens(page: str):
