@@ -256,7 +256,8 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, pair_from: int
     roots = materialise(components(links(distinct, paired, threshold, piece)), "roots")
     least = distinct.join(roots, distinct["fp"] == roots["node"]).groupBy("root").agg(F.min("least").alias("least"))
     linked = roots.join(least, "root").select(F.col("node").alias("fp"), F.col("least").alias("of_all"))
-    classes = distinct.join(linked, "fp", "left").select("fp", F.coalesce("of_all", "least").alias("least"))
+    # A table of its own: then both sides of the last join are dealt out for it, and Spark can split a fingerprint that very many rows share.
+    classes = materialise(distinct.join(linked, "fp", "left").select("fp", F.coalesce("of_all", "least").alias("least")), "classes")
     return marked.join(classes, "fp").select("doc_id", "text_hash", "fp", F.col("least.doc_id").alias("component_id"), F.struct("least.doc_id", "least.text_hash").alias("keeper"))
 
 
