@@ -36,7 +36,7 @@ CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces of one length that are ranked in one window group.
-GROUP = 20_000
+GROUP = 2_000
 #: Words whose ids a worker remembers.
 REMEMBER = 500_000
 
