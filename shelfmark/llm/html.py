@@ -26,7 +26,13 @@ RAW = ("script", "style", "noscript", "template", "svg", "textarea", "iframe", "
 BOILERPLATE = ("head", "nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 INLINE = ("a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr")
-# Words in class or id that mark what is not the article.
+# Elements that hold blocks; only these are left out for their name.
+CONTAINERS = ("div", "section", "ul", "ol", "dl", "li", "dt", "dd", "table", "tbody", "tr", "td", "th", "fieldset", "details", "center", "figure")
+# Blocks, and what ends an element whose end tag may be left out, as the HTML standard has them.
+BLOCKS = ("address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul")
+SIBLINGS = {"p": BLOCKS, "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "tbody", "tfoot"), "td": ("td", "th", "tr", "tbody", "tfoot"), "th": ("td", "th", "tr", "tbody", "tfoot"), "tbody": ("tbody", "tfoot")}
+LISTS = {"p": (), "li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "tbody": ("table",)}
+# Whole class tokens, ids and roles that mark what is not the article. A class of several such words (ad-banner, site-footer) is one as well.
 MARKS = ("ad", "ads", "advert", "advertisement", "banner", "sponsor", "sponsored", "promo", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "sidebar", "header", "footer", "masthead", "cookie", "cookies", "consent", "notice", "popup", "modal", "newsletter", "subscribe", "share", "social", "related", "comment", "comments", "widget", "login", "search", "copyright", "disqus", "advertising", "notices", "notification", "alert", "gdpr", "topbar", "toolbar", "overlay", "replies", "respond", "pagination", "pager", "aside", "sidebars", "banners", "contentinfo", "complementary", "menubar", "dialog", "skip")
 
 # Labelled pages. Text between [[ and ]] is the article.
@@ -39,25 +45,59 @@ LABELLED_PAGES = (
 )
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-UNSEEN = re.compile(r"(?:^|\s)hidden(?=[\s=]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-MARK_PARTS = re.compile(r"[\s_\-:]+|(?<=[a-z])(?=[A-Z])")
+ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+MARK_PARTS = re.compile(r"[_\-:]+")
 WORDS = re.compile(r"\S+")
 SPACE = re.compile(r"\s+")
 NO_SCORE = 0.0
 
-_raw, _boiler, _void, _inline, _marks = map(frozenset, (RAW, BOILERPLATE, VOID, INLINE, MARKS))
+_raw, _boiler, _void, _inline, _marks, _containers, _blocks = map(frozenset, (RAW, BOILERPLATE, VOID, INLINE, MARKS, CONTAINERS, BLOCKS))
 _raw_end = {name: re.compile(rf"</{name}[\s/>]", re.I) for name in RAW}
 
 
-def _marked(attrs: str) -> bool:
-    """Whether a container is named like what surrounds an article, or is not shown."""
-    return bool(UNSEEN.search(attrs)) or any(w.lower() in _marks for found in ATTR.findall(attrs) for w in MARK_PARTS.split("".join(found)))
+def _names(token: str) -> bool:
+    parts = MARK_PARTS.split(token)
+    return token in _marks or parts[-1] in _marks and all(part in _marks or part == "site" for part in parts)
+
+
+def _marked(name: str, attrs: str) -> bool:
+    """Whether an element is not shown, or a container is named like what surrounds an article."""
+    for key, *values in ATTR.findall(attrs):
+        key, value = key.lower(), "".join(values).strip().lower()
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and NO_DISPLAY.search(value):
+            return True
+        if name in _containers and (key in ("id", "role") and value in _marks or key == "class" and any(map(_names, value.split()))):
+            return True
+    return False
+
+
+class _Unclosed:
+    """A left-out element whose end tag may be missing: it ends at a sibling, or where its parent ends."""
+
+    def __init__(self, name: str):
+        self.name, self.open, self.count = name, [], Counter()
+
+    def ends(self, name: str, closing: bool) -> str:
+        """'' while it goes on, 'here' at its own end tag, 'before' at a tag that stands outside it."""
+        if closing:
+            if self.count[name]:
+                while (last := self.open.pop()) != name:
+                    self.count[last] -= 1
+                self.count[name] -= 1
+                return ""
+            return "here" if name == self.name else "before" if name in _blocks else ""
+        if name in SIBLINGS[self.name] and not any(self.count[outer] for outer in LISTS[self.name]):
+            return "before"
+        if name in _blocks and name not in _void:
+            self.open.append(name)
+            self.count[name] += 1
+        return ""
 
 
 def tokens(page: str):
     """('text', words as written), ('tag', name, closing) and ('skip', name) for a container left out whole."""
-    at, skipping, depth = 0, "", 0
+    at, skipping, depth, unclosed = 0, "", 0, None
     n = len(page)
     while at < n:
         m = TOKEN.search(page, at)
@@ -77,7 +117,13 @@ def tokens(page: str):
             end = _raw_end[name].search(page, at)
             at = end.start() if end else n
             continue
-        if skipping:
+        if skipping and unclosed:
+            ends = unclosed.ends(name, closing)
+            if ends:
+                skipping, unclosed = "", None
+            if ends != "before":
+                continue
+        elif skipping:
             if name == skipping:
                 depth += -1 if closing else 1
                 if not depth:
@@ -86,8 +132,8 @@ def tokens(page: str):
                 skipping = ""  # the container was never closed
                 yield "tag", name, closing
             continue
-        if not closing and name not in _void and (name in _boiler or name not in ("html", "body", "article", "main") and m["attrs"] and _marked(m["attrs"])) and not m["attrs"].rstrip().endswith("/"):
-            skipping, depth = name, 1
+        if not closing and name not in _void and (name in _boiler or name not in ("html", "body", "article", "main") and m["attrs"] and _marked(name, m["attrs"])) and not m["attrs"].rstrip().endswith("/"):
+            skipping, depth, unclosed = name, 1, _Unclosed(name) if name in SIBLINGS else None
             yield "skip", name, False
             continue
         yield "tag", name, closing
@@ -138,7 +184,7 @@ def main_text(page: str | None, weights: dict[str, float] = WEIGHTS) -> str:
     for kind, value in [*runs[best_from:best_to], ("tag", "p")]:
         if kind == "text":
             line.append(value)
-        elif value not in _inline or kind == "skip":
+        elif value not in _inline:
             block = SPACE.sub(" ", htmllib.unescape("".join(line))).strip()
             if block:
                 blocks.append(block)

@@ -258,6 +258,25 @@ def test_html_extracts_whole_articles(spark, data):
     assert sorted(r["n_chars"] for r in html.extract_text(odd).collect()) == [0, 0, 10]
 
 
+LONG = "words enough to carry the score of a page"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div class='content no-sidebar'><p>{LONG}</p></div>", LONG), (f"<div class='has-sidebar'><p>{LONG}</p></div>", LONG),
+        (f"<article><h2 id='search-party'>A search</h2><p>{LONG}</p><section id='related-work'><h2 id='social-life'>Others</h2><p>{LONG}</p></section></article>", f"A search\n{LONG}\nOthers\n{LONG}"),
+        (f"<article><h2 class='header'>Kept too</h2><p class='comment'>so is this</p><p>{LONG}</p></article>", f"Kept too\nso is this\n{LONG}"),
+        (f"<article><p>{LONG} <a title='the hidden valley'>below the hill</a> and {LONG}</p></article>", f"{LONG} below the hill and {LONG}"),
+        (f"<article><p>one <span hidden>gone</span> two</p><p hidden>gone<p>{LONG}</article>", f"one two\n{LONG}"),
+        (f"<article><p>{LONG}</p><ul><li hidden>gone<ul><li>gone</li></ul><li>an item that is shown</ul></article>", f"{LONG}\nan item that is shown"),
+        (f"<article><p>{LONG}</p><div class='x ad-banner'>gone</div><div class='site-footer'>gone</div><div id='Comments'>gone<div>gone</div></div><div style='display: none'>gone</div><div aria-hidden=true>gone</div><p>{LONG}</p></article>", f"{LONG}\n{LONG}"),
+    ],
+)
+def test_html_leaves_out_only_what_is_named_whole(page, want):
+    assert html.main_text(page) == want
+
+
 # ---- 7 languages -------------------------------------------------------------
 
 
