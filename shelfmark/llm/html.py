@@ -2,8 +2,10 @@
 
 A page is read as a sequence of words and tags. A word adds to the score, a tag
 takes from it; the weights are log-odds counted on a few labelled pages. One linear
-scan finds the contiguous run with the highest sum, and the blocks of text inside it
-are the page's text. Containers that never hold the article (menus, forms, adverts,
+scan finds the contiguous run with the highest sum; it is extended to the edges of the
+article or main element around it, and the blocks of text inside it are the page's text.
+Inline tags score nothing and words of links little, so that links neither break an
+article nor make one. Containers that never hold the article (menus, forms, adverts,
 comments, scripts and so on) are cut out first: they neither score nor give text.
 
 Nulls and edge cases: a null or empty page, or one without words, has an empty text.
@@ -42,6 +44,8 @@ LABELLED_PAGES = (
     "<body><div id='top'><ul><li><a>Login</a></li><li><a>Help</a></li><li><a>About</a></li></ul></div><div>[[<p>A short walk leads from the station to the lake, where <i>boats</i> wait.</p><blockquote><p>We came here every summer.</p></blockquote><p>Bring water.</p>]]</div><div><ul><li><a>Tags</a></li><li><a>Archive</a></li></ul></div></body>",
     "<body><div><a href='/'>Kitchen</a></div><article>[[<h1>Plain soup</h1><p>For four people take</p><ul><li>Leeks</li><li>Potatoes</li><li>Butter</li><li>Salt</li><li>Stock</li><li>Cream</li><li>Chives</li></ul><table><tr><td>Energy</td><td>90 kcal</td></tr><tr><td>Fat</td><td>4 g</td></tr></table><ol><li>Chop.</li><li>Simmer.</li><li>Blend.</li></ol>]]</article><div><a>Print</a><a>Mail</a></div></body>",
     "<body><div class='ad'>Cheap offers</div><section>[[<h1>Minutes</h1><p>The chair opened the meeting at nine and read the report of the last one.</p><p>It was agreed.</p>]]</section><div><span>Posted in</span><a>Clubs</a></div><form><input>Search</form></body>",
+    "<body><div><ul><li><a>Start</a></li><li><a>News</a></li><li><a>Sport</a></li></ul></div><div>[[<div>Harbour news</div><div>By Ann Lee</div><div>The old <a>harbour</a> is to be dredged before the <a>spring tide</a> comes in.</div><div>Work starts soon.</div><div><a>Map</a> <a>Plans</a></div>]]</div><div><ul><li><a>Next</a></li><li><a>Back</a></li></ul></div></body>",
+    "<body><div><a>Top</a></div><main>[[<div><h1>Bees</h1></div><div><span>Ann Lee</span>, <time>May</time></div><div><p>Bees fly from <a>March</a> on and rest in the cold months.</p></div><div><div>Read also</div><ul><li><a>Wasps</a></li><li><a>Ants in the house</a></li></ul></div>]]</main><section><span>Tags</span><a>Garden</a></section></body>",
 )
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -139,47 +143,84 @@ def tokens(page: str):
         yield "tag", name, closing
 
 
+def scored(page: str):
+    """The tokens of a page, with whether a text is that of a link."""
+    linked = False
+    for kind, value, closing in tokens(page):
+        if kind == "tag":
+            linked = not closing if value == "a" else linked and value in _inline
+        yield kind, value, closing, linked
+
+
 def learn_weights(pages=LABELLED_PAGES) -> dict[str, float]:
     """Log-odds of each kind of token inside and outside the labelled articles; words are kept positive, tags negative."""
     inside, outside = Counter(), Counter()
     for page in pages:
         a, b = page.index("[["), page.index("]]")
         for part, count in ((page[:a], outside), (page[a + 2 : b], inside), (page[b + 2 :], outside)):
-            for kind, value, _ in tokens(part):
+            for kind, value, _, linked in scored(part):
                 if kind == "text":
-                    count["word"] += len(WORDS.findall(value))
-                else:
+                    count["linked" if linked else "word"] += len(WORDS.findall(value))
+                elif value not in _inline:
                     count[kind if kind == "skip" else value] += 1
     odds = {k: math.log((inside[k] + 0.5) / (outside[k] + 0.5)) for k in inside.keys() | outside.keys()}
     word = max(odds.pop("word"), 1.0)
+    linked = max(odds.pop("linked", 0.0), 0.1 * word)
     tags = {k: min(v, -0.02 * word) for k, v in odds.items()}
-    return {"word": word, **tags}
+    return {"word": word, "linked": linked, **tags}
 
 
 WEIGHTS = learn_weights()
 
 
+def _outwards(around: list, i: int):
+    while i >= 0:
+        yield i
+        i = around[i][1]
+
+
 def main_text(page: str | None, weights: dict[str, float] = WEIGHTS) -> str:
     """The text of the best run, one block a line."""
     if not page:
         return ""
-    word, other = weights["word"], -0.02 * weights["word"]
+    word, link, other = weights["word"], weights["linked"], -0.02 * weights["word"]
     runs: list[tuple[str, str]] = []  # text, or a tag's name
     best = total = 0.0
     best_from = best_to = start = 0
-    for kind, value, _ in tokens(page):
+    # Of each article and main: name, what is around it, first and last token. Of the run: where it starts and ends.
+    around, opened, within, best_first, best_last, first = [], Counter(), -1, -1, -1, -1
+    for kind, value, closing, linked in scored(page):
         runs.append((kind, value))
         if kind == "text":
-            step = word * len(WORDS.findall(value))
-        elif kind == "skip":
+            step = (link if linked else word) * len(WORDS.findall(value))
+        elif kind == "skip" or value in _inline:
             step = NO_SCORE
         else:
             step = weights.get(value, other)
+            if value in ("article", "main"):
+                if not closing:
+                    around.append([value, within, len(runs), None])
+                    within = len(around) - 1
+                    opened[value] += 1
+                elif opened[value]:
+                    name = ""
+                    while name != value:
+                        name, outer, _, _ = around[within]
+                        around[within][3], within = len(runs), outer
+                        opened[name] -= 1
         if total <= 0:
-            total, start = 0.0, len(runs) - 1
+            total, start, first = 0.0, len(runs) - 1, within
         total += step
         if total > best:
-            best, best_from, best_to = total, start, len(runs)
+            best, best_from, best_to, best_first, best_last = total, start, len(runs), first, within
+    if best:
+        starts, ends = list(_outwards(around, best_first)), list(_outwards(around, best_last))
+        both = max(set(starts) & set(ends), default=None)
+        # The innermost element around the whole run; else the outermost one at either end.
+        for i in [both] if both is not None else starts[-1:]:
+            best_from = min(best_from, around[i][2])
+        for i in [both] if both is not None else ends[-1:]:
+            best_to = max(best_to, around[i][3] or len(runs))
     blocks, line = [], []
     for kind, value in [*runs[best_from:best_to], ("tag", "p")]:
         if kind == "text":

@@ -277,6 +277,21 @@ def test_html_leaves_out_only_what_is_named_whole(page, want):
     assert html.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article><h1>Title</h1><div><p>{LONG}</p></div><div>two words</div></article><div><a>Next</a></div>", f"Title\n{LONG}\ntwo words"),
+        (f"<main><div>Title</div><div>{LONG}</div><ul><li><a>One</a></li><li><a>Two</a></li></ul></main>", f"Title\n{LONG}\nOne\nTwo"),
+        (f"<body><div><div>Title</div><div>By A</div><div>{LONG}</div><div>{LONG}</div><div>The end</div></div></body>", f"Title\nBy A\n{LONG}\n{LONG}\nThe end"),
+        (f"<body><div><div>{LONG}</div><ul><li><a>One</a></li><li><a>Two</a></li><li><a>Three</a></li></ul></div><div><ul><li><a>Next</a></li><li><a>Back</a></li></ul></div></body>", f"{LONG}\nOne\nTwo\nThree"),
+        (f"<article><p><a>Linked</a></p><article><p>{LONG}</p></article><p>{LONG}</p><p><a>Last</a></p></article>", f"Linked\n{LONG}\n{LONG}\nLast"),
+        (f"<h1>Before it</h1><article><p>{LONG}</p><p>Ann</article>", f"Before it\n{LONG}\nAnn"),
+    ],
+)
+def test_html_keeps_short_first_and_last_blocks(page, want):
+    assert html.main_text(page) == want
+
+
 # ---- 7 languages -------------------------------------------------------------
 
 
