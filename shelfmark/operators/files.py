@@ -45,8 +45,8 @@ def _nodes(files: DataFrame, depth: int) -> DataFrame:
     return cut.select("repo_name", F.explode(F.concat(F.coalesce(of_dirs, empty), F.array(leaf))).alias("n")).select("repo_name", "n.*")
 
 
-def tree_lines(files: DataFrame, depth: int = DEPTH, icons: bool = True) -> DataFrame:
-    """repo_name, tree: a heading and the indented tree. Distinct nodes are summed up map-side; a tree is one text per repository."""
+def tree_pieces(files: DataFrame, depth: int = DEPTH, icons: bool = True) -> DataFrame:
+    """repo_name, place, text, gap: a heading (place null) and the lines of the tree in rows. Distinct nodes are summed up map-side."""
     nodes = _nodes(prune_paths(files), depth).groupBy("repo_name", "level", "kind", "name", "place").agg(F.count(F.lit(1)).alias("n"))
     d, f = (f"{DIR_ICON} ", f"{FILE_ICON} ") if icons else ("", "")
     pad = lambda more: F.repeat(F.lit("  "), F.col("level") + more)
@@ -56,9 +56,16 @@ def tree_lines(files: DataFrame, depth: int = DEPTH, icons: bool = True) -> Data
         .when(F.col("kind") == "nested", F.concat(pad(1), F.lit(d), "name", F.lit("/ [NESTED]")))
         .otherwise(F.concat(pad(1), F.lit("["), F.col("n").cast("string"), F.lit(" files]")))
     )
-    trees = nodes.groupBy("repo_name").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("lines"))
     head = F.concat(F.lit("Repository: "), "repo_name")
-    return trees.select("repo_name", F.concat(head, F.lit("\n"), F.repeat(F.lit("="), F.length(head)), F.lit("\n\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("tree"))
+    heads = nodes.select("repo_name").distinct().select("repo_name", F.lit(None).cast("array<string>").alias("place"), F.concat(head, F.lit("\n"), F.repeat(F.lit("="), F.length(head))).alias("text"), F.lit("\n\n").alias("gap"))
+    return heads.unionByName(nodes.select("repo_name", "place", line.alias("text"), F.lit("\n").alias("gap")))
+
+
+def tree_lines(files: DataFrame, depth: int = DEPTH, icons: bool = True) -> DataFrame:
+    """repo_name, tree: the pieces of a tree as one text, for repositories whose tree is a value; ``tree_pieces`` has any."""
+    rows = tree_pieces(files, depth, icons).groupBy("repo_name").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("place", F.array()).alias("place"), "text"))).alias("lines"))
+    lines = F.transform("lines", lambda x: x["text"])
+    return rows.select("repo_name", F.concat(F.get(lines, F.lit(0)), F.lit("\n\n"), F.array_join(F.slice(lines, 2, F.size(lines)), "\n")).alias("tree"))
 
 
 def structure_stats(files: DataFrame, depth: int = DEPTH) -> DataFrame:

@@ -5,12 +5,15 @@ from __future__ import annotations
 import json
 import tomllib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shelfmark.functions.text import BATCH_TOKENS, CHARS_PER_TOKEN, NO_DEPENDENCIES
 from shelfmark.operators.files import prune_paths
+from shelfmark.sources.shared import shared_path
 
 # Manifest names by language, in the order in which they are looked for; what a production name must not contain.
 MANIFESTS = (
@@ -156,8 +159,24 @@ def _block(path: Column, content: Column) -> Column:
     return F.concat(F.lit("**File:** `"), path, F.lit("`\n\n```\n"), content, F.lit("\n```\n"))
 
 
+def dependency_pieces(files: DataFrame, by: list[str]) -> DataFrame:
+    """by, language, kind, full_path, text, gap: the text of ``format_dependencies`` in rows, a heading or file each; null sorts first."""
+    shown = files.withColumn("text", _block(F.col("full_path"), F.col("content"))).filter("text IS NOT NULL").withColumn("kind", F.when(F.col("dep_type") == "production", 0).otherwise(1))
+    none, no_gap = F.lit(None).cast("string"), F.lit("").alias("gap")
+    head = F.when(F.col("kind") == 0, _HEAD["production"] + "\n").otherwise(_HEAD["dev"] + "\n")
+    kinds = shown.select(*by, "language", "kind").distinct()
+    langs = kinds.select(*by, "language").distinct()
+    rows = shown.select(*by, "language", "kind", "full_path", "text", F.lit("\n").alias("gap"))
+    rows = rows.unionByName(kinds.select(*by, "language", "kind", none.alias("full_path"), head.alias("text"), no_gap))
+    rows = rows.unionByName(langs.select(*by, "language", F.lit(None).cast("int").alias("kind"), none.alias("full_path"), F.concat(F.lit("### "), "language", F.lit("\n\n")).alias("text"), no_gap))
+    return rows.unionByName(langs.select(*by).distinct().select(*by, none.alias("language"), F.lit(None).cast("int").alias("kind"), none.alias("full_path"), F.lit(_OPEN + "\n").alias("text"), no_gap))
+
+
 def format_dependencies(files: DataFrame, by: list[str]) -> DataFrame:
-    """by + formatted: languages sorted, production before development, files by path, contents fenced."""
+    """by + formatted: languages sorted, production before development, files by path, contents fenced.
+
+    One text a group: for groups that a token budget bounds, such as batches. ``dependency_pieces`` has whole repositories in rows.
+    """
     rows = files.groupBy(*by, "language", "dep_type").agg(F.array_sort(F.collect_list(F.struct("full_path", _block(F.col("full_path"), F.col("content")).alias("block")))).alias("files"))
     head = F.when(F.col("dep_type") == "production", _HEAD["production"]).otherwise(_HEAD["dev"])
     kinds = rows.withColumn("text", F.concat(head, F.lit("\n"), F.array_join(F.transform("files", lambda f: f["block"]), "\n")))
@@ -185,8 +204,10 @@ def pack_batches(files: DataFrame, budget: int = BATCH_TOKENS) -> DataFrame:
 
     A language that fits the budget is one batch, estimated by its formatted text. Else its
     files are walked in order and a batch ends before the file that would exceed the budget; a
-    file above it stands alone. Only counts of characters are grouped, never texts; the walk has a
-    reset, which no window frame expresses.
+    file above it stands alone. Only counts of characters are moved, never texts; the walk has a
+    reset, which no window frame expresses. Files are sorted into parts; where a language spans
+    several, each part says what leaves it for any count of tokens that enters, and the driver
+    hands on (tokens held, batch) from part to part.
     """
     kind = F.when(F.col("dep_type") == "production", 0).otherwise(1)
     chars = F.length(F.concat(F.lit("**File:** `"), "full_path", F.lit("`\n```\n"), "content", F.lit("\n```\n")))
@@ -199,22 +220,96 @@ def pack_batches(files: DataFrame, budget: int = BATCH_TOKENS) -> DataFrame:
     keep = ["repo_name", "language", "dep_type", "pattern_ordinal", "full_path"]
     small = sized.filter(fits).select(*keep, F.lit(0).alias("sub_batch"), F.col("language_tokens").alias("batch_tokens"))
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["kind", "pattern_ordinal", "full_path"], kind="stable")
-        batch, held, files_in, of = 0, 0, 0, []
-        for t in group["tokens"]:
-            if files_in and held + t > budget:
-                batch, held, files_in = batch + 1, 0, 0
-            held, files_in = held + t, files_in + 1
-            of.append(batch)
-        group["sub_batch"] = of
-        group["batch_tokens"] = group.groupby("sub_batch")["tokens"].transform("sum")
-        return group[[*keep, "sub_batch", "batch_tokens"]]
-
-    large = sized.filter(~fits).groupBy("repo_name", "language").applyInPandas(walk, small.schema)
+    place, one = ["repo_name", "language", "kind", "pattern_ordinal", "full_path"], ["repo_name", "language", "part"]
+    sorted_ = sized.filter(~fits).select(*keep, "kind", "tokens").repartitionByRange(*place).withColumn("part", F.spark_partition_id())
+    path = shared_path(files.sparkSession, "sorted-files")
+    sorted_.write.parquet(path)
+    parts = files.sparkSession.read.parquet(path)
+    several = parts.groupBy("repo_name", "language").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a < b").select("repo_name", "language")
+    schema = StructType([*(parts.schema[c] for c in one), *StructType.fromDDL("first long, before long, until long, held long, batches long, last boolean").fields])
+    leaving = parts.join(F.broadcast(several), ["repo_name", "language"]).groupBy(*one).applyInPandas(_leaving(budget), schema)
+    entering = _hand_on(leaving.collect(), budget)
+    state = StructType([*(parts.schema[c] for c in one), *StructType.fromDDL("held long, batch int, entry_total long, exit_total long").fields])
+    handed = files.sparkSession.createDataFrame(entering, state)
+    large = parts.join(F.broadcast(handed), one, "left").groupBy(*one).applyInPandas(_walk(budget, place, [*keep, "sub_batch", "batch_tokens"]), small.schema)
     return small.unionByName(large)
 
 
+def _starts(tokens, budget: int):
+    """Sums before each file, and for each file where the batch after the one that it starts would start."""
+    sums = np.concatenate([[0], np.cumsum(np.asarray(tokens, dtype=np.int64))])
+    after = np.maximum(np.searchsorted(sums[1:], budget + sums[:-1], side="right"), np.arange(1, len(sums)))
+    return sums, after
+
+
+def _leaving(budget: int):
+    """For each file of a part that can be the first to start a batch there: the sums before and with it, the tokens held at the part's end and the batches started; last, a row for none."""
+
+    def leaving(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["kind", "pattern_ordinal", "full_path"], kind="stable")
+        sums, after = _starts(group["tokens"], budget)
+        n = len(after)
+        held, batches = np.zeros(n, dtype=np.int64), np.ones(n, dtype=np.int64)
+        for i in range(n - 1, -1, -1):
+            if after[i] < n:
+                held[i], batches[i] = held[after[i]], batches[after[i]] + 1
+            else:
+                held[i] = sums[n] - sums[i]
+        m = min(int(np.searchsorted(sums[1:], budget, side="right")) + 1, n)
+        rows = [(i, int(sums[i]), int(sums[i + 1]), int(held[i]), int(batches[i]), False) for i in range(m)] + [(n, int(sums[n]), int(sums[n]), int(sums[n]), 0, True)]
+        out = pd.DataFrame(rows, columns=["first", "before", "until", "held", "batches", "last"])
+        for i, c in enumerate(("repo_name", "language", "part")):
+            out.insert(i, c, group[c].iloc[0])
+        return out
+
+    return leaving
+
+
+def _hand_on(leaving: list, budget: int) -> list[tuple]:
+    """repo_name, language, part, tokens held and batch on entry, and the tokens of the part's first and last batch."""
+    parts: dict = {}
+    for r in leaving:
+        parts.setdefault((r["repo_name"], r["language"]), {}).setdefault(r["part"], []).append(r)
+    out = []
+    for (repo, language), of in parts.items():
+        held, batch, totals, seen = 0, 0, {}, []
+        for i, part in enumerate(sorted(of)):
+            rows = sorted(of[part], key=lambda r: r["first"])
+            # The very first file starts batch 0; a batch that is held ends before the file that exceeds the budget.
+            r = rows[0] if i == 0 else next(r for r in rows if r["last"] or held + r["until"] > budget)
+            new = batch + r["batches"] - (i == 0)
+            if i and not r["last"]:
+                totals[batch] = held + r["before"]
+            seen.append((part, held if i else None, batch, new))
+            held, batch = held + r["held"] if r["last"] else r["held"], new
+        totals[batch] = held
+        out += [(repo, language, part, h, b, totals.get(b), totals.get(e)) for part, h, b, e in seen]
+    return out
+
+
+def _walk(budget: int, place: list[str], columns: list[str]):
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(place[2:], kind="stable")
+        sums, after = _starts(group["tokens"], budget)
+        n, r = len(after), group.iloc[0]
+        handed = not pd.isna(r["batch"])
+        batch, at = (int(r["batch"]) if handed else 0), 0
+        of, totals = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int64)
+        if handed and not pd.isna(r["held"]):
+            at = int(np.searchsorted(sums[1:], budget - int(r["held"]), side="right"))
+            of[:at], totals[:at] = batch, int(r["entry_total"])
+            batch += 1
+        while at < n:
+            end = min(int(after[at]), n)
+            whole = int(r["exit_total"]) if handed and end == n else sums[end] - sums[at]
+            of[at:end], totals[at:end] = batch, whole
+            batch, at = batch + 1, end
+        group["sub_batch"], group["batch_tokens"] = of, totals
+        return group[columns]
+
+    return walk
+
+
 def number_batches(packed: DataFrame) -> DataFrame:
     """repo_name, language, sub_batch, files, estimated_tokens, batch_index (from 0, languages sorted), total_batches."""
     batches = packed.groupBy("repo_name", "language", "sub_batch").agg(F.count(F.lit(1)).alias("files"), F.max("batch_tokens").alias("estimated_tokens"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.functions.digest import md5_of_pieces
 from shelfmark.operators import files as f
 from shelfmark.operators import manifests as m
 from shelfmark.sources import files as src
@@ -53,7 +54,7 @@ UNION ALL SELECT repo_name, list_transform(parts[1:len(parts) - 1], lambda x: '1
 UNION ALL SELECT repo_name, list_transform(d, lambda x: '1' || x) || ['0' || name], repeat('  ', 4) || name || '/ [NESTED]' FROM nested UNION ALL SELECT repo_name, list_transform(d, lambda x: '1' || x) || ['1'], repeat('  ', 4) || '[' || n || ' files]' FROM hidden)
 SELECT repo_name, md5('Repository: ' || repo_name || chr(10) || repeat('=', length(repo_name) + 12) || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY place)) AS tree FROM lines GROUP BY 1""")
 def tree_lines(spark, sf_dir):
-    return f.tree_lines(paths(spark, sf_dir), icons=False).withColumn("tree", F.md5("tree"))
+    return md5_of_pieces(f.tree_pieces(paths(spark, sf_dir), icons=False), "repo_name", ["place", "text"], "tree")
 
 
 @plan(_P + "SELECT r.repo_name, (SELECT count(*) FROM dirs x WHERE x.repo_name = r.repo_name) AS dirs, (SELECT count(*) FROM files x WHERE x.repo_name = r.repo_name) AS files, (SELECT count(*) FROM nested x WHERE x.repo_name = r.repo_name) AS nested FROM (SELECT DISTINCT repo_name FROM kept) r")
@@ -114,7 +115,7 @@ langs AS (SELECT repo_name, language, '### ' || language || chr(10) || chr(10) |
 
 @plan(_D + "SELECT repo_name, md5('## Dependencies' || chr(10) || chr(10) || string_agg(text, chr(10) ORDER BY language)) AS formatted FROM langs GROUP BY 1")
 def format_dependencies(spark, sf_dir):
-    return m.format_dependencies(dependency_files(spark, sf_dir), ["repo_name"]).withColumn("formatted", F.md5("formatted"))
+    return md5_of_pieces(m.dependency_pieces(dependency_files(spark, sf_dir), ["repo_name"]), "repo_name", ["language", "kind", "full_path", "text"], "formatted")
 
 
 _PACK = _D + f""", lt AS (SELECT repo_name, language, CAST(floor(length('## Dependencies' || chr(10) || chr(10) || text) / 3.5) AS BIGINT) AS language_tokens FROM langs),

@@ -1,5 +1,6 @@
 """Portfolio operators on single cases."""
 
+import hashlib
 import json
 
 import pytest
@@ -111,6 +112,40 @@ def test_packing_ends_before_the_budget_and_lets_large_files_stand_alone(spark):
     assert [(r["language"], r["files"], r["batch_index"], r["total_batches"]) for r in numbers] == [("Go", 2, 0, 5), ("Go", 1, 1, 5), ("Go", 1, 2, 5), ("Go", 2, 3, 5), ("Rust", 1, 4, 5)]
 
 
+def test_batches_over_several_parts(spark):
+    import random
+
+    rng = random.Random(1)
+    schema = "repo_name string, language string, dep_type string, pattern_ordinal int, full_path string, content string"
+    rows = [(f"r{k % 2}", "Go", rng.choice(("production", "dev")), rng.randrange(3), f"/{k:05d}", "x" * rng.choice((0, 5, 40, 40, 90, 400, 2_000))) for k in range(900)]
+    for budget, aqe in ((100, "false"), (3_000, "false"), (40_000, "false"), (100, "true")):
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+        spark.conf.set("spark.sql.shuffle.partitions", "9")
+        try:
+            got = {r["full_path"]: (r["sub_batch"], r["batch_tokens"]) for r in manifests.pack_batches(spark.createDataFrame(rows, schema), budget).collect()}
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        for repo in ("r0", "r1"):
+            batches, held = [[]], 0
+            for path, t in ((r[4], int((len(r[4]) + len(r[5]) + 22) / 3.5)) for r in sorted((r for r in rows if r[0] == repo), key=lambda r: (r[2] != "production", *r[3:5]))):
+                if batches[-1] and held + t > budget:
+                    batches, held = [*batches, []], 0
+                batches[-1].append((path, t))
+                held += t
+            assert {p: (i, sum(t for _, t in b)) for i, b in enumerate(batches) for p, _ in b} == {p: v for p, v in got.items() if any(p == r[4] and r[0] == repo for r in rows)}
+
+
+def test_no_text_of_a_whole_source_is_one_value(spark, data):
+    from shelfmark.plans import files as plans
+
+    for query in (plans.format_dependencies, plans.tree_lines):
+        assert "collect_list" not in query(spark, data)._jdf.queryExecution().toString()
+    deps = plans.dependency_files(spark, data)
+    whole = {r["repo_name"]: r["formatted"] for r in manifests.format_dependencies(deps, ["repo_name"]).collect()}
+    assert {k: hashlib.md5(v.encode()).hexdigest() for k, v in whole.items()} == {r["repo_name"]: r["formatted"] for r in plans.format_dependencies(spark, data).collect()}
+
+
 def test_registry_round_trip_and_missing_files(spark, tmp_path):
     rows = spark.createDataFrame([("b", "https://x/b", None, None), ("a", "https://x/a", "d", "backend")], source.REGISTRY)
     with pytest.raises(ValueError):
