@@ -126,17 +126,17 @@ def write_registry(spark, sf_dir):
 @plan(_L + "SELECT repo_name, url, description, type FROM registry WHERE url <> ''")
 def read_registry(spark, sf_dir):
     """A document with comments among the entries."""
-    entry = F.to_json(F.struct("url", "description", "type"))
-    rows = r.valid_repos(registry(spark, sf_dir)).select(F.concat(F.to_json(F.array("repo_name")), F.lit(":"), entry).alias("e")).agg(F.array_join(F.array_sort(F.collect_list(F.regexp_replace("e", r'^\["(.*?)"\]', '"$1"'))), ",").alias("all"))
     path = shared_path(spark, "registry")
-    rows.select(F.concat(F.lit('{"default":"","repositories":{"_comment_1":"what follows",'), "all", F.lit("}}")).alias("value")).write.text(path)
+    entries = r.valid_repos(registry(spark, sf_dir)).select(F.col("repo_name").alias("name"), F.to_json(F.struct("url", "description", "type")).alias("raw"))
+    comment = spark.createDataFrame([("_comment_1", '"what follows"')], "name string, raw string")
+    src.write_entries(entries.unionByName(comment), path, src._REGISTRY_HEAD + '"default": "", "repositories": {', "}}")
     return src.read_registry(spark, path)
 
 
 @plan(_L + "SELECT * FROM skip")
 def read_skip_list(spark, sf_dir):
     path = shared_path(spark, "skip")
-    skip(spark, sf_dir).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("repo_name", "reason")))).alias("value")).write.text(path)
+    src.write_skip_list(skip(spark, sf_dir), path)
     return src.read_skip_list(spark, path)
 
 

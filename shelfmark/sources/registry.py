@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 REGISTRY = "repo_name string, url string, description string, type string"
 _ENTRY = "url string, description string, type string"
+# How the first line begins of a document that has an entry a line. JSON lets white space stand there.
+_REGISTRY_HEAD, _SKIP_HEAD = "{ \t", "{\t "
 LISTING = "provider string, repo_name string, url string, description string, language string, archived boolean, last_commit_at timestamp"
 
 
@@ -28,13 +32,34 @@ def parse_registry(documents: DataFrame, text: str = "value") -> DataFrame:
     return raw.select("repo_name", F.from_json("raw", _ENTRY).alias("e")).select("repo_name", "e.*")
 
 
+def _lines(spark: SparkSession, path: str, head: str, kind: str = "") -> DataFrame | None:
+    """name, raw for each entry (that begins like ``kind``) of a document with an entry a line below ``head``, as ``write_entries`` writes it; null for any other."""
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    if lines.filter(F.col("value").startswith(head)).isEmpty():
+        return None
+    entry = F.from_json(F.concat(F.lit("{"), F.regexp_replace("value", "^,", ""), F.lit("}")), "map<string,string>")
+    return lines.filter(F.col("value").rlike(r'^,?"[^"\\]*+(?:\\.[^"\\]*+)*+":' + kind)).select(F.explode(entry).alias("name", "raw"))
+
+
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """A registry that ``write_registry`` wrote is read line by line; any other document is read whole."""
+    lines = _lines(spark, path, _REGISTRY_HEAD, r"\{")
+    if lines is not None:
+        return lines.select(F.col("name").alias("repo_name"), F.from_json("raw", _ENTRY).alias("e")).select("repo_name", "e.*")
     found = _whole(spark, path)
     return spark.createDataFrame([], REGISTRY) if found is None else parse_registry(found)
 
 
 def read_skip_list(spark: SparkSession, path: str) -> DataFrame:
-    """repo_name, reason."""
+    """repo_name, reason. A list that ``write_skip_list`` wrote is read line by line; any other document is read whole."""
+    lines = _lines(spark, path, _SKIP_HEAD)
+    if lines is not None:
+        return lines.select(F.col("name").alias("repo_name"), F.col("raw").alias("reason"))
     found = _whole(spark, path)
     if found is None:
         return spark.createDataFrame([], "repo_name string, reason string")
@@ -91,16 +116,34 @@ def read_listing(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return out
 
 
-def registry_document(registry: DataFrame, comment: str | None = None, default: str = "") -> DataFrame:
-    """One row ``value``: the registry as JSON, entries by name. The document is one value by its nature."""
-    entry = F.struct(F.coalesce("url", F.lit("")).alias("url"), F.coalesce("description", F.lit("")).alias("description"), F.coalesce("type", F.lit("generic")).alias("type"))
-    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("repo_name", entry.alias("entry")))))
-    fields = [F.lit(default).alias("default"), *([F.lit(comment).alias("_comment")] if comment is not None else []), entries.alias("repositories")]
-    return registry.agg(F.to_json(F.struct(*fields)).alias("value"))
+def write_entries(entries: DataFrame, path: str, head: str, tail: str) -> None:
+    """Writes (name, raw: JSON of the entry) as one JSON object, an entry a line, by name; its parts in the order of their names are the document.
+
+    A name that is missing or stands twice is an error, as it is in a map.
+    """
+    names = entries.groupBy("name").agg(F.count(F.lit(1)).alias("n")).agg(F.min("name").alias("first"), F.max("n").alias("most"), F.count_if(F.col("name").isNull()).alias("nameless")).first()
+    if names["nameless"] or (names["most"] or 0) > 1:
+        raise ValueError("an entry's name is missing or stands twice")
+    quoted = F.regexp_extract(F.to_json(F.array("name")), r"(?s)^\[(.*)\]$", 1)
+    line = F.concat(F.when(F.col("name") == F.lit(names["first"]), "").otherwise(","), quoted, F.lit(":"), "raw")
+    ends = entries.sparkSession.createDataFrame([(0, "", head), (2, "", tail)], "place int, name string, value string")
+    rows = ends.unionByName(entries.select(F.lit(1).alias("place"), "name", line.alias("value")))
+    rows.orderBy("place", "name").select("value").write.mode("overwrite").text(path)
 
 
-def write_registry(registry: DataFrame, path: str, default: str | None, comment: str | None = None) -> None:
-    """Writes the registry's document; a registry without a default is an error."""
+def write_registry(registry: DataFrame, path: str, default: str | None, comment: str | None = None, notes: dict[str, str] | None = None) -> None:
+    """Writes the registry's document, ``notes`` as comments among its entries; a registry without a default is an error."""
     if default is None:
         raise ValueError("the registry has no default")
-    registry_document(registry, comment, default).write.mode("overwrite").text(path)
+    entry = F.struct(F.coalesce("url", F.lit("")).alias("url"), F.coalesce("description", F.lit("")).alias("description"), F.coalesce("type", F.lit("generic")).alias("type"))
+    entries = registry.select(F.col("repo_name").alias("name"), F.to_json(entry).alias("raw"))
+    if notes:
+        entries = entries.unionByName(registry.sparkSession.createDataFrame([(k, json.dumps(v)) for k, v in notes.items()], "name string, raw string"))
+    fields = {"default": default, **({"_comment": comment} if comment is not None else {})}
+    write_entries(entries, path, _REGISTRY_HEAD + json.dumps(fields)[1:-1] + ', "repositories": {', "}}")
+
+
+def write_skip_list(skipped: DataFrame, path: str) -> None:
+    """Writes (repo_name, reason) as one JSON object, an entry a line."""
+    reason = F.coalesce(F.regexp_extract(F.to_json(F.array("reason")), r"(?s)^\[(.*)\]$", 1), F.lit("null"))
+    write_entries(skipped.select(F.col("repo_name").alias("name"), reason.alias("raw")), path, _SKIP_HEAD, "}")

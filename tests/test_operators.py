@@ -157,6 +157,24 @@ def test_registry_round_trip_and_missing_files(spark, tmp_path):
     assert source.read_registry(spark, str(tmp_path / "none")).count() == 0 and source.read_skip_list(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_registry_and_skip_list_have_an_entry_a_line(spark, tmp_path):
+    names = ["a", 'q"uote', "back\\slash", "new\nline", "é", ",x", *map(str, range(50))]
+    rows = spark.createDataFrame([(n, f"https://x/{n}", "{d}", None) for n in names], source.REGISTRY)
+    source.write_registry(rows, str(tmp_path / "r"), default="a", notes={"_c": "{no entry"})
+    text = "".join(p.read_text() for p in sorted((tmp_path / "r").glob("part-*.txt")))
+    assert len(text.splitlines()) == len(names) + 3 and set(json.loads(text)["repositories"]) == {*names, "_c"}
+    want = sorted((n, f"https://x/{n}", "{d}", "generic") for n in names)
+    assert sorted(map(tuple, source.read_registry(spark, str(tmp_path / "r")).collect())) == want
+    (tmp_path / "one.json").write_text(json.dumps(json.loads(text.replace("{no", "no")), indent=2))
+    assert sorted(map(tuple, source.read_registry(spark, str(tmp_path / "one.json")).collect())) == want
+    source.write_skip_list(spark.createDataFrame([(n, f"why {n}") for n in names], "repo_name string, reason string"), str(tmp_path / "s"))
+    assert sorted(map(tuple, source.read_skip_list(spark, str(tmp_path / "s")).collect())) == sorted((n, f"why {n}") for n in names)
+    with pytest.raises(ValueError):
+        source.write_registry(rows.unionByName(rows), str(tmp_path / "twice"), default="")
+    source.write_registry(rows.limit(0), str(tmp_path / "none"), default="")
+    assert source.read_registry(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_sync_precedence(spark):
     now = 1_700_000_000
     listing = spark.createDataFrame([("known", True, now), ("skipped", True, now), ("arch", True, 0), ("old", False, now - 366 * 86_400), ("new", False, now - 364 * 86_400), ("unknown", None, None)], "repo_name string, archived boolean, at long").withColumn("last_commit_at", F.timestamp_seconds("at"))
