@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -292,6 +293,66 @@ def test_html_keeps_short_first_and_last_blocks(page, want):
     assert html.main_text(page) == want
 
 
+def test_html_header_of_an_article_and_of_the_site():
+    page = f"<body><header><p>The Daily Page, since 1901</p></header><article><header><h1>Title</h1></header><p>{LONG}</p><footer>filed under</footer></article></body>"
+    assert html.main_text(page) == f"Title\n{LONG}"
+    assert html.main_text("<div class='ad'>only an advert</div>") == "only an advert"
+    assert html.main_text(f"<article><p>one two <span class='share' hidden>x</span> three {LONG}</p></article>") == f"one two three {LONG}"
+
+
+def articles_of(pages):
+    import html as h
+
+    for page in pages:
+        body = re.search(r"(?s)<article>(.*?)</article>", page)[1]
+        blocks = (re.sub(r"\s+", " ", h.unescape(re.sub(r"</?b>", "", b))).strip() for b in re.split(r"</?(?:h1|p|br)>", body))
+        plain = re.sub(r"<(/?)(article|nav|footer)>", r"<\1div>", page).replace(' class="ad"', "")
+        yield plain, "\n".join(filter(None, blocks))
+
+
+def test_html_scan_decides_where_nothing_is_named(spark, data, monkeypatch):
+    """Pages of nothing but divs: the scan finds the articles, and without it none is right."""
+    pages = list(articles_of(r["html"] for r in table(spark, "/root/testdata/sf0.01", "pages").collect()))
+    unnamed = html.learned() | {"name": {}}
+    for weights in (html.learned(), unnamed):
+        assert np.mean([html.main_text(page, weights) == want for page, want in pages]) >= 0.9
+    monkeypatch.setattr(html, "best_run", lambda words, gaps: (0, len(words), 1.0))
+    assert np.mean([html.main_text(page) == want for page, want in pages]) < 0.1
+
+
+@given(st.lists(st.tuples(st.integers(-9, 9), st.integers(-9, 0)), max_size=14))
+@settings(max_examples=200, deadline=None)
+def test_html_best_run_against_all_runs(pairs):
+    words, gaps = [w for w, _ in pairs], [g for _, g in pairs]
+    of = lambda i, j: sum(words[i:j]) + sum(gaps[i + 1 : j])
+    best = max([of(i, j) for i in range(len(words)) for j in range(i + 1, len(words) + 1)], default=0)
+    first, behind, total = html.best_run(words, gaps)
+    assert total == max(best, 0) and (not total or of(first, behind) == total)
+
+
+def test_html_weights_of_labelled_pages():
+    """On the labelled pages the regression tells blocks apart, tags are negative, and most best runs are the articles."""
+    weights, right = html.learned(), []
+    assert max(weights["tag"].values()) < 0
+    for blocks, marks in html.labelled():
+        words, gaps = html.scores(blocks, weights)
+        first, behind, _ = html.best_run(words, gaps)
+        chosen = [first <= i < behind and w > 0 for i, w in enumerate(words)]
+        right.append(np.mean([c == m for c, m in zip(chosen, marks)]))
+    assert np.mean(right) > 0.9
+
+
+@pytest.mark.parametrize("broken", ["<a ", "<p>", '<a "', "<!-- ", "<div", "a<b ", "<div class='x'>", "</div>"])
+def test_html_reads_broken_pages_in_linear_time(broken):
+    took = []
+    for size in (250_000, 1_000_000):
+        page = "<article><p>some words</p>" + broken * (size // len(broken))
+        start = time.process_time()
+        html.main_text(page)
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0] + 0.5
+
+
 # ---- 7 languages -------------------------------------------------------------
 
 
