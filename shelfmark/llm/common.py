@@ -19,21 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` was given.
 
-    Only a session without that setting (a local test) gets a temporary folder.
+    Only a local session without either (a test) gets a temporary folder; a cluster without one is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback_dirs:
         _fallback_dirs[app] = tempfile.mkdtemp(prefix="shelfmark-")
     return f"file://{_fallback_dirs[app]}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, read back, and where it is.
 
     This cuts the lineage: later reads neither recompute the plan nor depend on
     the executors that ran it.
@@ -41,7 +43,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    return written(df, name)[0]
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def row_hash(column: str = "text") -> Column:
@@ -65,14 +78,14 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def sorted_slices(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+def sorted_slices(df: DataFrame, order: list[Column], name: str, per_partition: int = 1) -> DataFrame:
     """``df`` range-partitioned and written, with ``slice``: the number of its range.
 
     Ranges come from a sample, so they differ between runs; written once, they no
     longer change. Results must not depend on where the cuts fall.
     """
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions")) * per_partition
     cut = df.repartitionByRange(n, *order).withColumn("slice", F.spark_partition_id())
     return materialise(cut, name)
 

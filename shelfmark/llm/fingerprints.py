@@ -20,7 +20,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import let, materialise, row_hash, sorted_slices
+from shelfmark.llm.common import let, row_hash, sorted_slices
 
 SHINGLE = 5
 BIN_BITS = 8
@@ -29,6 +29,8 @@ BITS = 8
 HALF = 1 << (BITS - 1)
 #: Filled bins are looked for at this many places before all are compared.
 PROBES = 12
+#: Slices of the documents' order for each shuffle partition, and how many of their bounds a search skips at once.
+SLICES, STRIDE = 4, 64
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 _shift = 64 - BIN_BITS
@@ -112,47 +114,53 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.greatest(F.lit(0.0), (same - chance) / (1 - chance)))
 
 
-def next_rows(keys: DataFrame) -> DataFrame:
-    """doc_id, text_hash, half and next_id, next_hash: the row behind each in ascending order, the first behind the last.
+def _at_most(bounds: Column, key: Column) -> Column:
+    """How many of the sorted bounds are at most ``key``: first among every ``STRIDE``th, then among those behind it."""
+    coarse = F.size(F.filter(F.filter(bounds, lambda b, i: i % STRIDE == 0), lambda b: b <= key))
+    fine = lambda c: (c - 1) * STRIDE + F.size(F.filter(F.slice(bounds, (c - 1) * STRIDE + 1, F.lit(STRIDE)), lambda b: b <= key))
+    return let(coarse, fine)
 
-    Only keys are sorted; of each range of them one row goes to a common window, as many as there are shuffle partitions.
+
+def beside_the_next(texts: DataFrame) -> DataFrame:
+    """doc_id, text, kept, n, next_text, next_kept: every document (rows alike: one, n times) beside the next in order, the last beside the first.
+
+    The documents are dealt once, into slices of the order whose first keys are known; the first of each slice is
+    also dealt to the slice before as a guest, so that the last one there finds its next.
     """
     order = [F.col("doc_id").asc_nulls_first(), F.col("text_hash")]
-    cut = sorted_slices(keys.distinct(), order, "keys")
-    follower = F.struct("doc_id", "text_hash")
-    firsts = cut.withColumn("nth", F.row_number().over(Window.partitionBy("slice").orderBy(*order))).filter("nth = 1").select("slice", follower.alias("head"))
-    every = Window.orderBy("slice")
-    heads = firsts.select("slice", F.coalesce(F.lead("head").over(every), F.first("head").over(every)).alias("head"))
-    within = Window.partitionBy("slice").orderBy(*order)
-    rows = cut.withColumn("after", F.lead(follower).over(within)).join(heads, "slice").withColumn("after", F.coalesce("after", "head"))
-    return rows.select("doc_id", "text_hash", "half", F.col("after.doc_id").alias("next_id"), F.col("after.text_hash").alias("next_hash"))
+    place = F.struct(F.col("doc_id").isNotNull().alias("has_id"), "doc_id", "text_hash")
+    keys = sorted_slices(texts.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")), order, "keys", SLICES)
+    # One row of as many keys as there are slices: ``SLICES`` times the shuffle partitions.
+    all_bounds = keys.groupBy("slice").agg(F.min(place).alias("first")).agg(F.array_sort(F.collect_list("first")).alias("bounds"))
+    bounds = F.col("bounds")
+    mine = texts.withColumn("kept", low_bits(F.col("text"))).withColumn("bounds", all_bounds.scalar()).withColumn("mine", _at_most(bounds, place))
+    host = lambda s, guest: F.struct(s.alias("slice"), F.lit(guest).alias("guest"))
+    before = F.when(F.col("mine") > 1, F.col("mine") - 1).otherwise(F.size(bounds))
+    hosts = F.when(F.get(bounds, F.col("mine") - 1) == place, F.array(host(F.col("mine"), False), host(before, True))).otherwise(F.array(host(F.col("mine"), False)))
+    dealt = mine.withColumn("host", F.explode(hosts)).select("host.slice", "host.guest", "doc_id", "text_hash", "text", "kept")
+    dealt = dealt.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "slice")
+    if keys.filter("n > 1").isEmpty():
+        once = dealt.withColumn("n", F.lit(1))
+    else:
+        once = dealt.groupBy("slice", "guest", "doc_id", "text_hash").agg(F.first("text").alias("text"), F.first("kept").alias("kept"), F.count(F.lit(1)).cast("int").alias("n"))
+    within = Window.partitionBy("slice").orderBy("guest", *order)
+    found = once.withColumn("next_text", F.lead("text").over(within)).withColumn("next_kept", F.lead("kept").over(within))
+    return found.filter(~F.col("guest")).select("doc_id", "text", "kept", "n", "next_text", "next_kept")
 
 
 def fingerprint_table(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every document.
 
-    The edited text ends in the start of the next document instead of its own last half. Only
-    the starts that are asked for travel to the rows that ask.
+    The edited text ends in the start of the next document instead of its own last half. Texts are dealt once.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", row_hash())
-    keys = texts.select("doc_id", "text_hash", F.floor(F.length("text") / 2).cast("int").alias("half"))
-    after = materialise(next_rows(keys), "next")
-    joined = lambda a, b, i, h: a["doc_id"].eqNullSafe(b[i]) & (a["text_hash"] == b[h])
-    asked = after.select(F.col("doc_id").alias("to_id"), F.col("text_hash").alias("to_hash"), "half", "next_id", "next_hash")
-    repeated = not keys.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty()
-    givers = texts.dropDuplicates(["doc_id", "text_hash"]) if repeated else texts
-    once = givers.join(asked, joined(givers, asked, "next_id", "next_hash")).select("to_id", "to_hash", F.substring("text", F.lit(1), F.col("half")).alias("start"))
-    edited = texts.join(once, joined(texts, once, "to_id", "to_hash")).withColumn("n_chars", F.length("text").cast("long"))
-    edited = edited.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 2)).cast("int")), "start"))
-    kept = edited.select("doc_id", "text_hash", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), low_bits(F.col("text")).alias("kept"), low_bits(F.col("edited")).alias("edited_kept"))
-    printed = materialise(kept, "kept-bits")
-    follow = after.select(F.col("doc_id").alias("to_id"), F.col("text_hash").alias("to_hash"), "next_id", "next_hash")
-    targets = printed.select(F.col("doc_id").alias("n_id"), F.col("text_hash").alias("n_hash"), F.col("kept").alias("next_kept"))
-    if repeated:
-        targets = targets.dropDuplicates(["n_id", "n_hash"])
-    linked = printed.join(follow, joined(printed, follow, "to_id", "to_hash"))
-    linked = linked.join(targets, F.col("next_id").eqNullSafe(F.col("n_id")) & (F.col("next_hash") == F.col("n_hash")))
-    return linked.select(
+    found = beside_the_next(texts).withColumn("n_chars", F.length("text").cast("long"))
+    half = F.floor(F.col("n_chars") / 2)
+    edited = found.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half.cast("int"))))
+    # Computed once, for all that follows read only its few bytes.
+    kept = edited.select("doc_id", "n", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "kept", low_bits(F.col("edited")).alias("edited_kept"), "next_kept")
+    printed = kept.withColumn("copy", F.explode(F.sequence(F.lit(1), "n")))
+    return printed.select(
         "doc_id", "n_chars", "edited_sha256", packed(F.col("kept")).alias("fingerprint"), packed(F.col("edited_kept")).alias("edited_fingerprint"),
         likeness(F.col("kept"), F.col("edited_kept")).alias("near_edited"), likeness(F.col("kept"), F.col("next_kept")).alias("near_next"),
     )

@@ -8,7 +8,8 @@ those calibrates the probabilities. Prediction reads every text whole.
 
 Nulls and edge cases: null, empty and letterless texts are ``und`` with score 0, as is
 every text where nothing can be learned. Rows with a null lang are not learned from;
-rows with a null id are learned from and never held out. Repeated rows get equal results;
+rows with a null id are learned from and never held out. Repeated rows get equal results, and
+rows alike in id, lang and text are learned from once;
 an empty table gives an empty result; extra columns are dropped.
 """
 
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.llm.common import row_hash
+
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 FIT_PER_LANGUAGE = 500
@@ -140,24 +143,26 @@ def calibrate(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, per_language: int = FIT_PER_LANGUAGE) -> Model:
-    usable = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
+    usable = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text", row_hash().alias("text_hash"))
     frequency = document_frequencies(usable)
     idf = np.log((1 + frequency[BUCKETS]) / (1 + frequency[:BUCKETS])) + 1
     # The first few of each part of a language, then of the language: no language is gathered whole.
-    ids = usable.select("doc_id", "lang").distinct().withColumn("part", F.pmod(F.xxhash64(F.lit(PARTS), "doc_id"), F.lit(PARTS)))
+    ids = usable.select("doc_id", "lang", "text_hash").distinct().withColumn("part", F.pmod(F.xxhash64(F.lit(PARTS), "doc_id", "text_hash"), F.lit(PARTS)))
     for group in (["lang", "part"], ["lang"]):
-        order = Window.partitionBy(*group).orderBy(F.xxhash64("doc_id"), "doc_id")
+        order = Window.partitionBy(*group).orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash")
         ids = ids.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_language).drop("nth")
-    ids = ids.drop("part")
+    ids = ids.select(F.col("doc_id").alias("id"), F.col("lang").alias("of"), F.col("text_hash").alias("hash"))
 
     @F.pandas_udf("struct<ids:binary,counts:binary>")
     def described(texts: pd.Series) -> pd.DataFrame:
         found = [np.unique(gram_ids(t), return_counts=True) for t in texts]
         return pd.DataFrame({"ids": [i.astype(np.uint32).tobytes() for i, _ in found], "counts": [c.astype(np.uint32).tobytes() for _, c in found]})
 
-    # At most ``per_language`` ids a language.
-    rows = usable.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", described("text").alias("grams")).collect()
-    rows = sorted((r for r in rows if len(r["grams"]["ids"])), key=lambda r: (r["lang"], r["doc_id"], bytes(r["grams"]["ids"])))
+    # At most ``per_language`` documents a language, however often their rows repeat.
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("of")) & (F.col("text_hash") == F.col("hash"))
+    once = usable.join(F.broadcast(ids), same).groupBy("doc_id", "lang", "text_hash").agg(F.first("text").alias("text"))
+    rows = once.select("doc_id", "lang", described("text").alias("grams")).collect()
+    rows = sorted((r for r in rows if len(r["grams"]["ids"])), key=lambda r: (r["lang"], r["doc_id"] is not None, r["doc_id"] or 0, bytes(r["grams"]["ids"])))
     languages = sorted({r["lang"] for r in rows})
     if not languages:
         return Model([], np.zeros((0, BUCKETS)), np.zeros(0), 1.0)

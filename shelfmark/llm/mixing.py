@@ -13,8 +13,9 @@ Fractions are whole multiples of 2**-40, so that sums are exact; random numbers
 from hashes of the rows, so that reruns agree.
 
 Nulls and edge cases: a null or empty text has size 0 and takes 0 words; a source of
-size 0 has target 0; null is a source of its own, ranked last; rows that repeat are
-rounded each; an empty table gives an empty result; extra columns are dropped.
+size 0 has target 0; null is a source of its own, ranked last; rows alike in id, text and
+source are one unit whose copies they share evenly; an empty table gives an empty result;
+extra columns are dropped by ``mix`` and kept by ``mixture``.
 """
 
 from __future__ import annotations
@@ -116,33 +117,35 @@ def _round(rows: DataFrame, by: list[str], level: int, last: bool) -> DataFrame:
     return rows.groupBy(*by).applyInArrow(settle, rows.schema)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, leaf: int = LEAF, text: str = "text") -> DataFrame:
-    """doc_id, text_hash, source, size, source_size, target, copies, taken for every document."""
-    sized = materialise(docs.select("doc_id", row_hash(text).alias("text_hash"), "source", word_count(F.col(text)).alias("size")), "sizes")
+def _units(docs: DataFrame, weights: tuple[int, ...], cap: int, leaf: int, text: str) -> DataFrame:
+    """doc_id, text_hash, source, size, n (rows alike in all of these), source_size, target, copies (of all n together)."""
+    sized = docs.select("doc_id", row_hash(text).alias("text_hash"), "source", word_count(F.col(text)).alias("size"))
+    # Rows alike are one unit with so many times the copies: a document that repeats without end is one fraction.
+    units = materialise(sized.groupBy("doc_id", "text_hash", "source", "size").agg(F.count(F.lit(1)).alias("n")), "units")
     # Size classes a fifth apart, so at most some 200; small neighbours share a run, large classes are dealt to leaves.
     bin_of = F.floor(F.log2(F.col("size") + 1.0) * 4).cast("int")
-    binned = sized.withColumn("bin", bin_of)
-    bins = materialise(binned.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")), "bins")
+    binned = units.withColumn("bin", bin_of)
+    bins = materialise(binned.groupBy("source", "bin").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.count(F.lit(1)).alias("in_bin")), "bins")
     targets = source_targets(bins.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap)
     plan = (
         bins.withColumnRenamed("source", "s").withColumnRenamed("bin", "b")
         .join(targets, F.col("s").eqNullSafe(F.col("source"))).drop("source")
-        .withColumn("run", F.floor((F.sum("n").over(Window.partitionBy("s").orderBy("b")) - F.col("n")) / leaf).cast("int"))
-        .withColumn("leaves", F.ceil(F.sum("n").over(Window.partitionBy("s", "run")) / leaf).cast("int"))
+        .withColumn("run", F.floor((F.sum("in_bin").over(Window.partitionBy("s").orderBy("b")) - F.col("in_bin")) / leaf).cast("int"))
+        .withColumn("leaves", F.ceil(F.sum("in_bin").over(Window.partitionBy("s", "run")) / leaf).cast("int"))
         .select("s", "b", "source_size", "target", "run", "leaves")
     )
     plan = materialise(plan, "plan")
-    rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(cap)), F.col("target") / F.col("source_size"))).otherwise(0.0)
-    units = F.round((F.col("rate") - F.floor("rate")) * F.lit(UNIT)).cast("long")
+    rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(cap)), F.col("target") / F.col("source_size"))).otherwise(0.0) * F.col("n")
+    parts = F.round((F.col("rate") - F.floor("rate")) * F.lit(UNIT)).cast("long")
     rows = (
         binned.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
         .withColumn("rate", rate)
         .withColumn("key", F.xxhash64(F.lit(SEED), "doc_id", "text_hash", "source"))
         .withColumn("leaf", F.pmod("key", F.col("leaves")).cast("int"))
         .select(
-            "doc_id", "text_hash", "source", "size", "source_size", "target", "key", "run", "leaf",
-            (F.floor("rate") + F.when(units >= UNIT, 1).otherwise(0)).cast("long").alias("copies"),
-            F.when(units >= UNIT, 0).otherwise(units).alias("mass"),
+            "doc_id", "text_hash", "source", "size", "n", "source_size", "target", "key", "run", "leaf",
+            (F.floor("rate") + F.when(parts >= UNIT, 1).otherwise(0)).cast("long").alias("copies"),
+            F.when(parts >= UNIT, 0).otherwise(parts).alias("mass"),
         )
     )
     settled: list[DataFrame] = []
@@ -159,21 +162,44 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, lea
     out = settled[0]
     for s in settled[1:]:
         out = out.unionByName(s)
-    return out.select("doc_id", "text_hash", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "text_hash", "source", "size", "n", "source_size", "target", "copies")
+
+
+def _share(copies, n, nth):
+    """The copies of the ``nth`` (from 1) of ``n`` rows that have so many together: they differ by one at most."""
+    return (F.floor(copies / n) + F.when(nth <= copies % n, 1).otherwise(0)).cast("long")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, leaf: int = LEAF, text: str = "text") -> DataFrame:
+    """doc_id, text_hash, source, size, source_size, target, copies, taken for every document."""
+    rows = _units(docs, weights, cap, leaf, text).withColumn("nth", F.explode(F.sequence(F.lit(1), "n")))
+    rows = rows.withColumn("copies", _share(F.col("copies"), F.col("n"), F.col("nth")))
+    return rows.select("doc_id", "text_hash", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """The documents of the mix, each as often as it is taken; columns as given.
 
-    Rows alike in id, text and source are told apart by their number, so each gets its own copies.
+    Rows alike in id, text and source share their copies. Which of them gets the odd one is settled by their numbers
+    within the slices of a written table, so that no unit is gathered in one task.
     """
-    key, nth, copies, copy = fresh_names(docs, "row_key", "nth", "copies", "copy")
-    taken = mix(docs, weights, cap).groupBy(F.xxhash64("doc_id", "text_hash", "source").alias(key)).agg(F.sort_array(F.collect_list("copies")).alias(copies))
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", row_hash(), "source"))
-    times = F.get(copies, F.col(nth) - 1).cast("int")
-    return (
-        keyed.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key))).join(taken, key)
-        .filter(times > 0)
-        .withColumn(copy, F.explode(F.sequence(F.lit(1), times)))
-        .select(*docs.columns)
-    )
+    key, of_id, of_hash, of_source, n, total, part, nth, before, copy = fresh_names(docs, "row_key", "of_id", "of_hash", "of_source", "alike", "copies", "part", "nth", "before", "copy")
+    units = _units(docs, weights, cap, LEAF, "text").select(F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_hash), F.col("source").alias(of_source), F.col("n").alias(n), F.col("copies").alias(total))
+    units = materialise(units, "copies")
+    mine = docs.withColumn(key, row_hash())
+    joined = mine.join(units, F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.col(key) == F.col(of_hash)) & F.col("source").eqNullSafe(F.col(of_source)))
+    even = F.col(total) % F.col(n) == 0
+    taken = joined.filter(even & (F.col(total) > 0)).withColumn(copy, F.explode(F.sequence(F.lit(1), (F.col(total) / F.col(n)).cast("int")))).select(*docs.columns)
+    if units.filter(~even).isEmpty():
+        return taken
+    odd = materialise(joined.filter(~even).withColumn(part, F.spark_partition_id()), "odd-rows")
+    unit = [of_id, of_hash, of_source]
+    counts = odd.groupBy(*unit, part).agg(F.count(F.lit(1)).alias(nth))
+    # A row a slice of each unit.
+    earlier = F.coalesce(F.sum(nth).over(Window.partitionBy(*unit).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*unit, part, earlier.alias(before))
+    numbered = odd.withColumn(nth, F.row_number().over(Window.partitionBy(*unit, part).orderBy(of_hash))).alias("o")
+    same = [F.col(f"o.{c}").eqNullSafe(F.col(f"c.{c}")) for c in (*unit, part)]
+    placed = numbered.join(counts.alias("c"), same[0] & same[1] & same[2] & same[3])
+    times = _share(F.col(total), F.col(n), F.col(nth) + F.col(f"c.{before}")).cast("int")
+    return taken.unionByName(placed.filter(times > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*(F.col(f"o.`{c}`") for c in docs.columns)))

@@ -3,13 +3,12 @@
 A document is a bag of passages of ``PASSAGE`` words; only the bag has a label. Each
 passage is described by its shape (letter case, symbols, repeats, word lengths), encoded
 by a small layer, weighted by gated attention, and the weighted mean of the encodings is
-scored. Gradient descent over at most ``FIT_DOCUMENTS`` labelled documents, and at most
-``FIT_PASSAGES`` evenly spaced passages of each, fits encoder, attention and score
-together; scoring reads every passage of every document.
+scored. Gradient descent over every passage of at most ``FIT_DOCUMENTS`` labelled documents
+fits encoder, attention and score together; scoring reads every passage of every document.
 
 Nulls and edge cases: a null or empty text is one passage without words. Labels that are
 null are left out; without labels of both kinds every score is the share of label 1 (0.5
-without any). Repeated rows get equal scores; an empty table gives an empty result; extra
+without any). Repeated rows get equal scores, and rows alike in id and text are learned from once; an empty table gives an empty result; extra
 columns are dropped by ``score_quality`` and kept by ``drop_low_quality``.
 """
 
@@ -20,11 +19,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import fresh_names
+from shelfmark.llm.common import fresh_names, row_hash
 
 PASSAGE = 64
 FIT_DOCUMENTS = 4000
-FIT_PASSAGES = 256
 EPOCHS = 300
 HIDDEN, GATES = 16, 8
 LEARNING_RATE, DECAY = 0.02, 1e-4
@@ -146,21 +144,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> dict[str, np.ndarray]:
-    """Fits on labelled documents outside the held-out fold, those of the least hashes of their ids."""
+    """Fits on labelled documents outside the held-out fold, those of the least hashes of their ids and texts."""
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    named = docs.select("doc_id").join(usable, "doc_id").distinct()
-    # At most ``fit_documents`` ids.
-    sample = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_documents)
+    texts = docs.select("doc_id", "text", row_hash().alias("text_hash"))
+    named = texts.select("doc_id", "text_hash").join(usable, "doc_id").distinct()
+    # At most ``fit_documents`` documents, however often their rows repeat.
+    sample = named.orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash").limit(fit_documents)
+    once = texts.join(F.broadcast(sample), ["doc_id", "text_hash"]).groupBy("doc_id", "text_hash", "quality").agg(F.first("text").alias("text"))
 
     @F.pandas_udf("binary")
     def described(texts: pd.Series) -> pd.Series:
-        def one(t):
-            rows = passages(t)
-            return rows[np.unique(np.linspace(0, len(rows) - 1, FIT_PASSAGES).astype(int))].tobytes()
+        return texts.map(lambda t: passages(t).tobytes())
 
-        return texts.map(one)
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", described("text").alias("bag")).collect()
+    rows = once.select("doc_id", "quality", described("text").alias("bag")).collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["bag"])))
     return fit([np.frombuffer(bytes(r["bag"]), np.float32).reshape(-1, FEATURES) for r in rows], np.array([r["quality"] for r in rows]))
 

@@ -1,13 +1,14 @@
 """SimHash near-duplicates by anchor-point covering.
 
 Fingerprints of 64 bits are cut into three blocks. The codewords of the binary Golay
-code of length 23 are the anchors of a block: every block value lies within three bits
-of exactly one codeword, its home. Two fingerprints that differ in at most four bits
-differ in at most one bit of some block, so the home of one lies within 3 + 1 bits of
-the other. Each fingerprint is therefore replicated to every anchor within the covering
-radius plus one, and compared at the anchors where one of the two is at home. For large
-corpora (``PAIR_FROM``) anchors are pairs of codewords of two blocks, with two bits to
-share between them; both forms find every link.
+code of length 23 cover a block: every block value lies within three bits of exactly one
+codeword, its home. The anchors are pairs of codewords of two blocks. Two fingerprints
+that differ in at most four bits differ in at most two bits of some two blocks; a point
+midway is then within one bit of both, and its home is an anchor within the covering
+radius plus one of both. So each fingerprint is replicated to every anchor that is the home
+of a point within one bit (half of the two bits), some 29 in all, and all that meet at an
+anchor are compared. There are 3 * 2**24 anchors, so groups stay small; the plan is the same
+at all sizes and finds every link.
 
 Nulls and edge cases: a null or empty text, or one without words, has fingerprint zero
 and is linked like any other. Rows with a null id take part but never give a component
@@ -26,16 +27,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import fresh_names, materialise, row_hash
+from shelfmark.llm.common import discard, fresh_names, materialise, row_hash, written
 
 SHINGLE = 4
 SEED = 42
 THRESHOLD = 4
 BLOCKS = ((0, 22), (22, 21), (43, 21))
-#: Distinct fingerprints from which anchors are pairs of codewords.
-PAIR_FROM = 1 << 22
 #: Rows of one anchor that are compared in one piece; larger anchors are split into pairs of pieces.
 PIECE = 8192
+#: Groups of up to this many rows are compared side by side.
+FEW = 4
 BITS, CHECK_BITS, RADIUS = 23, 11, 3
 #: Fixed value: a generator polynomial of the binary Golay code.
 GENERATOR = 0b101011100011
@@ -107,51 +108,39 @@ def home(values: np.ndarray) -> np.ndarray:
     return (values ^ error[low[values & 0xFFF] ^ high[values >> 12]]) >> CHECK_BITS
 
 
-def _near(values: np.ndarray, width: int, bits: int) -> np.ndarray:
-    """Homes of all values that differ in up to ``bits`` bits: a row for each value, the first column its own home.
-
-    These are the anchors within the covering radius plus ``bits`` that matter.
-    """
-    flips = [0, *(sum(1 << i for i in c) for n in range(1, bits + 1) for c in combinations(range(width), n))]
-    return home(values[:, None] ^ np.array(flips, np.uint32)[None, :])
+def _near(values: np.ndarray, width: int) -> np.ndarray:
+    """Homes of all values that differ in up to one bit: a row for each value, the first column its own home."""
+    flips = np.array([0, *(1 << i for i in range(width))], np.uint32)
+    return home(values[:, None] ^ flips[None, :])
 
 
-def anchors(fps: np.ndarray, paired: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Parallel arrays: index into ``fps``, anchor key, whether the fingerprint is at home there."""
-    out = []
+def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parallel arrays: index into ``fps``, anchor key."""
     cut = [((fps >> np.uint64(s)) & np.uint64((1 << w) - 1)).astype(np.uint32) for s, w in BLOCKS]
-    if not paired:
-        found = [(b, _near(cut[b], BLOCKS[b][1], 1).astype(np.int64)) for b in range(3)]
-    else:
-        found = []
-        for b, (i, j) in enumerate(combinations(range(3), 2)):
-            x = [_near(cut[i], BLOCKS[i][1], n).astype(np.int64) for n in range(3)]
-            y = [_near(cut[j], BLOCKS[j][1], n).astype(np.int64) for n in range(3)]
-            both = [((x[n] << 12)[:, :, None] | y[2 - n][:, None, :]).reshape(len(fps), -1) for n in range(3)]
-            found.append((b, np.concatenate(both, axis=1)))
-    for b, keys in found:
-        own = keys[:, 0].copy()
-        keys = np.sort(keys, axis=1)
-        first = np.ones(keys.shape, bool)
-        first[:, 1:] = keys[:, 1:] != keys[:, :-1]
-        row, _ = np.nonzero(first)
-        key = keys[first]
-        out.append((row, key | b << 24, key == own[row]))
-    return tuple(np.concatenate(c) for c in zip(*out))
-
-
-def anchor_rows(distinct: DataFrame, paired: bool) -> DataFrame:
-    """fp -> (anchor, fp, home)."""
+    near = [_near(c, w).astype(np.int64) for c, (_, w) in zip(cut, BLOCKS)]
+    rows, keys = [], []
+    for b, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2)):
+        key = np.concatenate((near[i] << 12 | near[j][:, :1], near[i][:, :1] << 12 | near[j]), axis=1)
+        key.sort(axis=1)
+        first = np.ones(key.shape, bool)
+        first[:, 1:] = key[:, 1:] != key[:, :-1]
+        rows.append(np.nonzero(first)[0])
+        keys.append(key[first] | b << 24)
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def anchor_rows(distinct: DataFrame) -> DataFrame:
+    """fp -> (anchor, fp)."""
 
     def replicate(batches):
         for batch in batches:
             all_fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for at in range(0, len(all_fps), 1000):
                 fps = all_fps[at : at + 1000]
-                row, key, own = anchors(fps, paired)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(fps[row].view(np.int64), pa.int64()), pa.array(own, pa.bool_())], names=["anchor", "fp", "home"])
+                row, key = anchors(fps)
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32), pa.int32()), pa.array(fps[row].view(np.int64), pa.int64())], names=["anchor", "fp"])
 
-    return distinct.select("fp").mapInArrow(replicate, "anchor long, fp long, home boolean")
+    return distinct.select("fp").mapInArrow(replicate, "anchor int, fp long")
 
 
 def _forest(fps: np.ndarray, first: np.ndarray, second: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -169,37 +158,46 @@ def _forest(fps: np.ndarray, first: np.ndarray, second: np.ndarray, threshold: i
     return fps[linked], fps[label[linked]]
 
 
-def links(distinct: DataFrame, paired: bool, threshold: int = THRESHOLD, piece: int = PIECE) -> DataFrame:
+def _few(group: np.ndarray, fps: np.ndarray, size: np.ndarray, threshold: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links within the groups of at most ``FEW`` rows; rows of a group stand together."""
+    out = []
+    for step in range(1, FEW):
+        same = np.nonzero((group[step:] == group[:-step]) & (size[step:] <= FEW))[0]
+        x, y = fps[same], fps[same + step]
+        close = (np.bitwise_count(x ^ y) <= threshold) & (x != y)
+        out.append((y[close], x[close]))
+    return out
+
+
+def links(distinct: DataFrame, threshold: int = THRESHOLD, piece: int = PIECE) -> DataFrame:
     """(a, b): links that join the same fingerprints as all links within ``threshold`` bits would."""
-    rows = anchor_rows(distinct, paired)
+    rows, path = written(anchor_rows(distinct), "anchors")
     hot = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > piece).select("anchor", F.ceil(F.col("n") / piece).cast("int").alias("cuts"))
     cut = rows.join(hot, "anchor", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int")
-    # A row stands in its own piece against every other piece: as the first of the pair where at home, and as the second.
+    # A row of a hot anchor stands with its own piece in a part with every piece: 0 in the first of the two, 1 in the second.
     met = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    as_first = F.struct((F.col("own") * F.col("cuts") + F.col("other")).alias("part"), F.lit(True).alias("first"))
-    as_second = F.struct((F.col("other") * F.col("cuts") + F.col("own")).alias("part"), F.lit(False).alias("first"))
-    sides = met.withColumn("side", F.explode(F.when(F.col("home"), F.array(as_first, as_second)).otherwise(F.array(as_second))))
-    dealt = sides.select("anchor", "side.part", "fp", "side.first").repartition("anchor", "part").sortWithinPartitions("anchor", "part")
+    part = F.least("own", "other") * F.col("cuts") + F.greatest("own", "other")
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    dealt = met.select("anchor", part.alias("part"), "fp", side.cast("int").alias("side")).repartition("anchor", "part").sortWithinPartitions("anchor", "part")
 
     def compare(batches):
         held: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
 
         def settle(a, p, f, s):
-            edges = np.nonzero((a[1:] != a[:-1]) | (p[1:] != p[:-1]))[0] + 1
-            lows, highs = np.concatenate(([0], edges)), np.concatenate((edges, [len(a)]))
-            homes = np.concatenate(([0], np.cumsum(s)))
-            out = []
-            for lo, hi in zip(lows.tolist(), highs.tolist()):
-                n = homes[hi] - homes[lo]
-                if not n or n == hi - lo or hi - lo == 2 and f[lo] == f[lo + 1]:
-                    continue
-                fps, at = np.unique(f[lo:hi].view(np.uint64), return_inverse=True)
-                if len(fps) > 1:
-                    is_first = s[lo:hi] == 1
-                    out.append(_forest(fps, at[is_first], at[~is_first], threshold))
-            x = np.concatenate([o[0] for o in out]) if out else np.zeros(0, np.uint64)
-            y = np.concatenate([o[1] for o in out]) if out else np.zeros(0, np.uint64)
+            new = np.concatenate(([True], (a[1:] != a[:-1]) | (p[1:] != p[:-1])))
+            lows = np.nonzero(new)[0]
+            sizes = np.diff(np.append(lows, len(a)))
+            group = np.cumsum(new) - 1
+            fps = f.view(np.uint64)
+            out = _few(group, fps, sizes[group], threshold)
+            for g in np.nonzero(sizes > FEW)[0].tolist():
+                here = slice(lows[g], lows[g] + sizes[g])
+                found, at = np.unique(fps[here], return_inverse=True)
+                first, second = (at, at) if s[here.start] == 2 else (at[s[here] == 0], at[s[here] == 1])
+                if len(first) and len(second) and len(found) > 1:
+                    out.append(_forest(found, first, second, threshold))
+            x, y = (np.concatenate(side) for side in zip(*out))
             return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64), pa.int64()), pa.array(y.view(np.int64), pa.int64())], names=["a", "b"])
 
         for batch in batches:
@@ -214,37 +212,51 @@ def links(distinct: DataFrame, paired: bool, threshold: int = THRESHOLD, piece:
         if len(held[0]):
             yield settle(*held)
 
-    return dealt.mapInArrow(compare, "a long, b long")
+    found = materialise(dealt.mapInArrow(compare, "a long, b long"), "links")
+    discard(distinct.sparkSession, path)
+    return found
 
 
 # ---- components --------------------------------------------------------------
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node -> root for every node of an edge: each round, nodes join their least neighbour and the graph is contracted.
+    """node -> root for every node of an edge, a written table.
 
-    Rounds end when no edge is left; each is written to the shared folder.
+    Each round every node hops to the neighbour (or stays) that a hash of the round ranks least, then to where that one
+    hopped, and the graph is contracted. Ranks are random, so a round leaves a fixed share of the nodes at most,
+    whatever their order: rounds grow with the logarithm of the longest component. What a round wrote is deleted once the next has read it.
     """
-    graph = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct(), "edges")
+    spark = edges.sparkSession
+    graph, path = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct(), "edges")
     hops: list[DataFrame] = []
+    paths: list[str] = []
     while not graph.isEmpty():
+        rank = lambda c: F.struct(F.xxhash64(F.lit(len(hops)), c), F.col(c).alias("at"))  # noqa: B023, E731
         both = graph.unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hop = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")), "hops")
+        near, near_path = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min(rank("b")), F.first(rank("a"))).getField("at").alias("root")), "near")
+        hop, hop_path = written(near.join(near.select(F.col("node").alias("root"), F.col("root").alias("next")), "root").select("node", F.col("next").alias("root")), "hops")
         hops.append(hop)
         to_a = hop.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         to_b = hop.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        graph = materialise(
+        before = path
+        graph, path = written(
             graph.join(to_a, "a").join(to_b, "b").filter("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges"
         )
+        discard(spark, before, near_path)
+        paths.append(hop_path)
     if not hops:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
-    found = hops[0]
+        found = graph.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    else:
+        found = hops[0]
     for hop in hops[1:]:
         found = found.join(hop.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-    return found
+    roots = materialise(found, "roots")
+    discard(spark, path, *paths)
+    return roots
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, pair_from: int = PAIR_FROM, piece: int = PIECE) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, piece: int = PIECE) -> DataFrame:
     """doc_id, text_hash, fp, component_id, keeper (the id and text hash of the row that stands for the component)."""
     if not 0 <= threshold <= THRESHOLD:
         raise ValueError(f"blocks and anchors cover up to {THRESHOLD} differing bits")
@@ -252,8 +264,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, pair_from: int
     # Of equal fingerprints, the least id stands for all; a null id only if there is no other.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
     distinct = materialise(marked.groupBy("fp").agg(first.alias("least")), "distinct")
-    paired = distinct.count() >= pair_from
-    roots = materialise(components(links(distinct, paired, threshold, piece)), "roots")
+    roots = components(links(distinct, threshold, piece))
     least = distinct.join(roots, distinct["fp"] == roots["node"]).groupBy("root").agg(F.min("least").alias("least"))
     linked = roots.join(least, "root").select(F.col("node").alias("fp"), F.col("least").alias("of_all"))
     # A table of its own: then both sides of the last join are dealt out for it, and Spark can split a fingerprint that very many rows share.

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.llm.common import let, materialise
+
 #: Hash buckets of the n-grams; also the most weights the model can have.
 BUCKETS = 16384
 GRAMS = (3, 4)
@@ -92,38 +94,39 @@ def grams(host: Column, path: Column, buckets: int = BUCKETS) -> Column:
 
     def of(part: Column, tag: str) -> Column:
         marked = F.concat(F.lit("^"), F.translate(part, "123456789", "000000000"), F.lit("$"))
-        return F.concat(
-            *(
-                F.when(
-                    F.length(marked) >= n,
-                    F.transform(F.sequence(F.lit(1), F.length(marked) - (n - 1)), lambda i, n=n: F.pmod(F.xxhash64(F.lit(tag), F.substring(marked, i, F.lit(n))), F.lit(buckets)).cast("int")),
-                ).otherwise(F.array().cast("array<int>"))
-                for n in GRAMS
-            )
-        )
+
+        def runs(signs: Column) -> Column:
+            def run(n: int) -> Column:
+                one = lambda i: F.pmod(F.xxhash64(F.lit(tag), F.concat(*(F.get(signs, i + k) for k in range(n)))), F.lit(buckets)).cast("int")
+                return F.when(F.size(signs) >= n, F.transform(F.sequence(F.lit(0), F.size(signs) - n), one)).otherwise(F.array().cast("array<int>"))
+
+            return F.concat(*map(run, GRAMS))
+
+        # Parted into signs once, so that long URLs take time linear in their length.
+        return let(F.split(marked, ""), runs)
 
     return F.concat(of(host, "host"), of(path, "path"))
 
 
 def train(spark: SparkSession, labelled=LABELLED, buckets: int = BUCKETS) -> tuple[list[float], float]:
-    """Weights by bucket and the intercept. ``labelled`` is small; the model has ``buckets`` numbers at most."""
-    rows = spark.createDataFrame([(i, 1 if v == "block" else 0, h, p) for i, (v, h, p) in enumerate(labelled)], "i int, y int, host string, path string")
+    """Weights by bucket and the intercept. ``labelled`` is small, so one partition holds it; the model has ``buckets`` numbers at most."""
+    rows = spark.createDataFrame([(i, 1 if v == "block" else 0, h, p) for i, (v, h, p) in enumerate(labelled)], "i int, y int, host string, path string").coalesce(1)
     n = len(labelled)
     counts = rows.select("i", F.explode(grams(F.col("host"), F.col("path"), buckets)).alias("f")).groupBy("i", "f").agg(F.count(F.lit(1)).alias("c"))
     norm = counts.groupBy("i").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
-    x = counts.join(norm, "i").select("i", "f", (F.col("c") / F.col("norm")).alias("x"))
+    x = materialise(counts.join(norm, "i").select("i", "f", (F.col("c") / F.col("norm")).alias("x")), "url-grams").coalesce(1)
     dots = x.alias("a").join(x.alias("b"), F.col("a.f") == F.col("b.f")).groupBy(F.col("a.i").alias("i"), F.col("b.i").alias("j")).agg(F.sum(F.col("a.x") * F.col("b.x")).alias("dot"))
-    full = spark.range(n).select(F.col("id").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j")).join(dots, ["i", "j"], "left")
+    full = spark.range(0, n, 1, 1).select(F.col("id").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j")).join(dots, ["i", "j"], "left")
     by_row = full.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", F.coalesce("dot", F.lit(0.0)).alias("dot")))), lambda s: s["dot"] + 1.0).alias("dots"))
     matrix = by_row.join(rows.select("i", "y"), "i").agg(F.array_sort(F.collect_list(F.struct("i", "y", "dots"))).alias("m"))
     # The +1 in every dot product is the intercept: a feature that all URLs share.
-    fitted = matrix.select(
+    fitted = materialise(matrix.select(
         F.expr(
             f"""aggregate(sequence(1, {EPOCHS}), array_repeat(0D, {n}), (a, epoch) ->
                   zip_with(a, m, (ai, row) -> (1 - {RATE} * {DECAY}) * ai + {RATE} * (row.y - 1 / (1 + exp(-
                     aggregate(zip_with(row.dots, a, (d, c) -> d * c), 0D, (s, v) -> s + v))))))"""
         ).alias("a")
-    ).select(F.posexplode("a").alias("i", "a"))
+    ).select(F.posexplode("a").alias("i", "a")), "url-fit").coalesce(1)
     weights = x.join(fitted, "i").groupBy("f").agg(F.sum(F.col("a") * F.col("x")).alias("w")).orderBy("f").collect()
     table = [0.0] * buckets
     for f, w in weights:

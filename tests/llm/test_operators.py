@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from shelfmark.llm import fingerprints, html, langid, lines, media, mixing, packing, quality, simhash, urls
 from shelfmark.llm.common import table
@@ -95,6 +96,23 @@ def test_mixing_odd_rows(spark):
     assert mixing.mixture(no_documents(spark)).count() == 0 and mixing.mix(no_documents(spark)).count() == 0
 
 
+def test_mixing_of_a_document_that_repeats(spark):
+    """Rows alike are one unit: their copies differ by one at most and sum to what the unit gets."""
+    rows = [(1, "one two three", "a", i) for i in range(500)] + [(None, "four five", "a", i) for i in range(301)] + [(i, "six " * (i % 9), "b", i) for i in range(2, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, other int").repartition(5)
+    mixed = mixing.mix(docs).collect()
+    copies = Counter()
+    for r in mixed:
+        copies[r["doc_id"]] += r["copies"]
+    for i, n in ((1, 500), (None, 301)):
+        mine = [r["copies"] for r in mixed if r["doc_id"] == i]
+        rate = next(r["target"] / r["source_size"] for r in mixed if r["doc_id"] == i)
+        assert len(mine) == n and max(mine) - min(mine) <= 1 and abs(sum(mine) - n * rate) <= 1
+    taken = Counter(r["doc_id"] for r in mixing.mixture(docs).collect())
+    assert taken == +copies
+    assert max(Counter((r["doc_id"], r["other"]) for r in mixing.mixture(docs).collect()).values()) <= 3
+
+
 # ---- 2 fingerprints ----------------------------------------------------------
 
 
@@ -122,6 +140,27 @@ def test_fingerprints_against_exact_likeness(docs, texts):
         assert by_text.setdefault(texts[r["doc_id"]], r["fingerprint"]) == r["fingerprint"]
 
 
+def test_next_document_across_slices(spark):
+    """Every row meets the next in order, wherever slices are cut; rows alike are one document."""
+    rows = [(i // 2 if i % 7 else None, f"text {i} " * (i % 5 + 1)) for i in range(120)]
+    rows += rows[:10]
+    order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0))
+    got = fingerprints.fingerprint_table(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    sha = lambda t, u: hashlib.sha256((t[: len(t) - len(t) // 2] + u[: len(t) // 2]).encode()).hexdigest()
+    edits = Counter((r["doc_id"], r["edited_sha256"]) for r in got)
+    for i, t in {r for r in rows if rows.count(r) > 1}:
+        assert any(n > 1 for (j, _), n in edits.items() if j == i)
+    alone = {i: t for i, t in order if i is not None and sum(j == i for j, _ in order) == 1}
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)]
+        if i in alone and (after[0] in alone):
+            assert edits[i, sha(t, after[1])]
+    if len(set(rows)) > 1:
+        one = fingerprints.fingerprint_table(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")).collect()
+        assert one[0]["near_next"] == 1.0 and one[0]["edited_sha256"] == sha("a b c d e f", "a b c d e f")
+
+
 def test_fingerprints_odd_rows(spark):
     rows = fingerprints.fingerprint_table(odd_documents(spark)).collect()
     assert len(rows) == len(TEXTS) and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in rows)
@@ -150,6 +189,57 @@ def test_quality_gradient():
     assert loss(after) < 0.5 * loss(before)
 
 
+def slow_scores(m, bag):
+    """Gated attention over the passages of one document, in plain loops."""
+    h = [np.tanh(((x - m["mean"]) / m["scale"]) @ m["encode"] + m["encode_bias"]) for x in bag]
+    e = [sum(m["attend"][k] * np.tanh(v @ m["content"][:, k]) / (1 + np.exp(-(v @ m["gate"][:, k]))) for k in range(quality.GATES)) for v in h]
+    a = np.exp(np.array(e) - max(e))
+    z = sum(w * v for w, v in zip(a / a.sum(), h))
+    return 1 / (1 + np.exp(-(z @ m["score"] + m["score_bias"][0])))
+
+
+def test_quality_model_against_plain_loops():
+    """Scores equal those of plain loops; one step of the descent moves along the loss's numeric gradient."""
+    rng = np.random.default_rng(4)
+    bags = [rng.normal(size=(k % 4 + 1, quality.FEATURES)) for k in range(12)]
+    labels = np.array([float(b[:, 0].mean() > 0) for b in bags])
+    m = quality.fit(bags, labels, epochs=30)
+    assert np.allclose(quality.score_bags(m, bags), [slow_scores(m, b) for b in bags])
+
+    def loss(model):
+        p = np.array([slow_scores(model, b) for b in bags])
+        return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p))
+
+    start, one = quality.fit(bags, labels, epochs=0), quality.fit(bags, labels, epochs=1)
+    for k in ("encode", "content", "gate", "attend", "score"):  # the first step of the optimiser has the gradient's signs
+        flat = start[k].reshape(-1)
+        for i in range(0, flat.size, max(1, flat.size // 5)):
+            up = {**start, k: start[k].copy()}
+            up[k].reshape(-1)[i] += 1e-5
+            slope = (loss(up) - loss(start)) / 1e-5 + quality.DECAY * flat[i]
+            moved = one[k].reshape(-1)[i] - flat[i]
+            assert abs(slope) < 1e-4 or np.sign(moved) == -np.sign(slope)
+
+
+def slow_passages(text):
+    """Some of a passage's features, word by word."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    for at in range(0, len(words), quality.PASSAGE):
+        w = words[at : at + quality.PASSAGE]
+        joined = "".join(w)
+        letters = max(1, sum(c.isascii() and c.isalpha() for c in joined))
+        yield len(set(w)) / len(w), sum(a == b for a, b in zip(w, w[1:])) / len(w), sum(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in joined) / letters, sum(len(x.encode()) <= 3 for x in w) / len(w)
+
+
+def test_quality_features_against_plain_words(texts):
+    for text in [*list(texts.values())[:60], "A", "a a a B " * 50, "x\ty\nz " * 40]:
+        rows = quality.passages(text)
+        want = np.array(list(slow_passages(text)))
+        assert len(rows) == max(1, len(want))
+        if len(want):
+            assert np.allclose(rows[:, [2, 3, 4, 9]], want, atol=1e-5)
+
+
 def test_quality_odd_rows(spark):
     odd = odd_documents(spark)
     labels = spark.createDataFrame([(1, 1), (2, 1), (None, 0), (5, None), (7, 0), (7, 0)], "doc_id long, quality int")
@@ -190,6 +280,28 @@ def test_url_classifier(spark):
     assert urls.judge_urls(pages.filter("false")).count() == 0
 
 
+def test_url_descent_against_plain_weights(spark):
+    """The descent on coefficients of examples equals one on the weights themselves."""
+    labelled = urls.LABELLED[::9]
+    frame = spark.createDataFrame([(i, h, p) for i, (_, h, p) in enumerate(labelled)], "i int, host string, path string")
+    rows = {r["i"]: r["g"] for r in frame.select("i", urls.grams(F.col("host"), F.col("path"), 512).alias("g")).collect()}
+    x = np.stack([np.bincount(rows[i], minlength=512) for i in range(len(labelled))]).astype(float)
+    x = np.hstack([x / np.linalg.norm(x, axis=1, keepdims=True), np.ones((len(x), 1))])
+    y, w = np.array([float(v == "block") for v, *_ in labelled]), np.zeros(513)
+    for _ in range(urls.EPOCHS):
+        w = (1 - urls.RATE * urls.DECAY) * w + urls.RATE * x.T @ (y - 1 / (1 + np.exp(-(x @ w))))
+    weights, intercept = urls.train(spark, labelled, 512)
+    assert np.allclose(weights, w[:512]) and np.isclose(intercept, w[512])
+
+
+def test_urls_odd_rows(spark):
+    rows = [(1, "https://free-casino.example.com/x", "a", "b", 0.5), (1, "https://free-casino.example.com/x", "a", "b", 0.5), (None, None, None, None, None), (3, "x://" + "a" * 100_000 + "/de/", "", "", 1.0), (4, "", None, "c", 0.1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, verdict string, block_score double")
+    got = urls.judge_urls(pages).collect()
+    assert len(got) == 5 and {(r["host"], r["path"]) for r in got if r["page_id"] in (None, 4)} == {("", "")}
+    assert len({tuple(r) for r in got if r["page_id"] == 1}) == 1 and all(r["verdict"] in ("allow", "block") and r["rule"] is None for r in got)
+
+
 # ---- 5 lines -----------------------------------------------------------------
 
 
@@ -370,6 +482,50 @@ def test_languages_odd_rows(spark):
     assert {r["lang_pred"] for r in langid.identify(nothing).collect()} == {"und"} and langid.identify(no_documents(spark)).count() == 0
 
 
+def slow_ftrl(samples, classes, epochs):
+    """The update rule of one coordinate at a time, as published, in plain loops."""
+    z, n, bias, bias_n = {}, {}, [0.0] * classes, [0.0] * classes
+
+    def weight(k):
+        zk, nk = z.get(k, 0.0), n.get(k, 0.0)
+        if abs(zk) <= langid.L1:
+            return 0.0
+        return -(zk - (langid.L1 if zk > 0 else -langid.L1)) / ((langid.BETA + nk**0.5) / langid.ALPHA + langid.L2)
+
+    for epoch in range(epochs):
+        for i in np.random.default_rng(epoch).permutation(len(samples)):
+            ids, x, label = samples[i]
+            w = {(f, c): weight((f, c)) for f in ids for c in range(classes)}
+            logit = [sum(v * w[f, c] for f, v in zip(ids, x)) + bias[c] for c in range(classes)]
+            e = [np.exp(v - max(logit)) for v in logit]
+            for c in range(classes):
+                p = e[c] / sum(e) - (c == label)
+                for f, v in zip(ids, x):
+                    g, old = v * p, n.get((f, c), 0.0)
+                    n[f, c] = old + g * g
+                    z[f, c] = z.get((f, c), 0.0) + g - (n[f, c] ** 0.5 - old**0.5) / langid.ALPHA * w[f, c]
+                bias_n[c] += p * p
+                bias[c] -= 0.1 * p / (1 + bias_n[c] ** 0.5)
+    return {k: weight(k) for k in z}, bias
+
+
+def test_ftrl_against_plain_loops():
+    rng = np.random.default_rng(2)
+    samples = [(np.unique(rng.integers(0, 40, 6)), None, int(rng.integers(3))) for _ in range(30)]
+    samples = [(np.append(i, 41), np.append(rng.random(len(i)) * 3, 1e-4), label) for i, _, label in samples]
+    weights, bias = langid.ftrl(samples, 3, epochs=2)
+    slow, slow_bias = slow_ftrl(samples, 3, 2)
+    assert np.allclose(bias, slow_bias) and all(np.isclose(weights[k], v) for k, v in slow.items())
+    assert np.count_nonzero(weights) == sum(v != 0 for v in slow.values()) and not weights[41].any()
+
+
+def test_languages_learn_from_rows_without_id(spark):
+    words = {"en": "the house and the river", "de": "das haus und der fluss"}
+    docs = spark.createDataFrame([(None, f"{words[k]} {i % 7} {'x' * (i % 3)}", k) for i in range(60) for k in words], "doc_id long, text string, lang string")
+    rows = langid.identify(docs).collect()
+    assert len(rows) == 120 and {r["lang_pred"] for r in rows} == set(words) and not any(r["held_out"] for r in rows)
+
+
 def test_temperature_softens_overconfidence():
     logits = np.array([[8.0, 0.0]] * 10)
     assert langid.calibrate(logits, np.array([0] * 7 + [1] * 3)) > 2
@@ -401,7 +557,7 @@ def classes(prints):
     return {x: root(x) for x in of}
 
 
-@pytest.mark.parametrize("options", [{}, {"pair_from": 0}, {"piece": 16}])
+@pytest.mark.parametrize("options", [{}, {"piece": 16}])
 def test_simhash_against_all_pairs(docs, texts, options):
     prints = {i: slow_fingerprint(t) for i, t in texts.items()}
     assert all(simhash.fingerprint(t) == prints[i] for i, t in texts.items())
@@ -413,8 +569,8 @@ def test_simhash_against_all_pairs(docs, texts, options):
     assert got == {i: least[of[p]] for i, p in prints.items()}
 
 
-@pytest.mark.parametrize("options", [{}, {"pair_from": 0}, {"piece": 8}])
-def test_links_find_every_close_pair(spark, options):
+@pytest.mark.parametrize("piece", [simhash.PIECE, 8])
+def test_links_find_every_close_pair(spark, piece):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 64, 60, np.uint64, endpoint=False)
     prints = set(map(int, base))
@@ -424,7 +580,7 @@ def test_links_find_every_close_pair(spark, options):
     for n in range(1, 30):  # a chain and a dense ball
         prints |= {(1 << n) - 1, 1 << n}
     frame = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)),) for p in prints], "fp long")
-    edges = simhash.links(frame, options.get("pair_from") == 0, piece=options.get("piece", simhash.PIECE))
+    edges = simhash.links(frame, piece=piece)
     of = classes(prints)
     mask = (1 << 64) - 1
     roots = {r["node"] & mask: r["root"] & mask for r in simhash.components(edges).collect()}
@@ -432,6 +588,31 @@ def test_links_find_every_close_pair(spark, options):
     assert len(set(zip((of[p] for p in prints), (mine[p] for p in prints)))) == len(set(of.values())) == len(set(mine.values()))
 
 
+def test_close_prints_meet_at_an_anchor():
+    """Random pairs within four bits share an anchor, wherever the bits are."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 1 << 64, 3000, np.uint64, endpoint=False)
+    y = np.array([int(b) ^ sum(1 << int(i) for i in rng.choice(64, rng.integers(1, 5), replace=False)) for b in x], np.uint64)
+    at = [set(zip(*map(np.ndarray.tolist, simhash.anchors(p)))) for p in (x, y)]
+    assert {i for i, _ in at[0] & at[1]} == set(range(3000)) and len(at[0]) < 33 * 3000
+
+
+def test_components_of_a_chain_take_few_rounds(spark, monkeypatch):
+    """A chain whose numbers are in order, a star and a ring: one root each, in about log n rounds."""
+    names = []
+    keep = simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, name: names.append(name) or keep(df, name))
+    chain = [(i, i + 1) for i in range(1000)]
+    star = [(5000, 5000 + i) for i in range(1, 300)]
+    ring = [(9000 + i, 9000 + (i + 1) % 50) for i in range(50)]
+    rows = simhash.components(spark.createDataFrame(chain + star + ring, "a long, b long")).collect()
+    roots = {}
+    for r in rows:
+        roots.setdefault(r["root"], set()).add(r["node"])
+    assert sorted(map(len, roots.values())) == [50, 300, 1001]
+    assert names.count("hops") <= 12
+
+
 def test_golay_code_covers_everything():
     values = np.random.default_rng(1).integers(0, 1 << 23, 20_000).astype(np.uint32)
     low, high, error = simhash._code()
