@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import section_heading
+from shelfmark.sources.shared import shared_path
 
 #: What a section says when it found nothing.
 ABSENT = (
@@ -40,10 +43,32 @@ def saved_documents(documents: DataFrame) -> DataFrame:
 
 
 def write_documents(documents: DataFrame, path: str) -> DataFrame:
-    """Writes each document to a folder of its own, named by its file (which ends in a line break), and returns the list of files."""
-    saved = saved_documents(documents)
-    saved.write.mode("overwrite").partitionBy("file_name").text(path)
-    return saved.select("file_name")
+    """Writes each document to a file of its own below ``path`` and returns the list of files, a written table.
+
+    ``path`` is a folder that the executors share, as a URI or a path. A file is written under another name and then
+    moved, so a task that runs again replaces what it wrote. A name's slashes become underscores, for it is one file.
+    """
+    spark = documents.sparkSession
+    saved = saved_documents(documents).withColumn("file_name", F.regexp_replace("file_name", r"[/\\\\]", "_"))
+    root = path if "://" in path or path.startswith("file:") else f"file://{path}"
+    root = root.replace("file:///", "/").replace("file:/", "/") if root.startswith("file:") else root
+
+    def save(batches):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root)
+        system.create_dir(base, recursive=True)
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = f"{base}/.{name}-{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as out:
+                    out.write(text.encode("utf-8"))
+                system.move(part, f"{base}/{name}")
+            yield batch.select(["file_name"])
+
+    listed = shared_path(spark, "saved-files")
+    saved.select("file_name", "document").mapInArrow(save, "file_name string").write.parquet(listed)
+    return spark.read.parquet(listed)
 
 
 def export_documents(documents: DataFrame, path: str) -> None:
@@ -66,10 +91,15 @@ def search_documents(sections: DataFrame, term: str) -> DataFrame:
     return sections.filter(low.contains(term.lower())).select("repo_name", "step_name", hits.alias("hits"))
 
 
-def absent_sections(sections: DataFrame, steps: list[str]) -> DataFrame:
-    """Coverage: a column a step, true where the section found something, false where it says it did not, null where there is none."""
+def section_coverage(sections: DataFrame) -> DataFrame:
+    """repo_name, step_name, found: false where every section of that step says that it found nothing."""
     low = F.lower(F.trim("content"))
     nothing = F.lit(False)
     for sentence in ABSENT:
         nothing = nothing | low.startswith(sentence)
-    return sections.withColumn("found", ~nothing).groupBy("repo_name").pivot("step_name", steps).agg(F.bool_or("found"))
+    return sections.groupBy("repo_name", "step_name").agg(F.bool_or(~nothing).alias("found"))
+
+
+def absent_sections(sections: DataFrame, steps: list[str]) -> DataFrame:
+    """Coverage as a matrix: a column a step, true where the section found something, false where it says it did not, null where there is none."""
+    return section_coverage(sections).groupBy("repo_name").pivot("step_name", steps).agg(F.bool_or("found"))

@@ -115,8 +115,14 @@ def history_rows(runs: DataFrame, now: int, ttl_days: int = 90) -> DataFrame:
     )
 
 
-#: Rules a row must meet: table of (column, rule name, condition that breaks it).
-def rules() -> list[tuple[str, str, Column]]:
+def append_history(runs: DataFrame, path: str, now: int, ttl_days: int = 90) -> None:
+    """Appends finished runs to the history table, a folder a day."""
+    rows = history_rows(runs, now, ttl_days)
+    rows.withColumn("date", F.to_date("created_at")).write.mode("append").partitionBy("date").parquet(path)
+
+
+#: Rules a row must meet: table of (column, rule name, condition that breaks it, other columns that it reads).
+def rules() -> list[tuple]:
     c = F.col
     blank = lambda name: c(name).isNull() | (F.trim(c(name)) == "")
     return [
@@ -124,10 +130,15 @@ def rules() -> list[tuple[str, str, Column]]:
         ("commit_sha", "shorter than 7", c("commit_sha").isNull() | (F.length(F.trim(c("commit_sha"))) < 7)), ("repo_url", "not http", ~F.coalesce(c("repo_url").rlike("^https?://"), F.lit(False))),
         ("analysis_timestamp", "negative", F.coalesce(c("analysis_timestamp") < 0, F.lit(True))), ("status", "unknown", ~F.coalesce(c("status").isin("success", "failed", "skipped"), F.lit(False))),
         ("ttl_days", "outside 1 to 365", ~F.coalesce(c("ttl_days").between(1, 365), F.lit(False))),
+        ("prompt_version", "blank", blank("prompt_version")), ("temperature", "outside 0 to 1", ~F.coalesce(c("temperature").between(0, 1), F.lit(True))),
+        ("cached", "without a reason", F.coalesce(c("cached"), F.lit(False)) & blank("cache_reason"), "cache_reason"),
+        *((n, "above total", F.coalesce(c(n) > c("total"), F.lit(False)), "total") for n in ("successful", "failed", "skipped")),
+        ("total", "less than its parts", F.coalesce(c("successful") + c("failed") + c("skipped") > c("total"), F.lit(False)), "successful", "failed", "skipped"),
+        ("prompt_versions", "blank version", F.coalesce(F.exists(F.map_values("prompt_versions"), lambda v: v.isNull() | (F.trim(v) == "")), F.lit(False))),
     ]
 
 
-def validate_rows(rows: DataFrame, key: str = "repo_name", checks: list[tuple[str, str, Column]] | None = None) -> DataFrame:
+def validate_rows(rows: DataFrame, key: str = "repo_name", checks: list[tuple] | None = None) -> DataFrame:
     """key, column, rule: a row for each rule that a row breaks. Rules on columns that are not there do not apply."""
-    broken = [F.when(test, F.struct(F.lit(column).alias("column"), F.lit(rule).alias("rule"))) for column, rule, test in (checks or rules()) if column in rows.columns]
+    broken = [F.when(test, F.struct(F.lit(column).alias("column"), F.lit(rule).alias("rule"))) for column, rule, test, *others in (checks or rules()) if {column, *others} <= set(rows.columns)]
     return rows.select(key, F.explode(F.filter(F.array(*broken), lambda v: v.isNotNull())).alias("v")).select(key, "v.column", "v.rule")

@@ -117,15 +117,21 @@ _SPLITTERS = {"package.json": _package_json, "Gemfile": _gemfile, "pyproject.tom
 def _split_with(name: str):
     cut = _SPLITTERS[name]
 
+    def parts(text: str) -> list[tuple[str, str, str]]:
+        try:
+            return cut(text)
+        except Exception:  # of any shape: one file must not fail the job
+            return [("production", "", text)]
+
     @F.pandas_udf("array<struct<dep_type:string,mark:string,content:string>>")
     def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if t is None else [dict(zip(("dep_type", "mark", "content"), p)) for p in cut(t)])
+        return texts.map(lambda t: [] if t is None else [dict(zip(("dep_type", "mark", "content"), p)) for p in parts(t)])
 
     return split
 
 
 def package_json_sections(content: Column) -> Column:
-    """(dep_type, mark, content) of each part of a package.json; an unreadable file is production as a whole."""
+    """(dep_type, mark, content) of each part of a package.json; a file that is unreadable or of another shape is production as a whole."""
     return _split_with("package.json")(content)
 
 

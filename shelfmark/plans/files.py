@@ -151,9 +151,9 @@ def dependency_catalog(spark, sf_dir):
     return m.dependency_catalog(dependencies(spark, sf_dir)).withColumn("paths", F.array_join("paths", ","))
 
 
-@plan(_DEP + ", cat AS (SELECT DISTINCT regexp_replace(lower(p_brand || '_' || p_size), '[-_. ]', '', 'g') AS dependency, p_type AS technology FROM part WHERE p_size % 5 = 0) SELECT repo_name, technology, CAST(count(*) AS BIGINT) AS uses FROM n JOIN cat USING (dependency) GROUP BY 1, 2")
+@plan(_DEP + ", cat AS (SELECT DISTINCT regexp_replace(lower(p_brand || '_' || p_size), '[-_. ]', '', 'g') AS dependency, p_type AS technology FROM part) SELECT repo_name, technology, CAST(count(*) AS BIGINT) AS uses FROM n JOIN cat USING (dependency) GROUP BY 1, 2")
 def detect_technologies(spark, sf_dir):
-    catalogue = _read(spark, sf_dir, "part").filter("p_size % 5 = 0").select(F.concat("p_brand", F.lit("_"), F.col("p_size").cast("string")).alias("name"), F.col("p_type").alias("technology"))
+    catalogue = _read(spark, sf_dir, "part").select(F.concat("p_brand", F.lit("_"), F.col("p_size").cast("string")).alias("name"), F.col("p_type").alias("technology"))
     return m.detect_technologies(dependencies(spark, sf_dir), catalogue)
 
 
@@ -177,9 +177,10 @@ def score_repo_types(spark, sf_dir):
 # ---- manifest texts ----------------------------------------------------------
 
 
-@plan(None)
+@plan("""SELECT p_partkey, 'production' AS dep_type, '' AS mark, CASE WHEN p_partkey % 3 = 0 THEN '{broken' ELSE '{' || chr(10) || '  "dependencies": {' || chr(10) || '    "' || p_brand || '": "' || p_size || '"' || chr(10) || '  }' || chr(10) || '}' END AS content FROM part
+UNION ALL SELECT p_partkey, 'dev', ' (dev)', '{' || chr(10) || '  "devDependencies": {' || chr(10) || '    "' || p_type || '": "1"' || chr(10) || '  }' || chr(10) || '}' FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 2 = 0""")
 def package_json_sections(spark, sf_dir):
-    """Parts as package files: every third is broken JSON. Checked against the plain function in the tests."""
+    """Parts as package files: every third is broken JSON."""
     d = _read(spark, sf_dir, "part")
     text = F.when(F.col("p_partkey") % 3 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(F.map_from_arrays(F.array("p_brand"), F.array(F.col("p_size").cast("string"))).alias("dependencies"), F.when(F.col("p_partkey") % 2 == 0, F.map_from_arrays(F.array("p_type"), F.array(F.lit("1")))).alias("devDependencies"))))
     rows = d.select("p_partkey", F.explode(m.package_json_sections(text)).alias("p"))
@@ -213,14 +214,15 @@ def read_repo_files(spark, sf_dir):
     return found.select(F.regexp_replace("repo_name", "^r=", "").alias("repo_name"), F.regexp_replace(F.regexp_replace("path", "^s=", ""), "/part-[^/]*$", "/part.txt").alias("path"), "content", "length")
 
 
-@plan("""WITH b AS (SELECT n_nationkey AS k, row_number() OVER (ORDER BY n_nationkey) - 1 AS ordinal FROM nation), r AS (SELECT r_regionkey, r_name FROM region)
-SELECT r_name AS repo_type, CAST(ordinal AS INT) AS ordinal, 'n' || k AS step_name, CAST(k % 4 AS VARCHAR) AS version FROM r, b UNION ALL SELECT r_name, CAST((SELECT count(*) FROM b) AS INT), 'own' || r_regionkey, '1' FROM r""")
+@plan("""WITH b AS (SELECT n_nationkey AS k, row_number() OVER (ORDER BY n_nationkey) - 1 AS ordinal FROM nation), r AS (SELECT c_custkey, c_name FROM customer)
+SELECT c_name AS repo_type, CAST(ordinal AS INT) AS ordinal, 'n' || k AS step_name, CAST(k % 4 AS VARCHAR) AS version FROM r, b UNION ALL SELECT c_name, CAST((SELECT count(*) FROM b) AS INT), 'own' || c_custkey, '1' FROM r""")
 def read_steps(spark, sf_dir):
-    """Nations as base steps, one step of its own for each region."""
+    """Nations as base steps, one step of its own for each customer."""
     nations = _read(spark, sf_dir, "nation")
     step = lambda key, prefix: F.struct(F.concat(F.lit(prefix), key.cast("string")).alias("name"), F.concat(key.cast("string"), F.lit(".md")).alias("file"))
     base = nations.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").alias("o"), step(F.col("n_nationkey"), "n").alias("s")))), lambda x: x["s"]).alias("processing_order")).select(F.lit("base").alias("repo_type"), F.to_json(F.struct("processing_order")).alias("value"))
-    own = _read(spark, sf_dir, "region").select(F.col("r_name").alias("repo_type"), F.to_json(F.struct(F.lit("../base").alias("extends"), F.array(step(F.col("r_regionkey") + 1000, "own")).alias("additional_prompts"))).alias("value"))
-    own = own.withColumn("value", F.regexp_replace("value", "own100", "own"))
+    # Files of their own names, which have no prompt text.
+    named = F.struct(F.concat(F.lit("own"), F.col("c_custkey").cast("string")).alias("name"), F.concat(F.lit("own"), F.col("c_custkey").cast("string"), F.lit(".md")).alias("file"))
+    own = _read(spark, sf_dir, "customer").select(F.col("c_name").alias("repo_type"), F.to_json(F.struct(F.lit("../base").alias("extends"), F.array(named).alias("additional_prompts"))).alias("value"))
     prompts = nations.select(F.concat(F.col("n_nationkey").cast("string"), F.lit(".md")).alias("file"), F.concat(F.lit("version="), (F.col("n_nationkey") % 4).cast("string"), F.lit("\ntext")).alias("content"))
     return src.read_steps(base.unionByName(own), prompts).select("repo_type", "ordinal", "step_name", "version")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.operators import history as h
+from shelfmark.sources.shared import shared_path
 
 PLANS: dict = {}
 #: Fixed value: a date with about four fifths of the orders before it.
@@ -153,24 +154,34 @@ def prompt_metadata(spark, sf_dir):
 
 
 @plan("""WITH r AS (SELECT CAST(o_orderkey AS VARCHAR) AS repo_name, CASE WHEN o_orderkey % 9 = 0 THEN ' ' ELSE o_orderpriority END AS branch_name, substr(md5(CAST(o_orderkey AS VARCHAR)), 1, CAST(4 + o_orderkey % 8 AS INT)) AS commit_sha,
-CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'success' ELSE 'pending' END AS status, CAST(floor(o_totalprice) AS BIGINT) % 400 AS ttl_days, CASE WHEN o_orderkey % 4 = 0 THEN 'ftp://x' ELSE 'https://x' END AS repo_url FROM orders),
+CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'success' ELSE 'pending' END AS status, CAST(floor(o_totalprice) AS BIGINT) % 400 AS ttl_days, CASE WHEN o_orderkey % 4 = 0 THEN 'ftp://x' ELSE 'https://x' END AS repo_url,
+CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '1' END AS prompt_version, (o_orderkey % 13) / 10.0 AS temperature, o_orderkey % 2 = 0 AS cached, CASE WHEN o_orderkey % 3 = 0 THEN 'seen' END AS cache_reason, 10 AS total, o_orderkey % 12 AS successful, 2 AS failed, 1 AS skipped FROM orders),
 v AS (SELECT repo_name, 'branch_name' AS "column", 'blank' AS rule FROM r WHERE trim(branch_name) = '' UNION ALL SELECT repo_name, 'commit_sha', 'shorter than 7' FROM r WHERE length(commit_sha) < 7
-UNION ALL SELECT repo_name, 'status', 'unknown' FROM r WHERE status = 'pending' UNION ALL SELECT repo_name, 'ttl_days', 'outside 1 to 365' FROM r WHERE ttl_days NOT BETWEEN 1 AND 365 UNION ALL SELECT repo_name, 'repo_url', 'not http' FROM r WHERE repo_url LIKE 'ftp%') SELECT * FROM v""")
+UNION ALL SELECT repo_name, 'status', 'unknown' FROM r WHERE status = 'pending' UNION ALL SELECT repo_name, 'ttl_days', 'outside 1 to 365' FROM r WHERE ttl_days NOT BETWEEN 1 AND 365 UNION ALL SELECT repo_name, 'repo_url', 'not http' FROM r WHERE repo_url LIKE 'ftp%'
+UNION ALL SELECT repo_name, 'prompt_version', 'blank' FROM r WHERE prompt_version = '' UNION ALL SELECT repo_name, 'temperature', 'outside 0 to 1' FROM r WHERE temperature > 1
+UNION ALL SELECT repo_name, 'cached', 'without a reason' FROM r WHERE cached AND cache_reason IS NULL UNION ALL SELECT repo_name, 'successful', 'above total' FROM r WHERE successful > 10
+UNION ALL SELECT repo_name, 'total', 'less than its parts' FROM r WHERE successful + 3 > 10) SELECT * FROM v""")
 def validate_rows(spark, sf_dir):
     key = F.col("o_orderkey")
     rows = _read(spark, sf_dir, "orders").select(
         key.cast("string").alias("repo_name"), F.when(key % 9 == 0, " ").otherwise(F.col("o_orderpriority")).alias("branch_name"), F.substring(F.md5(key.cast("string")), F.lit(1), (4 + key % 8).cast("int")).alias("commit_sha"),
         F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "O", "success").otherwise("pending").alias("status"),
         (F.floor("o_totalprice").cast("long") % 400).alias("ttl_days"), F.when(key % 4 == 0, "ftp://x").otherwise("https://x").alias("repo_url"),
+        F.when(key % 5 == 0, "").otherwise("1").alias("prompt_version"), ((key % 13) / 10).alias("temperature"), (key % 2 == 0).alias("cached"), F.when(key % 3 == 0, "seen").alias("cache_reason"),
+        F.lit(10).alias("total"), (key % 12).alias("successful"), F.lit(2).alias("failed"), F.lit(1).alias("skipped"),
     )
     return h.validate_rows(rows)
 
 
 @plan("""SELECT CAST(o_orderkey AS VARCHAR) AS repository_name, CAST(1706659200 AS BIGINT) AS analysis_timestamp, printf('%012d', o_orderkey) AS latest_commit, o_orderpriority AS branch_name, 1 AS prompt_count, 'all=' || (o_shippriority_x) AS versions, CAST(1706659200 + 90 * 86400 AS BIGINT) AS ttl_at FROM (SELECT *, 1 + o_orderkey % 3 AS o_shippriority_x FROM orders)""")
 def append_history(spark, sf_dir):
+    """Appended in two runs and read back."""
     o = _read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("string").alias("repo_name"), F.lit("https://x").alias("repo_url"), F.format_string("%012d", "o_orderkey").alias("commit_sha"), F.col("o_orderpriority").alias("branch_name"),
         F.array(F.struct(F.lit("all").alias("prompt"), (1 + F.col("o_orderkey") % 3).cast("string").alias("version"))).alias("prompt_versions"), F.col("o_orderstatus").alias("analysis_summary"),
     )
-    rows = h.history_rows(o, 1_706_659_200)
+    path = shared_path(spark, "history")
+    for rest in (0, 1):
+        h.append_history(o.filter(F.col("repo_name").cast("long") % 2 == rest), path, 1_706_659_200)
+    rows = spark.read.parquet(path)
     return rows.select(h.KEY, h.AT, h.COMMIT, h.BRANCH, "prompt_count", F.concat(F.lit("all="), F.try_element_at("prompt_versions", F.lit("all"))).alias("versions"), "ttl_at")

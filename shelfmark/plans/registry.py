@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.functions.text import detect_repo_type
 from shelfmark.operators import registry as r
 from shelfmark.plans.text import TYPE_RULES_SQL
 from shelfmark.sources import registry as src
@@ -123,6 +124,27 @@ def write_registry(spark, sf_dir):
     return src.read_registry(spark, path)
 
 
+@plan(_L + """SELECT repo_name, url, type, 'team ' || repo_name AS owner FROM registry WHERE url <> '' UNION ALL SELECT repo_name, url, type, NULL FROM typed WHERE repo_name NOT IN (SELECT repo_name FROM registry WHERE url <> '')
+UNION ALL SELECT '_comment_1', NULL, NULL, 'what "follows"' UNION ALL SELECT '_comment', NULL, 'generic', 'kept'""")
+def update_registry(spark, sf_dir):
+    """A registry with comments and a field of its own in every entry, brought up to date from the listing, and read back with all that it holds."""
+    path, target = shared_path(spark, "registry"), shared_path(spark, "registry")
+    owned = r.valid_repos(registry(spark, sf_dir)).withColumn("owner", F.concat(F.lit("team "), "repo_name"))
+    entries = owned.select(F.col("repo_name").alias("name"), F.to_json(F.struct("url", "description", "type", "owner")).alias("raw"))
+    comment = spark.createDataFrame([("_comment_1", '"what \\"follows\\""')], "name string, raw string")
+    src.write_entries(entries.unionByName(comment), path, src._REGISTRY_HEAD + '"default": "generic", "_comment": "kept", "repositories": {', "}}")
+    fresh = listing(spark, sf_dir)
+    typed = fresh.select("repo_name", "url", "description", detect_repo_type(F.col("repo_name"), F.col("description"), F.col("language")).alias("type"))
+    src.update_registry(spark, path, target, typed)
+    found, fields = src.read_document(spark, target)
+    of = lambda name: F.get_json_object("raw", f"$.{name}")
+    text = F.get(F.from_json(F.concat(F.lit("["), "raw", F.lit("]")), "array<string>"), F.lit(0))
+    is_entry = F.col("raw").startswith("{")
+    rows = found.select(F.col("name").alias("repo_name"), of("url").alias("url"), of("type").alias("type"), F.when(is_entry, of("owner")).otherwise(text).alias("owner"))
+    beside = spark.createDataFrame([("_comment", None, fields["default"], fields["_comment"])], rows.schema)
+    return rows.unionByName(beside)
+
+
 @plan(_L + "SELECT repo_name, url, description, type FROM registry WHERE url <> ''")
 def read_registry(spark, sf_dir):
     """A document with comments among the entries."""

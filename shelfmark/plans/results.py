@@ -187,7 +187,7 @@ def write_documents(spark, sf_dir):
     """Written a file each and read back."""
     path = shared_path(spark, "documents")
     d.write_documents(d.assemble_document(sections(spark, sf_dir)), path)
-    return spark.read.text(path, wholetext=True).select(F.col("file_name").cast("string").alias("file_name"), F.md5(F.regexp_replace("value", r"\n\z", "")).alias("document"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), F.md5("value").alias("document"))
 
 
 @plan(_S + f"SELECT repo_name || '.arch.md' AS file_name, md5({_DOC}) AS document FROM sections GROUP BY repo_name")
@@ -197,8 +197,8 @@ def export_documents(spark, sf_dir):
     return spark.read.parquet(path).withColumn("document", F.md5("document"))
 
 
-@plan(_S + """, a AS (SELECT conv_id // 2 AS pair, turn, content FROM sections WHERE conv_id % 2 = 0), b AS (SELECT conv_id // 2 AS pair, turn, CASE WHEN turn % 2 = 0 THEN a.content ELSE s.content END AS content FROM sections s LEFT JOIN a ON a.pair = conv_id // 2 AND a.turn = s.turn WHERE conv_id % 2 = 1)
-SELECT pair, turn, CASE WHEN b.pair IS NULL THEN 'only-left' WHEN a.pair IS NULL THEN 'only-right' WHEN a.content IS NOT DISTINCT FROM b.content THEN 'same' ELSE 'different' END AS status FROM a FULL JOIN b USING (pair, turn)""".replace("(conv_id // 2 AS pair, turn,", "(").replace("b AS (SELECT conv_id // 2 AS pair, turn, CASE WHEN turn % 2", "b AS (SELECT conv_id // 2 AS pair, s.turn, CASE WHEN s.turn % 2"))
+@plan(_S + """, a AS (SELECT conv_id // 2 AS pair, turn, content FROM sections WHERE conv_id % 2 = 0), b AS (SELECT conv_id // 2 AS pair, s.turn, CASE WHEN s.turn % 2 = 0 THEN a.content ELSE s.content END AS content FROM sections s LEFT JOIN a ON a.pair = conv_id // 2 AND a.turn = s.turn WHERE conv_id % 2 = 1)
+SELECT pair, turn, CASE WHEN b.pair IS NULL THEN 'only-left' WHEN a.pair IS NULL THEN 'only-right' WHEN a.content IS NOT DISTINCT FROM b.content THEN 'same' ELSE 'different' END AS status FROM a FULL JOIN b USING (pair, turn)""")
 def diff_documents(spark, sf_dir):
     c = _read(spark, sf_dir, "conversations").select(F.floor(F.col("conv_id") / 2).alias("pair"), "turn", F.col("text").alias("content"), (F.col("conv_id") % 2).alias("side"))
     left, right = c.filter("side = 0").drop("side"), c.filter("side = 1").drop("side")
@@ -212,11 +212,12 @@ def search_documents(spark, sf_dir):
     return d.search_documents(sections(spark, sf_dir), "The")
 
 
-@plan("""WITH s AS (SELECT CAST(conv_id AS VARCHAR) AS repo_name, turn, CASE WHEN (conv_id + turn) % 3 = 0 THEN 'No data processing detected in ' || role ELSE text END AS content FROM conversations WHERE turn < 3),
-f AS (SELECT repo_name, turn, NOT starts_with(lower(trim(content)), 'no data processing detected') AS found FROM s) SELECT repo_name, coalesce(CAST(bool_or(found) FILTER (turn = 0) AS VARCHAR), 'none') AS s0, coalesce(CAST(bool_or(found) FILTER (turn = 1) AS VARCHAR), 'none') AS s1, coalesce(CAST(bool_or(found) FILTER (turn = 2) AS VARCHAR), 'none') AS s2 FROM f GROUP BY 1""")
+@plan("""WITH s AS (SELECT CAST(conv_id AS VARCHAR) AS repo_name, 's' || turn AS step_name, CASE WHEN (conv_id + turn) % 3 = 0 THEN 'No data processing detected in ' || role ELSE text END AS content FROM conversations)
+SELECT repo_name, step_name, bool_or(NOT starts_with(lower(trim(content)), 'no data processing detected')) AS found FROM s GROUP BY ALL""")
 def absent_sections(spark, sf_dir):
-    s = _read(spark, sf_dir, "conversations").filter("turn < 3").select(
+    """The coverage of all sections, in rows; the matrix of the same name is a pivot of it."""
+    s = _read(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("string").alias("repo_name"), F.concat(F.lit("s"), F.col("turn").cast("string")).alias("step_name"),
         F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, F.concat(F.lit("No data processing detected in "), "role")).otherwise(F.col("text")).alias("content"),
     )
-    return d.absent_sections(s, ["s0", "s1", "s2"]).select("repo_name", *(F.coalesce(F.col(c).cast("string"), F.lit("none")).alias(c) for c in ("s0", "s1", "s2")))
+    return d.section_coverage(s)

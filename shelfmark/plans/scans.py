@@ -80,15 +80,28 @@ def map_reduce_analyze(spark, sf_dir):
     return a.map_reduce_analyze(batches)
 
 
-@plan(hp.PLANS["investigation_decision"][1])
+_STREAM = hp._DECISION.replace("FORCED", "false") + f""", first AS (SELECT repo_name, commit_sha, branch_name, why, last_timestamp, CASE WHEN why IS NULL THEN last_timestamp ELSE {NOW} END AS done_at, CAST(repo_name AS BIGINT) % 2 = 0 AS moves FROM decided),
+all_three AS (SELECT repo_name, commit_sha, branch_name, why, last_timestamp FROM first
+UNION ALL SELECT repo_name, 'next-' || repo_name, branch_name, 'New commits detected (current: ' || substr('next-' || repo_name, 1, 8) || ', last: ' || substr(commit_sha, 1, 8) || ')', done_at FROM first WHERE moves
+UNION ALL SELECT repo_name, commit_sha, branch_name, CASE WHEN moves THEN 'New commits detected (current: ' || substr(commit_sha, 1, 8) || ', last: ' || substr('next-' || repo_name, 1, 8) || ')' END, CASE WHEN moves THEN {NOW + 60} ELSE done_at END FROM first)
+""" + hp._SHOWN.replace("FROM decided", "FROM all_three")
+
+
+@plan(_STREAM)
 def stream_decisions(spark, sf_dir):
-    """States arrive twice, in two files; what comes again is dropped. The decisions are those of one batch run."""
-    past, arrivals, decided, checkpoint = (shared_path(spark, n) for n in ("history", "arrivals", "decisions", "stream"))
+    """States arrive three times. Every second repository moves on and then back; the others come again as they were, once with the same time and once later."""
+    past, arrivals, latest, decided, checkpoint = (shared_path(spark, n) for n in ("history", "arrivals", "latest", "decisions", "stream"))
     hp.past(spark, sf_dir).write.parquet(f"{past}/batch=-1")
-    states = hp.state_table(spark, sf_dir).withColumn("event_time", F.timestamp_seconds(F.lit(NOW)))
-    for _ in range(2):
-        states.coalesce(1).write.mode("append").parquet(arrivals)
-    stream = spark.readStream.schema(states.schema).option("maxFilesPerTrigger", 1).parquet(arrivals)
-    query = d.stream_decisions(stream, past, decided, checkpoint, now=NOW)
-    query.awaitTermination()
+    states = hp.state_table(spark, sf_dir)
+    moves = F.col("repo_name").cast("long") % 2 == 0
+    at = lambda seconds: F.timestamp_seconds(seconds)
+    three = (
+        states.withColumn("event_time", at(F.lit(NOW))),
+        states.withColumn("commit_sha", F.when(moves, F.concat(F.lit("next-"), "repo_name")).otherwise(F.col("commit_sha"))).withColumn("event_time", at(F.when(moves, F.lit(NOW + 60)).otherwise(F.lit(NOW)))),
+        states.withColumn("event_time", at(F.lit(NOW + 120))),
+    )
+    for states_now in three:
+        states_now.write.mode("append").parquet(arrivals)
+        stream = spark.readStream.schema(states_now.schema).parquet(arrivals)
+        d.stream_decisions(stream, past, latest, decided, checkpoint).awaitTermination()
     return spark.read.parquet(decided).select("repo_name", "commit_sha", "branch_name", "needs_investigation", "reason", "last_timestamp")

@@ -176,10 +176,10 @@ def render_prompt(spark, sf_dir):
     return _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(prompt).alias("prompt"), batch.alias("batch"))
 
 
-@plan(r"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE '[[ ' || substr(text, 1, 12) || ' ]] [[b]]' END AS t FROM documents)
+@plan(r"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE '[[ ' || text || ' ]] [[b]]' END AS t FROM documents)
 SELECT doc_id, CASE WHEN trim(regexp_extract(t, '(?s)\[\[(.*?)\]\]', 1)) = '' THEN 'unknown_repo' ELSE regexp_replace(trim(regexp_extract(t, '(?s)\[\[(.*?)\]\]', 1)), '[^\p{L}\p{N}_\-.]', '_', 'g') END AS name FROM d""")
 def bracket_name(spark, sf_dir):
-    made = F.when(F.col("doc_id") % 3 == 0, "x").otherwise(F.concat(F.lit("[[ "), F.substring("text", 1, 12), F.lit(" ]] [[b]]")))
+    made = F.when(F.col("doc_id") % 3 == 0, "x").otherwise(F.concat(F.lit("[[ "), "text", F.lit(" ]] [[b]]")))
     return _read(spark, sf_dir, "documents").select("doc_id", t.bracket_name(made).alias("name"))
 
 

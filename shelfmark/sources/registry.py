@@ -143,6 +143,38 @@ def write_registry(registry: DataFrame, path: str, default: str | None, comment:
     write_entries(entries, path, _REGISTRY_HEAD + json.dumps(fields)[1:-1] + ', "repositories": {', "}}")
 
 
+def read_document(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str | None]]:
+    """All of a registry: (name, raw JSON) of every entry, comments among them, and the fields beside the entries."""
+    lines = _lines(spark, path, _REGISTRY_HEAD)
+    if lines is not None:
+        head = spark.read.text(path).filter(F.col("value").startswith(_REGISTRY_HEAD)).first()[0]
+        # A comment's text loses its quotes when it is read as a string.
+        raw = F.when(F.col("raw").startswith("{"), F.col("raw")).otherwise(F.regexp_extract(F.to_json(F.array("raw")), r"(?s)^\[(.*)\]$", 1))
+        fields = json.loads(head + "}}")
+        return lines.select("name", raw.alias("raw")), {k: v for k, v in fields.items() if k != "repositories"}
+    found = _whole(spark, path)
+    if found is None:
+        return spark.createDataFrame([], "name string, raw string"), {}
+    entries = found.select(F.explode(F.from_json(F.get_json_object("value", "$.repositories"), "map<string,string>")).alias("name", "raw"))
+    raw = F.when(F.col("raw").startswith("{"), F.col("raw")).otherwise(F.regexp_extract(F.to_json(F.array("raw")), r"(?s)^\[(.*)\]$", 1))
+    # The fields beside the entries are a handful.
+    beside = found.select(F.explode(F.map_filter(F.from_json("value", "map<string,string>"), lambda k, _: k != "repositories")).alias("k", "v")).collect()
+    return entries.select("name", raw.alias("raw")), {r["k"]: r["v"] for r in beside}
+
+
+def update_registry(spark: SparkSession, source: str, target: str, fresh: DataFrame) -> None:
+    """Writes the registry at ``source`` with the entries of ``fresh`` (repo_name, url, description, type) that it lacks to ``target``.
+
+    Whatever it holds stays as it is: entries with unknown fields, comments, and the fields beside the entries. A
+    registry without a default is an error.
+    """
+    entries, fields = read_document(spark, source)
+    if fields.get("default") is None:
+        raise ValueError("the registry has no default")
+    new = fresh.join(entries.select(F.col("name").alias("repo_name")), "repo_name", "left_anti").select(F.col("repo_name").alias("name"), F.to_json(F.struct("url", "description", "type")).alias("raw"))
+    write_entries(entries.unionByName(new), target, _REGISTRY_HEAD + json.dumps(fields)[1:-1] + ', "repositories": {', "}}")
+
+
 def write_skip_list(skipped: DataFrame, path: str) -> None:
     """Writes (repo_name, reason) as one JSON object, an entry a line."""
     reason = F.coalesce(F.regexp_extract(F.to_json(F.array("reason")), r"(?s)^\[(.*)\]$", 1), F.lit("null"))

@@ -13,8 +13,13 @@ _local: dict[str, str] = {}
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; only a session without that setting (a local test) gets a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path below ``spark.checkpoint.dir`` or what ``setCheckpointDir`` was given.
+
+    Only a local session without either (a test) gets a temporary folder; a cluster without one is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not root:
         app = spark.sparkContext.applicationId
         if app not in _local:
@@ -23,6 +28,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 _shipped: set[str] = set()
 
 

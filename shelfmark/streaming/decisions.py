@@ -5,36 +5,67 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
 from shelfmark.operators import history as h
+from shelfmark.sources.shared import discard
+
+SEEN = "seen_at"
 
 
 def newest_state(batch: DataFrame) -> DataFrame:
-    """One row a repository of a micro-batch: the newest."""
+    """One row a repository of a micro-batch: the newest; of equal times, the greater commit."""
     others = [c for c in batch.columns if c != "repo_name"]
     return batch.groupBy("repo_name").agg(F.max_by(F.struct(*others), F.struct("event_time", "commit_sha")).alias("n")).select("repo_name", "n.*")
 
 
-def stream_decisions(arriving: DataFrame, history_path: str, decisions_path: str, checkpoint: str, now: int, watermark: str = "1 day", force_first: bool = False, **trigger) -> StreamingQuery:
+def latest_states(history: DataFrame) -> DataFrame:
+    """A row a repository: its last investigation, and when its state was last seen."""
+    return h.latest_investigation(history.select(h.KEY, h.AT, h.COMMIT, h.BRANCH)).withColumn(SEEN, F.lit(None).cast("timestamp"))
+
+
+def _before(spark: SparkSession, latest_path: str, number: int) -> int | None:
+    """The newest batch before ``number`` that wrote the table of latest states; null without one."""
+    try:
+        return spark.read.parquet(latest_path).select("batch").distinct().filter(F.col("batch") < number).agg(F.max("batch")).first()[0]
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def stream_decisions(arriving: DataFrame, history_path: str, latest_path: str, decisions_path: str, checkpoint: str, force_first: bool = False, **trigger) -> StreamingQuery:
     """Starts the query over ``arriving`` (repo_name, commit_sha, branch_name, event_time).
 
-    Repeats of a (repository, commit, branch) within the watermark are dropped and later
-    ones than it allows ignored. Each micro-batch is decided against the history as it then is;
-    decisions are written to a folder named by the batch, then the history of what is
-    redone, so a batch that runs again replaces what it wrote. ``force_first`` holds for the first batch only.
+    Each micro-batch keeps the newest state of a repository and compares it with the table of latest states, one row a
+    repository, so that no batch reads the whole history and a return to an earlier commit is a change like any other.
+    States that are not newer than the last one seen of their repository (repeats, late rows) are ignored. What is
+    redone is stamped with its event time. Decisions, history and latest states go to folders named by the batch, in
+    this order, and only earlier batches' latest states are read: a batch that runs again replaces what it wrote.
+    ``force_first`` holds for the first batch only.
     """
     spark: SparkSession = arriving.sparkSession
-    seen = arriving.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["repo_name", "commit_sha", "branch_name"])
+    if _before(spark, latest_path, 1 << 62) is None:  # the very first start
+        latest_states(spark.read.parquet(history_path)).write.mode("overwrite").parquet(f"{latest_path}/batch=-1")
 
     def decide(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        # What this very batch appended in an earlier try must not count.
-        past = spark.read.parquet(history_path).filter(F.coalesce(F.col("batch"), F.lit(-1)) != number)
-        decided = h.investigation_decision(newest_state(batch), past, force=force_first and number == 0)
-        decided.write.mode("overwrite").parquet(f"{decisions_path}/batch={number}")
-        again = spark.read.parquet(f"{decisions_path}/batch={number}").filter("needs_investigation")
-        rows = again.select(F.col("repo_name").alias(h.KEY), F.lit(now).cast("long").alias(h.AT), F.lit("investigation").alias(h.KIND), F.col("commit_sha").alias(h.COMMIT), F.col("branch_name").alias(h.BRANCH))
-        rows.write.mode("overwrite").parquet(f"{history_path}/batch={number}")
-
-    return seen.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
+        before = _before(spark, latest_path, number)
+        latest = spark.read.parquet(f"{latest_path}/batch={before}")
+        seen = latest.select(F.col(h.KEY).alias("repo_name"), SEEN)
+        fresh = newest_state(batch).join(seen, "repo_name", "left").filter(F.col(SEEN).isNull() | (F.col("event_time") > F.col(SEEN))).drop(SEEN)
+        h.investigation_decision(fresh, latest, force=force_first and number == 0).write.mode("overwrite").parquet(f"{decisions_path}/batch={number}")
+        decided = spark.read.parquet(f"{decisions_path}/batch={number}")
+        row = decided.select(F.col("repo_name").alias(h.KEY), F.unix_timestamp("event_time").alias(h.AT), F.col("commit_sha").alias(h.COMMIT), F.col("branch_name").alias(h.BRANCH), F.col("event_time").alias(SEEN), "needs_investigation")
+        done = row.filter("needs_investigation")
+        done.select(h.KEY, h.AT, F.lit("investigation").alias(h.KIND), h.COMMIT, h.BRANCH).write.mode("overwrite").parquet(f"{history_path}/batch={number}")
+        now = row.select(h.KEY, F.struct(h.AT, h.COMMIT, h.BRANCH).alias("now"), F.col(SEEN).alias("now_seen"), "needs_investigation")
+        merged = latest.join(now, h.KEY, "full_outer")
+        of = lambda c: F.when(F.coalesce("needs_investigation", F.lit(False)), F.col(f"now.{c}")).otherwise(F.col(c)).alias(c)
+        merged.select(h.KEY, of(h.AT), of(h.COMMIT), of(h.BRANCH), F.coalesce("now_seen", SEEN).alias(SEEN)).write.mode("overwrite").parquet(f"{latest_path}/batch={number}")
+        older = _before(spark, latest_path, before)
+        if older is not None:  # the batch before this one may have to run again, none before it
+            discard(spark, f"{latest_path}/batch={older}")
+
+    return arriving.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start()

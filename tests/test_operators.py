@@ -213,3 +213,50 @@ def test_failures_become_rows(spark):
 def test_validation(spark):
     rows = spark.createDataFrame([("r", " ", "abc", -1.0, 400), ("ok", "main", "abcdefg", 1.0, 90)], "repo_name string, branch_name string, commit_sha string, analysis_timestamp double, ttl_days int")
     assert {(r["repo_name"], r["column"]) for r in h.validate_rows(rows).collect()} == {("r", c) for c in ("branch_name", "commit_sha", "analysis_timestamp", "ttl_days")}
+
+
+@pytest.mark.parametrize("text", ["tool = 1", "project = 1", "[project]\ndependencies = 3\n[tool]\npoetry = 'x'", "= broken", "", "[" * 3000])
+def test_odd_pyproject_files_never_fail_the_job(spark, text):
+    rows = spark.createDataFrame([("k", text)], "k string, t string").select("k", F.explode(manifests.pyproject_sections(F.col("t"))).alias("p")).collect()
+    assert all(r["p"]["dep_type"] == "production" for r in rows)
+    if text in ("tool = 1",):
+        assert rows == [] or rows[0]["p"]["content"] == text
+
+
+@pytest.mark.parametrize("text", ["[1]", "3", '{"dependencies": ' + '{"a":' * 3000 + "1" + "}" * 3001, '{"dependencies": 7}', "null", '"x"'])
+def test_odd_package_files_never_fail_the_job(spark, text):
+    spark.createDataFrame([("k", text)], "k string, t string").select("k", F.explode(manifests.package_json_sections(F.col("t"))).alias("p")).collect()
+
+
+def test_stream_of_three_arrivals(spark, tmp_path):
+    """A commit, another, and the first again are three changes, each against the one before; repeats and late rows are none."""
+    from shelfmark.streaming import decisions
+
+    past, arrivals, latest, decided, checkpoint = (f"file://{tmp_path}/{n}" for n in ("history", "arrivals", "latest", "decisions", "checkpoint"))
+    spark.createDataFrame([("other", 5, "investigation", "old", "main")], f"{h.KEY} string, {h.AT} long, {h.KIND} string, {h.COMMIT} string, {h.BRANCH} string").write.parquet(f"{past}/batch=-1")
+    shape = "repo_name string, commit_sha string, branch_name string, seconds long"
+    for rows in ([("r", "zz", "main", 100)], [("r", "aa", "main", 200), ("r", "zz", "main", 100)], [("r", "zz", "main", 300), ("other", "old", "main", 300)], [("r", "late", "main", 250), ("other", "new", "main", 400)]):
+        frame = spark.createDataFrame(rows, shape).withColumn("event_time", F.timestamp_seconds("seconds")).drop("seconds")
+        frame.write.mode("append").parquet(arrivals)
+        decisions.stream_decisions(spark.readStream.schema(frame.schema).parquet(arrivals), past, latest, decided, checkpoint).awaitTermination()
+    got = {(r["repo_name"], r["commit_sha"], r["needs_investigation"], r["reason"], r["last_timestamp"]) for r in spark.read.parquet(decided).collect()}
+    assert got == {
+        ("r", "zz", True, "No previous investigation found", None), ("r", "aa", True, "New commits detected (current: aa, last: zz)", 100), ("r", "zz", True, "New commits detected (current: zz, last: aa)", 200),
+        ("other", "old", False, "No changes since last investigation on 1970-01-01T00:00:05+00:00", 5), ("other", "new", True, "New commits detected (current: new, last: old)", 5),
+    }
+    stamps = sorted((r[h.AT], r[h.COMMIT]) for r in spark.read.parquet(past).collect())
+    assert stamps == [(5, "old"), (100, "zz"), (200, "aa"), (300, "zz"), (400, "new")]
+    assert len([p for p in (tmp_path / "latest").iterdir() if p.name.startswith("batch=")]) <= 2, list((tmp_path / "latest").iterdir())
+
+
+def test_more_rules(spark):
+    rows = spark.createDataFrame([("a", " ", 1.5, True, None, 3, 2, 1, 1), ("b", "1", 0.0, True, "why", 3, 1, 1, 1), ("c", "1", None, False, None, 3, 4, 0, 0)], "repo_name string, prompt_version string, temperature double, cached boolean, cache_reason string, total int, successful int, failed int, skipped int")
+    found = {(r["repo_name"], r["column"]) for r in h.validate_rows(rows).collect()}
+    assert found == {("a", "prompt_version"), ("a", "temperature"), ("a", "cached"), ("a", "total"), ("c", "successful"), ("c", "total")}
+
+
+def test_documents_are_files_of_their_own_name(spark, tmp_path):
+    rows = spark.createDataFrame([("one", "text\nof one"), ("group/two", "two"), ("", "x"), ("none", "")], "repo_name string, document string")
+    listed = {r["file_name"] for r in documents.write_documents(rows, str(tmp_path / "out")).collect()}
+    assert listed == {"one.arch.md", "group_two.arch.md"} and {p.name for p in (tmp_path / "out").iterdir()} == listed
+    assert (tmp_path / "out" / "one.arch.md").read_text() == "text\nof one"
