@@ -1,13 +1,15 @@
 """Best-fit packing of tokenised documents into fixed-length sequences.
 
-Bulk-synchronous best fit. Documents are cut only where they are longer than a
-sequence. Pieces and gaps are kept range-sorted by length; in each superstep every
-length looks up the smallest gap that holds it (its successor), rank settles which of
-the pieces that want the same gap get it, gaps are updated, and the next superstep
-begins. Lengths and gaps are whole numbers up to the sequence length, so both sorted
-sides are run-length encoded: a superstep handles runs (a length, a range of ranks, a
-range of sequences) of which there are a few thousand however large the corpus is. The
-rows themselves are counted, ranked within their length and placed by Spark.
+Bulk-synchronous best fit. Documents are cut only where they are longer than a sequence; as
+many empty sequences are opened as all tokens need. In each superstep the pieces that are
+left and the gaps of the sequences are range-sorted by size together, largest first, gaps
+before pieces of their size, ties by rank. A sweep over that order gives every piece its
+successor: the smallest gap before it that no larger piece, nor one of a lower rank, has
+taken. That is the matching of closing with opening brackets, so it runs over the slices
+of the order side by side: each slice matches what it can with a stack, and what is left is
+matched across slices by its height, the number of gaps less the number of pieces up to
+there. Each sequence takes a piece at most; then gaps are updated and the next superstep
+begins. When no piece fits any gap, further sequences are opened.
 
 Nulls and edge cases: a null or empty text is one piece of the end token; documents
 with equal or null ids are packed as documents of their own; an empty table gives an
@@ -16,17 +18,16 @@ empty result; extra columns are dropped.
 
 from __future__ import annotations
 
-import bisect
 import functools
 import json
 import re
 import zlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,13 +36,11 @@ from shelfmark.llm.common import materialise
 CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
-#: Pieces of one length that are ranked in one window group.
-GROUP = 2_000
+#: Pieces and gaps that a slice of the order holds, as long as there are no more slices than shuffle partitions.
+SLICE = 1 << 16
 #: Words whose ids a worker remembers.
 REMEMBER = 500_000
 
-Segment = tuple[int, int, int, int, int]
-
 
 # ---- tokens ------------------------------------------------------------------
 
@@ -156,86 +155,121 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
     return docs.select("doc_id", text).mapInArrow(cut, f"doc_id {key}, piece int, start long, length long, ids_crc32 long")
 
 
-# ---- plan --------------------------------------------------------------------
+# ---- supersteps --------------------------------------------------------------
 
 
-def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[Segment]:
-    """(length, first rank, rank behind the last, first sequence, offset): where each run of pieces goes.
+def sweep(sizes: list[int], is_piece: list[bool], names: list[int]) -> tuple[dict[int, tuple[int, int]], list[int], list[int]]:
+    """Of elements in order: (sequence, gap) for each piece that finds one, by place; places of the other pieces; places of the gaps left.
 
-    Pieces of one length are interchangeable, so their number is all that counts.
+    ``names`` are the gaps' sequences.
+    """
+    found, alone, stack = {}, [], []
+    for i, piece in enumerate(is_piece):
+        if not piece:
+            stack.append(i)
+        elif stack:
+            gap = stack.pop()
+            found[i] = names[gap], sizes[gap]
+        else:
+            alone.append(i)
+    return found, alone, stack
+
+
+def _swept(elements: DataFrame, slices: int) -> DataFrame:
+    """The elements with ``slice``, ``height`` in it, and, where a piece found a gap in its slice, ``sequence`` and ``gap``; gaps that were found are gone."""
+    order = [F.col("size").desc(), F.col("is_piece"), F.col("tie")]
+    dealt = elements.repartitionByRange(slices, *order) if slices > 1 else elements.coalesce(1)
+
+    def settle(batches):
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        names = table["sequence"].to_pylist()
+        found, alone, left = sweep(table["size"].to_pylist(), table["is_piece"].to_pylist(), names)
+        sequence, gap, height = ([None] * table.num_rows for _ in range(3))
+        for i, (taken, size) in found.items():
+            sequence[i], gap[i] = taken, size
+        for k, i in enumerate(alone):
+            height[i] = -k
+        for k, i in enumerate(left, 1):
+            height[i], sequence[i] = k - len(alone), names[i]
+        keep = pa.array(sorted([*found, *alone, *left]), pa.int64())
+        here = pa.array([TaskContext.get().partitionId()] * table.num_rows, pa.int32())
+        columns = {"slice": here, "height": pa.array(height, pa.int64()), "sequence": pa.array(sequence, pa.int64()), "gap": pa.array(gap, pa.int64())}
+        out = pa.table({c: table[c] for c in ("size", "is_piece", "tie", "row")} | columns).take(keep)
+        yield from out.combine_chunks().to_batches(max_chunksize=1 << 14)
+
+    kinds = {f.name: f.dataType.simpleString() for f in elements.schema}
+    shape = ", ".join(f"{c} {kinds[c]}" for c in ("size", "is_piece", "tie", "row"))
+    return dealt.sortWithinPartitions(*order).mapInArrow(settle, f"{shape}, slice int, height long, sequence long, gap long")
+
+
+def _across(swept: DataFrame) -> DataFrame:
+    """What slices left, matched by height: closing brackets meet the opening one before them at the same height.
+
+    A slice leaves one piece and one gap of a height at most, so a height has two rows a slice.
     """
-    left = {n: c for n, c in counts.items() if c}
-    rank = dict.fromkeys(left, 0)
-    gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # gap -> runs of sequences with it
-    segments: list[Segment] = []
-    opened = 0
-
-    def place(length: int, first: int, n: int, gap: int, into) -> None:
-        segments.append((length, rank[length], rank[length] + n, first, capacity - gap))
-        rank[length] += n
-        left[length] -= n
-        if gap > length:
-            into[gap - length].append((first, n))
-
-    while any(left.values()):
-        free = sorted(g for g, runs in gaps.items() if runs)
-        fresh: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        moved = False
-        for length in sorted((n for n, c in left.items() if c), reverse=True):
-            while left[length] and (i := bisect.bisect_left(free, length)) < len(free):
-                gap = free[i]
-                first, n = gaps[gap].pop()
-                take = min(n, left[length])
-                if take < n:
-                    gaps[gap].append((first + take, n - take))
-                if not gaps[gap]:
-                    free.pop(i)
-                place(length, first, take, gap, fresh)
-                moved = True
-        if not moved:  # nothing fits: the longest open sequences, as many as they will fill
-            for k, length in enumerate(sorted((n for n, c in left.items() if c), reverse=True)):
-                if k and 2 * length <= capacity:
-                    break
-                n = -(-left[length] // (capacity // length))
-                place(length, opened, n, capacity, fresh)
-                opened += n
-        for gap, runs in fresh.items():
-            gaps[gap] += runs
-    return segments
-
-
-# ---- rows --------------------------------------------------------------------
-
-
-def place_pieces(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    left = swept.filter(~F.col("is_piece") | F.col("gap").isNull())
+    totals = left.groupBy("slice").agg(F.sum(F.when(F.col("is_piece"), -1).otherwise(1)).alias("total"))
+    # One row a slice.
+    before = totals.select("slice", F.coalesce(F.sum("total").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    placed = left.join(F.broadcast(before), "slice").withColumn("height", F.col("height") + F.col("before"))
+    of_height = Window.partitionBy("height").orderBy("slice", F.col("is_piece").desc())
+    gap_before = F.lag(F.when(~F.col("is_piece"), F.struct("sequence", "size"))).over(of_height)
+    taken = F.coalesce(F.lead("is_piece").over(of_height), F.lit(False)) & ~F.col("is_piece")
+    met = placed.withColumn("met", gap_before).withColumn("taken", taken).filter(~F.col("taken"))
+    piece = F.col("is_piece")
+    return met.select("size", "is_piece", "tie", "row", F.when(piece, F.col("met.sequence")).otherwise(F.col("sequence")).alias("sequence"), F.when(piece, F.col("met.size")).cast("long").alias("gap"))
+
+
+def place_pieces(rows: DataFrame, capacity: int = CAPACITY, slice_rows: int = SLICE) -> DataFrame:
     """Adds sequence_id and offset to a table of pieces (read more than once)."""
     spark = rows.sparkSession
-    # At most ``capacity`` counts come to the driver.
-    counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = plan_sequences(counts, capacity)
-    by_length: dict[int, list] = defaultdict(list)
-    for s in plan:
-        by_length[s[0]].append(s[1:])
-    # One row a length, so at most ``capacity`` rows; the runs in them do not grow with the corpus.
-    runs = spark.createDataFrame(
-        [(n, -(-counts[n] // GROUP), found) for n, found in sorted(by_length.items())],
-        "length long, groups int, runs array<struct<first:long,behind:long,sequence:long,offset:long>>",
-    )
-    with_runs = rows.join(F.broadcast(runs), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("groups")))
-    per_part = with_runs.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = per_part.select("length", "part", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    nth = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = (
-        with_runs.drop("runs", "groups").withColumn("nth", nth).join(before, ["length", "part"])
-        .withColumn("rank", F.col("before") + F.col("nth") - 1)
-        .join(F.broadcast(runs.drop("groups")), "length")
-        .withColumn("run", F.element_at(F.filter("runs", lambda r: (r["first"] <= F.col("rank")) & (F.col("rank") < r["behind"])), 1))
-    )
-    return ranked.select(
-        "doc_id", "piece", "start", "length", "ids_crc32",
-        (F.col("run.sequence") + F.col("rank") - F.col("run.first")).alias("sequence_id"),
-        F.col("run.offset").alias("offset"),
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    pieces_left = rows.select(
+        F.col("length").cast("int").alias("size"), F.lit(True).alias("is_piece"), F.xxhash64("doc_id", "piece", "ids_crc32").alias("tie"),
+        F.struct(*names).alias("row"), F.lit(None).cast("long").alias("sequence"),
     )
+    row_type = pieces_left.schema["row"].dataType
+
+    def empty(first: int, n: int) -> DataFrame:
+        opened = spark.range(first, first + n).withColumnRenamed("id", "sequence")
+        return opened.select(F.lit(capacity).alias("size"), F.lit(False).alias("is_piece"), F.xxhash64("sequence").alias("tie"), F.lit(None).cast(row_type).alias("row"), "sequence")
+
+    summed = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("tokens"), F.min("size").alias("least")).first()
+    left, placements, opened, gaps, open_gaps = summed(pieces_left), [], 0, None, 0
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fits = False
+    while left["n"]:
+        if not fits:  # no piece fits any gap
+            new = -(-left["tokens"] // capacity)
+            fresh = empty(opened, new)
+            gaps, open_gaps, opened = fresh if gaps is None else gaps.unionByName(fresh), open_gaps + new, opened + new
+        slices = max(1, min(most, (left["n"] + open_gaps) // slice_rows))
+        swept = materialise(_swept(pieces_left.unionByName(gaps), slices), "swept")
+        found = [swept.filter("is_piece AND gap IS NOT NULL")]
+        rest = swept.drop("slice", "height")
+        if slices > 1:
+            rest = materialise(_across(swept), "across")
+            found.append(rest.filter("is_piece AND gap IS NOT NULL"))
+        pieces_left = rest.filter("is_piece AND gap IS NULL").select("size", "is_piece", "tie", "row", "sequence")
+        matched = [f.select("size", "row", "sequence", "gap") for f in found]
+        now = matched[0] if len(matched) == 1 else matched[0].unionByName(matched[1])
+        before, left = left["n"], summed(pieces_left)
+        fits = left["n"] < before
+        placements.append(now)
+        least = left["least"] or 0
+        narrowed = now.select((F.col("gap") - F.col("size")).cast("int").alias("size"), F.lit(False).alias("is_piece"), F.xxhash64("sequence").alias("tie"), F.lit(None).cast(row_type).alias("row"), "sequence")
+        same = rest.filter("NOT is_piece").select("size", "is_piece", "tie", "row", "sequence")
+        # Gaps that no piece fits any more are out.
+        gaps = same.unionByName(narrowed).filter(F.col("size") >= F.lit(least))
+        open_gaps = gaps.count() if left["n"] else 0
+        fits = fits and open_gaps > 0
+    if not placements:
+        return rows.select(*names, F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset")).limit(0)
+    every = functools.reduce(DataFrame.unionByName, placements)
+    return every.select("row.*", F.col("sequence").alias("sequence_id"), (F.lit(capacity) - F.col("gap")).cast("long").alias("offset"))
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:

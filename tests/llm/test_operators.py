@@ -672,22 +672,56 @@ def test_packing_odd_rows(spark, encoder):
     assert packing.pack(no_documents(spark)).count() == 0
 
 
-@given(st.dictionaries(st.integers(1, 64), st.integers(1, 30), max_size=20))
-@settings(max_examples=80, deadline=None)
-def test_plan_places_every_piece_once(counts):
-    left, seen = {}, Counter()
-    for length, a, b, first, offset in packing.plan_sequences(counts, 64):
-        assert a == seen[length]
-        seen[length] = b
-        for s in range(first, first + b - a):
-            assert offset == left.get(s, 0)
-            left[s] = offset + length
-    assert seen == Counter(counts) and max(left.values(), default=0) <= 64
-    items, bins = sorted((n for n, c in counts.items() for _ in range(c)), reverse=True), []
-    for x in items:  # first fit decreasing
-        i = next((i for i, b in enumerate(bins) if b + x <= 64), None)
-        bins.append(x) if i is None else bins.__setitem__(i, bins[i] + x)
-    assert len(left) <= len(bins) * 1.25 + 1
+def best_fit_by_rounds(lengths, capacity):
+    """Supersteps in plain loops: each gap takes the largest piece that wants it; the number of sequences, and the fill of each."""
+    left, gaps, opened, fits = sorted(lengths, reverse=True), [], 0, False
+    while left:
+        if not fits:
+            new = -(-sum(left) // capacity)
+            gaps, opened = gaps + [capacity] * new, opened + new
+        rest, narrowed = [], []
+        for x in left:
+            mine = min((g for g in gaps if g >= x), default=None)
+            if mine is None:
+                rest.append(x)
+            else:
+                gaps.remove(mine)
+                narrowed.append(mine - x)
+        fits = len(rest) < len(left) and any(g >= rest[-1] for g in gaps + narrowed) if rest else False
+        left, gaps = rest, gaps + narrowed
+    return opened, sorted(gaps)
+
+
+@pytest.mark.parametrize("slice_rows", [1 << 16, 40])
+def test_supersteps_against_plain_best_fit(spark, slice_rows):
+    """In one slice and over many: as many sequences as plain loops, and the same gaps left."""
+    rng = np.random.default_rng(slice_rows)
+    lengths = [*rng.integers(1, 65, 300).tolist(), *[64] * 9, *[1] * 30, *[33] * 20]
+    rows = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    placed = packing.place_pieces(rows, 64, slice_rows).collect()
+    held = {}
+    for r in sorted(placed, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == held.get(r["sequence_id"], 0)
+        held[r["sequence_id"]] = r["offset"] + r["length"]
+    opened, gaps = best_fit_by_rounds(lengths, 64)
+    assert len(placed) == len(lengths) and sorted(r["length"] for r in placed) == sorted(lengths)
+    assert len(held) == opened and sorted(64 - n for n in held.values()) == gaps
+
+
+@given(st.lists(st.tuples(st.integers(1, 9), st.booleans()), max_size=40), st.lists(st.integers(0, 40), max_size=4))
+@settings(max_examples=200, deadline=None)
+def test_sweep_matches_brackets(elements, cuts):
+    """A sweep gives every piece the smallest free gap, largest pieces first; cut into slices, what is left has the heights of the whole."""
+    elements.sort(key=lambda e: (-e[0], e[1]))
+    sizes, kinds = [n for n, _ in elements], [k for _, k in elements]
+    found, alone, left = packing.sweep(sizes, kinds, list(range(len(sizes))))
+    free, want = [i for i, k in enumerate(kinds) if not k], {}
+    for i in (i for i, k in enumerate(kinds) if k):
+        mine = min((sizes[g] for g in free if sizes[g] >= sizes[i]), default=None)
+        if mine is not None:
+            want[i] = mine
+            free.remove(next(g for g in reversed(free) if sizes[g] == mine))
+    assert {i: g for i, (_, g) in found.items()} == want and sorted(left) == free and not set(alone) & set(want)
 
 
 def test_words_encode_like_the_tokenizer(encoder, texts):
