@@ -14,6 +14,8 @@ they are, whatever their names.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,20 +25,23 @@ WINDOW = 3
 
 
 def windows(docs: DataFrame, text: str = "text", size: int = WINDOW) -> DataFrame:
-    """doc_id, text_hash, pos (from 0), w1, w2: a 128-bit hash of each window."""
+    """doc_id, text_hash, pos (from 0), w1, w2: a 128-bit hash of each window, its halves from two hashes of each line."""
 
     def hashed(line_hashes):
         def one(i):
             lines = [F.get(line_hashes, i + k) for k in range(size)]
-            return F.struct(i.alias("pos"), F.xxhash64(*lines).alias("w1"), F.xxhash64(F.lit(1), *reversed(lines)).alias("w2"), F.array(*lines).alias("lines"))
+            blank = functools.reduce(lambda a, b: a & b, (line["blank"] for line in lines))
+            return F.struct(i.alias("pos"), F.xxhash64(*(line["a"] for line in lines)).alias("w1"), F.xxhash64(F.lit(1), *(line["b"] for line in lines)).alias("w2"), blank.alias("blank"))
 
         return F.transform(F.sequence(F.lit(0), F.size(line_hashes) - size), one)
 
-    split = F.split(F.col(text), "\n")
-    rows = docs.select("doc_id", row_hash(text).alias("text_hash"), F.transform(split, lambda line: F.xxhash64(F.when(F.trim(line) == "", "").otherwise(line))).alias("hashes"))
-    blank = F.xxhash64(F.lit(""))
+    def twice(line):
+        blank = F.trim(line) == ""
+        return F.struct(F.when(blank, 0).otherwise(F.xxhash64(line)).alias("a"), F.when(blank, 0).otherwise(F.xxhash64(F.lit(1), line)).alias("b"), blank.alias("blank"))
+
+    rows = docs.select("doc_id", row_hash(text).alias("text_hash"), F.transform(F.split(F.col(text), "\n"), twice).alias("hashes"))
     found = rows.filter(F.size("hashes") >= size).select("doc_id", "text_hash", F.explode(let(F.col("hashes"), hashed)).alias("w"))
-    return found.filter(F.exists("w.lines", lambda h: h != blank)).select("doc_id", "text_hash", "w.pos", "w.w1", "w.w2")
+    return found.filter(~F.col("w.blank")).select("doc_id", "text_hash", "w.pos", "w.w1", "w.w2")
 
 
 def covered_lines(docs: DataFrame, text: str = "text", size: int = WINDOW) -> DataFrame:

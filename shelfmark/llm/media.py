@@ -6,7 +6,10 @@ with cues; ``packets`` reads any element tree back into rows of
 (track, timestamp, byte range).
 
 Nulls and edge cases: a null text counts as the empty text, which is stored as one
-frame of spaces; extra columns are ignored; equal texts give equal bytes.
+frame of spaces; texts of any length are stored whole; repeated rows give equal results, as
+equal texts give equal bytes; an empty table gives an empty result; extra columns are
+ignored. ``packet_table`` gives no rows for null media and those of the packets before the
+damage for a file that is cut off or broken.
 """
 
 from __future__ import annotations
@@ -181,9 +184,10 @@ def lace_sizes(data: bytes, at: int, stop: int, mode: int) -> tuple[list[int], i
     return [*sizes, stop - at - sum(sizes)], at
 
 
-def packets(data: bytes) -> list[tuple[int, int, int, int, bool]]:
-    """(track, timestamp in ms, first byte, size, key frame) of every frame, in file order."""
-    out, base, scale = [], 0, 1_000_000
+def packets(data: bytes, out: list | None = None) -> list[tuple[int, int, int, int, bool]]:
+    """(track, timestamp in ms, first byte, size, key frame) of every frame, in file order; appended to ``out`` as they are found."""
+    out = [] if out is None else out
+    base, scale = 0, 1_000_000
     step: dict[int, int] = {}
     track_number = 1
     for number, start, stop in elements(data, 0, len(data)):
@@ -206,6 +210,16 @@ def packets(data: bytes) -> list[tuple[int, int, int, int, bool]]:
     return out
 
 
+def readable_packets(data: bytes) -> list[tuple[int, int, int, int, bool]]:
+    """The packets of a file up to where it is cut off or cannot be read; those that end within it."""
+    out: list[tuple[int, int, int, int, bool]] = []
+    try:
+        packets(data, out)
+    except (IndexError, ValueError, struct.error):
+        pass
+    return [p for p in out if p[3] >= 0 and p[2] + p[3] <= len(data)]
+
+
 def cue_points(data: bytes) -> list[tuple[int, int, int]]:
     """(time in ms, track, position of the cluster in the segment)."""
     out, time, track = [], 0, 0
@@ -251,12 +265,12 @@ def to_media(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def packet_table(df: DataFrame, key: str, media: str = "media") -> DataFrame:
-    """One row per packet: key, packet, track, timestamp_ms, byte_start, byte_length, keyframe. Null media give none."""
-    kind = f"array<struct<track:int,timestamp_ms:long,byte_start:long,byte_length:long,keyframe:boolean>>"
+    """One row per packet: key, packet, track, timestamp_ms, byte_start, byte_length, keyframe. Null media give none, broken ones those before the damage."""
+    kind = "array<struct<track:int,timestamp_ms:long,byte_start:long,byte_length:long,keyframe:boolean>>"
 
     @F.pandas_udf(kind)
     def parsed(files):
-        return files.map(lambda f: [] if f is None else [dict(zip(("track", "timestamp_ms", "byte_start", "byte_length", "keyframe"), p)) for p in packets(bytes(f))])
+        return files.map(lambda f: [] if f is None else [dict(zip(("track", "timestamp_ms", "byte_start", "byte_length", "keyframe"), p)) for p in readable_packets(bytes(f))])
 
     rows = df.select(F.col(key), F.posexplode(parsed(F.col(media))).alias("packet", "p"))
     return rows.select(key, "packet", "p.*")

@@ -773,3 +773,16 @@ def test_media_digest(spark, docs, texts):
     stored = media.to_media(odd.filter("doc_id <= 2").select("doc_id", "text"))
     rows = media.packet_table(stored, "doc_id").collect()
     assert {(r["doc_id"], r["packet"], r["track"], r["byte_length"]) for r in rows} == {(1, 0, 1, 192), (2, 0, 1, 192)}
+
+
+def test_packets_of_cut_and_broken_files(spark):
+    """Whatever a file is cut to, its packets are the first of the whole file's; damaged bytes never fail the job."""
+    stored = media.mux(bytes(range(256)) * 30, lacing=media.XIPH)
+    whole = media.packets(stored)
+    for at in range(0, len(stored), 7):
+        found = media.readable_packets(stored[:at])
+        assert [p[:3] for p in found] == [p[:3] for p in whole[: len(found)]]
+    rng = np.random.default_rng(6)
+    files = [None, b"", b"\x00" * 9, *(bytes(b ^ (rng.random() < 0.02) * int(rng.integers(256)) for b in stored) for _ in range(40))]
+    rows = media.packet_table(spark.createDataFrame([(i, f) for i, f in enumerate(files)] + [(99, stored)], "k long, media binary"), "k").collect()
+    assert sum(r["k"] == 99 for r in rows) == len(whole) and not any(r["k"] < 3 for r in rows)

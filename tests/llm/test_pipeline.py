@@ -5,6 +5,8 @@ from collections import Counter
 import public_tokenizers
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from shelfmark.llm import mixing, packing, quality
 from shelfmark.llm.common import materialise, table
@@ -59,9 +61,40 @@ def test_packing_stage(steps):
     check_packed(steps[5].collect(), encoder, [r[1] for r, n in rows(steps[4]).items() for _ in range(n)], packing.CAPACITY)
 
 
-def test_run_and_odd_tables(spark, data, steps, tmp_path):
+def test_run(spark, data, steps):
     assert pipeline.run(spark, data).count() == steps[5].count()
-    for docs in (odd_documents(spark), no_documents(spark)):
-        for _, stage in pipeline.STAGES:
-            docs = materialise(stage(spark, docs, data), "odd")
-        assert docs.columns == steps[5].columns
+
+
+def test_stages_on_empty_tables(spark, data, steps):
+    docs = no_documents(spark)
+    for _, stage in pipeline.STAGES:
+        docs = materialise(stage(spark, docs, data), "none")
+        assert docs.count() == 0
+    assert docs.columns == steps[5].columns
+
+
+def test_stages_on_odd_rows(spark, data, steps):
+    """Nulls, empty and long texts, ties and repeats: each stage against the plain rule, on what the one before kept."""
+    odd = odd_documents(spark)
+    key = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    scores = {(r["doc_id"], r["text"]): r["score"] for r in odd.select("doc_id", "text", quality.quality_score(F.col("text"), quality.train(odd, table(spark, data, "labels"))).alias("score")).collect()}
+    good = materialise(pipeline.quality_classifier(spark, odd, data), "odd")
+    assert key(good) == Counter({r: n for r, n in key(odd).items() if scores[r] >= 0.5})
+    lined = materialise(pipeline.line_dedup(spark, odd, data), "odd")
+    clean = deduped(list(key(odd)))
+    want = Counter()
+    for r, n in key(odd).items():
+        want[r[0], clean[r]] += n
+    assert key(lined) == want
+    once = materialise(pipeline.simhash_near_dedup(spark, lined, data), "odd")
+    prints = {r: slow_fingerprint(r[1]) for r in key(lined)}
+    of = classes(prints.values())
+    assert sorted(of[prints[r]] for r in key(once).elements()) == sorted(set(of.values()))
+    mixed = materialise(pipeline.source_mixing(spark, odd, data), "odd")
+    copies = Counter()
+    for r in mixing.mix(odd).collect():
+        copies[r["doc_id"]] += r["copies"]
+    assert Counter(r["doc_id"] for r in mixed.collect()) == +copies
+    encoder = packing.Encoder(public_tokenizers.path(packing.VOCABULARY))
+    check_packed(pipeline.best_fit_packing(spark, odd, data).collect(), encoder, [r[1] for r in key(odd).elements()], packing.CAPACITY)
+    assert all(s.columns == odd.columns for s in (good, lined, once, mixed))
