@@ -146,9 +146,10 @@ def train(docs: DataFrame, per_language: int = FIT_PER_LANGUAGE) -> Model:
     usable = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text", row_hash().alias("text_hash"))
     frequency = document_frequencies(usable)
     idf = np.log((1 + frequency[BUCKETS]) / (1 + frequency[:BUCKETS])) + 1
-    # The first few of each part of a language, then of the language: no language is gathered whole.
+    # The first few of each part of a language, of each eight parts, then of the language: no more than eight times as many come together.
     ids = usable.select("doc_id", "lang", "text_hash").distinct().withColumn("part", F.pmod(F.xxhash64(F.lit(PARTS), "doc_id", "text_hash"), F.lit(PARTS)))
-    for group in (["lang", "part"], ["lang"]):
+    ids = ids.withColumn("eighth", F.col("part") % 8)
+    for group in (["lang", "part"], ["lang", "eighth"], ["lang"]):
         order = Window.partitionBy(*group).orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash")
         ids = ids.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_language).drop("nth")
     ids = ids.select(F.col("doc_id").alias("id"), F.col("lang").alias("of"), F.col("text_hash").alias("hash"))
