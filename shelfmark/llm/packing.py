@@ -9,7 +9,8 @@ taken. That is the matching of closing with opening brackets, so it runs over th
 of the order side by side: each slice matches what it can with a stack, and what is left is
 matched across slices by its height, the number of gaps less the number of pieces up to
 there. Each sequence takes a piece at most; then gaps are updated and the next superstep
-begins. When no piece fits any gap, further sequences are opened.
+begins. When no piece fits any gap, further sequences are opened. As soon as one slice holds
+all that is left, the last supersteps run in its task.
 
 Nulls and edge cases: a null or empty text is one piece of the end token; documents
 with equal or null ids are packed as documents of their own; an empty table gives an
@@ -223,6 +224,47 @@ def _across(swept: DataFrame) -> DataFrame:
     return met.select("size", "is_piece", "tie", "row", F.when(piece, F.col("met.sequence")).otherwise(F.col("sequence")).alias("sequence"), F.when(piece, F.col("met.size")).cast("long").alias("gap"))
 
 
+def supersteps(pieces: list[int], gaps: list[tuple[int, int]], capacity: int, opened: int) -> list[tuple[int, int]]:
+    """(sequence, gap) for every piece, by place, from supersteps over what one slice holds. ``gaps``: (gap, sequence); further sequences are numbered from ``opened``."""
+    out: list[tuple[int, int]] = [(0, 0)] * len(pieces)
+    left, fits = sorted(range(len(pieces)), key=lambda i: -pieces[i]), True
+    while left:
+        if not fits:
+            new = -(-sum(pieces[i] for i in left) // capacity)
+            gaps, opened = gaps + [(capacity, opened + k) for k in range(new)], opened + new
+        order = sorted([(-g, 0, at) for at, (g, _) in enumerate(gaps)] + [(-pieces[i], 1, i) for i in left])
+        found, _, _ = sweep([-n for n, _, _ in order], [kind == 1 for _, kind, _ in order], [gaps[at][1] if not kind else 0 for _, kind, at in order])
+        free = {sequence: gap for gap, sequence in gaps}
+        for at, (sequence, gap) in found.items():
+            i = order[at][2]
+            out[i], free[sequence] = (sequence, gap), gap - pieces[i]
+        placed = {order[at][2] for at in found}
+        left = [i for i in left if i not in placed]
+        least = pieces[left[-1]] if left else 0
+        gaps = [(gap, sequence) for sequence, gap in free.items() if gap >= least]
+        fits = bool(placed and gaps)
+    return out
+
+
+def _finished(elements: DataFrame, capacity: int, opened: int) -> DataFrame:
+    """size, row, sequence, gap of every piece: all supersteps that are left, once a single slice holds all elements."""
+
+    def settle(batches):
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        is_piece = np.array(table["is_piece"].to_pylist())
+        of_pieces, of_gaps = table.filter(pa.array(is_piece)), table.filter(pa.array(~is_piece))
+        placed = supersteps(of_pieces["size"].to_pylist(), list(zip(of_gaps["size"].to_pylist(), of_gaps["sequence"].to_pylist())), capacity, opened)
+        columns = [pa.array(c, pa.int64()) for c in (zip(*placed) if placed else ([], []))]
+        out = pa.table({"size": of_pieces["size"], "row": of_pieces["row"], "sequence": columns[0], "gap": columns[1]})
+        yield from out.combine_chunks().to_batches(max_chunksize=1 << 14)
+
+    row = elements.schema["row"].dataType.simpleString()
+    return elements.coalesce(1).sortWithinPartitions(F.col("size").desc(), "is_piece", "tie").mapInArrow(settle, f"size int, row {row}, sequence long, gap long")
+
+
 def place_pieces(rows: DataFrame, capacity: int = CAPACITY, slice_rows: int = SLICE) -> DataFrame:
     """Adds sequence_id and offset to a table of pieces (read more than once)."""
     spark = rows.sparkSession
@@ -246,6 +288,9 @@ def place_pieces(rows: DataFrame, capacity: int = CAPACITY, slice_rows: int = SL
             new = -(-left["tokens"] // capacity)
             fresh = empty(opened, new)
             gaps, open_gaps, opened = fresh if gaps is None else gaps.unionByName(fresh), open_gaps + new, opened + new
+        if left["n"] + open_gaps <= slice_rows:
+            placements.append(materialise(_finished(pieces_left.unionByName(gaps), capacity, opened), "finished"))
+            break
         slices = max(1, min(most, (left["n"] + open_gaps) // slice_rows))
         swept = materialise(_swept(pieces_left.unionByName(gaps), slices), "swept")
         found = [swept.filter("is_piece AND gap IS NOT NULL")]
