@@ -177,6 +177,13 @@ def with_dependencies(prompt: Column, dependencies: Column) -> Column:
     return F.when(have & needs_dependencies(prompt), F.replace(prompt, F.lit("{repo_deps}"), dependencies)).when(have, prompt).otherwise(F.replace(prompt, F.lit("{repo_deps}"), F.lit(NO_DEPENDENCIES)))
 
 
+# The notices that stand where a prompt was cut, and the heading of earlier results.
+STRUCTURE_CUT = "\n\n... [TRUNCATED: showing first "
+TEMPLATE_CUT = "\n\n... [TEMPLATE TRUNCATED: showing first "
+HARD_CUT = "\n\n... [TRUNCATED] ..."
+CONTEXT_HEADING = "\n\n## Previous Analysis Context\n\n"
+
+
 def _thousands(n: Column) -> Column:
     return F.format_number(n, 0)
 
@@ -191,14 +198,14 @@ def fit_prompt(template: Column, structure: Column, context: Column, limit: int
     by_context = has_context & (excess - c <= 0)
     room = F.floor((s - excess) * CHARS_PER_TOKEN).cast("int")
     noted = F.concat(
-        F.substring(structure, F.lit(1), room), F.lit("\n\n... [TRUNCATED: showing first "), _thousands(room), F.lit(" of "), _thousands(F.length(structure)),
+        F.substring(structure, F.lit(1), room), F.lit(STRUCTURE_CUT), _thousands(room), F.lit(" of "), _thousands(F.length(structure)),
         F.lit(f" characters to fit within {limit:,} token limit] ..."),
     )
     left = F.greatest(F.floor(F.greatest(F.lit(limit) - t, F.lit(0)) * CHARS_PER_TOKEN), F.lit(LEAST_STRUCTURE_CHARS)).cast("int")
-    hard = F.concat(F.substring(structure, F.lit(1), left), F.lit("\n\n... [TRUNCATED] ..."))
+    hard = F.concat(F.substring(structure, F.lit(1), left), F.lit(HARD_CUT))
     kept = max(int((limit - KEPT_TEMPLATE_TOKENS) * CHARS_PER_TOKEN), LEAST_TEMPLATE_CHARS)
     short = F.concat(
-        F.substring(template, 1, kept), F.lit(f"\n\n... [TEMPLATE TRUNCATED: showing first {kept:,} of "), _thousands(F.floor(t * CHARS_PER_TOKEN)),
+        F.substring(template, 1, kept), F.lit(f"{TEMPLATE_CUT}{kept:,} of "), _thousands(F.floor(t * CHARS_PER_TOKEN)),
         F.lit(f" characters to fit within {limit:,} token limit] ..."),
     )
     return {
@@ -209,7 +216,7 @@ def fit_prompt(template: Column, structure: Column, context: Column, limit: int
 
 
 def render_prompt(template: Column, structure: Column, context: Column) -> Column:
-    before = F.when(F.coalesce(context, F.lit("")) != "", F.concat(F.lit("\n\n## Previous Analysis Context\n\n"), context, F.lit("\n\n"))).otherwise("")
+    before = F.when(F.coalesce(context, F.lit("")) != "", F.concat(F.lit(CONTEXT_HEADING), context, F.lit("\n\n"))).otherwise("")
     return F.replace(F.replace(template, F.lit("{repo_structure}"), structure), F.lit("{previous_context}"), before)
 
 
