@@ -76,21 +76,6 @@ def _package_json(text: str) -> list[tuple[str, str, str]]:
     return out
 
 
-def _gemfile(text: str) -> list[tuple[str, str, str]]:
-    lines: dict[bool, list[str]] = {False: [], True: []}
-    dev = False
-    for line in text.split("\n"):
-        bare = line.strip()
-        if bare.startswith("group "):
-            dev = ":development" in bare or ":test" in bare
-        elif dev and bare.startswith("end"):
-            dev = False
-        else:
-            lines[dev].append(line)
-    parts = (("production", "", "\n".join(lines[False])), ("dev", " (dev/test)", "\n".join(lines[True])))
-    return [p for p in parts if p[2].strip()]
-
-
 def _toml(value) -> str:
     """A value in TOML's inline form."""
     if isinstance(value, dict):
@@ -111,7 +96,7 @@ def _pyproject(text: str) -> list[tuple[str, str, str]]:
     return [p for p in parts if p[2].strip()]
 
 
-_SPLITTERS = {"package.json": _package_json, "Gemfile": _gemfile, "pyproject.toml": _pyproject}
+_SPLITTERS = {"package.json": _package_json, "pyproject.toml": _pyproject}
 
 
 def _split_with(name: str):
@@ -135,8 +120,36 @@ def package_json_sections(content: Column) -> Column:
     return _split_with("package.json")(content)
 
 
+# White space but for the line end, in any script.
+_BLANK = r"[\t\x0B\f\r \x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+_INK = _BLANK.replace("[", "[^", 1).replace("]", "\\n]")
+_GROUP = rf"^{_BLANK}*group (?={_BLANK}*{_INK})"
+_END = rf"^{_BLANK}*end"
+
+
 def gemfile_groups(content: Column) -> Column:
-    return _split_with("Gemfile")(content)
+    """(dep_type, mark, content) of each part of a Gemfile: groups for development or test, and all else.
+
+    The file is cut before each line that opens or ends a group; a cut's own first line and that of the cut before say
+    whose its lines are.
+    """
+    cuts = F.split(content, rf"\n(?={_BLANK}*(?:group {_BLANK}*{_INK}|end))")
+    opens = lambda cut: cut.rlike(_GROUP) & F.substring_index(cut, "\n", 1).rlike(":development|:test")
+
+    def owned(cut: Column, before: Column) -> Column:
+        # The line that opens a group goes, and so does an end, unless no development group is open.
+        head = cut.rlike(_GROUP) | (cut.rlike(_END) & F.coalesce(opens(before), F.lit(False)))
+        body = F.when(~head, cut).when(cut.contains("\n"), F.substring(cut, F.locate("\n", cut) + 1, F.length(cut)))
+        return F.struct(opens(cut).alias("dev"), body.alias("body"))
+
+    def parts(lines: Column) -> Column:
+        of = lambda kind, mark, own: F.struct(F.lit(kind).alias("dep_type"), F.lit(mark).alias("mark"), F.array_join(F.transform(F.filter(lines, own), lambda x: x["body"]), "\n").alias("content"))
+        both = F.array(of("production", "", lambda x: ~x["dev"]), of("dev", " (dev/test)", lambda x: x["dev"]))
+        return F.filter(both, lambda p: p["content"].rlike(_INK))
+
+    once = F.element_at(F.transform(F.array(cuts), lambda c: F.transform(c, lambda cut, i: owned(cut, F.get(c, i - 1)))), 1)
+    found = F.element_at(F.transform(F.array(once), parts), 1)
+    return F.when(content.isNotNull(), found).otherwise(F.filter(found, lambda p: F.lit(False)))
 
 
 def pyproject_sections(content: Column) -> Column:
@@ -144,14 +157,15 @@ def pyproject_sections(content: Column) -> Column:
 
 
 def split_manifests(manifests: DataFrame) -> DataFrame:
-    """Each manifest's parts as rows. Only the three kinds of files that hold both parts go through Python."""
+    """Each manifest's parts as rows. Only JSON and TOML files go through Python."""
+    cut_by = {"package.json": package_json_sections, "Gemfile": gemfile_groups, "pyproject.toml": pyproject_sections}
     base = F.element_at(F.split("full_path", "/"), -1)
     marked = manifests.withColumn("_base", base)
-    whole = marked.filter(~((F.col("dep_type") == "production") & F.col("_base").isin(*_SPLITTERS)))
+    whole = marked.filter(~((F.col("dep_type") == "production") & F.col("_base").isin(*cut_by)))
     out = whole.select(*FILE)
-    for name in _SPLITTERS:
+    for name, cut in cut_by.items():
         some = marked.filter((F.col("dep_type") == "production") & (F.col("_base") == name))
-        rows = some.withColumn("_parts", _split_with(name)(F.col("content"))).withColumn("_p", F.explode("_parts"))
+        rows = some.withColumn("_parts", cut(F.col("content"))).withColumn("_p", F.explode("_parts"))
         out = out.unionByName(rows.select("repo_name", "language", F.col("_p.dep_type").alias("dep_type"), "pattern_ordinal", F.concat("full_path", "_p.mark").alias("full_path"), F.col("_p.content").alias("content")))
     return out
 

@@ -102,6 +102,33 @@ def test_manifests(spark):
     assert manifests.match_manifests(spark.createDataFrame(rows, "repo_name string, path string, content string"), prune=True).count() == 6
 
 
+def slow_gemfile(text):
+    """The parts of a Gemfile, line by line."""
+    lines, dev = {False: [], True: []}, False
+    for line in text.split("\n"):
+        bare = line.strip()
+        if bare.startswith("group "):
+            dev = ":development" in bare or ":test" in bare
+        elif dev and bare.startswith("end"):
+            dev = False
+        else:
+            lines[dev].append(line)
+    parts = [("production", "", "\n".join(lines[False])), ("dev", " (dev/test)", "\n".join(lines[True]))]
+    return [p for p in parts if p[2].strip()]
+
+
+def test_gemfiles_against_lines(spark):
+    import random
+
+    rng = random.Random(3)
+    words = ("group :test do", "  group :development, :test do", "group :production do", "group ", "group", "end", "\t end", "ending", "gem 'a'", "  gem 'b'", "", " ", "\u3000end\r", "group\u00a0:test", "x group :test", "group  \u2003")
+    texts = ["\n".join(rng.choice(words) for _ in range(rng.randrange(12))) for _ in range(400)] + ["", "end", "group :test do", "\n" * 5, "gem 'x'\n" * 2_000 + "group :test do\n" + "gem 'y'\n" * 2_000 + "end"]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", manifests.gemfile_groups(F.col("t")).alias("p")).collect()
+    assert len(rows) == len(texts) + 1
+    for r in rows:
+        assert [tuple(p) for p in r["p"]] == ([] if r["t"] is None else slow_gemfile(r["t"])), r["t"]
+
+
 def test_packing_ends_before_the_budget_and_lets_large_files_stand_alone(spark):
     size = lambda tokens: int(tokens * 3.5) + 1 - len("**File:** `/f0`\n```\n\n```\n")
     rows = [("r", "Go", "production", 0, f"/f{i}", "x" * size(n)) for i, n in enumerate((40, 60, 10, 250, 90, 10))] + [("r", "Rust", "dev", 0, "/f9", "x")]
