@@ -79,8 +79,24 @@ def named_files(spark, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").select(F.col("source").alias("repo_name"), F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit("/"), name).alias("path"), F.col("text").alias("content"))
 
 
-_PATTERN_ROWS = ", ".join(f"('{lang}', '{kind}', {i}, '{p}')" for lang, kind, names in m.MANIFESTS for i, p in enumerate(names))
-_BARRED = " OR ".join(f"(language = '{lang}' AND contains(name, '{w}'))" for lang, words in m.EXCLUDED.items() for w in words)
+# Fixed values, written out once more for the SQL so that it does not follow the operator.
+_PATTERN_ROWS = """('Python', 'production', 0, 'requirements.txt'), ('Python', 'production', 1, 'requirements-prod.txt'), ('Python', 'production', 2, 'requirements-production.txt'), ('Python', 'production', 3, 'pyproject.toml'), ('Python', 'production', 4, 'setup.py'), ('Python', 'production', 5, 'setup.cfg'), ('Python', 'production', 6, 'Pipfile'), ('Python', 'production', 7, 'environment.yml'), ('Python', 'production', 8, 'environment.yaml'), ('Python', 'production', 9, 'conda.yml'), ('Python', 'production', 10, 'conda.yaml'),
+('Python', 'dev', 0, 'requirements-dev.txt'), ('Python', 'dev', 1, 'requirements-test.txt'), ('Python', 'dev', 2, 'requirements-development.txt'), ('Python', 'dev', 3, 'test-requirements.txt'), ('Python', 'dev', 4, 'dev-requirements.txt'),
+('JavaScript', 'production', 0, 'package.json'), ('JavaScript', 'production', 1, 'bower.json'), ('JavaScript', 'production', 2, 'lerna.json'),
+('Ruby', 'production', 0, 'Gemfile'), ('Ruby', 'production', 1, '*.gemspec'),
+('Go', 'production', 0, 'go.mod'), ('Go', 'production', 1, 'Gopkg.toml'),
+('Rust', 'production', 0, 'Cargo.toml'),
+('Java', 'production', 0, 'pom.xml'), ('Java', 'production', 1, 'build.gradle'), ('Java', 'production', 2, 'build.gradle.kts'), ('Java', 'production', 3, 'settings.gradle'), ('Java', 'production', 4, 'settings.gradle.kts'),
+('CSharp', 'production', 0, '*.csproj'), ('CSharp', 'production', 1, '*.fsproj'), ('CSharp', 'production', 2, '*.vbproj'), ('CSharp', 'production', 3, 'packages.config'), ('CSharp', 'production', 4, 'Directory.Build.props'),
+('PHP', 'production', 0, 'composer.json'),
+('Other', 'production', 0, 'Dockerfile'), ('Other', 'production', 1, 'docker-compose.yml'), ('Other', 'production', 2, 'docker-compose.yaml'), ('Other', 'production', 3, '.tool-versions')"""
+_BARRED = """(language = 'Python' AND (contains(name, 'Pipfile.lock') OR contains(name, 'poetry.lock'))) OR
+(language = 'JavaScript' AND (contains(name, 'package-lock.json') OR contains(name, 'yarn.lock') OR contains(name, 'pnpm-lock.yaml') OR contains(name, 'node_modules'))) OR
+(language = 'Ruby' AND (contains(name, 'Gemfile.lock'))) OR
+(language = 'Go' AND (contains(name, 'go.sum') OR contains(name, 'Gopkg.lock'))) OR
+(language = 'Rust' AND (contains(name, 'Cargo.lock'))) OR
+(language = 'CSharp' AND (contains(name, 'packages.lock.json'))) OR
+(language = 'PHP' AND (contains(name, 'composer.lock')))"""
 _M = f"""WITH pats AS (SELECT * FROM (VALUES {_PATTERN_ROWS}) v(language, dep_type, pattern_ordinal, pattern)),
 named AS (SELECT source AS repo_name, lang || '/' || doc_id || '/' || ({list(_FILE_NAMES)})[doc_id % {len(_FILE_NAMES)} + 1] AS path FROM documents),
 found AS (SELECT repo_name, '/' || path AS full_path, language, dep_type, pattern_ordinal, string_split(path, '/')[-1] AS name FROM named JOIN pats ON CASE WHEN starts_with(pattern, '*') THEN ends_with(string_split(path, '/')[-1], substr(pattern, 2)) ELSE string_split(path, '/')[-1] = pattern END),

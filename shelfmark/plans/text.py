@@ -87,12 +87,16 @@ def hub_web_url(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", t.hub_web_url(base, F.lit("hub")).alias("web_url"))
 
 
-_ANY = lambda col, words: "(" + " OR ".join(f"contains({col}, '{w}')" for w in words) + ")"
-_IN = lambda col, words: f"{col} IN (" + ", ".join(f"'{w}'" for w in words) + ")"
-TYPE_RULES_SQL = f"""CASE WHEN {_ANY('n', t.MOBILE_NAMES)} OR lang = 'swift' THEN 'mobile' WHEN {_ANY('n', t.INFRA_NAMES)} OR lang = 'hcl' THEN 'infra-as-code'
-WHEN {_ANY('n', t.LIBRARY_NAMES)} OR {_ANY('d', t.LIBRARY_TEXTS)} THEN 'libraries'
-WHEN {_IN('lang', t.SCRIPT_LANGUAGES)} AND ({_ANY('n', t.FRONTEND_NAMES)} OR (NOT {_ANY('n', t.SCRIPT_BACKEND_NAMES)} AND {_ANY('n', t.FRONTEND_FRAMEWORKS)})) THEN 'frontend'
-WHEN lang = 'vue' THEN 'frontend' WHEN {_IN('lang', t.BACKEND_LANGUAGES)} OR {_ANY('n', t.BACKEND_NAMES)} THEN 'backend' ELSE 'generic' END"""
+# Fixed values, written out once more for the SQL so that it does not follow the operator.
+TYPE_RULES_SQL = """CASE
+WHEN (contains(n, 'mobile') OR contains(n, 'ios') OR contains(n, 'android') OR contains(n, 'react-native')) OR lang = 'swift' THEN 'mobile'
+WHEN (contains(n, 'terraform') OR contains(n, 'infra') OR contains(n, 'helm') OR contains(n, 'k8s') OR contains(n, 'kubernetes') OR contains(n, 'ansible') OR contains(n, 'cloudformation')) OR lang = 'hcl' THEN 'infra-as-code'
+WHEN (contains(n, 'sdk') OR contains(n, 'lib') OR contains(n, 'library') OR contains(n, 'client') OR contains(n, 'api-client') OR contains(n, 'package')) OR (contains(d, 'sdk') OR contains(d, 'library') OR contains(d, 'package') OR contains(d, 'client library')) THEN 'libraries'
+WHEN lang IN ('javascript', 'typescript') AND ((contains(n, 'frontend') OR contains(n, 'ui') OR contains(n, 'web') OR contains(n, 'portal') OR contains(n, 'dashboard') OR contains(n, 'admin')) OR (NOT (contains(n, 'service') OR contains(n, 'api') OR contains(n, 'server') OR contains(n, 'backend') OR contains(n, 'worker')) AND (contains(n, 'react') OR contains(n, 'vue') OR contains(n, 'angular')))) THEN 'frontend'
+WHEN lang = 'vue' THEN 'frontend'
+WHEN lang IN ('python', 'ruby', 'go', 'java', 'c#', 'rust') OR (contains(n, 'service') OR contains(n, 'api') OR contains(n, 'server') OR contains(n, 'backend') OR contains(n, 'worker') OR contains(n, 'processor')) THEN 'backend'
+ELSE 'generic' END"""
+_ASKS_SQL = """(contains(lower(p), 'dependencies') OR contains(lower(p), 'packages') OR contains(lower(p), 'requirements') OR contains(lower(p), 'libraries') OR contains(lower(p), 'npm') OR contains(lower(p), 'pip') OR contains(lower(p), 'gem') OR contains(lower(p), 'cargo') OR contains(lower(p), 'maven') OR contains(lower(p), 'gradle') OR contains(lower(p), 'nuget') OR contains(lower(p), 'pyproject') OR contains(lower(p), 'package.json') OR contains(lower(p), 'gemfile') OR contains(lower(p), '{repo_deps}'))"""
 _LANGS = ("JavaScript", "Python", "Swift", "HCL", "Vue", "TypeScript", "C", "Go", "")
 _NAMES = ("shop-ui", "billing-api", "tools", "android-app", "react-shop", "infra-live", "py-client", "event-worker", "docs", "vue-admin", "data")
 _SUPPLIER_SQL = (
@@ -142,7 +146,7 @@ def needs_batching(spark, sf_dir):
 
 
 @plan(f"""WITH p AS (SELECT conv_id, turn, text || CASE turn % 3 WHEN 0 THEN ' see {{repo_deps}}' WHEN 1 THEN ' Pip' ELSE '' END AS p, CASE WHEN conv_id % 2 = 0 THEN role || ' 1.0' ELSE '' END AS d FROM conversations)
-SELECT conv_id, turn, {_ANY('lower(p)', t.DEPENDENCY_WORDS)} AS asks, md5(CASE WHEN d <> '' AND {_ANY('lower(p)', t.DEPENDENCY_WORDS)} THEN replace(p, '{{repo_deps}}', d) WHEN d <> '' THEN p ELSE replace(p, '{{repo_deps}}', '{t.NO_DEPENDENCIES}') END) AS filled FROM p""")
+SELECT conv_id, turn, {_ASKS_SQL} AS asks, md5(CASE WHEN d <> '' AND {_ASKS_SQL} THEN replace(p, '{{repo_deps}}', d) WHEN d <> '' THEN p ELSE replace(p, '{{repo_deps}}', 'No dependency files found!') END) AS filled FROM p""")
 def needs_dependencies(spark, sf_dir):
     p = F.concat("text", F.when(F.col("turn") % 3 == 0, " see {repo_deps}").when(F.col("turn") % 3 == 1, " Pip").otherwise(""))
     d = F.when(F.col("conv_id") % 2 == 0, F.concat("role", F.lit(" 1.0"))).otherwise("")
