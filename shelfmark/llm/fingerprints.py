@@ -75,7 +75,7 @@ def bins(hashes: Column) -> Column:
         value = F.transform(first, lambda v: F.when(v.bitwiseAND(low) == low, None).otherwise(v.bitwiseAND(low)))
         return let(value, lambda x: F.concat(F.slice(x, BINS // 2 + 1, BINS // 2), F.slice(x, 1, BINS // 2)))
 
-    return let(hashes, lambda h: F.when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(let(F.array_sort(F.concat(h, marks)), least)))
+    return let(hashes, lambda h: F.when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(let(F.sort_array(F.concat(h, marks)), least)))
 
 
 def densified(found: Column) -> Column:
