@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tomllib
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -219,40 +220,67 @@ def _tokens(chars: Column) -> Column:
     return F.floor(chars / F.lit(CHARS_PER_TOKEN)).cast("long")
 
 
-def pack_batches(files: DataFrame, budget: int = BATCH_TOKENS) -> DataFrame:
+def pack_batches(files: DataFrame, budget: int = BATCH_TOKENS, fan_in: int = 64) -> DataFrame:
     """repo_name, language, dep_type, pattern_ordinal, full_path, sub_batch, batch_tokens for every file.
 
     A language that fits the budget is one batch, estimated by its formatted text. Else its
     files are walked in order and a batch ends before the file that would exceed the budget; a
-    file above it stands alone. Only counts of characters are moved, never texts; the walk has a
-    reset, which no window frame expresses. Files are sorted into parts; where a language spans
-    several, each part says what leaves it for any count of tokens that enters, and the driver
-    hands on (tokens held, batch) from part to part.
+    file above it stands alone; a file without content counts nothing. Texts are read once, to be
+    counted; from there on only counts move. The walk has a reset, which no window frame expresses:
+    files are sorted into parts, and where a language spans several, each part says what leaves it
+    for any count of tokens that enters. Such answers are joined ``fan_in`` parts at a time, so
+    that a task holds at most ``fan_in`` times the files that fit in one budget.
     """
+    spark = files.sparkSession
     kind = F.when(F.col("dep_type") == "production", 0).otherwise(1)
     chars = F.length(F.concat(F.lit("**File:** `"), "full_path", F.lit("`\n```\n"), "content", F.lit("\n```\n")))
     shown = F.length(_block(F.col("full_path"), F.col("content"))) + 1
-    slim = files.select("repo_name", "language", "dep_type", "pattern_ordinal", "full_path", kind.alias("kind"), _tokens(chars).alias("tokens"), shown.alias("shown"))
+    keep = ["repo_name", "language", "dep_type", "pattern_ordinal", "full_path"]
+    path = shared_path(spark, "file-sizes")
+    files.select(*keep, kind.alias("kind"), F.coalesce(_tokens(chars), F.lit(0)).alias("tokens"), shown.alias("shown")).write.parquet(path)
+    slim = spark.read.parquet(path)
     heads = F.max(F.when(F.col("kind") == 0, len(_HEAD["production"]) + 1).otherwise(0)) + F.max(F.when(F.col("kind") == 1, len(_HEAD["dev"]) + 1).otherwise(0))
     total = slim.groupBy("repo_name", "language").agg(_tokens(F.sum("shown") + heads + F.lit(len(_OPEN) + 1 + 6) + F.length(F.col("language")) - 1).alias("language_tokens"))
     sized = slim.join(total, ["repo_name", "language"])
     fits = F.col("language_tokens") <= budget
-    keep = ["repo_name", "language", "dep_type", "pattern_ordinal", "full_path"]
     small = sized.filter(fits).select(*keep, F.lit(0).alias("sub_batch"), F.col("language_tokens").alias("batch_tokens"))
 
     place, one = ["repo_name", "language", "kind", "pattern_ordinal", "full_path"], ["repo_name", "language", "part"]
-    sorted_ = sized.filter(~fits).select(*keep, "kind", "tokens").repartitionByRange(*place).withColumn("part", F.spark_partition_id())
-    path = shared_path(files.sparkSession, "sorted-files")
-    sorted_.write.parquet(path)
-    parts = files.sparkSession.read.parquet(path)
+    path = shared_path(spark, "sorted-files")
+    sized.filter(~fits).select(*keep, "kind", "tokens").repartitionByRange(*place).withColumn("part", F.spark_partition_id()).write.parquet(path)
+    parts = spark.read.parquet(path)
+    # Fewer languages than parts go on from one part to the next.
     several = parts.groupBy("repo_name", "language").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a < b").select("repo_name", "language")
-    schema = StructType([*(parts.schema[c] for c in one), *StructType.fromDDL("first long, before long, until long, held long, batches long, last boolean").fields])
-    leaving = parts.join(F.broadcast(several), ["repo_name", "language"]).groupBy(*one).applyInPandas(_leaving(budget), schema)
-    entering = _hand_on(leaving.collect(), budget)
-    state = StructType([*(parts.schema[c] for c in one), *StructType.fromDDL("held long, batch int, entry_total long, exit_total long").fields])
-    handed = files.sparkSession.createDataFrame(entering, state)
-    large = parts.join(F.broadcast(handed), one, "left").groupBy(*one).applyInPandas(_walk(budget, place, [*keep, "sub_batch", "batch_tokens"]), small.schema)
-    return small.unionByName(large)
+    entering = _entering(parts, several, budget, fan_in)
+    numbered = parts.join(F.broadcast(entering), one, "left").groupBy(*one).applyInPandas(_walk(budget, place, [*keep, "tokens", "sub_batch"]), StructType([*(parts.schema[c] for c in [*keep, "tokens"]), *StructType.fromDDL("sub_batch int").fields]))
+    batch = Window.partitionBy("repo_name", "language", "sub_batch")
+    return small.unionByName(numbered.withColumn("batch_tokens", F.sum("tokens").over(batch)).drop("tokens"))
+
+
+def _entering(parts: DataFrame, several: DataFrame, budget: int, fan_in: int) -> DataFrame:
+    """repo_name, language, part, held, batch: the tokens that the open batch holds where a part begins, and its number.
+
+    Up: what leaves a part becomes what leaves ``fan_in`` parts in a row, until ``fan_in`` rows of parts are left.
+    Down: what enters a row of parts becomes what enters each of them. The first file of all finds a full batch -1.
+    """
+    spark = parts.sparkSession
+    key, up = [parts.schema[c] for c in ("repo_name", "language")], F.floor(F.col("node") / fan_in).alias("up")
+    table = StructType([*key, *StructType.fromDDL("node long, until long, held long, batches long, last boolean").fields])
+    state = StructType([*key, *StructType.fromDDL("node long, held_before long, batch_before int").fields])
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    levels = [parts.join(F.broadcast(several), ["repo_name", "language"]).groupBy("repo_name", "language", "part").applyInPandas(_leaving(budget), table)]
+    while slices > fan_in:
+        path = shared_path(spark, "leaving")
+        levels[-1].write.parquet(path)
+        levels[-1] = spark.read.parquet(path)
+        levels.append(levels[-1].groupBy("repo_name", "language", up).applyInPandas(_in_a_row(budget, fan_in), table))
+        slices = -(-slices // fan_in)
+    states = several.select("repo_name", "language", F.lit(0).cast("long").alias("up"), F.lit(budget + 1).cast("long").alias("held_before"), F.lit(-1).alias("batch_before"))
+    for level in reversed(levels):
+        # One state a row of parts: fewer than there are parts.
+        asked = level.withColumn("up", F.floor(F.col("node") / fan_in)).join(F.broadcast(states), ["repo_name", "language", "up"])
+        states = asked.groupBy("repo_name", "language", "up").applyInPandas(_before_each(budget), state).withColumnRenamed("node", "up")
+    return states.select("repo_name", "language", F.col("up").cast("int").alias("part"), "held_before", "batch_before")
 
 
 def _starts(tokens, budget: int):
@@ -262,10 +290,42 @@ def _starts(tokens, budget: int):
     return sums, after
 
 
+class _Leaving(NamedTuple):
+    """What leaves some files: the first ``until`` that does not fit beside the tokens that enter gives the tokens held and batches started; if all fit, ``total`` is added and no batch starts."""
+
+    until: np.ndarray
+    held: np.ndarray
+    batches: np.ndarray
+    total: int
+
+    def through(self, held, budget: int):
+        at = np.searchsorted(self.until, budget - held, side="right")
+        found, at = at < len(self.until), np.minimum(at, len(self.until) - 1)
+        return np.where(found, self.held[at], held + self.total), np.where(found, self.batches[at], 0)
+
+    def frame(self, group: pd.DataFrame, node: int) -> pd.DataFrame:
+        """As rows, the last for the total; neighbours with one outcome are one row."""
+        until, held, batches = self.until, self.held, self.batches
+        rises = np.concatenate([[True], until[1:] > until[:-1]])
+        until, held, batches = until[rises], held[rises], batches[rises]
+        ends = np.concatenate([(held[1:] != held[:-1]) | (batches[1:] != batches[:-1]), [True]])
+        n = int(ends.sum())
+        rows = {"until": [*until[ends], 0], "held": [*held[ends], self.total], "batches": [*batches[ends], 0], "last": [False] * n + [True]}
+        return pd.DataFrame({"repo_name": group["repo_name"].iloc[0], "language": group["language"].iloc[0], "node": node, **rows})
+
+
+def _nodes(group: pd.DataFrame):
+    """(node, what leaves it) in order."""
+    for node, rows in group.sort_values(["node", "last", "until"]).groupby("node", sort=True):
+        inner = rows[~rows["last"]]
+        yield node, _Leaving(*(inner[c].to_numpy(np.int64) for c in ("until", "held", "batches")), int(rows["held"].iloc[-1]))
+
+
 def _leaving(budget: int):
-    """For each file of a part that can be the first to start a batch there: the sums before and with it, the tokens held at the part's end and the batches started; last, a row for none."""
+    """What leaves a part: a row for each of its files that can be the first to start a batch there."""
 
     def leaving(group: pd.DataFrame) -> pd.DataFrame:
+        part = int(group["part"].iloc[0])
         group = group.sort_values(["kind", "pattern_ordinal", "full_path"], kind="stable")
         sums, after = _starts(group["tokens"], budget)
         n = len(after)
@@ -276,35 +336,44 @@ def _leaving(budget: int):
             else:
                 held[i] = sums[n] - sums[i]
         m = min(int(np.searchsorted(sums[1:], budget, side="right")) + 1, n)
-        rows = [(i, int(sums[i]), int(sums[i + 1]), int(held[i]), int(batches[i]), False) for i in range(m)] + [(n, int(sums[n]), int(sums[n]), int(sums[n]), 0, True)]
-        out = pd.DataFrame(rows, columns=["first", "before", "until", "held", "batches", "last"])
-        for i, c in enumerate(("repo_name", "language", "part")):
-            out.insert(i, c, group[c].iloc[0])
-        return out
+        return _Leaving(sums[1 : m + 1], held[:m], batches[:m], int(sums[n])).frame(group, part)
 
     return leaving
 
 
-def _hand_on(leaving: list, budget: int) -> list[tuple]:
-    """repo_name, language, part, tokens held and batch on entry, and the tokens of the part's first and last batch."""
-    parts: dict = {}
-    for r in leaving:
-        parts.setdefault((r["repo_name"], r["language"]), {}).setdefault(r["part"], []).append(r)
-    out = []
-    for (repo, language), of in parts.items():
-        held, batch, totals, seen = 0, 0, {}, []
-        for i, part in enumerate(sorted(of)):
-            rows = sorted(of[part], key=lambda r: r["first"])
-            # The very first file starts batch 0; a batch that is held ends before the file that exceeds the budget.
-            r = rows[0] if i == 0 else next(r for r in rows if r["last"] or held + r["until"] > budget)
-            new = batch + r["batches"] - (i == 0)
-            if i and not r["last"]:
-                totals[batch] = held + r["before"]
-            seen.append((part, held if i else None, batch, new))
-            held, batch = held + r["held"] if r["last"] else r["held"], new
-        totals[batch] = held
-        out += [(repo, language, part, h, b, totals.get(b), totals.get(e)) for part, h, b, e in seen]
-    return out
+def _in_a_row(budget: int, fan_in: int):
+    """What leaves the nodes of a group, one after the other, as one node."""
+
+    def in_a_row(group: pd.DataFrame) -> pd.DataFrame:
+        found, node = None, 0
+        for node, then in _nodes(group):
+            if found is None:
+                found = then
+                continue
+            held, more = then.through(found.held, budget)
+            # Files beyond the first that exceeds the budget are never the first to start a batch.
+            m = int(np.searchsorted(then.until, budget - found.total, side="right")) + 1 if found.total <= budget else 0
+            found = _Leaving(
+                np.concatenate([found.until, found.total + then.until[:m]]), np.concatenate([held, then.held[:m]]),
+                np.concatenate([found.batches + more, then.batches[:m]]), found.total + then.total,
+            )
+        return found.frame(group, int(node) // fan_in)
+
+    return in_a_row
+
+
+def _before_each(budget: int):
+    """What enters each node of a group, from what enters the first."""
+
+    def before_each(group: pd.DataFrame) -> pd.DataFrame:
+        held, batch, out = int(group["held_before"].iloc[0]), int(group["batch_before"].iloc[0]), []
+        for node, then in _nodes(group):
+            out.append((group["repo_name"].iloc[0], group["language"].iloc[0], int(node), held, batch))
+            held, more = (int(v) for v in then.through(held, budget))
+            batch += more
+        return pd.DataFrame(out, columns=["repo_name", "language", "node", "held_before", "batch_before"])
+
+    return before_each
 
 
 def _walk(budget: int, place: list[str], columns: list[str]):
@@ -312,19 +381,13 @@ def _walk(budget: int, place: list[str], columns: list[str]):
         group = group.sort_values(place[2:], kind="stable")
         sums, after = _starts(group["tokens"], budget)
         n, r = len(after), group.iloc[0]
-        handed = not pd.isna(r["batch"])
-        batch, at = (int(r["batch"]) if handed else 0), 0
-        of, totals = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int64)
-        if handed and not pd.isna(r["held"]):
-            at = int(np.searchsorted(sums[1:], budget - int(r["held"]), side="right"))
-            of[:at], totals[:at] = batch, int(r["entry_total"])
-            batch += 1
+        held, batch = (budget + 1, -1) if pd.isna(r["batch_before"]) else (int(r["held_before"]), int(r["batch_before"]))
+        at = int(np.searchsorted(sums[1:], budget - held, side="right"))
+        of = np.full(n, batch, dtype=np.int32)
         while at < n:
-            end = min(int(after[at]), n)
-            whole = int(r["exit_total"]) if handed and end == n else sums[end] - sums[at]
-            of[at:end], totals[at:end] = batch, whole
-            batch, at = batch + 1, end
-        group["sub_batch"], group["batch_tokens"] = of, totals
+            batch, end = batch + 1, int(after[at])
+            of[at:end], at = batch, end
+        group["sub_batch"] = of
         return group[columns]
 
     return walk

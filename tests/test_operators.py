@@ -145,11 +145,11 @@ def test_batches_over_several_parts(spark):
     rng = random.Random(1)
     schema = "repo_name string, language string, dep_type string, pattern_ordinal int, full_path string, content string"
     rows = [(f"r{k % 2}", "Go", rng.choice(("production", "dev")), rng.randrange(3), f"/{k:05d}", "x" * rng.choice((0, 5, 40, 40, 90, 400, 2_000))) for k in range(900)]
-    for budget, aqe in ((100, "false"), (3_000, "false"), (40_000, "false"), (100, "true")):
+    for budget, aqe, fan_in in ((100, "false", 64), (3_000, "false", 2), (40_000, "false", 2), (40_000, "false", 64), (100, "true", 64), (700, "false", 3)):
         spark.conf.set("spark.sql.adaptive.enabled", aqe)
         spark.conf.set("spark.sql.shuffle.partitions", "9")
         try:
-            got = {r["full_path"]: (r["sub_batch"], r["batch_tokens"]) for r in manifests.pack_batches(spark.createDataFrame(rows, schema), budget).collect()}
+            got = {r["full_path"]: (r["sub_batch"], r["batch_tokens"]) for r in manifests.pack_batches(spark.createDataFrame(rows, schema), budget, fan_in).collect()}
         finally:
             spark.conf.set("spark.sql.adaptive.enabled", "true")
             spark.conf.set("spark.sql.shuffle.partitions", "4")
