@@ -66,8 +66,9 @@ def test_mixing_targets_and_totals(docs):
     assert sorted(map(key, rows)) == sorted(map(key, mixing.mix(docs.repartition(7)).collect()))
 
 
-def test_mixing_tree_of_small_leaves(docs):
+def test_mixing_tree_of_small_leaves(docs, monkeypatch):
     """With leaves of four rows the tree has several levels, and copies still sum to their expectation."""
+    monkeypatch.setattr(mixing, "LARGE", 1)
     rows = mixing.mix(docs, leaf=4).collect()
     for s in {r["source"] for r in rows}:
         mine = [r for r in rows if r["source"] == s]
@@ -75,6 +76,32 @@ def test_mixing_tree_of_small_leaves(docs):
         assert abs(sum(r["copies"] for r in mine) - expected) < 1 + 1e-6
 
 
+def test_mixing_of_large_documents_keeps_to_the_words(spark):
+    """Two documents that hold most of their source's words, beside small ones, and sources of few documents."""
+    rows = [(k, "w " * n, "a") for k, n in enumerate([3_000, 2_000, *range(1, 61)])] + [(100 + k, "w " * (k % 90 + 5), s) for k in range(400) for s in ("b", "c", None)[k % 3 : k % 3 + 1]]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s in ("a", "b", "c", None):
+        mine = [r for r in mixed if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= (60 if s == "a" else 95)
+    assert all(r["copies"] <= 3 for r in mixed)
+
+
+@given(st.lists(st.integers(1, 5_000), max_size=12), st.integers(0, 20_000), st.floats(0.001, 0.999), st.integers(0, 1 << 60))
+@settings(max_examples=120, deadline=None)
+def test_large_documents_keep_the_sum_of_words(sizes, below, fraction, seed):
+    sizes = sorted(sizes, reverse=True)
+    found, rest = mixing.settle_large(sizes, [seed + 7919 * i for i in range(len(sizes))], below, fraction)
+    assert sum(f * n for f, n in zip(found, sizes)) + rest * below == pytest.approx(fraction * (sum(sizes) + below), abs=1e-6)
+    assert 0 <= rest <= 1 and all(0 <= f <= 1 for f in found)
+    assert sum(1 for f in found if 1e-9 < f < 1 - 1e-9) <= 1
+
+
+def test_large_documents_keep_their_expectation():
+    sizes, below = [900, 500, 400, 60], 700
+    runs = [mixing.settle_large(sizes, [k * 101 + i for i in range(4)], below, 0.3) for k in range(4000)]
+    assert np.allclose(np.mean([f for f, _ in runs], axis=0), 0.3, atol=0.03) and abs(np.mean([r for _, r in runs]) - 0.3) < 0.03
+
+
 @given(st.lists(st.integers(0, mixing.UNIT - 1), max_size=40), st.integers(0, 5))
 @settings(max_examples=60, deadline=None)
 def test_pivot_keeps_the_sum(mass, level):
