@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import fingerprints, html, langid, lines, media, mixing, packing, quality, simhash, urls
+from shelfmark.llm import fingerprints, html, jaccard, langid, lines, media, merkle, mixing, packing, quality, simhash, urls
 from shelfmark.llm.common import table
 
 
@@ -50,6 +50,14 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,6 +76,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_media_columns": op10_media_columns,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op13_jaccard_join": op13_jaccard_join,
         "pipeline": pipeline,
     }
 
