@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import fingerprints, html, jaccard, langid, lines, media, merkle, mixing, packing, quality, simhash, urls
+from shelfmark.llm import collocations, fingerprints, html, jaccard, langid, lines, media, merkle, mixing, packing, quality, simhash, urls
 from shelfmark.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -77,10 +81,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_media_columns": op10_media_columns,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_phrase_collocations": op12_phrase_collocations,
         "op13_jaccard_join": op13_jaccard_join,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": lines.LINE_REPORT_SQL}
+    return {"op5_line_dedup": lines.LINE_REPORT_SQL, "op12_phrase_collocations": collocations.COLLOCATIONS_SQL}
