@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.digest import md5_of_pieces
+from shelfmark.operators import dependencies as dep
 from shelfmark.operators import files as f
 from shelfmark.operators import manifests as m
 from shelfmark.sources import files as src
@@ -153,13 +154,49 @@ def number_batches(spark, sf_dir):
     return m.number_batches(m.pack_batches(dependency_files(spark, sf_dir), BUDGET)).withColumn("batch_index", F.col("batch_index").cast("long"))
 
 
-def dependencies(spark, sf_dir: str) -> DataFrame:
-    """Parts stand for dependencies of their suppliers."""
+def manifest_texts(spark, sf_dir: str) -> DataFrame:
+    """Suppliers as repositories whose manifests, of four formats in turn, list the parts that they sold: a file for each return flag and status. Every ninth file is cut off, which only some formats notice."""
     li = _read(spark, sf_dir, "lineitem").join(_read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return li.select(F.col("l_suppkey").alias("repo_name"), F.concat("p_brand", F.lit("-"), F.col("p_size").cast("string")).alias("name"), F.col("l_returnflag").alias("full_path"), F.when(F.col("l_linestatus") == "O", "production").otherwise("dev").alias("dep_type"))
+    sold = li.select(F.col("l_suppkey").alias("repo_name"), F.col("l_returnflag").alias("flag"), (F.col("l_linestatus") == "F").alias("dev"), F.concat(F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit("-"), F.col("p_size").cast("string")).alias("name"), F.col("p_size").cast("string").alias("size")).distinct()
+    kind = F.col("repo_name") % 4
+    line = (
+        F.when(kind == 0, F.concat("name", F.lit("=="), "size", F.lit(".0")))
+        .when(kind == 1, F.concat(F.lit('"'), "name", F.lit('": "^'), "size", F.lit('.0"')))
+        .when(kind == 2, F.concat(F.lit("<dependency><groupId>g</groupId><artifactId>"), "name", F.lit("</artifactId><version>"), "size", F.lit(".0</version>"), F.when(F.col("dev"), "<scope>test</scope>").otherwise(""), F.lit("</dependency>")))
+        .otherwise(F.concat("name", F.lit(' = { version = "'), "size", F.lit('.0" }')))
+    )
+    files = sold.groupBy("repo_name", "flag", "dev").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    joined = lambda sep: F.array_join("lines", sep)
+    name = F.when(kind == 0, F.when(F.col("dev"), "requirements-dev.txt").otherwise("requirements.txt")).when(kind == 1, "package.json").when(kind == 2, "pom.xml").otherwise("Cargo.toml")
+    text = (
+        F.when(kind == 0, joined("\n"))
+        .when(kind == 1, F.concat(F.when(F.col("dev"), '{"devDependencies": {').otherwise('{"dependencies": {'), joined(", "), F.lit("}}")))
+        .when(kind == 2, F.concat(F.lit("<project><dependencies>"), joined(""), F.lit("</dependencies></project>")))
+        .otherwise(F.concat(F.when(F.col("dev"), "[dev-dependencies]\n").otherwise("[dependencies]\n"), joined("\n")))
+    )
+    whole = F.when(F.col("repo_name") % 9 == 5, F.substring(text, 1, 20)).otherwise(text)
+    return files.select(F.col("repo_name").cast("string").alias("repo_name"), F.concat("flag", F.when(F.col("dev"), "/dev/").otherwise("/"), name).alias("path"), whole.alias("content"))
+
+
+def dependencies(spark, sf_dir: str) -> DataFrame:
+    return dep.read_dependencies(manifest_texts(spark, sf_dir).filter("cast(repo_name as long) % 9 <> 5")).filter("error IS NULL")
+
+
+_SOLD = """WITH sold AS (SELECT DISTINCT l_suppkey AS k, l_returnflag AS flag, l_linestatus = 'F' AS dev, replace(p_brand, '#', '_') || '-' || p_size AS plain, p_size FROM lineitem JOIN part ON l_partkey = p_partkey),
+deps AS (SELECT k, CAST(k AS VARCHAR) AS repo_name, '/' || flag || CASE WHEN dev THEN '/dev/' ELSE '/' END || CASE k % 4 WHEN 0 THEN CASE WHEN dev THEN 'requirements-dev.txt' ELSE 'requirements.txt' END WHEN 1 THEN 'package.json' WHEN 2 THEN 'pom.xml' ELSE 'Cargo.toml' END AS full_path,
+CASE WHEN dev THEN 'dev' ELSE 'production' END AS dep_type, CASE WHEN k % 4 = 2 THEN 'g:' ELSE '' END || plain AS name, CASE k % 4 WHEN 0 THEN '==' WHEN 1 THEN '^' ELSE '' END AS operator, p_size || '.0' AS version FROM sold)
+"""
+
+
+@plan(_SOLD + """, whole AS (SELECT repo_name, full_path, dep_type, name, operator || version AS "constraint", operator, version, NULL AS error FROM deps WHERE k % 9 <> 5),
+cut AS (SELECT DISTINCT k, repo_name, full_path FROM deps WHERE k % 9 = 5 AND k % 4 <> 0)
+SELECT * FROM whole UNION ALL SELECT repo_name, full_path, 'production', NULL, NULL, NULL, NULL, 'cannot be read: ' || string_split(full_path, '/')[-1] FROM cut""")
+def read_dependencies(spark, sf_dir):
+    """Rows of whole manifests, and an error for each that is cut off (a requirements file has no end to miss, so those are left whole or out)."""
+    return dep.read_dependencies(manifest_texts(spark, sf_dir).filter("cast(repo_name as long) % 9 <> 5 or cast(repo_name as long) % 4 <> 0"))
 
 
-_DEP = "WITH deps AS (SELECT l_suppkey AS repo_name, p_brand || '-' || p_size AS name, l_returnflag AS full_path, CASE WHEN l_linestatus = 'O' THEN 'production' ELSE 'dev' END AS dep_type FROM lineitem JOIN part ON l_partkey = p_partkey), n AS (SELECT *, regexp_replace(lower(name), '[-_. ]', '', 'g') AS dependency FROM deps) "
+_DEP = _SOLD + ", n AS (SELECT *, regexp_replace(lower(name), '[-_. ]', '', 'g') AS dependency FROM deps WHERE k % 9 <> 5) "
 
 
 @plan(_DEP + "SELECT repo_name, dependency, string_agg(DISTINCT full_path, ',' ORDER BY full_path) AS paths, bool_or(dep_type = 'production') AS is_production FROM n GROUP BY 1, 2")
@@ -167,9 +204,9 @@ def dependency_catalog(spark, sf_dir):
     return m.dependency_catalog(dependencies(spark, sf_dir)).withColumn("paths", F.array_join("paths", ","))
 
 
-@plan(_DEP + ", cat AS (SELECT DISTINCT regexp_replace(lower(p_brand || '_' || p_size), '[-_. ]', '', 'g') AS dependency, p_type AS technology FROM part) SELECT repo_name, technology, CAST(count(*) AS BIGINT) AS uses FROM n JOIN cat USING (dependency) GROUP BY 1, 2")
+@plan(_DEP + ", cat AS (SELECT DISTINCT regexp_replace(lower(replace(p_brand, '#', '') || '_' || p_size), '[-_. ]', '', 'g') AS dependency, p_type AS technology FROM part) SELECT repo_name, technology, CAST(count(*) AS BIGINT) AS uses FROM n JOIN cat USING (dependency) GROUP BY 1, 2")
 def detect_technologies(spark, sf_dir):
-    catalogue = _read(spark, sf_dir, "part").select(F.concat("p_brand", F.lit("_"), F.col("p_size").cast("string")).alias("name"), F.col("p_type").alias("technology"))
+    catalogue = _read(spark, sf_dir, "part").select(F.concat(F.replace("p_brand", F.lit("#"), F.lit("")), F.lit("_"), F.col("p_size").cast("string")).alias("name"), F.col("p_type").alias("technology"))
     return m.detect_technologies(dependencies(spark, sf_dir), catalogue)
 
 
