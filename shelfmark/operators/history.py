@@ -1,6 +1,6 @@
 """Investigation history: the latest runs, and what must be run again.
 
-History is append-only and has no expiry. Times are seconds since 1970; ``now`` is always
+Saves of one repository and time replace each other; history has no expiry. Times are seconds since 1970; ``now`` is always
 an argument. ``state`` holds the present commit and branch of each repository.
 """
 
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import DAY_SECONDS
+from shelfmark.sources.keyed import upsert
 
 KEY, AT, COMMIT, BRANCH, KIND = "repository_name", "analysis_timestamp", "latest_commit", "branch_name", "analysis_type"
 
@@ -115,10 +116,13 @@ def history_rows(runs: DataFrame, now: int, ttl_days: int = 90) -> DataFrame:
     )
 
 
+#: What makes two saves of history the same.
+HISTORY_KEYS = [KEY, AT]
+
+
 def append_history(runs: DataFrame, path: str, now: int, ttl_days: int = 90) -> None:
-    """Appends finished runs to the history table, a folder a day."""
-    rows = history_rows(runs, now, ttl_days)
-    rows.withColumn("date", F.to_date("created_at")).write.mode("append").partitionBy("date").parquet(path)
+    """Saves finished runs in the history table, which has one row for each repository and time: the same run again replaces its row."""
+    upsert(history_rows(runs, now, ttl_days), path, HISTORY_KEYS, [F.col("updated_at"), F.col(COMMIT)])
 
 
 #: Rules a row must meet: table of (column, rule name, condition that breaks it, other columns that it reads).

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.text import ttl_at
 from shelfmark.functions.text import not_expired as _not_expired
+from shelfmark.sources.keyed import upsert
 
 KEYS = ["repo_name", "step_name", "commit_sha", "prompt_version"]
 UNORDERED = 999
@@ -61,9 +62,8 @@ def result_rows(outcomes: DataFrame, now: int, ttl_days: int = 90) -> DataFrame:
 
 
 def append_results(outcomes: DataFrame, path: str, now: int, ttl_days: int = 90) -> None:
-    """Appended by date; what expired can go by folder."""
-    rows = result_rows(outcomes, now, ttl_days).withColumn("date", F.to_date(F.timestamp_seconds("created_at")))
-    rows.write.mode("append").partitionBy("date").parquet(path)
+    """Saves finished tasks in the table of results, which has one row for each repository, step, commit and prompt version: a later result replaces an earlier one."""
+    upsert(result_rows(outcomes, now, ttl_days), path, KEYS, [F.col("created_at"), F.col("content")])
 
 
 def step_context(edges: DataFrame, results: DataFrame) -> DataFrame:

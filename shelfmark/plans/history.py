@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.operators import history as h
+from shelfmark.sources.keyed import read_keyed
 from shelfmark.sources.shared import shared_path
 
 PLANS: dict = {}
@@ -173,15 +174,17 @@ def validate_rows(spark, sf_dir):
     return h.validate_rows(rows)
 
 
-@plan("""SELECT CAST(o_orderkey AS VARCHAR) AS repository_name, CAST(1706659200 AS BIGINT) AS analysis_timestamp, printf('%012d', o_orderkey) AS latest_commit, o_orderpriority AS branch_name, 1 AS prompt_count, 'all=' || (o_shippriority_x) AS versions, CAST(1706659200 + 90 * 86400 AS BIGINT) AS ttl_at FROM (SELECT *, 1 + o_orderkey % 3 AS o_shippriority_x FROM orders)""")
+@plan("""SELECT CAST(o_orderkey AS VARCHAR) AS repository_name, CAST(1706659200 AS BIGINT) AS analysis_timestamp, printf('%012d', o_orderkey) AS latest_commit, o_orderpriority AS branch_name, 1 AS prompt_count, 'all=' || o_shippriority_x AS versions, CAST(1706659200 + 90 * 86400 AS BIGINT) AS ttl_at FROM (SELECT *, CASE WHEN o_orderkey % 4 = 2 THEN 9 ELSE 1 + o_orderkey % 3 END AS o_shippriority_x FROM orders)""")
 def append_history(spark, sf_dir):
-    """Appended in two runs and read back."""
+    """Saved in three runs, of which the last repeats some of the first with other versions, and read back: one row a key."""
     o = _read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("string").alias("repo_name"), F.lit("https://x").alias("repo_url"), F.format_string("%012d", "o_orderkey").alias("commit_sha"), F.col("o_orderpriority").alias("branch_name"),
         F.array(F.struct(F.lit("all").alias("prompt"), (1 + F.col("o_orderkey") % 3).cast("string").alias("version"))).alias("prompt_versions"), F.col("o_orderstatus").alias("analysis_summary"),
     )
     path = shared_path(spark, "history")
-    for rest in (0, 1):
-        h.append_history(o.filter(F.col("repo_name").cast("long") % 2 == rest), path, 1_706_659_200)
-    rows = spark.read.parquet(path)
+    number = F.col("repo_name").cast("long")
+    other = F.array(F.struct(F.lit("all").alias("prompt"), F.lit("9").alias("version")))
+    for runs in (o.withColumn("prompt_versions", other).filter(number % 2 == 0), o.filter(number % 2 == 1), o.filter(number % 4 == 0)):
+        h.append_history(runs, path, 1_706_659_200)
+    rows = read_keyed(spark, path)
     return rows.select(h.KEY, h.AT, h.COMMIT, h.BRANCH, "prompt_count", F.concat(F.lit("all="), F.try_element_at("prompt_versions", F.lit("all"))).alias("versions"), "ttl_at")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import documents as d
 from shelfmark.operators import results as r
+from shelfmark.sources.keyed import read_keyed
 from shelfmark.sources.shared import shared_path
 
 PLANS: dict = {}
@@ -73,12 +74,14 @@ def force_section(spark, sf_dir):
     return r.cache_lookup(tasks(spark, sf_dir), results(spark, sf_dir), NOW, forced="click")
 
 
-@plan(_R + f"SELECT repo_name, step_name, commit_sha, prompt_version, step_name || ' done' AS content, CAST({NOW} AS BIGINT) AS created_at, CAST({NOW} + 90 * 86400 AS BIGINT) AS ttl_at FROM tasks")
+@plan(_R + f"SELECT repo_name, step_name, commit_sha, prompt_version, CASE WHEN CAST(repo_name AS BIGINT) % 2 = 0 THEN step_name || ' done' ELSE 'first' END AS content, {NOW} - CASE WHEN CAST(repo_name AS BIGINT) % 2 = 0 THEN 0 ELSE 5 END AS created_at, {NOW} - CASE WHEN CAST(repo_name AS BIGINT) % 2 = 0 THEN 0 ELSE 5 END + 90 * 86400 AS ttl_at FROM tasks")
 def append_results(spark, sf_dir):
-    """Appended as a dated table and read back."""
+    """Saved twice, the second time half of the tasks with another result, and read back: one row a key."""
     path = shared_path(spark, "results")
-    r.append_results(tasks(spark, sf_dir).withColumn("content", F.concat("step_name", F.lit(" done"))), path, NOW)
-    return spark.read.parquet(path).drop("date")
+    done = tasks(spark, sf_dir).withColumn("content", F.concat("step_name", F.lit(" done")))
+    r.append_results(done.withColumn("content", F.lit("first")), path, NOW - 5)
+    r.append_results(done.filter("cast(repo_name as long) % 2 = 0"), path, NOW)
+    return read_keyed(spark, path)
 
 
 # ---- steps and sections ------------------------------------------------------
