@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import section_heading
-from shelfmark.sources.shared import shared_path
+from shelfmark.sources.document_files import FORMAT, register
+from shelfmark.sources.shared import discard, shared_path
 
 #: What a section says when it found nothing.
 ABSENT = (
@@ -42,33 +41,34 @@ def saved_documents(documents: DataFrame) -> DataFrame:
     return full.select(F.concat("repo_name", F.lit(SUFFIX)).alias("file_name"), "document")
 
 
-def write_documents(documents: DataFrame, path: str) -> DataFrame:
-    """Writes each document to a file of its own below ``path`` and returns the list of files, a written table.
+def file_names(saved: DataFrame) -> DataFrame:
+    """Names without folders: slashes become underscores, for a document is one file of one folder."""
+    return saved.withColumn("file_name", F.regexp_replace("file_name", r"[/\\\\]", "_"))
+
 
-    ``path`` is a folder that the executors share, as a URI or a path. A file is written under another name and then
-    moved, so a task that runs again replaces what it wrote. A name's slashes become underscores, for it is one file.
+def write_documents(documents: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
+    """Writes each document to a file of its own below ``path``, a folder that the executors share, and returns the list of files, a written table.
+
+    Names that are the same, or become the same as files, are an error before anything is written. Files appear when all tasks
+    have succeeded; a file of an earlier run with the same name is replaced, with ``overwrite`` all others go. The sink counts the files of
+    every task before it moves them, so the list is what is on disk.
     """
     spark = documents.sparkSession
-    saved = saved_documents(documents).withColumn("file_name", F.regexp_replace("file_name", r"[/\\\\]", "_"))
-    root = path if "://" in path or path.startswith("file:") else f"file://{path}"
-    root = root.replace("file:///", "/").replace("file:/", "/") if root.startswith("file:") else root
-
-    def save(batches):
-        from pyarrow import fs
-
-        system, base = fs.FileSystem.from_uri(root)
-        system.create_dir(base, recursive=True)
-        for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = f"{base}/.{name}-{uuid.uuid4().hex}"
-                with system.open_output_stream(part) as out:
-                    out.write(text.encode("utf-8"))
-                system.move(part, f"{base}/{name}")
-            yield batch.select(["file_name"])
-
+    named = file_names(saved_documents(documents))
+    # Texts are written once, so that the names that are checked are those of the files.
+    kept = shared_path(spark, "documents")
+    named.write.parquet(kept)
+    rows = spark.read.schema(named.schema).parquet(kept)
+    clashes = rows.groupBy("file_name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy("file_name").limit(10).collect()
+    if clashes:
+        discard(spark, kept)
+        raise ValueError("documents would overwrite each other: " + ", ".join(f"{r['file_name']} ({r['n']} times)" for r in clashes))
+    register(spark)
+    rows.write.format(FORMAT).mode("overwrite" if overwrite else "append").option("path", path).save()
     listed = shared_path(spark, "saved-files")
-    saved.select("file_name", "document").mapInArrow(save, "file_name string").write.parquet(listed)
-    return spark.read.parquet(listed)
+    rows.select("file_name").write.parquet(listed)
+    discard(spark, kept)
+    return spark.read.schema("file_name string").parquet(listed)
 
 
 def export_documents(documents: DataFrame, path: str) -> None:
@@ -85,9 +85,11 @@ def diff_documents(left: DataFrame, right: DataFrame, by: list[str]) -> DataFram
 
 
 def search_documents(sections: DataFrame, term: str) -> DataFrame:
-    """Sections that hold a term in any case, with the number of hits."""
+    """Sections that hold a term in any case, with the number of hits; the empty term finds nothing."""
+    if not term:
+        return sections.select("repo_name", "step_name", F.lit(0).cast("long").alias("hits")).limit(0)
     low = F.lower("content")
-    hits = ((F.length(low) - F.length(F.replace(low, F.lit(term.lower()), F.lit("")))) / len(term)).cast("long")
+    hits = ((F.length(low) - F.length(F.replace(low, F.lit(term.lower()), F.lit("")))) / len(term.lower())).cast("long")
     return sections.filter(low.contains(term.lower())).select("repo_name", "step_name", hits.alias("hits"))
 
 
