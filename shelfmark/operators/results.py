@@ -30,11 +30,23 @@ def plan_tasks(repos: DataFrame, steps: DataFrame) -> DataFrame:
     return repos.join(steps, "repo_type").drop("repo_type")
 
 
-def latest_result(results: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """The newest row of each key, expired or not."""
-    others = [c for c in results.columns if c not in keys]
-    newest = results.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct("created_at", "content")).alias("newest"))
-    return newest.select(*keys, *(F.col(f"newest.{c}").alias(c) for c in others))
+def latest_result(results: DataFrame, keys: list[str] = KEYS, wanted: DataFrame | None = None) -> DataFrame:
+    """The newest row of each key, expired or not; of those of ``wanted``'s keys only, if given. Of equal times the greatest content.
+
+    Keys and times come first: they are all that the aggregate reads and deals out. The rows that they name are joined then, so stored
+    texts move once at most, and not at all where the named keys are few enough to be broadcast.
+    """
+    stamp = F.coalesce("created_at", F.lit(-(1 << 63)))
+    stamps = results.select(*keys, stamp.alias("_stamp"))
+    if wanted is not None:
+        stamps = stamps.join(wanted.select(*keys), keys, "left_semi")
+    newest = stamps.groupBy(*keys).agg(F.max("_stamp").alias("_newest")).withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = stamp == F.col("_newest")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    ties = Window.partitionBy(*keys, "_newest").orderBy(F.desc("content"))
+    rows = results.join(newest, same).withColumn("_place", F.row_number().over(ties)).filter("_place = 1")
+    return rows.select(*keys, *(c for c in results.columns if c not in keys))
 
 
 def not_expired(rows: DataFrame, now: int, ttl: str = "ttl_at") -> DataFrame:
@@ -46,7 +58,7 @@ def cache_lookup(tasks: DataFrame, results: DataFrame, now: int, forced: str | N
 
     ``forced``: the step that is never taken from the cache.
     """
-    live = not_expired(latest_result(results), now).select(*KEYS, "content")
+    live = not_expired(latest_result(results, wanted=tasks), now).select(*KEYS, "content")
     found = tasks.join(live, KEYS, "left")
     hit = F.coalesce(F.col("content") != "", F.lit(False))
     if forced is not None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import documents as d
 from shelfmark.operators import results as r
+from shelfmark.operators import search
 from shelfmark.sources.keyed import read_keyed
 from shelfmark.sources.shared import shared_path
 
@@ -215,6 +216,25 @@ def search_documents(spark, sf_dir):
     return d.search_documents(sections(spark, sf_dir), "The")
 
 
+_HITS = "CAST((length(lower(content)) - length(replace(lower(content), '{0}', ''))) / {1} AS BIGINT)"
+
+
+@plan(_S + ", now AS (SELECT repo_name, step_name, CASE WHEN conv_id % 7 = 0 THEN 'entirely other words ' || turn ELSE content END AS content FROM sections)" + f"""
+SELECT 'the' AS term, repo_name, step_name, {_HITS.format('the', 3)} AS hits FROM now WHERE contains(lower(content), 'the')
+UNION ALL SELECT 'other words', repo_name, step_name, {_HITS.format('other words', 11)} FROM now WHERE contains(lower(content), 'other words')
+UNION ALL SELECT 'e and tion', repo_name, step_name, {_HITS.format('e', 1)} + {_HITS.format('tion', 4)} FROM now WHERE contains(lower(content), 'e') AND contains(lower(content), 'tion')""")
+def search_index(spark, sf_dir):
+    """An index of all sections, brought up to date after every seventh conversation changed, and searched for a short, a long and two terms."""
+    path = shared_path(spark, "index")
+    before = sections(spark, sf_dir).select("repo_name", "step_name", "content")
+    number = F.col("repo_name").cast("long")
+    changed = before.filter(number % 7 == 0).withColumn("content", F.concat(F.lit("entirely other words "), F.element_at(F.split("step_name", "_"), -1)))
+    for rows in (before, changed):
+        search.update_index(rows, path, buckets=8)
+    found = [search.search_index(spark, path, *terms, buckets=8).select(F.lit(name).alias("term"), "repo_name", "step_name", "hits") for name, terms in (("the", ["The"]), ("other words", ["other WORDS"]), ("e and tion", ["e", "tion"]))]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @plan("""WITH s AS (SELECT CAST(conv_id AS VARCHAR) AS repo_name, 's' || turn AS step_name, CASE WHEN (conv_id + turn) % 3 = 0 THEN 'No data processing detected in ' || role ELSE text END AS content FROM conversations)
 SELECT repo_name, step_name, bool_or(NOT starts_with(lower(trim(content)), 'no data processing detected')) AS found FROM s GROUP BY ALL""")
 def absent_sections(spark, sf_dir):

@@ -75,10 +75,10 @@ def recover(spark: SparkSession, path: str) -> list[str]:
     return done
 
 
-def stage(rows: DataFrame, path: str, keys: list[str], order: list[str | Column], buckets: int = BUCKETS) -> str:
+def stage(rows: DataFrame, path: str, keys: list[str], order: list[str | Column], buckets: int = BUCKETS, bucket_keys: list[str] | None = None) -> str:
     """Writes a batch, one row a key, beside the table and returns its name."""
     name = uuid.uuid4().hex
-    newest_by_key(rows, keys, order).withColumn(BUCKET, bucket_of(keys, buckets)).write.partitionBy(BUCKET).parquet(f"{path}/{STAGED}/{name}")
+    newest_by_key(rows, keys, order).withColumn(BUCKET, bucket_of(bucket_keys or keys, buckets)).repartition(BUCKET).write.partitionBy(BUCKET).parquet(f"{path}/{STAGED}/{name}")
     return name
 
 
@@ -108,11 +108,12 @@ def read_keyed_buckets(spark: SparkSession, path: str, like: DataFrame, touched:
     return table.filter(F.col(BUCKET).isin(touched))
 
 
-def upsert(rows: DataFrame, path: str, keys: list[str], order: list[str | Column], buckets: int = BUCKETS) -> None:
+def upsert(rows: DataFrame, path: str, keys: list[str], order: list[str | Column], buckets: int = BUCKETS, bucket_keys: list[str] | None = None) -> None:
     """Saves ``rows``: each replaces the table's row of its key; of several in ``rows`` the last in ``order`` counts. The same rows again change nothing.
 
-    ``buckets`` belongs to the table: use the same number every time. It should grow with the table, so that a bucket fits a few tasks.
+    ``buckets`` and ``bucket_keys`` (a part of the key; all of it, if not given) belong to the table: use the same every time.
+    ``buckets`` should grow with the table, so that a bucket fits a task.
     """
     spark = rows.sparkSession
     recover(spark, path)
-    merge(spark, path, stage(rows, path, keys, order, buckets), keys, order)
+    merge(spark, path, stage(rows, path, keys, order, buckets, bucket_keys), keys, order)
