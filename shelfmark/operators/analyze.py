@@ -6,9 +6,12 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.functions.text import BATCH_TOKENS, CHARS_PER_TOKEN
+from shelfmark.sources.shared import discard, shared_path
+
 
 def local_analyzer(prompt: str) -> str:
     """A deterministic stand-in for a model: size and digest of the prompt."""
@@ -39,13 +42,77 @@ def analyze_tasks(tasks: DataFrame, analyzer: Callable[[str], str] = local_analy
     return tasks.select(*keep, prompt).mapInPandas(run, schema)
 
 
-def map_reduce_analyze(batches: DataFrame, map_analyzer: Callable[[str], str] = local_analyzer, reduce_analyzer: Callable[[str], str] = local_analyzer, step: str = "dependencies") -> DataFrame:
+#: Characters of a reduce prompt, if not given: the batch budget of dependency lists.
+REDUCE_CHARS = int(BATCH_TOKENS * CHARS_PER_TOKEN)
+
+
+def packed_in_order(parts: DataFrame, budget: int) -> DataFrame:
+    """parts (repo_name, at, text) + pack: the number of the prompt that each part goes to, from 0, in order.
+
+    A new prompt begins where the characters before reach a further multiple of half the budget: parts of up to half the budget
+    make prompts of up to the budget. A prefix sum, so that no walk is needed; a repository has its batches in one sorted run.
+    """
+    before = F.sum(F.length("text") + len(_GAP)).over(Window.partitionBy("repo_name").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    return parts.withColumn("pack", F.floor(F.coalesce(before, F.lit(0)) / F.lit(budget // 2)).cast("long"))
+
+
+_GAP = "\n\n"
+
+
+def pieces_within(parts: DataFrame, most: int) -> DataFrame:
+    """Parts (repo_name, at, text) of at most ``most`` characters: longer ones are cut, in order."""
+    cuts = F.greatest(F.ceil(F.length("text") / most), F.lit(1)).cast("int")
+    rows = parts.withColumn("cuts", cuts).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    return rows.select("repo_name", F.struct("at", "cut").alias("at"), F.when(F.col("cuts") == 1, F.col("text")).otherwise(F.substring(F.col("text"), F.col("cut") * most + 1, F.lit(most))).alias("text"))
+
+
+def reduce_tree(parts: DataFrame, analyzer: Callable[[str], str] = local_analyzer, budget: int = REDUCE_CHARS) -> DataFrame:
+    """repo_name, status, content, error, levels from texts (repo_name, at, text) in the order of ``at``.
+
+    Level by level, a repository's texts are packed in order into prompts of at most ``budget`` characters, and each prompt's answer
+    is a text of the next level, until one prompt holds all that is left: that is the last call. Texts above half the budget are cut, so no
+    prompt is above it. A failed call's error stands in its place; a repository whose last call fails has failed. If answers do not get shorter,
+    levels would never end: then, or when a level has as many prompts as the one before, it is an error. Every level is a written table.
+    """
+    if budget < 16:
+        raise ValueError("a prompt needs room for two texts")
+    spark = parts.sparkSession
+    now, path = _kept(pieces_within(parts.select("repo_name", F.struct("at").alias("at"), "text"), budget // 2 - len(_GAP)), "reduce-parts")
+    done: DataFrame | None = None
+    level, most_before = 1, None
+    while True:
+        packs = packed_in_order(now, budget).groupBy("repo_name", "pack").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda p: p["text"]), _GAP).alias("prompt"))
+        # Which repositories are down to one prompt is known before the calls.
+        single = packs.withColumn("packs", F.count(F.lit(1)).over(Window.partitionBy("repo_name")))
+        answered, answered_path = _kept(analyze_tasks(single, analyzer), f"reduce-{level}")
+        ended = answered.filter("packs = 1").select("repo_name", "status", "content", "error", F.lit(level).alias("levels"))
+        done = ended if done is None else done.unionByName(ended)
+        discard(spark, path)
+        rest = answered.filter("packs > 1")
+        most = rest.agg(F.max("packs")).first()[0]
+        if not most:
+            return done
+        if most_before is not None and most >= most_before:
+            raise ValueError(f"answers are too long to be reduced: {most} prompts of a repository stay at level {level}")
+        text = F.when(F.col("status") == "success", F.col("content")).otherwise(F.concat(F.lit("failed: "), "error"))
+        now, path = _kept(pieces_within(rest.select("repo_name", F.struct("pack").alias("at"), text.alias("text")), budget // 2 - len(_GAP)), "reduce-parts")
+        level, most_before = level + 1, most
+
+
+def _kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def map_reduce_analyze(batches: DataFrame, map_analyzer: Callable[[str], str] = local_analyzer, reduce_analyzer: Callable[[str], str] = local_analyzer, step: str = "dependencies", budget: int = REDUCE_CHARS) -> DataFrame:
     """repo_name, step_name, status, content, error from (repo_name, batch_index, prompt).
 
-    The batches' texts, in order, are the context of one reduce call a repository; failed batches are left out and named.
+    The batches' texts, in order, are what is reduced, by one call a repository where they fit ``budget`` characters and by a tree of calls
+    where they do not; failed batches are left out and named.
     """
     mapped = analyze_tasks(batches, map_analyzer)
-    part = F.struct("batch_index", F.when(F.col("status") == "success", F.concat(F.lit("## Batch "), (F.col("batch_index") + 1).cast("string"), F.lit("\n\n"), "content")).otherwise(F.concat(F.lit("## Batch "), (F.col("batch_index") + 1).cast("string"), F.lit(" failed"))).alias("text"))
-    # A batch holds a token budget of files, so a repository has few.
-    reduced = mapped.groupBy("repo_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["text"]), "\n\n").alias("prompt")).withColumn("step_name", F.lit(step))
-    return analyze_tasks(reduced, reduce_analyzer).select("repo_name", "step_name", "status", "content", "error")
+    head = F.concat(F.lit("## Batch "), (F.col("batch_index") + 1).cast("string"))
+    text = F.when(F.col("status") == "success", F.concat(head, F.lit(_GAP), "content")).otherwise(F.concat(head, F.lit(" failed")))
+    reduced = reduce_tree(mapped.select("repo_name", F.col("batch_index").alias("at"), text.alias("text")), reduce_analyzer, budget)
+    return reduced.select("repo_name", F.lit(step).alias("step_name"), "status", "content", "error")

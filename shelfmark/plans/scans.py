@@ -99,6 +99,32 @@ def map_reduce_analyze(spark, sf_dir):
     return a.map_reduce_analyze(batches)
 
 
+REDUCE_BUDGET = 600
+
+
+def _tree_sql(levels: int = 6) -> str:
+    """Level by level, as far as any of the test tables needs."""
+    half = REDUCE_BUDGET // 2
+    answer = "length(prompt) || ' characters, ' || (length(prompt) - length(replace(prompt, chr(10), '')) + 1) || ' lines, ' || md5(prompt)"
+    parts = [f"p1 AS (SELECT CAST(conv_id % 5 AS VARCHAR) AS repo_name, (conv_id * 1000 + turn) * 100000 + i AS spot, substr(text, i * {half - 2} + 1, {half - 2}) AS text FROM conversations, LATERAL (SELECT unnest(range(greatest(CAST(ceil(length(text) / {half - 2}) AS BIGINT), 1))) AS i))"]
+    for k in range(1, levels + 1):
+        parts += [
+            f"s{k} AS (SELECT *, CAST(floor(coalesce(sum(length(text) + 2) OVER (PARTITION BY repo_name ORDER BY spot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / {half}) AS BIGINT) AS pack FROM p{k})",
+            f"q{k} AS (SELECT repo_name, pack, string_agg(text, chr(10) || chr(10) ORDER BY spot) AS prompt FROM s{k} GROUP BY ALL)",
+            f"a{k} AS (SELECT repo_name, pack, count(*) OVER (PARTITION BY repo_name) AS packs, {answer} AS content FROM q{k})",
+            f"p{k + 1} AS (SELECT repo_name, pack AS spot, content AS text FROM a{k} WHERE packs > 1)",
+        ]
+    return "WITH " + ",\n".join(parts) + "\n" + " UNION ALL ".join(f"SELECT repo_name, 'success' AS status, content, CAST(NULL AS VARCHAR) AS error, {k} AS levels FROM a{k} WHERE packs = 1" for k in range(1, levels + 1))
+
+
+@plan(_tree_sql())
+def reduce_tree(spark, sf_dir):
+    """All turns of every fifth conversation as one repository's texts, reduced under a budget of a few of them: several levels."""
+    c = _read(spark, sf_dir, "conversations")
+    parts = c.select((F.col("conv_id") % 5).cast("string").alias("repo_name"), (F.col("conv_id") * 1000 + F.col("turn")).alias("at"), "text")
+    return a.reduce_tree(parts, budget=REDUCE_BUDGET)
+
+
 _STREAM = hp._DECISION.replace("FORCED", "false") + f""", first AS (SELECT repo_name, commit_sha, branch_name, why, last_timestamp, CASE WHEN why IS NULL THEN last_timestamp ELSE {NOW} END AS done_at, CAST(repo_name AS BIGINT) % 2 = 0 AS moves FROM decided),
 all_three AS (SELECT repo_name, commit_sha, branch_name, why, last_timestamp FROM first
 UNION ALL SELECT repo_name, 'next-' || repo_name, branch_name, 'New commits detected (current: ' || substr('next-' || repo_name, 1, 8) || ', last: ' || substr(commit_sha, 1, 8) || ')', done_at FROM first WHERE moves

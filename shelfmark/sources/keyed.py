@@ -40,6 +40,11 @@ def bucket_of(keys: list[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the table has rows, or had."""
+    return any(c.startswith(f"{BUCKET}=") for c in _children(spark, path))
+
+
 def read_keyed(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """The table's rows; an empty frame of ``schema`` if it does not exist and a schema is given."""
     try:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from shelfmark.operators import history as h
-from shelfmark.sources.shared import discard
+from shelfmark.sources.keyed import BUCKET, BUCKETS, exists, read_keyed_buckets, recover, upsert
 
 SEEN = "seen_at"
+STATE = f"{h.KEY} string, {h.AT} long, {h.COMMIT} string, {h.BRANCH} string, {SEEN} timestamp, {BUCKET} int"
 
 
 def newest_state(batch: DataFrame) -> DataFrame:
@@ -24,48 +24,49 @@ def latest_states(history: DataFrame) -> DataFrame:
     return h.latest_investigation(history.select(h.KEY, h.AT, h.COMMIT, h.BRANCH)).withColumn(SEEN, F.lit(None).cast("timestamp"))
 
 
-def _before(spark: SparkSession, latest_path: str, number: int) -> int | None:
-    """The newest batch before ``number`` that wrote the table of latest states; null without one."""
-    try:
-        return spark.read.parquet(latest_path).select("batch").distinct().filter(F.col("batch") < number).agg(F.max("batch")).first()[0]
-    except AnalysisException as missing:
-        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return None
+def _written(spark: SparkSession, path: str) -> bool:
+    """Whether a batch's folder is complete."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
-def stream_decisions(arriving: DataFrame, history_path: str, latest_path: str, decisions_path: str, checkpoint: str, force_first: bool = False, **trigger) -> StreamingQuery:
+def stream_decisions(arriving: DataFrame, history_path: str, latest_path: str, decisions_path: str, checkpoint: str, force_first: bool = False, buckets: int = BUCKETS, **trigger) -> StreamingQuery:
     """Starts the query over ``arriving`` (repo_name, commit_sha, branch_name, event_time).
 
-    Each micro-batch keeps the newest state of a repository and compares it with the table of latest states, one row a
-    repository, so that no batch reads the whole history and a return to an earlier commit is a change like any other.
-    States that are not newer than the last one seen of their repository (repeats, late rows) are ignored. What is
-    redone is stamped with its event time. Decisions, history and latest states go to folders named by the batch, in
-    this order, and only earlier batches' latest states are read: a batch that runs again replaces what it wrote.
-    ``force_first`` holds for the first batch only.
+    Latest states are a keyed table, one row a repository in ``buckets`` hash buckets. Each micro-batch keeps the newest state of a
+    repository, reads the buckets of its repositories and compares with them, so no batch reads the history or rewrites the
+    portfolio, and a return to an earlier commit is a change like any other. States that are not newer than the last one seen of
+    their repository (repeats, late rows) are ignored. What is redone is stamped with its event time.
+
+    Decisions and history go to folders named by the batch, then states are merged by key. A batch that runs again after it wrote its
+    decisions takes those, whatever of the rest it had done; before that it has changed nothing. ``force_first`` holds for the first batch only.
     """
     spark: SparkSession = arriving.sparkSession
-    if _before(spark, latest_path, 1 << 62) is None:  # the very first start
-        latest_states(spark.read.parquet(history_path)).write.mode("overwrite").parquet(f"{latest_path}/batch=-1")
+    recover(spark, latest_path)
+    if not exists(spark, latest_path):  # the very first start, or one that did not get so far
+        upsert(latest_states(spark.read.parquet(history_path)), latest_path, [h.KEY], [h.AT], buckets)
 
     def decide(batch: DataFrame, number: int) -> None:
-        if batch.isEmpty():
-            return
-        before = _before(spark, latest_path, number)
-        latest = spark.read.parquet(f"{latest_path}/batch={before}")
-        seen = latest.select(F.col(h.KEY).alias("repo_name"), SEEN)
-        fresh = newest_state(batch).join(seen, "repo_name", "left").filter(F.col(SEEN).isNull() | (F.col("event_time") > F.col(SEEN))).drop(SEEN)
-        h.investigation_decision(fresh, latest, force=force_first and number == 0).write.mode("overwrite").parquet(f"{decisions_path}/batch={number}")
-        decided = spark.read.parquet(f"{decisions_path}/batch={number}")
-        row = decided.select(F.col("repo_name").alias(h.KEY), F.unix_timestamp("event_time").alias(h.AT), F.col("commit_sha").alias(h.COMMIT), F.col("branch_name").alias(h.BRANCH), F.col("event_time").alias(SEEN), "needs_investigation")
+        recover(spark, latest_path)
+        decided_path = f"{decisions_path}/batch={number}"
+        if not _written(spark, decided_path):
+            if batch.isEmpty():
+                return
+            newest = newest_state(batch)
+            key = F.col("repo_name")
+            touched = [r[0] for r in newest.select(F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).distinct().collect()]
+            latest = read_keyed_buckets(spark, latest_path, spark.createDataFrame([], STATE), touched).drop(BUCKET)
+            seen = latest.select(F.col(h.KEY).alias("repo_name"), SEEN)
+            fresh = newest.join(seen, "repo_name", "left").filter(F.col(SEEN).isNull() | (F.col("event_time") > F.col(SEEN))).drop(SEEN)
+            h.investigation_decision(fresh, latest, force=force_first and number == 0).write.mode("overwrite").parquet(decided_path)
+        decided = spark.read.parquet(decided_path)
+        row = decided.select(
+            F.col("repo_name").alias(h.KEY), F.unix_timestamp("event_time").alias(h.AT), F.col("commit_sha").alias(h.COMMIT), F.col("branch_name").alias(h.BRANCH), F.col("event_time").alias(SEEN), "needs_investigation", "last_timestamp"
+        )
         done = row.filter("needs_investigation")
         done.select(h.KEY, h.AT, F.lit("investigation").alias(h.KIND), h.COMMIT, h.BRANCH).write.mode("overwrite").parquet(f"{history_path}/batch={number}")
-        now = row.select(h.KEY, F.struct(h.AT, h.COMMIT, h.BRANCH).alias("now"), F.col(SEEN).alias("now_seen"), "needs_investigation")
-        merged = latest.join(now, h.KEY, "full_outer")
-        of = lambda c: F.when(F.coalesce("needs_investigation", F.lit(False)), F.col(f"now.{c}")).otherwise(F.col(c)).alias(c)
-        merged.select(h.KEY, of(h.AT), of(h.COMMIT), of(h.BRANCH), F.coalesce("now_seen", SEEN).alias(SEEN)).write.mode("overwrite").parquet(f"{latest_path}/batch={number}")
-        older = _before(spark, latest_path, before)
-        if older is not None:  # the batch before this one may have to run again, none before it
-            discard(spark, f"{latest_path}/batch={older}")
+        # What was not redone has the commit and branch of its last investigation, and keeps that one's time.
+        at = F.when(F.col("needs_investigation"), F.col(h.AT)).otherwise(F.col("last_timestamp"))
+        upsert(row.select(h.KEY, at.alias(h.AT), h.COMMIT, h.BRANCH, SEEN), latest_path, [h.KEY], [SEEN], buckets)
 
     return arriving.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start()

@@ -237,6 +237,26 @@ def test_failures_become_rows(spark):
     assert analyze.map_reduce_analyze(batches, analyzer, lambda p: p).first()["content"] == "## Batch 1\n\nONE\n\n## Batch 2\n\nTWO\n\n## Batch 3 failed"
 
 
+@pytest.mark.parametrize("budget, levels", [(10_000, 1), (100, 5), (60, 7)])
+def test_reduction_tree(spark, budget, levels):
+    """No prompt above the budget, every text in some prompt, in order, up to one answer a repository."""
+
+    def analyzer(prompt):
+        assert len(prompt) <= budget
+        if "bad" in prompt:
+            raise ValueError("no")
+        numbers = prompt.replace("..", " ").split()
+        assert [int(n) for n in numbers] == sorted(int(n) for n in numbers)
+        return f"{numbers[0]}..{numbers[-1]}"
+
+    parts = spark.createDataFrame([("r", i, f"{1000 + i}") for i in range(300)] + [("long", 0, "7 " * 3000), ("one", 0, "5"), ("fails", 0, "bad")], "repo_name string, at int, text string").repartition(5)
+    got = {r["repo_name"]: r for r in analyze.reduce_tree(parts, analyzer, budget).collect()}
+    assert got["r"]["content"] == "1000..1299" and got["r"]["levels"] <= levels and (got["r"]["levels"] >= 3 or budget > 100)
+    assert got["long"]["content"] == "7..7" and got["one"]["levels"] == 1 and got["fails"]["status"] == "failed" and got["fails"]["error"] == "ValueError: no"
+    with pytest.raises(ValueError, match="too long"):
+        analyze.reduce_tree(spark.createDataFrame([("r", i, "x" * 30) for i in range(40)], "repo_name string, at int, text string"), lambda p: p, 70).collect()
+
+
 def test_validation(spark):
     rows = spark.createDataFrame([("r", " ", "abc", -1.0, 400), ("ok", "main", "abcdefg", 1.0, 90)], "repo_name string, branch_name string, commit_sha string, analysis_timestamp double, ttl_days int")
     assert {(r["repo_name"], r["column"]) for r in h.validate_rows(rows).collect()} == {("r", c) for c in ("branch_name", "commit_sha", "analysis_timestamp", "ttl_days")}
@@ -273,7 +293,32 @@ def test_stream_of_three_arrivals(spark, tmp_path):
     }
     stamps = sorted((r[h.AT], r[h.COMMIT]) for r in spark.read.parquet(past).collect())
     assert stamps == [(5, "old"), (100, "zz"), (200, "aa"), (300, "zz"), (400, "new")]
-    assert len([p for p in (tmp_path / "latest").iterdir() if p.name.startswith("batch=")]) <= 2, list((tmp_path / "latest").iterdir())
+    latest_rows = {(r[h.KEY], r[h.COMMIT], r[h.AT]) for r in spark.read.parquet(latest).collect()}
+    assert latest_rows == {("r", "zz", 300), ("other", "new", 400)}
+
+
+def test_a_batch_writes_what_it_touches(spark, tmp_path):
+    """Of a portfolio of 300 only the bucket of the repository that came is written; a batch that runs again takes its decisions as they were."""
+    from shelfmark.streaming import decisions
+
+    past, arrivals, latest, decided = (f"file://{tmp_path}/{n}" for n in ("history", "arrivals", "latest", "decisions"))
+    spark.createDataFrame([(f"r{i}", 5, "investigation", "old", "main") for i in range(300)], f"{h.KEY} string, {h.AT} long, {h.KIND} string, {h.COMMIT} string, {h.BRANCH} string").write.parquet(f"{past}/batch=-1")
+
+    def arrive(commit, seconds, checkpoint):
+        frame = spark.createDataFrame([("r7", commit, "main", seconds)], "repo_name string, commit_sha string, branch_name string, seconds long").withColumn("event_time", F.timestamp_seconds("seconds")).drop("seconds")
+        frame.write.mode("append").parquet(arrivals)
+        decisions.stream_decisions(spark.readStream.schema(frame.schema).parquet(arrivals), past, latest, decided, f"file://{tmp_path}/{checkpoint}", buckets=16).awaitTermination()
+
+    arrive("a", 10, "one")
+    files = lambda: {p for p in (tmp_path / "latest").glob("bucket=*/*.parquet")}
+    before = files()
+    arrive("b", 20, "one")
+    assert len({p.parent.name for p in before}) == 16 and len({p.parent.name for p in before ^ files()}) == 1
+    first = sorted(map(str, spark.read.parquet(decided).collect()))
+    # A lost checkpoint runs both arrivals again as batch 0: its decisions stand, and no state is lost or taken back.
+    decisions.stream_decisions(spark.readStream.schema(spark.read.parquet(arrivals).schema).parquet(arrivals), past, latest, decided, f"file://{tmp_path}/two", buckets=16).awaitTermination()
+    assert sorted(map(str, spark.read.parquet(decided).collect())) == first
+    assert spark.read.parquet(latest).count() == 300
 
 
 def test_more_rules(spark):
