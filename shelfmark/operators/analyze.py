@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,30 +21,96 @@ def local_analyzer(prompt: str) -> str:
     return f"{len(prompt)} characters, {prompt.count(chr(10)) + 1} lines, {hashlib.md5(prompt.encode()).hexdigest()}"
 
 
+def _outcome(analyzer: Callable[[str], str], text: str | None) -> tuple[str, str | None, str | None]:
+    """status, content, error of one call."""
+    if text is None or not text.strip():
+        return "failed", None, "empty prompt"
+    try:
+        return "success", analyzer(text), None
+    except Exception as failure:  # the row says what happened
+        return "failed", None, f"{type(failure).__name__}: {failure}"
+
+
 def analyze_tasks(tasks: DataFrame, analyzer: Callable[[str], str] = local_analyzer, prompt: str = "prompt") -> DataFrame:
     """tasks (without the prompt) + (status, content, error). An empty prompt is an error; an exception fails its row only.
 
-    Narrow: a task's partition is where it is. A task that runs again after a lost executor calls the function again.
+    Narrow: a task's partition is where it is. A task that runs again after a lost executor calls the function again; ``analyze_once`` does not.
     """
     keep = [c for c in tasks.columns if c != prompt]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tasks.select(*keep).schema) + ", status string, content string, error string"
 
-    def one(text) -> tuple[str, str | None, str | None]:
-        if text is None or not text.strip():
-            return "failed", None, "empty prompt"
-        try:
-            return "success", analyzer(text), None
-        except Exception as failure:  # the row says what happened
-            return "failed", None, f"{type(failure).__name__}: {failure}"
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = pd.DataFrame([one(p) for p in batch[prompt]], columns=["status", "content", "error"], index=batch.index)
+            out = pd.DataFrame([_outcome(analyzer, p) for p in batch[prompt]], columns=["status", "content", "error"], index=batch.index)
             yield pd.concat([batch[keep], out], axis=1)
 
     return tasks.select(*keep, prompt).mapInPandas(run, schema)
 
 
+def analyze_once(tasks: DataFrame, log_path: str, analyzer: Callable[[str], str] = local_analyzer, prompt: str = "prompt", every: int = 8) -> DataFrame:
+    """What ``analyze_tasks`` gives, with one call for each distinct prompt, however often tasks run.
+
+    Outcomes are kept in a log below ``log_path``, a folder that the executors share: small files, one for ``every`` calls, in a folder for the
+    first two digits of the prompts' SHA-256. Prompts are sorted by digest, so a task reads each of its folders before the first
+    call that belongs there; what an earlier attempt, job or run has logged is not called again, except for failures of earlier runs. A task that
+    dies repeats the calls since its last file, ``every`` at most (1: none). Two attempts at the same time may both call.
+    """
+    from shelfmark.sources.document_files import _open
+
+    spark, run = tasks.sparkSession, uuid.uuid4().hex
+    key = "prompt_digest"
+    while key in tasks.columns:
+        key += "_"
+    marked = tasks.withColumn(key, F.when(F.trim(F.col(prompt)) != "", F.sha2(F.col(prompt), 256)))
+    asked = marked.filter(F.col(key).isNotNull()).groupBy(key).agg(F.first(prompt).alias("text")).sortWithinPartitions(key)
+
+    def logged(system, folder: str) -> dict[str, dict]:
+        from pyarrow import fs
+
+        known: dict[str, dict] = {}
+        for f in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+            with system.open_input_stream(f.path) as lines:
+                rows = [json.loads(line) for line in lines.read().decode("utf-8").splitlines()]
+            known |= {r["digest"]: r for r in rows if r["status"] == "success" or r["run"] == run}
+        return known
+
+    def call(batches):
+        system, base = _open(log_path)
+        at, known, pending = None, {}, []
+
+        def flush():
+            if pending:
+                system.create_dir(f"{base}/{at}", recursive=True)
+                name = f"{base}/{at}/{uuid.uuid4().hex}"
+                with system.open_output_stream(f"{name}.part") as out:
+                    out.write("".join(json.dumps(p) + "\n" for p in pending).encode("utf-8"))
+                system.move(f"{name}.part", f"{name}.jsonl")
+                pending.clear()
+
+        for batch in batches:
+            out = []
+            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if digest[:2] != at:
+                    flush()
+                    at = digest[:2]
+                    known = logged(system, f"{base}/{at}")
+                if digest not in known:
+                    status, content, error = _outcome(analyzer, text)
+                    known[digest] = {"digest": digest, "run": run, "status": status, "content": content, "error": error}
+                    pending.append(known[digest])
+                    if len(pending) >= every:
+                        flush()
+                out.append([digest, *(known[digest][c] for c in ("status", "content", "error"))])
+            flush()
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*out)] if out else [pa.array([], pa.string())] * 4, names=[key, "status", "content", "error"])
+
+    outcomes, _ = _kept(asked.mapInArrow(call, f"{key} string, status string, content string, error string"), "outcomes")
+    empty = F.col(key).isNull()
+    joined = marked.drop(prompt).join(outcomes, key, "left")
+    result = joined.withColumn("status", F.when(empty, "failed").otherwise(F.col("status"))).withColumn("error", F.when(empty, "empty prompt").otherwise(F.col("error")))
+    return result.select(*tasks.drop(prompt).columns, "status", "content", "error")
+
+
 #: Characters of a reduce prompt, if not given: the batch budget of dependency lists.
 REDUCE_CHARS = int(BATCH_TOKENS * CHARS_PER_TOKEN)
 

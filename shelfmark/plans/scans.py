@@ -92,6 +92,17 @@ def analyze_tasks(spark, sf_dir):
     return a.analyze_tasks(tasks)
 
 
+@plan("""SELECT conv_id, turn, CASE WHEN turn % 7 = 6 THEN 'failed' ELSE 'success' END AS status, CASE WHEN turn % 7 <> 6 THEN length(p) || ' characters, 1 lines, ' || md5(p) END AS content, CASE WHEN turn % 7 = 6 THEN 'empty prompt' END AS error
+FROM (SELECT conv_id, turn, 'what does ' || role || ' say first? ' || substr(text, 1, 1) AS p FROM conversations)""")
+def analyze_once(spark, sf_dir):
+    """Prompts that many turns share; the second run finds the first one's log."""
+    prompt = F.concat(F.lit("what does "), "role", F.lit(" say first? "), F.substring("text", 1, 1))
+    tasks = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 7 == 6, " ").otherwise(prompt).alias("prompt"))
+    log = shared_path(spark, "calls")
+    a.analyze_once(tasks.filter("conv_id % 2 = 0"), log).write.format("noop").mode("overwrite").save()
+    return a.analyze_once(tasks, log)
+
+
 @plan("""WITH m AS (SELECT CAST(conv_id AS VARCHAR) AS repo_name, string_agg('## Batch ' || (turn + 1) || chr(10) || chr(10) || length(text) || ' characters, ' || (length(text) - length(replace(text, chr(10), '')) + 1) || ' lines, ' || md5(text), chr(10) || chr(10) ORDER BY turn) AS p FROM conversations GROUP BY 1)
 SELECT repo_name, 'dependencies' AS step_name, 'success' AS status, length(p) || ' characters, ' || (length(p) - length(replace(p, chr(10), '')) + 1) || ' lines, ' || md5(p) AS content, CAST(NULL AS VARCHAR) AS error FROM m""")
 def map_reduce_analyze(spark, sf_dir):

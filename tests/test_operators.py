@@ -237,6 +237,31 @@ def test_failures_become_rows(spark):
     assert analyze.map_reduce_analyze(batches, analyzer, lambda p: p).first()["content"] == "## Batch 1\n\nONE\n\n## Batch 2\n\nTWO\n\n## Batch 3 failed"
 
 
+def test_each_prompt_is_called_once(spark, tmp_path):
+    """A task that dies half way, another run and repeated prompts: every call is made once, failures again in a later run."""
+    calls, log = tmp_path / "calls", f"file://{tmp_path}/log"
+    calls.mkdir()
+
+    def analyzer(prompt):
+        if prompt == "p20" and (calls / "dies").exists():
+            raise SystemExit(1)  # takes the worker with it
+        (calls / f"{prompt}-{len(list(calls.glob(prompt + '-*')))}").touch()
+        if prompt == "bad":
+            raise ValueError("no")
+        return prompt.upper()
+
+    tasks = spark.createDataFrame([(i, f"p{i % 25}") for i in range(100)] + [(100, "bad"), (101, " "), (102, None)], "id int, prompt string").repartition(4)
+    (calls / "dies").touch()
+    with pytest.raises(Exception):
+        analyze.analyze_once(tasks, log, analyzer, every=1).collect()
+    (calls / "dies").unlink()
+    for _ in range(2):
+        rows = {r["id"]: (r["status"], r["content"], r["error"]) for r in analyze.analyze_once(tasks, log, analyzer, every=1).collect()}
+        assert len(rows) == 103 and rows[7] == ("success", "P7", None) and rows[100] == ("failed", None, "ValueError: no") and rows[101] == rows[102] == ("failed", None, "empty prompt")
+    made = [p.name.split("-")[0] for p in calls.iterdir()]
+    assert sorted(set(made)) == sorted({f"p{i}" for i in range(25)} | {"bad"}) and all(made.count(f"p{i}") == 1 for i in range(25)) and made.count("bad") in (2, 3)
+
+
 @pytest.mark.parametrize("budget, levels", [(10_000, 1), (100, 5), (60, 7)])
 def test_reduction_tree(spark, budget, levels):
     """No prompt above the budget, every text in some prompt, in order, up to one answer a repository."""
