@@ -6,6 +6,8 @@ use no look-around, so they mean the same in Java and in RE2.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,10 +20,11 @@ LLM_USAGE = (
     ("host", r"(?i)\b(?:api\.openai\.com|api\.anthropic\.com|generativelanguage\.googleapis\.com|openai\.azure\.com)\b"),
     ("variable", r"\b(?:OPENAI|ANTHROPIC|GEMINI|GOOGLE_AI|AZURE_OPENAI|COHERE|MISTRAL)_API_KEY\b"),
 )
-# Shapes of personal data.
+# Shapes of personal data. ``CHECKS`` says which matches are what they look like.
 PERSONAL_DATA = (
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), ("phone", r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}"), ("ip", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"),
-    ("card", r"\b[0-9]{16}\b"), ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
+    ("phone", r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}\b|\b[0-9]{3}-[0-9]{3}-[0-9]{4}\b|\b[0-9]{3}\.[0-9]{3}\.[0-9]{4}\b|\+[0-9]{1,3}(?:[ -][0-9]{2,4}){3,4}\b"),
+    ("ip", r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b"), ("card", r"\b[0-9](?:[ -]?[0-9]){12,18}\b"), ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
 )
 # Shapes of hard-coded secrets.
 SECRETS = (
@@ -33,11 +36,53 @@ OWN_DOCUMENTS = "arch-docs"
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
 
 
-def scan(files: DataFrame, patterns: tuple[tuple[str, str], ...]) -> DataFrame:
-    """repo_name, path, kind, matched, count. A file is looked at closely only if one of all the patterns is in it."""
+#: Bits a character that a hard-coded value has at least; less is a placeholder.
+ENTROPY = 2.5
+
+
+def check_digit(text: Column) -> Column:
+    """Whether the digits of a text, groups and all, satisfy the mod-10 check: every second from the right counts twice, by its digit sum."""
+    digits = F.split(F.reverse(F.regexp_replace(text, "[^0-9]", "")), "")
+    worth = lambda d, i: F.when(i % 2 == 1, d.cast("int") * 2 - F.when(d >= "5", 9).otherwise(0)).otherwise(d.cast("int"))
+    total = F.aggregate(F.transform(F.filter(digits, lambda d: d != ""), worth), F.lit(0), lambda a, v: a + v)
+    return total % 10 == 0
+
+
+def octets(text: Column) -> Column:
+    """Whether all numbers of a dotted address are below 256."""
+    return F.forall(F.split(text, r"\."), lambda o: o.cast("int") < 256)
+
+
+def entropy(text: Column) -> Column:
+    """Shannon entropy of a text's characters, in bits."""
+    length = F.length(text)
+    share = lambda c: (length - F.length(F.replace(text, c, F.lit("")))) / length
+    bits = F.transform(F.array_distinct(F.filter(F.split(text, ""), lambda c: c != "")), lambda c: -share(c) * F.log2(share(c)))
+    return F.round(F.aggregate(bits, F.lit(0.0), lambda a, b: a + b), 6)
+
+
+def _quoted(text: Column) -> Column:
+    return F.regexp_extract(text, "[\"']([^\"']*)[\"']", 1)
+
+
+def _social(text: Column) -> Column:
+    """Areas, groups and serials that are given out."""
+    return ~text.rlike("^(000|666|9[0-9]{2})-|-00-|-0000$")
+
+
+#: What a match must satisfy, by kind.
+CHECKS: dict[str, Callable[[Column], Column]] = {
+    "card": lambda m: check_digit(m) & ~m.rlike("^[0 -]+$"), "ip": octets, "ssn": _social, "assignment": lambda m: entropy(_quoted(m)) >= ENTROPY, "token": lambda m: entropy(m) >= ENTROPY,
+}
+
+
+def scan(files: DataFrame, patterns: tuple[tuple[str, str], ...], checks: dict[str, Callable[[Column], Column]] = CHECKS) -> DataFrame:
+    """repo_name, path, kind, matched, count. A file is looked at closely only if one of all the patterns is in it; matches must satisfy their kind's check."""
     inner = lambda p: p.replace("(?i)", "(?i:", 1) + ")" if p.startswith("(?i)") else p
     any_of = "|".join(inner(p) for _, p in patterns)
-    hits = F.array(*(F.struct(F.lit(kind).alias("kind"), F.regexp_extract_all("content", F.lit(p), F.lit(0)).alias("m")) for kind, p in patterns))
+    found = lambda p: F.regexp_extract_all("content", F.lit(p), F.lit(0))
+    sound = lambda kind, m: F.filter(m, checks[kind]) if kind in checks else m
+    hits = F.array(*(F.struct(F.lit(kind).alias("kind"), sound(kind, found(p)).alias("m")) for kind, p in patterns))
     some = files.filter(F.col("content").rlike(any_of)).select("repo_name", "path", F.explode(hits).alias("h"))
     return some.select("repo_name", "path", "h.kind", F.explode("h.m").alias("matched")).groupBy("repo_name", "path", "kind", "matched").agg(F.count(F.lit(1)).alias("count"))
 

@@ -224,6 +224,16 @@ def test_scans(spark):
     assert [r["matched"] for r in scans.scan_secrets(table).collect()] == ["toke***"]
 
 
+@pytest.mark.parametrize("text, want", [
+    ("4111 1111 1111 1111", {"card"}), ("4111 1111 1111 1112", set()), ("4111-1111-1111-1111", {"card"}), ("378282246310005", {"card"}), ("0000000000000000", set()), ("10.0.0.255", {"ip"}), ("999.999.999.999", set()), ("1.2.3", set()),
+    ("555-123-4567", {"phone"}), ("(555) 123-4567", {"phone"}), ("555.123.4567", {"phone"}), ("+44 20 7946 0958", {"phone"}), ("+1 (555) 123-4567", {"phone"}), ("123-45-6789", {"ssn"}), ("000-45-6789", set()), ("123-00-6789", set()), ("900-45-6789", set()),
+    ('password = "aaaaaaaaaaaa"', set()), ('password = "k3Jx9qLm2vTz"', {"assignment"}), ("ghp_aaaaaaaaaaaaaaaaaaaaaaaa", set()), ("ghp_k3Jx9qLm2vTzR8wY", {"token"}), ('secret = "ÄÖÜßäöü日"', {"assignment"}),
+])
+def test_look_alikes(spark, text, want):
+    table = spark.createDataFrame([("r", "p", f"x {text} y")], "repo_name string, path string, content string")
+    assert {r["kind"] for rows in (scans.scan_personal_data(table), scans.scan_secrets(table)) for r in rows.collect()} == want
+
+
 def test_failures_become_rows(spark):
     def analyzer(prompt):
         if "bad" in prompt:
