@@ -1,37 +1,26 @@
-"""MD5 of long texts that stand in rows."""
+"""Digests of long texts that stand in rows."""
 
 from __future__ import annotations
 
-import hashlib
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Hexadecimal digits that name a bucket: 4096 of them a key.
+SPREAD = 3
 
-def md5_of_pieces(pieces: DataFrame, key: str, order: list[str], out: str) -> DataFrame:
-    """key, out: the MD5 of each key's ``text`` in order, ``gap`` standing between a piece and the next.
 
-    Pieces are sorted on disk and hashed as they pass, so no text is ever one value. MD5 is a chain: a key is hashed by one task.
-    """
+def piece_digest(*parts: str) -> Column:
+    """MD5 of a piece with its place; nulls are empty."""
+    return F.md5(F.concat_ws("\n", *(F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts)))
+
 
-    def digest(batches):
-        of, md5, gap = None, None, ""
-        for b in batches:
-            done = []
-            for k, text, g in zip(*(c.to_pylist() for c in b.columns)):
-                if md5 is None or k != of:
-                    if md5 is not None:
-                        done.append((of, md5.hexdigest()))
-                    of, md5, gap = k, hashlib.md5(), ""
-                md5.update((gap + text).encode())
-                gap = g
-            if done:
-                yield batch(done)
-        if md5 is not None:
-            yield batch([(of, md5.hexdigest())])
-
-    def batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=[key, out])
-
-    return pieces.repartition(key).sortWithinPartitions(key, *order).select(F.col(key).cast("string").alias(key), "text", "gap").mapInArrow(digest, f"{key} string, {out} string")
+def digest_tree(pieces: DataFrame, by: list[str], parts: list[str], out: str, spread: int = SPREAD) -> DataFrame:
+    """by, out: a digest of each key's pieces that does not depend on how rows are dealt.
+
+    A piece's digest covers its place (all of ``parts`` but the text) and its text, so the set of pieces is the text. Digests fall into buckets
+    by their first digits; a bucket's digest is the MD5 of its sorted pieces, a key's that of its buckets in order. A key with a third of all
+    rows is 4096 groups, and none of them holds a text.
+    """
+    d = pieces.select(*by, piece_digest(*parts).alias("d"))
+    buckets = d.groupBy(*by, F.substring("d", 1, spread).alias("b")).agg(F.md5(F.array_join(F.array_sort(F.collect_list("d")), "")).alias("d"))
+    return buckets.groupBy(*by).agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "")).alias(out))

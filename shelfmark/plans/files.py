@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.digest import md5_of_pieces
+from shelfmark.functions.digest import digest_tree
 from shelfmark.operators import dependencies as dep
 from shelfmark.operators import files as f
 from shelfmark.operators import manifests as m
@@ -50,12 +50,33 @@ def prune_paths(spark, sf_dir):
     return f.prune_paths(paths(spark, sf_dir))
 
 
-@plan(_P + """, lines AS (SELECT repo_name, list_transform(d, lambda x: '1' || x) AS place, repeat('  ', level) || d[level] || '/' AS line FROM dirs
+_TREE = """, lines AS (SELECT repo_name, list_transform(d, lambda x: '1' || x) AS place, repeat('  ', level) || d[level] || '/' AS line FROM dirs
 UNION ALL SELECT repo_name, list_transform(parts[1:len(parts) - 1], lambda x: '1' || x) || ['0' || parts[len(parts)]], repeat('  ', CAST(len(parts) AS INT)) || parts[len(parts)] FROM files
 UNION ALL SELECT repo_name, list_transform(d, lambda x: '1' || x) || ['0' || name], repeat('  ', 4) || name || '/ [NESTED]' FROM nested UNION ALL SELECT repo_name, list_transform(d, lambda x: '1' || x) || ['1'], repeat('  ', 4) || '[' || n || ' files]' FROM hidden)
-SELECT repo_name, md5('Repository: ' || repo_name || chr(10) || repeat('=', length(repo_name) + 12) || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY place)) AS tree FROM lines GROUP BY 1""")
+"""
+_BELOW = _P.replace("WITH paths AS (", "WITH whole AS (").replace("FROM pages),", "FROM pages), paths AS (SELECT repo_name || '/' || split_part(path, '/', 1) AS repo_name, substr(path, strpos(path, '/') + 1) AS path FROM whole WHERE contains(path, '/')),", 1)
+
+
+def _digest_sql(piece: str, source: str) -> str:
+    """The digest tree of pieces, whose digested text is ``piece``."""
+    return f""", hashed AS (SELECT repo_name, md5({piece}) AS h FROM {source}), buckets AS (SELECT repo_name, substr(h, 1, 3) AS bucket, md5(string_agg(h, '' ORDER BY h)) AS h FROM hashed GROUP BY 1, 2)
+SELECT repo_name, md5(string_agg(h, '' ORDER BY bucket)) AS digest FROM buckets GROUP BY 1"""
+
+
+@plan(_BELOW + _TREE + "SELECT repo_name, md5('Repository: ' || repo_name || chr(10) || repeat('=', length(repo_name) + 12) || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY place)) AS tree FROM lines GROUP BY 1")
 def tree_lines(spark, sf_dir):
-    return md5_of_pieces(f.tree_pieces(paths(spark, sf_dir), icons=False), "repo_name", ["place", "text"], "tree")
+    """Trees as texts, one for each folder below a host."""
+    below = paths(spark, sf_dir).filter(F.col("path").contains("/"))
+    folder = F.substring_index("path", "/", 1)
+    rows = below.select(F.concat("repo_name", F.lit("/"), folder).alias("repo_name"), F.substring(F.col("path"), F.length(folder) + 2, F.length("path")).alias("path"))
+    return f.tree_lines(rows, icons=False).withColumn("tree", F.md5("tree"))
+
+
+@plan(_P + _TREE + ", pieces AS (SELECT repo_name, array_to_string(place, '/') AS place, line FROM lines UNION ALL SELECT DISTINCT repo_name, '', 'Repository: ' || repo_name || chr(10) || repeat('=', length(repo_name) + 12) FROM lines)" + _digest_sql("place || chr(10) || line", "pieces"))
+def tree_digest(spark, sf_dir):
+    """Trees of whole hosts, as digests of their lines."""
+    pieces = f.tree_pieces(paths(spark, sf_dir), icons=False).withColumn("place", F.array_join("place", "/"))
+    return digest_tree(pieces, ["repo_name"], ["place", "text"], "digest")
 
 
 @plan(_P + "SELECT r.repo_name, (SELECT count(*) FROM dirs x WHERE x.repo_name = r.repo_name) AS dirs, (SELECT count(*) FROM files x WHERE x.repo_name = r.repo_name) AS files, (SELECT count(*) FROM nested x WHERE x.repo_name = r.repo_name) AS nested FROM (SELECT DISTINCT repo_name FROM kept) r")
@@ -130,9 +151,13 @@ langs AS (SELECT repo_name, language, '### ' || language || chr(10) || chr(10) |
 """
 
 
-@plan(_D + "SELECT repo_name, md5('## Dependencies' || chr(10) || chr(10) || string_agg(text, chr(10) ORDER BY language)) AS formatted FROM langs GROUP BY 1")
-def format_dependencies(spark, sf_dir):
-    return md5_of_pieces(m.dependency_pieces(dependency_files(spark, sf_dir), ["repo_name"]), "repo_name", ["language", "kind", "full_path", "text"], "formatted")
+@plan(_D + """, pieces AS (SELECT repo_name, language, CASE dep_type WHEN 'production' THEN '0' ELSE '1' END AS kind, full_path, block AS text FROM blocks WHERE block IS NOT NULL),
+heads AS (SELECT DISTINCT repo_name, language, kind, '' AS full_path, CASE kind WHEN '0' THEN '#### Production Dependencies' ELSE '#### Developer-Only Dependencies' END || chr(10) || chr(10) AS text FROM pieces
+UNION ALL SELECT DISTINCT repo_name, language, '', '', '### ' || language || chr(10) || chr(10) FROM pieces UNION ALL SELECT DISTINCT repo_name, '', '', '', '## Dependencies' || chr(10) || chr(10) FROM pieces),
+both_rows AS (SELECT * FROM pieces UNION ALL SELECT * FROM heads)""" + _digest_sql("language || chr(10) || kind || chr(10) || full_path || chr(10) || text", "both_rows"))
+def dependency_digest(spark, sf_dir):
+    """The dependency texts of whole repositories, as digests of their pieces."""
+    return digest_tree(m.dependency_pieces(dependency_files(spark, sf_dir), ["repo_name"]), ["repo_name"], ["language", "kind", "full_path", "text"], "digest")
 
 
 _PACK = _D + f""", lt AS (SELECT repo_name, language, CAST(floor(length('## Dependencies' || chr(10) || chr(10) || text) / 3.5) AS BIGINT) AS language_tokens FROM langs),
@@ -143,6 +168,17 @@ packed AS (SELECT o.repo_name, o.language, o.dep_type, o.pattern_ordinal, o.full
 """
 
 
+@plan(_PACK + """, rows AS (SELECT p.repo_name, p.language, p.sub_batch, p.dep_type, p.full_path, b.block FROM packed p JOIN blocks b USING (repo_name, language, dep_type, full_path)),
+shown AS (SELECT repo_name, language, sub_batch, dep_type, CASE dep_type WHEN 'production' THEN '#### Production Dependencies' ELSE '#### Developer-Only Dependencies' END || chr(10) || chr(10) || string_agg(block, chr(10) ORDER BY full_path) AS text FROM rows GROUP BY 1, 2, 3, 4)
+SELECT repo_name, language, CAST(sub_batch AS BIGINT) AS sub_batch, md5('## Dependencies' || chr(10) || chr(10) || '### ' || language || chr(10) || chr(10) || string_agg(text, chr(10) ORDER BY dep_type DESC)) AS formatted FROM shown GROUP BY 1, 2, 3""")
+def format_dependencies(spark, sf_dir):
+    """The text of every batch; a batch holds what a token budget allows, or one file."""
+    files = dependency_files(spark, sf_dir)
+    batches = m.pack_batches(files, BUDGET).select("repo_name", "language", "dep_type", "full_path", "sub_batch")
+    texts = m.format_dependencies(files.join(batches, ["repo_name", "language", "dep_type", "full_path"]).withColumn("of", F.col("language")), ["repo_name", "of", "sub_batch"])
+    return texts.select("repo_name", F.col("of").alias("language"), F.col("sub_batch").cast("long").alias("sub_batch"), F.md5("formatted").alias("formatted"))
+
+
 @plan(_PACK + "SELECT * FROM packed")
 def pack_batches(spark, sf_dir):
     return m.pack_batches(dependency_files(spark, sf_dir), BUDGET)
