@@ -129,13 +129,28 @@ gone AS (SELECT p.repo_name, list(p.prompt ORDER BY p.prompt) AS prompts FROM pr
 """
 
 
-@plan(_V + """SELECT n.repo_name, CASE WHEN nc = 0 THEN NULL WHEN np = 0 THEN CASE WHEN upd.prompt IS NOT NULL THEN 'Prompt ''' || upd.prompt || ''' updated to v' || (SELECT version FROM cur c WHERE c.repo_name = n.repo_name AND c.prompt = upd.prompt) || ' (no previous version tracking)' END
+_PROMPT_REASON = """SELECT n.repo_name, CASE WHEN nc = 0 THEN NULL WHEN np = 0 THEN CASE WHEN upd.prompt IS NOT NULL THEN 'Prompt ''' || upd.prompt || ''' updated to v' || (SELECT version FROM cur c WHERE c.repo_name = n.repo_name AND c.prompt = upd.prompt) || ' (no previous version tracking)' END
 WHEN nc <> np THEN 'Prompt count changed (' || np || ' → ' || nc || ')' WHEN chg.prompt IS NOT NULL THEN 'Prompt ''' || chg.prompt || ''' version changed (v' || coalesce((SELECT version FROM prev p WHERE p.repo_name = n.repo_name AND p.prompt = chg.prompt), '1') || ' → v' || (SELECT version FROM cur c WHERE c.repo_name = n.repo_name AND c.prompt = chg.prompt) || ')'
-WHEN gone.prompts IS NOT NULL THEN 'Prompt ''' || gone.prompts[1] || ''' was removed' END AS reason FROM n LEFT JOIN chg USING (repo_name) LEFT JOIN upd USING (repo_name) LEFT JOIN gone USING (repo_name)""")
+WHEN gone.prompts IS NOT NULL THEN 'Prompt ''' || gone.prompts[1] || ''' was removed' END AS reason FROM n LEFT JOIN chg USING (repo_name) LEFT JOIN upd USING (repo_name) LEFT JOIN gone USING (repo_name)"""
+
+
+@plan(_V + _PROMPT_REASON)
 def prompt_version_diff(spark, sf_dir):
     return versions(spark, sf_dir).select("repo_name", h.prompt_diff(F.col("current"), F.col("previous")).alias("reason"))
 
 
+@plan(_V + f""", reasons AS ({_PROMPT_REASON}), s AS (SELECT repo_name, CASE WHEN repo_name % 6 = 1 THEN 'abcdef0123' ELSE '0123456789' END AS commit_sha, CASE WHEN repo_name % 10 = 3 THEN 'dev' ELSE 'main' END AS branch_name, CASE WHEN repo_name % 13 <> 2 THEN 1000000 + repo_name END AS last_timestamp, reason FROM reasons),
+d AS (SELECT *, CASE WHEN last_timestamp IS NULL THEN 'No previous investigation found' WHEN commit_sha <> '0123456789' THEN 'New commits detected (current: abcdef01, last: 01234567)' WHEN branch_name <> 'main' THEN 'Branch changed (current: dev, last: main)' ELSE reason END AS why FROM s)
+SELECT repo_name, why IS NOT NULL AS needs_investigation, coalesce(why, 'No changes since last investigation on ' || strftime(make_timestamp(last_timestamp * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00') AS reason, last_timestamp FROM d""")
+def decision_with_prompts(spark, sf_dir):
+    """Commits, branches and prompt versions in one decision: suppliers as repositories with the prompts of ``versions``, some with a new commit, another branch or no history."""
+    number = F.col("repo_name")
+    v = versions(spark, sf_dir)
+    state = v.select("repo_name", F.when(number % 6 == 1, "abcdef0123").otherwise("0123456789").alias("commit_sha"), F.when(number % 10 == 3, "dev").otherwise("main").alias("branch_name"), F.col("current").alias("prompt_versions"))
+    history = v.filter(number % 13 != 2).select(number.alias(h.KEY), (number + 1_000_000).alias(h.AT), F.lit("investigation").alias(h.KIND), F.lit("0123456789").alias(h.COMMIT), F.lit("main").alias(h.BRANCH), F.col("previous").alias("prompt_versions"))
+    return h.investigation_decision(state, history).select("repo_name", "needs_investigation", "reason", "last_timestamp")
+
+
 @plan(_V + "SELECT n.repo_name, chg.prompt AS first_changed FROM n LEFT JOIN chg USING (repo_name)")
 def first_change_reason(spark, sf_dir):
     return versions(spark, sf_dir).select("repo_name", h.first_change(F.col("current"), F.col("previous")).alias("first_changed"))
