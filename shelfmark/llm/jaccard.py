@@ -393,3 +393,18 @@ def jaccard_components(docs: DataFrame, piece: int = PIECE, piece_shingles: int
     rows, classes = similar_classes(docs, piece, piece_shingles)
     found = rows.filter("n > 0").join(classes, "set_key").select("doc_id", F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("component_id"))
     return found.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+#: The same rows in SQL, on the shingles themselves.
+JACCARD_SQL = r"""
+WITH RECURSIVE ws AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+long AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM ws WHERE len(w) >= 5),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM long UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM ws WHERE len(w) BETWEEN 1 AND 4),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+both_ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON l.a = r.b),
+least_of AS (SELECT a, min(b) AS b FROM reach GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(r.b, d.doc_id)) AS component_id FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least_of r ON r.a = d.doc_id
+"""

@@ -156,3 +156,34 @@ def verify(docs: DataFrame) -> DataFrame:
     proven = paths(manifest, manifest.places.drop("depth"))
     out = proven.select("doc_id", "leaf", "subroot", F.lit(manifest.root).alias("root"), proof_digest(F.col("path")).alias("proof_sha256"), folded(F.col("changed"), F.col("path")).alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _levels_sql(name: str, levels: int) -> str:
+    """``name``_0 (k, idx, d) and ``name``_leaf_0 (k, idx, f, proof, ...) level by level; a tree of one node stays as it is."""
+    out = []
+    for i in range(levels):
+        out += [
+            f"{name}_w{i} AS (SELECT *, count(*) OVER (PARTITION BY k) > 1 AS grown, coalesce(string_agg(d, '') OVER (PARTITION BY k, idx // 16 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS bef, "
+            f"coalesce(string_agg(d, '') OVER (PARTITION BY k, idx // 16 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS aft FROM {name}_{i})",
+            f"{name}_leaf_{i + 1} AS (SELECT l.* REPLACE (l.idx // 16 AS idx, CASE WHEN grown THEN sha256(bef || f || aft) ELSE f END AS f, CASE WHEN grown THEN proof || bef || aft ELSE proof END AS proof) FROM {name}_leaf_{i} l JOIN {name}_w{i} w ON w.k = l.k AND w.idx = l.idx)",
+            f"{name}_{i + 1} AS (SELECT k, idx // 16 AS idx, CASE WHEN any_value(grown) THEN sha256(string_agg(d, '' ORDER BY idx)) ELSE any_value(d) END AS d FROM {name}_w{i} GROUP BY k, idx // 16)",
+        ]
+    return ",\n".join(out)
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: The same rows in SQL, for up to 16**5 rows a source and 16**3 sources.
+MANIFEST_SQL = f"""
+WITH crc AS (SELECT doc_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda acc, x: list_reduce(list_prepend(xor(acc, x), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, CAST(3988292384 AS BIGINT)) ELSE a >> 1 END)), CAST(4294967295 AS BIGINT)) % 5 = 0 AS touched FROM documents),
+leaves AS (SELECT d.doc_id, source, {_leaf_sql('text')} AS leaf, CASE WHEN touched THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_leaf_sql('text')} END AS changed FROM documents d JOIN crc USING (doc_id)),
+placed AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS k, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM leaves),
+s_0 AS (SELECT k, idx, leaf AS d FROM placed), s_leaf_0 AS (SELECT doc_id, k, idx, leaf, changed AS f, '' AS proof FROM placed),
+{_levels_sql('s', 5)},
+t_0 AS (SELECT 0 AS k, k AS idx, d FROM s_5), t_leaf_0 AS (SELECT doc_id, 0 AS k, l.k AS idx, leaf, f, proof, d AS subroot FROM s_leaf_5 l JOIN s_5 s ON s.k = l.k),
+{_levels_sql('t', 3)}
+SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = d AS verified FROM t_leaf_3, t_3
+"""

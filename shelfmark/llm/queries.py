@@ -88,4 +88,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": lines.LINE_REPORT_SQL, "op12_phrase_collocations": collocations.COLLOCATIONS_SQL}
+    return {"op5_line_dedup": lines.LINE_REPORT_SQL, "op11_merkle_manifest": merkle.MANIFEST_SQL, "op12_phrase_collocations": collocations.COLLOCATIONS_SQL, "op13_jaccard_join": jaccard.JACCARD_SQL}
