@@ -1,6 +1,5 @@
 """Portfolio operators on single cases."""
 
-import hashlib
 import json
 
 import pytest
@@ -164,13 +163,29 @@ def test_batches_over_several_parts(spark):
 
 
 def test_no_text_of_a_whole_source_is_one_value(spark, data):
+    """Digests of whole sources gather digests only; the pieces that they digest are the operators' texts."""
     from shelfmark.plans import files as plans
 
-    for query in (plans.format_dependencies, plans.tree_lines):
-        assert "collect_list" not in query(spark, data)._jdf.queryExecution().toString()
-    deps = plans.dependency_files(spark, data)
-    whole = {r["repo_name"]: r["formatted"] for r in manifests.format_dependencies(deps, ["repo_name"]).collect()}
-    assert {k: hashlib.md5(v.encode()).hexdigest() for k, v in whole.items()} == {r["repo_name"]: r["formatted"] for r in plans.format_dependencies(spark, data).collect()}
+    for query in (plans.dependency_digest, plans.tree_digest):
+        plan = query(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list(d#" in plan and "collect_list(text" not in plan and "collect_list(struct(text" not in plan
+    texts: dict = {}
+    deps, paths = plans.dependency_files(spark, data), plans.paths(spark, data)
+    for name, pieces, order in (("deps", manifests.dependency_pieces(deps, ["repo_name"]), ["language", "kind", "full_path"]), ("tree", files.tree_pieces(paths, icons=False), ["place"])):
+        for r in pieces.orderBy("repo_name", *order).collect():
+            before, gap = texts.get((name, r["repo_name"]), ("", ""))
+            texts[name, r["repo_name"]] = (before + gap + r["text"], r["gap"])
+    whole = {("deps", r["repo_name"]): r["formatted"] for r in manifests.format_dependencies(deps, ["repo_name"]).collect()} | {("tree", r["repo_name"]): r["tree"] for r in files.tree_lines(paths, icons=False).collect()}
+    assert {k: t for k, (t, _) in texts.items()} == whole
+
+
+@pytest.mark.parametrize("rows", [1, 5000])
+def test_digest_trees_follow_the_pieces(spark, rows):
+    from shelfmark.functions.digest import digest_tree
+
+    pieces = [("r", f"p{i}", f"text {i}") for i in range(rows)]
+    of = lambda p: digest_tree(spark.createDataFrame(p, "repo_name string, place string, text string").repartition(3), ["repo_name"], ["place", "text"], "d").first()["d"]
+    assert of(pieces) == of(pieces[::-1]) and len({of(pieces), of(pieces[:-1] + [("r", "p0x", "text")]), of([*pieces, pieces[0]])}) == 3
 
 
 def test_registry_round_trip_and_missing_files(spark, tmp_path):
