@@ -198,14 +198,18 @@ def format_dependencies(files: DataFrame, by: list[str]) -> DataFrame:
 
     One text a group: for groups that a token budget bounds, such as batches. ``dependency_pieces`` has whole repositories in rows.
     """
-    rows = files.groupBy(*by, "language", "dep_type").agg(F.array_sort(F.collect_list(F.struct("full_path", _block(F.col("full_path"), F.col("content")).alias("block")))).alias("files"))
-    head = F.when(F.col("dep_type") == "production", _HEAD["production"]).otherwise(_HEAD["dev"])
-    kinds = rows.withColumn("text", F.concat(head, F.lit("\n"), F.array_join(F.transform("files", lambda f: f["block"]), "\n")))
-    order = F.when(F.col("dep_type") == "production", 0).otherwise(1).alias("o")
-    langs = kinds.groupBy(*by, "language").agg(F.array_sort(F.collect_list(F.struct(order, "text"))).alias("k"))
-    lang_text = F.concat(F.lit("### "), "language", F.lit("\n\n"), F.array_join(F.transform("k", lambda k: k["text"]), "\n"))
-    every = langs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("language", lang_text.alias("text")))).alias("l"))
-    return every.select(*by, F.concat(F.lit(_OPEN + "\n"), F.array_join(F.transform("l", lambda x: x["text"]), "\n")).alias("formatted"))
+    shown = files.withColumn("_block", _block(F.col("full_path"), F.col("content"))).filter("_block IS NOT NULL")
+    kind = F.when(F.col("dep_type") == "production", 0).otherwise(1).alias("kind")
+    # Texts move once: headings stand before the first file of a language or kind, as the one before it tells.
+    rows = shown.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("language", kind, "full_path", F.col("_block").alias("block")))).alias("_files"))
+
+    def piece(x: Column, i: Column) -> Column:
+        before = F.get(F.col("_files"), i - 1)
+        new_language = (i == 0) | ~before["language"].eqNullSafe(x["language"])
+        head = F.when(x["kind"] == 0, _HEAD["production"] + "\n").otherwise(_HEAD["dev"] + "\n")
+        return F.concat(F.when(new_language, F.concat(F.lit("### "), x["language"], F.lit("\n\n"))).otherwise(""), F.when(new_language | (before["kind"] != x["kind"]), head).otherwise(""), x["block"])
+
+    return rows.select(*by, F.concat(F.lit(_OPEN + "\n"), F.array_join(F.transform("_files", piece), "\n")).alias("formatted"))
 
 
 def with_dependency_text(repos: DataFrame, formatted: DataFrame) -> DataFrame:
