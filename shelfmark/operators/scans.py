@@ -81,10 +81,11 @@ def scan(files: DataFrame, patterns: tuple[tuple[str, str], ...], checks: dict[s
     inner = lambda p: p.replace("(?i)", "(?i:", 1) + ")" if p.startswith("(?i)") else p
     any_of = "|".join(inner(p) for _, p in patterns)
     found = lambda p: F.regexp_extract_all("content", F.lit(p), F.lit(0))
-    sound = lambda kind, m: F.filter(m, checks[kind]) if kind in checks else m
-    hits = F.array(*(F.struct(F.lit(kind).alias("kind"), sound(kind, found(p)).alias("m")) for kind, p in patterns))
-    some = files.filter(F.col("content").rlike(any_of)).select("repo_name", "path", F.explode(hits).alias("h"))
-    return some.select("repo_name", "path", "h.kind", F.explode("h.m").alias("matched")).groupBy("repo_name", "path", "kind", "matched").agg(F.count(F.lit(1)).alias("count"))
+    hits = F.array(*(F.struct(F.lit(kind).alias("kind"), found(p).alias("m")) for kind, p in patterns))
+    some = files.filter(F.col("content").rlike(any_of)).select("repo_name", "path", F.explode(hits).alias("h")).select("repo_name", "path", "h.kind", F.explode("h.m").alias("matched"))
+    for kind in sorted({k for k, _ in patterns} & set(checks)):
+        some = some.filter((F.col("kind") != kind) | checks[kind](F.col("matched")))
+    return some.groupBy("repo_name", "path", "kind", "matched").agg(F.count(F.lit(1)).alias("count"))
 
 
 def scan_llm_usage(files: DataFrame, patterns=LLM_USAGE) -> DataFrame:

@@ -32,10 +32,11 @@ def files(spark, sf_dir: str) -> DataFrame:
 
 
 def _with_lines(spark, sf_dir: str, lines: tuple[str, ...]) -> DataFrame:
-    """The files, each with one of some lines at its end, in turn; ``{}`` is the MD5 of its number."""
+    """The files, every eighth with one of some lines at its end, in turn; ``{}`` is the MD5 of its number."""
     number = F.substring_index("path", "/", -1)
-    line = F.get(F.array(*(F.replace(F.lit(x), F.lit("{}"), F.md5(number)) for x in lines)), (number.cast("long") % len(lines)).cast("int"))
-    return files(spark, sf_dir).withColumn("content", F.concat("content", F.lit("\n"), line))
+    n = number.cast("long")
+    line = F.get(F.array(*(F.replace(F.lit(x), F.lit("{}"), F.md5(number)) for x in lines)), (F.floor(n / 8) % len(lines)).cast("int"))
+    return files(spark, sf_dir).withColumn("content", F.when(n % 8 == 0, F.concat("content", F.lit("\n"), line)).otherwise(F.col("content")))
 
 
 #: One line for each default shape, and look-alikes.
@@ -75,7 +76,7 @@ WHEN 'assignment' THEN entropy >= 2.5 WHEN 'token' THEN entropy >= 2.5 ELSE true
 
 def _scan_sql(found: str, lines: tuple[str, ...], matched: str = "m", where: str = "true") -> str:
     shown = ", ".join("'" + x.replace("'", "''") + "'" for x in lines)
-    return f"""WITH f AS (SELECT source AS repo_name, CASE WHEN doc_id % 10 = 0 THEN 'arch-docs/' ELSE 'src/' END || doc_id AS path, text || chr(10) || replace(([{shown}])[doc_id % {len(lines)} + 1], '{{}}', md5(CAST(doc_id AS VARCHAR))) AS content FROM documents),
+    return f"""WITH f AS (SELECT source AS repo_name, CASE WHEN doc_id % 10 = 0 THEN 'arch-docs/' ELSE 'src/' END || doc_id AS path, CASE WHEN doc_id % 8 = 0 THEN text || chr(10) || replace(([{shown}])[doc_id // 8 % {len(lines)} + 1], '{{}}', md5(CAST(doc_id AS VARCHAR))) ELSE text END AS content FROM documents),
 x AS ({found}), v AS (SELECT *, {_VALUE} AS value FROM x),
 e AS (SELECT *, round(list_sum(list_transform(list_distinct(string_split(value, '')), lambda c: -(length(value) - length(replace(value, c, ''))) / length(value) * log2((length(value) - length(replace(value, c, ''))) / length(value)))), 6) AS entropy FROM v)
 SELECT repo_name, path, kind, {matched} AS matched, count(*) AS count FROM e WHERE {where} AND {_SOUND} GROUP BY ALL"""
