@@ -3,13 +3,12 @@
 A source's documents all get the same fractional number of copies: its target words
 over its size. Whole copies are taken at once; the fractions are rounded in pairs. A
 pair moves mass from one to the other at random until one of them is 0 or 1, so the
-sum stays what it was and each document keeps its expected copies. Pairs are formed
-among documents of one source, next to each other by size and largest first, so that the
-words stay near the target as well. A document with more than one part in ``LARGE`` of its source has no
-neighbours of its size: it is paired with all smaller ones together, which share one fraction, and what moves
-is words. A source has fewer than ``LARGE`` of them. Leaves of bounded size round the other documents side by
-side and leave one fraction each; the fractions are paired again in a reduction tree, by source, up to
-one per source.
+sum stays what it was and each document keeps its expected copies. Two fractions of
+a leaf are paired as they are. Where documents of a leaf have the same fraction, the largest is paired first, with the bundle of
+all smaller ones: their common fraction is one side of the pair, and what moves is words, so that the words
+stay at the target as well, down to the smallest document. Leaves are runs of documents of like size, largest first, and of
+bounded number; they are rounded side by side and leave one fraction each, and these are paired again in a reduction tree, by
+source, up to one per source. Every document of every table goes this way.
 
 Fractions are whole multiples of 2**-40, so that sums are exact; random numbers come
 from hashes of the rows, so that reruns agree.
@@ -34,8 +33,6 @@ UNIT = 1 << 40
 #: Documents that a leaf of the tree holds on average, and fractions that a node above joins.
 LEAF = 4096
 FAN_IN = 64
-#: A document above this part of its source's words is paired with all smaller ones at once.
-LARGE = 256
 SEED = 20_240_131
 _MASK = (1 << 64) - 1
 
@@ -101,43 +98,32 @@ def pivot(mass: list[int], key: list[int], level: int) -> tuple[list[int], list[
     return won, mass
 
 
-def settle_large(sizes: list[int], key: list[int], below: int, fraction: float) -> tuple[list[float], float]:
-    """(fraction of each of ``sizes``, common fraction of the ``below`` words of smaller documents), all ``fraction`` before.
+def sweep(size: list[int], mass: list[int], key: list[int]) -> list[int]:
+    """The fractions (of ``UNIT``) after each document was paired with all smaller ones that have its fraction, bundled.
 
-    Sizes fall. Each is paired with all that follow: words move one way or the other until it is taken whole or not at
-    all, or all that follow are. The sum of words and every document's expectation stay what they were.
+    Sizes fall. A pair moves words between the document and its bundle until the document is taken whole or not at all, or all
+    of the bundle are; the bundle keeps one common fraction. The words stay what they were (but for less than 2**-40 of
+    them a pair), and so do the expected copies of each document.
     """
-    out, after = [], below + sum(sizes)
-    for size, k in zip(sizes, key):
-        after -= size
-        held, follow = fraction * size, fraction * after
-        gain, loss = min(size - held, follow), min(held, after - follow)
-        if gain + loss <= 0:  # nothing follows, or all is integral already
-            out.append(fraction)
-            continue
-        if _mix64(k ^ _mix64(size)) / (_MASK + 1) * (gain + loss) < loss:
-            out.append(1.0 if gain == size - held else (held + gain) / size)
-            fraction = 0.0 if gain == follow else (follow - gain) / after
-        else:
-            out.append(0.0 if loss == held else (held - loss) / size)
-            fraction = 1.0 if loss == after - follow else (follow + loss) / after
-    return out, fraction
-
-
-def _settle_large(rows: DataFrame) -> DataFrame:
-    """``rows`` (the large documents of each source, one row a document) with new ``part``, and ``rest``: that of all others."""
-
-    def settle(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        size, key, part = group["size"].to_pylist(), group["key"].to_pylist(), group["part"].to_pylist()
-        order = sorted(range(len(size)), key=lambda i: (-size[i], key[i]))
-        found, rest = settle_large([size[i] for i in order], [key[i] & _MASK for i in order], group["single_words"][0].as_py() - sum(size), part[0])
-        for i, f in zip(order, found):
-            part[i] = f
-        group = group.set_column(group.schema.get_field_index("part"), "part", pa.array(part, pa.float64()))
-        return group.set_column(group.schema.get_field_index("rest"), "rest", pa.array([rest] * len(part), pa.float64()))
-
-    return rows.groupBy("source").applyInArrow(settle, rows.schema)
+    mass = list(mass)
+    alike: dict[int, list[int]] = {}
+    for i, m in enumerate(mass):
+        if m:
+            alike.setdefault(m, []).append(i)
+    for common, members in alike.items():
+        after = sum(size[i] for i in members)
+        for i in members:
+            s, after = size[i], after - size[i]
+            held, follow = common * s, common * after
+            gain, loss = min(UNIT * s - held, follow), min(held, UNIT * after - follow)
+            mass[i] = common
+            if not gain + loss:  # no words follow, or all that follow are integral
+                continue
+            if _mix64(key[i] ^ _mix64(s)) * (gain + loss) >> 64 < loss:
+                mass[i], common = (held + gain) // s, (follow - gain) // after
+            else:
+                mass[i], common = (held - loss) // s, (follow + loss) // after
+    return mass
 
 
 def _round(rows: DataFrame, by: list[str], level: int, last: bool) -> DataFrame:
@@ -148,7 +134,10 @@ def _round(rows: DataFrame, by: list[str], level: int, last: bool) -> DataFrame:
         size, key = group["size"].to_pylist(), group["key"].to_pylist()
         order = sorted(range(len(size)), key=lambda i: (-size[i], key[i]))
         mass, copies = group["mass"].to_pylist(), group["copies"].to_pylist()
-        won, left = pivot([mass[i] for i in order], [key[i] & _MASK for i in order], level)
+        sizes, keys = [size[i] for i in order], [key[i] & _MASK for i in order]
+        swept = sweep(sizes, [mass[i] for i in order], keys)
+        won, left = pivot([m % UNIT for m in swept], keys, level)
+        won = [w + m // UNIT for w, m in zip(won, swept)]
         for i, w, m in zip(order, won, left):
             if m and last:  # a single fraction: a copy with that probability
                 w, m = w + (_mix64(key[i] & _MASK ^ _mix64(level)) * UNIT >> 64 < m), 0
@@ -165,44 +154,30 @@ def _units(docs: DataFrame, weights: tuple[int, ...], cap: int, leaf: int, text:
     sized = docs.select("doc_id", row_hash(text).alias("text_hash"), "source", word_count(F.col(text)).alias("size"))
     # Rows alike are one unit with so many times the copies: a document that repeats without end is one fraction.
     units = materialise(sized.groupBy("doc_id", "text_hash", "source", "size").agg(F.count(F.lit(1)).alias("n")), "units")
-    # Size classes a fifth apart, so at most some 200; small neighbours share a run, large classes are dealt to leaves.
+    # Size classes a fifth apart, so at most some 200. Classes of few documents share a run with the next smaller ones, large
+    # classes are dealt to leaves; the largest documents of a source have as many others in their leaf as one can hold.
     bin_of = F.floor(F.log2(F.col("size") + 1.0) * 4).cast("int")
     binned = units.withColumn("bin", bin_of)
-    single = F.coalesce(F.sum(F.when(F.col("n") == 1, F.col("size"))), F.lit(0)).alias("single")
-    bins = materialise(binned.groupBy("source", "bin").agg(F.sum(F.col("size") * F.col("n")).alias("words"), single, F.count(F.lit(1)).alias("in_bin")), "bins")
+    bins = materialise(binned.groupBy("source", "bin").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.count(F.lit(1)).alias("in_bin")), "bins")
     targets = source_targets(bins.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap)
     plan = (
         bins.withColumnRenamed("source", "s").withColumnRenamed("bin", "b")
         .join(targets, F.col("s").eqNullSafe(F.col("source"))).drop("source")
-        .withColumn("run", F.floor((F.sum("in_bin").over(Window.partitionBy("s").orderBy("b")) - F.col("in_bin")) / leaf).cast("int"))
+        .withColumn("run", F.floor((F.sum("in_bin").over(Window.partitionBy("s").orderBy(F.desc("b"))) - F.col("in_bin")) / leaf).cast("int"))
         .withColumn("leaves", F.ceil(F.sum("in_bin").over(Window.partitionBy("s", "run")) / leaf).cast("int"))
-        .withColumn("single_words", F.sum("single").over(Window.partitionBy("s")))
-        .select("s", "b", "source_size", "target", "run", "leaves", "single_words", F.lit(None).cast("double").alias("rest"))
+        .select("s", "b", "source_size", "target", "run", "leaves")
     )
     plan = materialise(plan, "plan")
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(cap)), F.col("target") / F.col("source_size"))).otherwise(0.0) * F.col("n")
-    # Rows that repeat have fractions of their own; all others of a source share one.
-    large = (F.col("n") == 1) & (F.col("size") * LARGE > F.col("source_size"))
-
-    def placed(plan: DataFrame) -> DataFrame:
-        return (
-            binned.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
-            .withColumn("rate", rate)
-            .withColumn("part", F.when(F.col("n") == 1, F.col("rest")))
-            .withColumn("part", F.coalesce("part", F.col("rate") - F.floor("rate")))
-            .withColumn("key", F.xxhash64(F.lit(SEED), "doc_id", "text_hash", "source"))
-            .withColumn("leaf", F.pmod("key", F.col("leaves")).cast("int"))
-            .select("doc_id", "text_hash", "source", "size", "n", "source_size", "target", "key", "run", "leaf", F.floor("rate").cast("long").alias("copies"), "part", "single_words", "rest")
+    mass = F.round((F.col("rate") - F.floor("rate")) * F.lit(UNIT)).cast("long")
+    rows = (
+        binned.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
+        .withColumn("rate", rate).withColumn("mass", mass)
+        .withColumn("key", F.xxhash64(F.lit(SEED), "doc_id", "text_hash", "source"))
+        .select(
+            "doc_id", "text_hash", "source", "size", "n", "source_size", "target", "key", "run", F.pmod("key", F.col("leaves")).cast("int").alias("leaf"),
+            (F.floor("rate").cast("long") + F.when(F.col("mass") >= UNIT, 1).otherwise(0)).alias("copies"), F.when(F.col("mass") >= UNIT, 0).otherwise(F.col("mass")).alias("mass"),
         )
-
-    first = materialise(_settle_large(placed(plan).filter(large)), "large")
-    # A row a source that has large documents.
-    left = first.groupBy(F.col("source").alias("of")).agg(F.max("rest").alias("rest"))
-    planned = materialise(plan.drop("rest").join(left, F.col("s").eqNullSafe(F.col("of")), "left").drop("of"), "plan")
-    mass = F.round(F.col("part") * F.lit(UNIT)).cast("long")
-    rows = placed(planned).filter(~large).unionByName(first).withColumn("mass", mass).select(
-        "doc_id", "text_hash", "source", "size", "n", "source_size", "target", "key", "run", "leaf",
-        (F.col("copies") + F.when(F.col("mass") >= UNIT, 1).otherwise(0)).alias("copies"), F.when(F.col("mass") >= UNIT, 0).otherwise(F.col("mass")).alias("mass"),
     )
     settled: list[DataFrame] = []
     nodes = plan.agg(F.max("leaves")).first()[0] or 0

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on odd and empty tables."""
 
 import hashlib
+import math
 import re
 import time
 import zlib
@@ -66,14 +67,14 @@ def test_mixing_targets_and_totals(docs):
     assert sorted(map(key, rows)) == sorted(map(key, mixing.mix(docs.repartition(7)).collect()))
 
 
-def test_mixing_tree_of_small_leaves(docs, monkeypatch):
-    """With leaves of four rows the tree has several levels, and copies still sum to their expectation."""
-    monkeypatch.setattr(mixing, "LARGE", 1)
+def test_mixing_tree_of_small_leaves(docs):
+    """With leaves of four rows the tree has several levels; every document gets one of the two whole numbers beside its rate."""
     rows = mixing.mix(docs, leaf=4).collect()
     for s in {r["source"] for r in rows}:
         mine = [r for r in rows if r["source"] == s]
-        expected = sum(min(3.0, r["target"] / r["source_size"]) for r in mine if r["source_size"])
-        assert abs(sum(r["copies"] for r in mine) - expected) < 1 + 1e-6
+        rate = min(3.0, mine[0]["target"] / mine[0]["source_size"])
+        assert all(r["copies"] in (math.floor(rate), math.ceil(rate)) for r in mine)
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= max(r["size"] for r in mine)
 
 
 def test_mixing_of_large_documents_keeps_to_the_words(spark):
@@ -86,20 +87,24 @@ def test_mixing_of_large_documents_keeps_to_the_words(spark):
     assert all(r["copies"] <= 3 for r in mixed)
 
 
-@given(st.lists(st.integers(1, 5_000), max_size=12), st.integers(0, 20_000), st.floats(0.001, 0.999), st.integers(0, 1 << 60))
+@given(st.lists(st.integers(0, 5_000), max_size=40), st.lists(st.integers(1, mixing.UNIT - 1), min_size=1, max_size=3), st.integers(0, 1 << 60))
 @settings(max_examples=120, deadline=None)
-def test_large_documents_keep_the_sum_of_words(sizes, below, fraction, seed):
+def test_sweep_keeps_the_words(sizes, fractions, seed):
+    """Words stay, and of the documents with one fraction and with words at most one is left between none and all."""
     sizes = sorted(sizes, reverse=True)
-    found, rest = mixing.settle_large(sizes, [seed + 7919 * i for i in range(len(sizes))], below, fraction)
-    assert sum(f * n for f, n in zip(found, sizes)) + rest * below == pytest.approx(fraction * (sum(sizes) + below), abs=1e-6)
-    assert 0 <= rest <= 1 and all(0 <= f <= 1 for f in found)
-    assert sum(1 for f in found if 1e-9 < f < 1 - 1e-9) <= 1
-
-
-def test_large_documents_keep_their_expectation():
-    sizes, below = [900, 500, 400, 60], 700
-    runs = [mixing.settle_large(sizes, [k * 101 + i for i in range(4)], below, 0.3) for k in range(4000)]
-    assert np.allclose(np.mean([f for f, _ in runs], axis=0), 0.3, atol=0.03) and abs(np.mean([r for _, r in runs]) - 0.3) < 0.03
+    mass = [fractions[(seed + i) % len(fractions)] for i in range(len(sizes))]
+    swept = mixing.sweep(sizes, mass, [seed + 7919 * i for i in range(len(sizes))])
+    assert all(0 <= m <= mixing.UNIT for m in swept)
+    before, after = (sum(m * n for m, n in zip(masses, sizes)) / mixing.UNIT for masses in (mass, swept))
+    assert after == pytest.approx(before, abs=1e-3)
+    for f in set(mass):
+        assert sum(1 for m, n, old in zip(swept, sizes, mass) if old == f and n and 1e-6 < m / mixing.UNIT < 1 - 1e-6) <= 1
+
+
+def test_sweep_is_fair():
+    sizes, mass = [900, 500, 400, 300, 200, 200, 60, 1], [mixing.UNIT * 3 // 10] * 8
+    runs = [mixing.sweep(sizes, mass, [k * 101 + i for i in range(8)]) for k in range(4000)]
+    assert np.allclose(np.mean(runs, axis=0) / mixing.UNIT, 0.3, atol=0.03)
 
 
 @given(st.lists(st.integers(0, mixing.UNIT - 1), max_size=40), st.integers(0, 5))
