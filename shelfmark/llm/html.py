@@ -68,7 +68,7 @@ class Block:
 
 
 def _attributes(name: str, attrs: str, known: bool) -> tuple[bool, list[str]]:
-    """Whether the element is hidden; and its class tokens, id and role."""
+    """Whether the element is hidden; and its class tokens and role (behind a point) and id (behind #)."""
     hidden, names = False, []
     for key, *values in ATTR.findall(attrs):
         key, value = key.lower(), "".join(values).strip().lower()
@@ -76,9 +76,11 @@ def _attributes(name: str, attrs: str, known: bool) -> tuple[bool, list[str]]:
             hidden = True
         elif known and value:
             if key == "class":
-                names += value.split()
-            elif key in ("id", "role"):
-                names.append(value)
+                names += (f".{v}" for v in value.split())
+            elif key == "role":
+                names.append(f".{value}")
+            elif key == "id":
+                names.append(f"#{value}")
     return hidden, names
 
 
@@ -181,7 +183,7 @@ def read(page: str) -> tuple[list[Block], list[list[int]], dict[int, tuple[int,
                 key = (above, name, tuple(own))
                 if (names := named.get(key)) is None:
                     kind = f"{name} in article" if name == "header" and ("article" in above or "main" in above) else name
-                    names = named[key] = above | {kind, *(f".{o}" for o in own)}
+                    names = named[key] = above | {kind, *own}
         number += 1
         stack.append((name, names, mine, number, len(blocks)))
         opened[name] += 1
@@ -202,6 +204,13 @@ FORMS = ("<form>",)
 COMMENTS = ("comments", "comment", "replies", "respond", "disqus")
 FOOTERS = ("<footer>", "footer", "contentinfo", "copyright", "")
 ARTICLES = ("<article>", "<main>", "content", "post", "entry", "story", "text", "", "", "body")
+# What stands before and behind such names, around articles and within them alike.
+BEFORE = ("user", "reader", "page", "main", "top", "global")
+BEHIND = ("area", "list", "left", "slot", "bar", "box", "inner", "posts", "body", "section", "block", "right", "links", "item")
+# Words that say how a page looks, not what an element is; and wrappers of an article with what is beside it.
+SAYS_WHETHER = ("no", "has", "with", "without", "is", "not", "hide", "show", "category", "tag", "type", "status", "format")
+SAYS_HOW = ("open", "closed", "enabled", "disabled", "on", "off", "free", "hidden", "visible")
+WRAPPERS = ("wrap", "wrapper", "container", "layout", "grid", "row", "columns")
 LABELLED_PAGES = 240
 
 
@@ -217,6 +226,13 @@ def _in(name: str, inner: str, k: int) -> str:
     return f"<{tag}{f' {("class", "id")[k // 3 % 2]}={name!r}' if name else ''}>{inner}</{tag}>"
 
 
+def _compound(name: str, k: int) -> str:
+    """Every third name as it is, every third behind and every third before another word."""
+    if not name or name.startswith("<") or k % 3 == 0:
+        return name
+    return f"{BEFORE[k // 3 % len(BEFORE)]}-{name}" if k % 3 == 1 else f"{name}-{BEHIND[k // 3 % len(BEHIND)]}"
+
+
 def _links(n: int, words: int, k: int) -> str:
     items = [f"<a href='/'>{_text(1 + (words * (i + k)) % 3)}</a>" for i in range(n)]
     return "<ul>" + "".join(f"<li>{a}</li>" for a in items) + "</ul>" if k % 2 else " ".join(items)
@@ -224,12 +240,12 @@ def _links(n: int, words: int, k: int) -> str:
 
 def labelled_page(k: int) -> list[tuple[str, bool]]:
     """Page number ``k`` of the labelled pages, in parts: (html, whether it is the article)."""
-    pick = lambda names, step=1: names[k // step % len(names)]
+    pick = lambda names, step=1: _compound(names[k // step % len(names)], k // 4)
     say = lambda i: _text(6 + (7 * k + 11 * i) % 53)
     kind = k % 8
     if kind in (0, 1, 2):
         article = f"<h1>{_text(2 + k % 7)}</h1>" + "".join(f"<p>{say(i)} <b>word</b> {_text(i)}{'<br>' + _text(9) if i % 3 == 1 else ''}</p>" for i in range(1 + k % 6)) + f"<p>{_text(1 + k % 4)}</p>" * (k % 2)
-        if kind == 1 and pick(ARTICLES) in ("<article>", "<main>"):
+        if kind == 1 and ARTICLES[k % len(ARTICLES)] in ("<article>", "<main>"):
             article = f"<header><h1>{_text(3)}</h1><p>{_text(5)}</p></header>" + article
     elif kind in (3, 4):
         article = f"<div>{_text(1 + k % 5)}</div><div>{_text(2 + k % 3)}</div>" + "".join(f"<div>{say(i)} <a>word word</a> {_text(3)}</div>" for i in range(2 + k % 5)) + f"<div>{_text(2 + k % 5)}</div>"
@@ -292,7 +308,7 @@ def learn_weights(pages=None, epochs: int = 400, rate: float = 2.0, decay: float
     rows, y, inside, outside = [], [], Counter(), Counter()
     for blocks, marks in pages:
         for i, (block, mark, shape) in enumerate(zip(blocks, marks, _shapes(blocks))):
-            rows.append([*shape, *(f"name {n}" for n in block.names)])
+            rows.append([*shape, *(f"name {p}" for p in {p for n in block.names for p in _name_parts(n)})])
             y.append(mark)
             # Tags between two blocks of the article are inside it.
             (inside if mark and i and marks[i - 1] else outside).update(block.tags)
@@ -340,12 +356,29 @@ MOST = 0.6
 TELLING = -1.0
 
 
+def _name_parts(name: str) -> list[str]:
+    """The words of a class or id, each behind a point; a tag's name is itself."""
+    return [f".{p}" for p in PARTS.split(name[1:]) if p and p != "site"] if name[0] in ".#" else [name]
+
+
 def _name_weight(name: str, weights: dict[str, float]) -> float:
-    """A class of several known words (ad-banner, site-footer) counts as the most harmless of them."""
-    if (found := weights.get(name)) is not None or not name.startswith("."):
-        return found or 0.0
-    parts = [p for p in PARTS.split(name[1:]) if p and p != "site"]
-    return max((weights.get("." + p, 0.0) for p in parts), default=0.0) if len(parts) > 1 or name[1:] != parts[0] else 0.0
+    """What a name says of an element: of a class of several words, the one that speaks most against an article.
+
+    Names that say how a page looks (has-sidebar, ad-free) say nothing; nor do an article's header (post-header) and what wraps an
+    article with its surroundings (content-sidebar-wrap). An id is often a heading's words (related-work) and counts if all of them are known.
+    """
+    parts = _name_parts(name)
+    found = [weights.get(p) for p in parts]
+    known = [w for w in found if w is not None]
+    if not known or name[0] not in ".#" or len(parts) == 1:
+        return known[0] if known else 0.0
+    plain = [p[1:] for p in parts]
+    about = [p in ("article", "main", "page", *ARTICLES) for p in plain]
+    if plain[0] in SAYS_WHETHER or plain[-1] in SAYS_HOW or name[0] == "#" and None in found:
+        return 0.0
+    if any(about) and plain[-1] in WRAPPERS or plain[-1] == "header" and any(about[:-1]):
+        return 0.0
+    return min(known)
 
 
 def scores(blocks: list[Block], weights: dict[str, dict[str, float]], names: bool = True) -> tuple[list[float], list[float]]:
@@ -360,7 +393,7 @@ def scores(blocks: list[Block], weights: dict[str, dict[str, float]], names: boo
         if names and against <= TELLING:
             out.append(against * b.words)
         else:
-            logit = shape[""] + sum(shape.get(f, 0.0) for f in looks) + sum(name.get(n, 0.0) for n in b.names if not n.startswith(".") and name.get(n, 0.0) > TELLING)
+            logit = shape[""] + sum(shape.get(f, 0.0) for f in looks) + sum(name.get(n, 0.0) for n in b.names if n[0] not in ".#" and name.get(n, 0.0) > TELLING)
             out.append(b.words * math.log1p(math.exp(min(logit, 30.0))))
         gaps.append(sum(tag.get(t, other) for t in b.tags))
     return out, gaps

@@ -444,6 +444,40 @@ def test_html_header_of_an_article_and_of_the_site():
     assert html.main_text(f"<article><p>one two <span class='share' hidden>x</span> three {LONG}</p></article>") == f"one two three {LONG}"
 
 
+NOISE = "some words that belong to no article at all"
+AROUND = ("comments-area", "comment-list", "user-comments", "reader-comments", "comment-body", "comment-content", "post-comments", "sidebar-left", "ad-slot", "ad_container", "cookie-bar", "related-posts", "article-share", "newsletter-signup", "post-navigation", "page-footer")
+
+
+@pytest.mark.parametrize("name", AROUND)
+def test_html_names_of_several_words_go(name):
+    assert html.main_text(f"<article><h1>Title</h1><p>{LONG}</p><div class='{name}'><p>{NOISE}</p></div><p>{LONG}</p></article>") == f"Title\n{LONG}\n{LONG}"
+    assert html.main_text(f"<main><h1>Title</h1><p>{LONG}</p><section class='x {name}'><ol><li>{NOISE}</li></ol></section></main>") == f"Title\n{LONG}"
+    assert html.main_text(f"<div><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div><div class='{name}'><p>{NOISE}</p></div>") == f"Title\n{LONG}\n{LONG}"
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["has-sidebar", "no-sidebar", "post-header", "page-header", "content-area", "post-body", "entry-content", "article-text", "list-view", "left-column", "content-sidebar-wrap", "tag-ads", "ad-free", "story-body", "main-content", "body-text", "item-list"],
+)
+def test_html_names_of_several_words_stay(name):
+    assert html.main_text(f"<div class='{name}'><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div><div class='footer'><p>{NOISE}</p></div>") == f"Title\n{LONG}\n{LONG}"
+
+
+def test_html_words_around_names_say_nothing():
+    """What labelled pages put before and behind names, around articles and in them alike, is learned to be harmless."""
+    names = html.learned()["name"]
+    assert all(names[f".{w}"] > html.TELLING for w in (*html.BEFORE, *html.BEHIND))
+    kinds = (html.MENUS, html.HEADERS, html.ADVERTS, html.NOTICES, html.SIDEBARS, html.COMMENTS, html.FOOTERS)
+    assert all(names[f".{w}"] <= html.TELLING for kind in kinds for w in kind if w and not w.startswith("<"))
+
+
+def test_html_ids_of_headings_are_not_names():
+    page = f"<article><h1>Title</h1><p>{LONG}</p><section id='{{}}'><p>{LONG}</p></section></article>"
+    for slug in ("related-work", "search-algorithms", "comments-on-method"):
+        assert html.main_text(page.format(slug)) == f"Title\n{LONG}\n{LONG}"
+    assert html.main_text(page.format("comment-list")) == f"Title\n{LONG}"
+
+
 def articles_of(pages):
     import html as h
 
