@@ -36,7 +36,7 @@ DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x4282, 0x4287, 0x4285
 SEGMENT, INFO, TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86
 FLAG_LACING, DEFAULT_DURATION, AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0x9C, 0x23E383, 0xE1, 0xB5, 0x9F, 0x6264
-CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B
+CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE_BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 MASTERS = {SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACK_POSITIONS}
 TOP_LEVEL = {EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES}
@@ -190,6 +190,7 @@ def packets(data: bytes, out: list | None = None) -> list[tuple[int, int, int, i
     base, scale = 0, 1_000_000
     step: dict[int, int] = {}
     track_number = 1
+    group, refers = 0, False  # a block of a group that refers to other frames is no key frame
     for number, start, stop in elements(data, 0, len(data)):
         if number == TIMESTAMP_SCALE:
             scale = _uint_at(data, start, stop)
@@ -199,13 +200,17 @@ def packets(data: bytes, out: list | None = None) -> list[tuple[int, int, int, i
             step[track_number] = _uint_at(data, start, stop)
         elif number == TIMESTAMP:
             base = _uint_at(data, start, stop)
+        elif number == BLOCK_GROUP:
+            group, refers = len(out), False
+        elif number == REFERENCE_BLOCK:
+            refers, out[group:] = True, [(*packet[:4], False) for packet in out[group:]]
         elif number in (SIMPLE_BLOCK, BLOCK):
             track, at, _ = read_vint(data, start)
             relative, flags = struct.unpack_from(">hB", data, at)
             sizes, at = lace_sizes(data, at + 3, stop, flags & 6)
             first_ns = (base + relative) * scale
             for i, size in enumerate(sizes):
-                out.append((track, (first_ns + i * step.get(track, 0)) // 1_000_000, at, size, number == BLOCK or bool(flags & 0x80)))
+                out.append((track, (first_ns + i * step.get(track, 0)) // 1_000_000, at, size, not refers if number == BLOCK else bool(flags & 0x80)))
                 at += size
     return out
 

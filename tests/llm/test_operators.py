@@ -829,6 +829,17 @@ def test_matroska_of_unknown_sizes_and_block_groups():
     assert [(t, ms, stored[a : a + n]) for t, ms, a, n, _ in media.packets(stored)] == [(2, 15, b"abc"), (2, 25, b"abc")]
 
 
+def test_matroska_key_frames_of_block_groups():
+    """A group's block is a key frame unless the group refers to another frame, before or behind the block; only that group changes."""
+    block = media.element(media.BLOCK, media.vint(1) + b"\x00\x00\x00" + b"abc")
+    refers = media.element(media.REFERENCE_BLOCK, b"\xff")
+    groups = b"".join(media.element(media.BLOCK_GROUP, body) for body in (block, block + refers, refers + block, block))
+    stored = media.element(media.SEGMENT, media.element(media.CLUSTER, media.element(media.TIMESTAMP, b"\x01") + groups))
+    assert [key for *_, key in media.packets(stored)] == [True, False, False, True]
+    simple = media.element(media.SIMPLE_BLOCK, media.vint(1) + b"\x00\x00\x80" + b"abc")
+    assert [key for *_, key in media.packets(media.element(media.SEGMENT, media.element(media.CLUSTER, groups + simple)))][-1]
+
+
 def test_media_digest(spark, docs, texts):
     for r in media.media_digest(docs).collect():
         payload, n = media.payload_of(texts[r["doc_id"]])
