@@ -145,6 +145,26 @@ def update_registry(spark, sf_dir):
     return rows.unionByName(beside)
 
 
+FOREIGN = 65_536  # entries of a document that another tool might have written
+
+
+@plan("SELECT 'doc-' || doc_id AS repo_name, source AS url, text AS description, lang AS type FROM documents")
+def read_foreign_registry(spark, sf_dir):
+    """Every document is an entry; its text is full of whatever JSON escapes. Entries lie in large documents, read in byte ranges."""
+    path = shared_path(spark, "foreign-registry")
+    entry = F.struct(F.col("source").alias("url"), F.col("text").alias("description"), F.col("lang").alias("type"), F.array(F.struct(F.col("n_chars").alias("size"))).alias("parts"))
+    docs = _read(spark, sf_dir, "documents").select(
+        F.floor(F.col("doc_id") / FOREIGN).alias("document"), F.lit(1).alias("place"), F.col("doc_id").alias("name"),
+        F.concat(F.lit(',"doc-'), F.col("doc_id").cast("string"), F.lit('": '), F.to_json(entry)).alias("value"),
+    )
+    head, tail = '{"default": "main", "limits": {"parts": {"most": 1}}, "repositories": {"_comment": "{"', '}, "done": true}'
+    ends = F.explode(F.array(*(F.struct(F.lit(place).alias("place"), F.lit(value).alias("value")) for place, value in ((0, head), (2, tail)))))
+    both = docs.select("document").distinct().select("document", ends.alias("e")).select("document", "e.place", F.lit(None).cast("long").alias("name"), "e.value")
+    rows = docs.unionByName(both).repartition("document").sortWithinPartitions("document", "place", "name")
+    rows.select("document", "value").write.partitionBy("document").text(path)
+    return src.read_registry(spark, path)
+
+
 @plan(_L + "SELECT repo_name, url, description, type FROM registry WHERE url <> ''")
 def read_registry(spark, sf_dir):
     """A document with comments among the entries."""

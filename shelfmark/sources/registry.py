@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from shelfmark.sources.split_json import member_entries
+
 REGISTRY = "repo_name string, url string, description string, type string"
 _ENTRY = "url string, description string, type string"
 # How the first line begins of a document that has an entry a line. JSON lets white space stand there.
@@ -47,12 +49,19 @@ def _lines(spark: SparkSession, path: str, head: str, kind: str = "") -> DataFra
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """A registry that ``write_registry`` wrote is read line by line; any other document is read whole."""
+    """A registry that ``write_registry`` wrote is read line by line; any other document is read in byte ranges, entry by entry.
+
+    No document at ``path`` is an empty registry, and so is one that is cut off.
+    """
     lines = _lines(spark, path, _REGISTRY_HEAD, r"\{")
-    if lines is not None:
-        return lines.select(F.col("name").alias("repo_name"), F.from_json("raw", _ENTRY).alias("e")).select("repo_name", "e.*")
-    found = _whole(spark, path)
-    return spark.createDataFrame([], REGISTRY) if found is None else parse_registry(found)
+    if lines is None:
+        try:
+            lines = member_entries(spark, path, "repositories").filter("is_object")
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], REGISTRY)
+    return lines.select(F.col("name").alias("repo_name"), F.from_json("raw", _ENTRY).alias("e")).select("repo_name", "e.*")
 
 
 def read_skip_list(spark: SparkSession, path: str) -> DataFrame:
