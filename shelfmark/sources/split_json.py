@@ -23,9 +23,9 @@ def _unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"\\[\s\S]", "")
 
 
-def _opened(inside: Column, text: Column) -> Column:
+def _opened(inside: bool, text: Column) -> Column:
     """Braces that open outside strings, and ``ARRAY`` times the brackets that open less those that close, in a piece that begins inside a string or not."""
-    code = F.when(inside, F.regexp_replace(text, r'^[^"]*+("|$)', "")).otherwise(text)
+    code = F.regexp_replace(text, r'^[^"]*+("|$)', "") if inside else text
     code = F.regexp_replace(code, r'"[^"]*+("|$)', "")
     return F.regexp_count(code, F.lit(r"\{")) + F.lit(ARRAY) * (F.regexp_count(code, F.lit(r"\[")) - F.regexp_count(code, F.lit(r"\]")))
 
@@ -57,7 +57,9 @@ def entry_texts(spark: SparkSession, path: str) -> DataFrame:
     pieces = spark.read.text(path, lineSep="}").select(
         m["file_path"].alias("file"), m["file_block_start"].alias("block"), m["file_size"].alias("bytes"), F.monotonically_increasing_id().alias("at"), "value",
     )
-    pieces = pieces.withColumn("plain", _unescaped(F.col("value"))).withColumn("quotes", F.regexp_count("plain", F.lit('"')).cast("long"))
+    # Counted before anything moves, for both ways in which a piece may begin, so that only numbers ride through the sums.
+    plain = _unescaped(F.col("value"))
+    pieces = pieces.withColumn("quotes", F.regexp_count(plain, F.lit('"')).cast("long")).withColumn("in_string", _opened(True, plain)).withColumn("in_code", _opened(False, plain))
     sizes = pieces.groupBy("file").agg(F.sum(F.octet_length("value") + 1).alias("read"), F.first("bytes").alias("bytes")).collect()
     if not sizes:
         return spark.createDataFrame([], "file string, entry long, before long, after long, member long, json string")
@@ -66,8 +68,9 @@ def entry_texts(spark: SparkSession, path: str) -> DataFrame:
     pieces, quotes = _running(pieces, "quotes", "quotes_before")
     inside = F.col("quotes_before") % 2 == 1
     closes = F.when((F.col("quotes_before") + F.col("quotes")) % 2 == 0, 1).otherwise(0)
-    pieces = pieces.withColumn("depth", (_opened(inside, F.col("plain")) - closes).cast("long")).withColumn("closes", closes)
-    pieces, depth = _running(pieces.drop("plain"), "depth", "depth_before")
+    opened = F.when(inside, F.col("in_string")).otherwise(F.col("in_code"))
+    pieces = pieces.withColumn("depth", (opened - closes).cast("long")).withColumn("closes", closes)
+    pieces, depth = _running(pieces, "depth", "depth_before")
     whole = [file for file in depth if depth[file] + open_end[file] == 0 and quotes[file] % 2 == 0]
     after = F.col("depth_before") + F.col("depth")
     pieces = pieces.withColumn("after", after).withColumn("ends", F.when((F.col("closes") == 1) & after.between(0, 2), 1).otherwise(0).cast("long"))
@@ -79,9 +82,9 @@ def entry_texts(spark: SparkSession, path: str) -> DataFrame:
     first, last = F.col("p")[0], F.element_at("p", -1)
     before = first["depth_before"]
     text = F.concat(F.array_join(F.col("p")["value"], "}"), F.lit("}"))
-    opened = F.when(before == 0, text).otherwise(F.concat(F.lit("{"), F.regexp_replace(text, r"^\s*,", "")))
+    begun = F.when(before == 0, text).otherwise(F.concat(F.lit("{"), F.regexp_replace(text, r"^\s*,", "")))
     closing = F.when(before == 2, last["after"] - 1).otherwise(last["after"])
-    json = F.concat(opened, F.repeat(F.lit("}"), F.greatest(closing, F.lit(0)).cast("int")))
+    json = F.concat(begun, F.repeat(F.lit("}"), F.greatest(closing, F.lit(0)).cast("int")))
     # Nothing that follows the root counts.
     return entries.filter((before > 0) | (F.col("entry") == 0)).select("file", "entry", before.alias("before"), last["after"].alias("after"), first["member"].alias("member"), json.alias("json"))
 
