@@ -136,26 +136,30 @@ def map_reduce_analyze(spark, sf_dir):
 REDUCE_BUDGET = 600
 
 
-def _tree_sql(levels: int = 6) -> str:
-    """Level by level, as far as any of the test tables needs."""
+def _tree_sql() -> str:
+    """Level by level, as many as the texts need: a level's answers are the next one's texts until a repository has one prompt."""
     half = REDUCE_BUDGET // 2
-    answer = "length(prompt) || ' characters, ' || (length(prompt) - length(replace(prompt, chr(10), '')) + 1) || ' lines, ' || md5(prompt)"
-    parts = [f"p1 AS (SELECT CAST(conv_id % 5 AS VARCHAR) AS repo_name, (conv_id * 1000 + turn) * 100000 + i AS spot, substr(text, i * {half - 2} + 1, {half - 2}) AS text FROM conversations, LATERAL (SELECT unnest(range(greatest(CAST(ceil(length(text) / {half - 2}) AS BIGINT), 1))) AS i))"]
-    for k in range(1, levels + 1):
-        parts += [
-            f"s{k} AS (SELECT *, CAST(floor(coalesce(sum(length(text) + 2) OVER (PARTITION BY repo_name ORDER BY spot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / {half}) AS BIGINT) AS pack FROM p{k})",
-            f"q{k} AS (SELECT repo_name, pack, string_agg(text, chr(10) || chr(10) ORDER BY spot) AS prompt FROM s{k} GROUP BY ALL)",
-            f"a{k} AS (SELECT repo_name, pack, count(*) OVER (PARTITION BY repo_name) AS packs, {answer} AS content FROM q{k})",
-            f"p{k + 1} AS (SELECT repo_name, pack AS spot, content AS text FROM a{k} WHERE packs > 1)",
-        ]
-    return "WITH " + ",\n".join(parts) + "\n" + " UNION ALL ".join(f"SELECT repo_name, 'success' AS status, content, CAST(NULL AS VARCHAR) AS error, {k} AS levels FROM a{k} WHERE packs = 1" for k in range(1, levels + 1))
+
+    def level(texts: str, number: str, *order: str) -> str:
+        """The answers of a level whose ``texts`` come in ``order``."""
+        spot = ", ".join(order)
+        packed = f"SELECT *, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY repo_name ORDER BY {spot} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // {half} AS pack FROM {texts}"
+        prompts = f"SELECT repo_name, pack, {number} AS levels, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY {spot}), '') AS prompt FROM ({packed}) GROUP BY ALL"
+        blank = "regexp_full_match(prompt, '[\\s\\pZ\\x0B\\x1C-\\x1F\\x{85}]*')"
+        answer = "length(prompt) || ' characters, ' || (length(prompt) - length(replace(prompt, chr(10), '')) + 1) || ' lines, ' || md5(prompt)"
+        return f"SELECT repo_name, pack, levels, count(*) OVER (PARTITION BY repo_name) AS packs, CASE WHEN NOT {blank} THEN {answer} END AS content, CASE WHEN {blank} THEN 'empty prompt' END AS error FROM ({prompts})"
+
+    return f"""WITH RECURSIVE parts AS (SELECT CAST(conv_id % 5 AS VARCHAR) AS repo_name, conv_id, turn, i, substr(text, i * {half - 2} + 1, {half - 2}) AS text FROM conversations, LATERAL (SELECT unnest(range(greatest(CAST(ceil(length(text) / {half - 2}) AS BIGINT), 1))) AS i)),
+answered AS ({level("parts", "1", "conv_id", "turn", "i")}
+UNION ALL {level("(SELECT repo_name, pack AS spot, levels, coalesce(content, 'failed: ' || error) AS text FROM answered WHERE packs > 1)", "any_value(levels) + 1", "spot")})
+SELECT repo_name, CASE WHEN error IS NULL THEN 'success' ELSE 'failed' END AS status, content, error, CAST(levels AS INT) AS levels FROM answered WHERE packs = 1"""
 
 
 @plan(_tree_sql())
 def reduce_tree(spark, sf_dir):
     """All turns of every fifth conversation as one repository's texts, reduced under a budget of a few of them: several levels."""
     c = _read(spark, sf_dir, "conversations")
-    parts = c.select((F.col("conv_id") % 5).cast("string").alias("repo_name"), (F.col("conv_id") * 1000 + F.col("turn")).alias("at"), "text")
+    parts = c.select((F.col("conv_id") % 5).cast("string").alias("repo_name"), F.struct("conv_id", "turn").alias("at"), "text")
     return a.reduce_tree(parts, budget=REDUCE_BUDGET)
 
 
