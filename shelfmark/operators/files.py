@@ -61,11 +61,20 @@ def tree_pieces(files: DataFrame, depth: int = DEPTH, icons: bool = True) -> Dat
     return heads.unionByName(nodes.select("repo_name", "place", line.alias("text"), F.lit("\n").alias("gap")))
 
 
+#: Parts of a place that name a group of lines: below it they are put together apart.
+GROUP = 2
+
+
 def tree_lines(files: DataFrame, depth: int = DEPTH, icons: bool = True) -> DataFrame:
-    """repo_name, tree: the pieces of a tree as one text, for repositories whose tree is a value; ``tree_pieces`` has any."""
-    rows = tree_pieces(files, depth, icons).groupBy("repo_name").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("place", F.array()).alias("place"), "text"))).alias("lines"))
-    lines = F.transform("lines", lambda x: x["text"])
-    return rows.select("repo_name", F.concat(F.get(lines, F.lit(0)), F.lit("\n\n"), F.array_join(F.slice(lines, 2, F.size(lines)), "\n")).alias("tree"))
+    """repo_name, tree: the pieces of a tree as one text; ``tree_pieces`` has them as rows.
+
+    Lines are sorted and joined for each place of two parts first, in as many tasks as there are, so a repository only joins their texts, in order.
+    """
+    pieces = tree_pieces(files, depth, icons).withColumn("place", F.coalesce("place", F.array()))
+    ordered = lambda by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, "text"))), lambda x: x["text"]), "\n")
+    below = pieces.filter(F.size("place") > 0).withColumn("group", F.slice("place", 1, GROUP)).groupBy("repo_name", "group").agg(ordered("place").alias("text"))
+    heads = pieces.filter(F.size("place") == 0).select("repo_name", F.col("place").alias("group"), F.concat("text", F.lit("\n")).alias("text"))
+    return heads.unionByName(below).groupBy("repo_name").agg(ordered("group").alias("tree"))
 
 
 def structure_stats(files: DataFrame, depth: int = DEPTH) -> DataFrame:

@@ -54,7 +54,6 @@ _TREE = """, lines AS (SELECT repo_name, list_transform(d, lambda x: '1' || x) A
 UNION ALL SELECT repo_name, list_transform(parts[1:len(parts) - 1], lambda x: '1' || x) || ['0' || parts[len(parts)]], repeat('  ', CAST(len(parts) AS INT)) || parts[len(parts)] FROM files
 UNION ALL SELECT repo_name, list_transform(d, lambda x: '1' || x) || ['0' || name], repeat('  ', 4) || name || '/ [NESTED]' FROM nested UNION ALL SELECT repo_name, list_transform(d, lambda x: '1' || x) || ['1'], repeat('  ', 4) || '[' || n || ' files]' FROM hidden)
 """
-_BELOW = _P.replace("WITH paths AS (", "WITH whole AS (").replace("FROM pages),", "FROM pages), paths AS (SELECT repo_name || '/' || split_part(path, '/', 1) AS repo_name, substr(path, strpos(path, '/') + 1) AS path FROM whole WHERE contains(path, '/')),", 1)
 
 
 def _digest_sql(piece: str, source: str) -> str:
@@ -63,13 +62,10 @@ def _digest_sql(piece: str, source: str) -> str:
 SELECT repo_name, md5(string_agg(h, '' ORDER BY bucket)) AS digest FROM buckets GROUP BY 1"""
 
 
-@plan(_BELOW + _TREE + "SELECT repo_name, md5('Repository: ' || repo_name || chr(10) || repeat('=', length(repo_name) + 12) || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY place)) AS tree FROM lines GROUP BY 1")
+@plan(_P + _TREE + "SELECT repo_name, md5('Repository: ' || repo_name || chr(10) || repeat('=', length(repo_name) + 12) || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY place)) AS tree FROM lines GROUP BY 1")
 def tree_lines(spark, sf_dir):
-    """Trees as texts, one for each folder below a host."""
-    below = paths(spark, sf_dir).filter(F.col("path").contains("/"))
-    folder = F.substring_index("path", "/", 1)
-    rows = below.select(F.concat("repo_name", F.lit("/"), folder).alias("repo_name"), F.substring(F.col("path"), F.length(folder) + 2, F.length("path")).alias("path"))
-    return f.tree_lines(rows, icons=False).withColumn("tree", F.md5("tree"))
+    """The whole tree of every host as one text."""
+    return f.tree_lines(paths(spark, sf_dir), icons=False).withColumn("tree", F.md5("tree"))
 
 
 @plan(_P + _TREE + ", pieces AS (SELECT repo_name, array_to_string(place, '/') AS place, line FROM lines UNION ALL SELECT DISTINCT repo_name, '', 'Repository: ' || repo_name || chr(10) || repeat('=', length(repo_name) + 12) FROM lines)" + _digest_sql("place || chr(10) || line", "pieces"))

@@ -1,5 +1,7 @@
 """Queries on tables that the small test tables are too small or too tidy for."""
 
+import hashlib
+
 import duckdb
 import pytest
 
@@ -33,3 +35,11 @@ def test_reduce_tree_of_eight_levels(spark, table):
 UNION ALL SELECT 1, 0, 'user', '  ' || chr(10) UNION ALL SELECT 2, 0, 'user', 'one'""")
     got, want = both(spark, folder, "reduce_tree", "conversations")
     assert got == want and len(got) == 3 and sorted(r[-1] for r in got) == [1, 1, 8] and sorted(r[1] for r in got) == ["failed", "success", "success"]
+
+
+def test_tree_lines_has_whole_hosts(spark, table):
+    """A host whose pages lie in no folder has a tree, and a host with folders has one tree with its top-level files."""
+    folder = table("pages", "SELECT * FROM (VALUES (3, 'https://a.org/top'), (7, 'https://b.org/top'), (6, 'https://b.org/f/g/h/i/j'), (5, 'https://b.org/f'), (10, 'https://b.org/e/x')) v(page_id, url)")
+    got, want = both(spark, folder, "tree_lines", "pages")
+    assert got == want and [r[0] for r in got] == ["a.org", "b.org"]
+    assert got[0][1] == hashlib.md5(b"Repository: a.org\n=================\n\n  top").hexdigest()
