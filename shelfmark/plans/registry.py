@@ -199,6 +199,6 @@ def read_listing(spark, sf_dir):
         page = rows.filter(c("key") % 5 == rest).groupBy(F.floor(c("key") / 50).alias("page")).agg(F.collect_list(entry).alias("all"))
         paths[provider] = shared_path(spark, f"listing-{provider}")
         document = F.to_json(F.struct(c("all").alias(field))) if field else F.to_json("all")
-        # A file holds one page: the reader takes each file as a document.
-        page.select("page", document.alias("value")).write.partitionBy("page").text(paths[provider])
-    return src.read_listing(spark, paths).drop("last_commit_at")
+        # A line holds one page, and a file the pages of a task.
+        page.select(document.alias("value")).write.text(paths[provider])
+    return src.read_listing(spark, paths, lines=True).drop("last_commit_at")

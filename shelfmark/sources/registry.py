@@ -17,10 +17,10 @@ _REGISTRY_HEAD, _SKIP_HEAD = "{ \t", "{\t "
 LISTING = "provider string, repo_name string, url string, description string, language string, archived boolean, last_commit_at timestamp"
 
 
-def _whole(spark: SparkSession, path: str) -> DataFrame | None:
-    """The document at ``path`` as one row; null where there is none."""
+def _whole(spark: SparkSession, path: str, whole: bool = True) -> DataFrame | None:
+    """The document at ``path`` as one row, or a row a line if not ``whole``; null where there is none."""
     try:
-        return spark.read.text(path, wholetext=True)
+        return spark.read.text(path, wholetext=whole, lineSep=None if whole else "\n")
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -115,11 +115,14 @@ def parse_listing(pages: DataFrame, provider: str, text: str = "value") -> DataF
     )
 
 
-def read_listing(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """All providers' landed pages (provider -> folder of JSON documents) as one table."""
+def read_listing(spark: SparkSession, paths: dict[str, str], lines: bool = False) -> DataFrame:
+    """All providers' landed pages (provider -> folder of JSON documents) as one table.
+
+    A file is a page, or with ``lines`` each of its lines is one, so that files need not grow in number with the pages.
+    """
     out = spark.createDataFrame([], LISTING)
     for provider, path in paths.items():
-        found = _whole(spark, path)
+        found = _whole(spark, path, whole=not lines)
         if found is not None:
             out = out.unionByName(parse_listing(found, provider))
     return out

@@ -43,3 +43,16 @@ def test_tree_lines_has_whole_hosts(spark, table):
     got, want = both(spark, folder, "tree_lines", "pages")
     assert got == want and [r[0] for r in got] == ["a.org", "b.org"]
     assert got[0][1] == hashlib.md5(b"Repository: a.org\n=================\n\n  top").hexdigest()
+
+
+def test_pages_of_a_listing_share_files(spark, tmp_path):
+    """Pages on lines of one file are what pages in files of their own are."""
+    from shelfmark.sources import registry
+
+    pages = ['[{"name": "a", "html_url": "u", "description": "line\\nbreak"}, {"name": "b"}]', '[{"name": "c", "archived": true}]', "[]"]
+    for n, page in enumerate(pages):
+        (tmp_path / "files" / str(n)).parent.mkdir(exist_ok=True)
+        (tmp_path / "files" / str(n)).write_text(page)
+    (tmp_path / "lines").write_text("\n".join(pages))
+    apart, together = (sorted(map(tuple, registry.read_listing(spark, {"github": f"file://{tmp_path}/{n}"}, lines=n == "lines").collect())) for n in ("files", "lines"))
+    assert apart == together and [r[1] for r in together] == ["a", "b", "c"]
