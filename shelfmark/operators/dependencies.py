@@ -32,6 +32,16 @@ def _entry(dep_type, name: Column, constraint: Column) -> Column:
     return F.struct(kind.alias("dep_type"), F.trim(name).alias("name"), F.nullif(F.trim(constraint), F.lit("")).alias("constraint"))
 
 
+def _once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` a value that is worked out once a row: inside lambdas a column would be worked out anew for each element."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def _distinct(entries: Column) -> Column:
+    """Entries once each, sorted: in structs, ``array_distinct`` compares all pairs."""
+    return _once(F.sort_array(entries), lambda s: F.filter(s, lambda e, i: (i == 0) | ~e.eqNullSafe(F.get(s, i - 1))))
+
+
 def _none() -> Column:
     return F.array().cast(ENTRIES)
 
@@ -80,17 +90,19 @@ def gradle_lines(content: Column) -> Column:
 
 def json_fields(content: Column, file_name: str) -> Column:
     """Maps of name to constraint in a JSON object; a value that is no text has no constraint. Platform names (php, ext-*) go."""
-    value = F.try_parse_json(content)
     text = lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
 
-    def of(field: str, kind: str) -> Column:
+    def of(value: Column, field: str, kind: str) -> Column:
         entries = F.map_entries(F.try_variant_get(value, f"$['{field}']", "map<string,variant>"))
         return F.coalesce(F.transform(entries, lambda e: _entry(kind, e["key"], text(e["value"]))), _none())
 
-    found = F.concat(*(of(field, kind) for name, field, kind in JSON_FIELDS if name == file_name))
-    if file_name == "composer.json":
-        found = F.filter(found, lambda e: ~e["name"].rlike("^(php|hhvm|(ext|lib|php)-.*|composer(-.*)?)$"))
-    return F.when(F.schema_of_variant(value).startswith("OBJECT"), found)
+    def fields(value: Column) -> Column:
+        found = F.concat(*(of(value, field, kind) for name, field, kind in JSON_FIELDS if name == file_name))
+        if file_name == "composer.json":
+            found = F.filter(found, lambda e: ~e["name"].rlike("^(php|hhvm|(ext|lib|php)-.*|composer(-.*)?)$"))
+        return F.when(F.schema_of_variant(value).startswith("OBJECT"), found)
+
+    return _once(F.try_parse_json(content), fields)
 
 
 def _xml(content: Column, schema: str) -> Column:
@@ -99,35 +111,43 @@ def _xml(content: Column, schema: str) -> Column:
 
 def maven_dependencies(content: Column) -> Column:
     """Dependencies of a pom.xml: versions by property, or else by the managed dependencies; scope ``test`` is for development."""
-    pom = _xml(content, POM)
     key = lambda d: F.concat_ws(":", F.trim(d["groupId"]), F.trim(d["artifactId"]))
-    managed = F.coalesce(pom["dependencyManagement"]["dependencies"]["dependency"], F.array().cast("array<struct<groupId:string,artifactId:string,version:string,scope:string>>"))
+    kind = lambda d: F.when(F.trim(d["scope"]) == "test", "dev").otherwise("production")
 
-    def version(d: Column) -> Column:
+    def version(d: Column, properties: Column, managed: Column) -> Column:
         inherited = F.element_at(F.transform(F.filter(managed, lambda m: key(m) == key(d)), lambda m: m["version"]), 1)
         given = F.trim(F.coalesce(d["version"], F.when(F.exists(managed, lambda m: key(m) == key(d)), inherited)))
         named = F.regexp_extract(given, r"^\$\{([^}]+)\}$", 1)
-        return F.when(named != "", F.coalesce(F.try_element_at(pom["properties"], named), given)).otherwise(given)
+        return F.when(named != "", F.coalesce(F.try_element_at(properties, named), given)).otherwise(given)
 
-    kind = lambda d: F.when(F.trim(d["scope"]) == "test", "dev").otherwise("production")
-    found = F.transform(pom["dependencies"]["dependency"], lambda d: _entry(kind(d), key(d), version(d)))
-    return F.when(pom["_corrupt_record"].isNull(), F.coalesce(found, _none()))
+    def entries(pom: Column) -> Column:
+        managed = F.coalesce(pom["dependencyManagement"]["dependencies"]["dependency"], F.array().cast("array<struct<groupId:string,artifactId:string,version:string,scope:string>>"))
+        found = _once(managed, lambda m: F.transform(pom["dependencies"]["dependency"], lambda d: _entry(kind(d), key(d), version(d, pom["properties"], m))))
+        return F.when(pom["_corrupt_record"].isNull(), F.coalesce(found, _none()))
+
+    return _once(_xml(content, POM), entries)
 
 
 def package_references(content: Column) -> Column:
     """PackageReference items of a .NET project; private assets are for development."""
-    project = _xml(content, PROJECT)
-    items = F.flatten(F.filter(F.transform(project["ItemGroup"], lambda g: g["PackageReference"]), lambda r: r.isNotNull()))
     kind = lambda r: F.when(F.coalesce(r["_PrivateAssets"], r["PrivateAssets"]) == "all", "dev").otherwise("production")
-    found = F.transform(F.filter(items, lambda r: r["_Include"].isNotNull()), lambda r: _entry(kind(r), r["_Include"], F.coalesce(r["_Version"], r["Version"])))
-    return F.when(project["_corrupt_record"].isNull(), F.coalesce(found, _none()))
+
+    def entries(project: Column) -> Column:
+        items = F.flatten(F.filter(F.transform(project["ItemGroup"], lambda g: g["PackageReference"]), lambda r: r.isNotNull()))
+        found = F.transform(F.filter(items, lambda r: r["_Include"].isNotNull()), lambda r: _entry(kind(r), r["_Include"], F.coalesce(r["_Version"], r["Version"])))
+        return F.when(project["_corrupt_record"].isNull(), F.coalesce(found, _none()))
+
+    return _once(_xml(content, PROJECT), entries)
 
 
 def packages_config(content: Column) -> Column:
-    packages = _xml(content, PACKAGES)
     kind = lambda p: F.when(p["_developmentDependency"] == "true", "dev").otherwise("production")
-    found = F.transform(packages["package"], lambda p: _entry(kind(p), p["_id"], p["_version"]))
-    return F.when(packages["_corrupt_record"].isNull(), F.coalesce(found, _none()))
+
+    def entries(packages: Column) -> Column:
+        found = F.transform(packages["package"], lambda p: _entry(kind(p), p["_id"], p["_version"]))
+        return F.when(packages["_corrupt_record"].isNull(), F.coalesce(found, _none()))
+
+    return _once(_xml(content, PACKAGES), entries)
 
 
 # ---- TOML --------------------------------------------------------------------
@@ -229,9 +249,11 @@ def dependency_rows(manifests: DataFrame) -> DataFrame:
     in_toml = base.isin(*TOML_FILES)
     columns = ["repo_name", "full_path", "dep_type"]
     read = named.filter(known & ~in_toml).select(*columns, entries.alias("entries")).unionByName(named.filter(in_toml).select(*columns, toml_dependencies(base, F.col("content")).alias("entries")))
-    rows = read.withColumn("entry", F.explode_outer(F.array_distinct(F.filter("entries", lambda e: e["name"] != "")))).filter(F.col("entry").isNotNull() | F.col("entries").isNull())
+    # A row of an entry must not carry all entries of its file.
+    marked = read.withColumn("broken", F.col("entries").isNull())
+    rows = marked.select(*columns, "broken", F.explode_outer(_distinct(F.filter("entries", lambda e: e["name"] != ""))).alias("entry")).filter(F.col("entry").isNotNull() | F.col("broken"))
     operator, version = constraint_parts(F.col("entry.constraint"))
-    error = F.when(F.col("entries").isNull(), F.concat(F.lit("cannot be read: "), F.element_at(F.split("full_path", "/"), -1)))
+    error = F.when(F.col("broken"), F.concat(F.lit("cannot be read: "), F.element_at(F.split("full_path", "/"), -1)))
     return rows.select("repo_name", "full_path", F.coalesce("entry.dep_type", "dep_type").alias("dep_type"), "entry.name", "entry.constraint", operator.alias("operator"), version.alias("version"), error.alias("error"))
 
 

@@ -421,7 +421,7 @@ def normal_name(name: Column) -> Column:
 def dependency_catalog(dependencies: DataFrame) -> DataFrame:
     """repo_name, dependency, paths, is_production from (repo_name, name, full_path, dep_type): one row a dependency."""
     keyed = dependencies.withColumn("dependency", normal_name(F.col("name")))
-    return keyed.groupBy("repo_name", "dependency").agg(F.array_sort(F.collect_set("full_path")).alias("paths"), F.bool_or(F.col("dep_type") == "production").alias("is_production"))
+    return keyed.groupBy("repo_name", "dependency").agg(F.sort_array(F.collect_set("full_path")).alias("paths"), F.bool_or(F.col("dep_type") == "production").alias("is_production"))
 
 
 def detect_technologies(dependencies: DataFrame, catalogue: DataFrame) -> DataFrame:

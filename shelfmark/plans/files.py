@@ -189,7 +189,9 @@ def number_batches(spark, sf_dir):
 def manifest_texts(spark, sf_dir: str) -> DataFrame:
     """Suppliers as repositories whose manifests, of four formats in turn, list the parts that they sold: a file for each return flag and status. Every ninth file is cut off, which only some formats notice."""
     li = _read(spark, sf_dir, "lineitem").join(_read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    sold = li.select(F.col("l_suppkey").alias("repo_name"), F.col("l_returnflag").alias("flag"), (F.col("l_linestatus") == "F").alias("dev"), F.concat(F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit("-"), F.col("p_size").cast("string")).alias("name"), F.col("p_size").cast("string").alias("size")).distinct()
+    sold = li.select(F.col("l_suppkey").alias("repo_name"), F.col("l_returnflag").alias("flag"), (F.col("l_linestatus") == "F").alias("dev"), F.concat(F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit("-"), F.col("p_size").cast("string")).alias("name"), F.col("p_size").cast("string").alias("size"))
+    # Dealt once, for what is distinct and for the files.
+    sold = sold.repartition("repo_name", "flag", "dev").distinct()
     kind = F.col("repo_name") % 4
     line = (
         F.when(kind == 0, F.concat("name", F.lit("=="), "size", F.lit(".0")))
@@ -197,7 +199,7 @@ def manifest_texts(spark, sf_dir: str) -> DataFrame:
         .when(kind == 2, F.concat(F.lit("<dependency><groupId>g</groupId><artifactId>"), "name", F.lit("</artifactId><version>"), "size", F.lit(".0</version>"), F.when(F.col("dev"), "<scope>test</scope>").otherwise(""), F.lit("</dependency>")))
         .otherwise(F.concat("name", F.lit(' = { version = "'), "size", F.lit('.0" }')))
     )
-    files = sold.groupBy("repo_name", "flag", "dev").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    files = sold.groupBy("repo_name", "flag", "dev").agg(F.sort_array(F.collect_list(line)).alias("lines"))
     joined = lambda sep: F.array_join("lines", sep)
     name = F.when(kind == 0, F.when(F.col("dev"), "requirements-dev.txt").otherwise("requirements.txt")).when(kind == 1, "package.json").when(kind == 2, "pom.xml").otherwise("Cargo.toml")
     text = (

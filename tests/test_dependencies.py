@@ -73,3 +73,11 @@ def test_files_to_catalog_and_technologies(spark):
     assert got == {"flask": (["/a/requirements.txt"], True), "mylib": (["/a/requirements.txt", "/b/package.json"], True)}
     catalogue = spark.createDataFrame([("MyLib", "tools")], "name string, technology string")
     assert [tuple(r) for r in m.detect_technologies(rows, catalogue).collect()] == [("r", "tools", 2)]
+
+
+def test_a_file_is_parsed_once(spark):
+    """XML is not parsed anew for each entry of a file."""
+    files = [("r", "pom.xml", "<project><dependencies><dependency><groupId>g</groupId><artifactId>a</artifactId></dependency></dependencies></project>")]
+    rows = d.read_dependencies(spark.createDataFrame(files, "repo_name string, path string, content string"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_xml(") == 3
+    assert [(r["name"], r["error"]) for r in rows.collect()] == [("g:a", None)]
