@@ -80,10 +80,13 @@ def recover(spark: SparkSession, path: str) -> list[str]:
     return done
 
 
-def stage(rows: DataFrame, path: str, keys: list[str], order: list[str | Column], buckets: int = BUCKETS, bucket_keys: list[str] | None = None) -> str:
-    """Writes a batch, one row a key, beside the table and returns its name."""
+def stage(rows: DataFrame, path: str, keys: list[str], order: list[str | Column], buckets: int = BUCKETS, bucket_keys: list[str] | None = None, numbered: bool = False) -> str:
+    """Writes a batch, one row a key, beside the table and returns its name; ``numbered`` rows get it as ``edition``, and an ``id``, close to those of others in the bucket."""
     name = uuid.uuid4().hex
-    newest_by_key(rows, keys, order).withColumn(BUCKET, bucket_of(bucket_keys or keys, buckets)).repartition(BUCKET).write.partitionBy(BUCKET).parquet(f"{path}/{STAGED}/{name}")
+    batch = newest_by_key(rows, keys, order).withColumn(BUCKET, bucket_of(bucket_keys or keys, buckets)).repartition(BUCKET)
+    if numbered:
+        batch = batch.sortWithinPartitions(BUCKET).withColumn("edition", F.lit(name)).withColumn("id", F.monotonically_increasing_id())
+    batch.write.partitionBy(BUCKET).parquet(f"{path}/{STAGED}/{name}")
     return name
 
 
@@ -102,6 +105,16 @@ def merge(spark: SparkSession, path: str, name: str, keys: list[str], order: lis
     _delete(spark, staged_path)
 
 
+def rewrite(spark: SparkSession, path: str, rows: DataFrame) -> None:
+    """Puts ``rows``, which have a bucket, in place of all that the table holds in their buckets."""
+    name = uuid.uuid4().hex
+    rows.write.partitionBy(BUCKET).parquet(f"{path}/{MERGED}/{name}")
+    if any(c.startswith(f"{BUCKET}=") for c in _children(spark, f"{path}/{MERGED}/{name}")):
+        _replace(spark, path, name)
+    else:
+        _delete(spark, f"{path}/{MERGED}/{name}")
+
+
 def read_keyed_buckets(spark: SparkSession, path: str, like: DataFrame, touched: list[int]) -> DataFrame:
     """Rows of some buckets, with ``bucket``; the filter prunes folders. ``like`` has the columns of a table that does not exist yet."""
     try:

@@ -61,3 +61,43 @@ def test_cache_lookup_moves_keys_first(spark):
     assert below and "content" not in below[0].split("\n")[0]
     tasks = spark.createDataFrame([("r", "s", "c", "1"), ("x", "s", "c", "1")], "repo_name string, step_name string, commit_sha string, prompt_version string")
     assert sorted((r["repo_name"], r["content"]) for r in results.cache_lookup(tasks, table, 5).collect()) == [("r", "b"), ("x", None)]
+
+
+def test_an_update_leaves_the_postings_that_are_there(spark, tmp_path):
+    """What an update writes grows with the change; a text that comes back counts once, and dead postings go without a change to any search."""
+    path = f"file://{tmp_path}/i"
+    search.update_index(spark.createDataFrame(TEXTS, SCHEMA), path, buckets=4)
+    files = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "i" / "postings").glob("bucket=*/*.parquet")}
+    entries = lambda: spark.read.parquet(f"{path}/postings").selectExpr("sum(size(hits))").first()[0]
+    first, held = files(), entries()
+    for content in ("b", "The THE theatre, other words"):
+        search.update_index(spark.createDataFrame([("r", "a", content)], SCHEMA), path, buckets=4)
+        assert first.items() <= files().items()
+    last = files()
+    search.update_index(spark.createDataFrame([("r", "a", content)], SCHEMA), path, buckets=4)
+    assert files() == last and entries() > held
+    want = {term: rows(documents.search_documents(spark.createDataFrame(TEXTS, SCHEMA), term)) for term in ("the", "other words", "aa", "b")}
+    assert {term: rows(search.search_index(spark, path, term, buckets=4)) for term in want} == want
+    search.drop_dead(spark, path)
+    assert entries() == held
+    assert {term: rows(search.search_index(spark, path, term, buckets=4)) for term in want} == want
+
+
+def test_runs_are_counted_from_the_left(spark, monkeypatch):
+    texts = ["", "a", "aaaaa", "ababab aba", "日本日本日", "the the\n😀😀😀"]
+    for low in texts:
+        assert search.runs(low) == {low[i : i + n]: low.count(low[i : i + n]) for n in (1, 2, 3) for i in range(len(low) - n + 1)}
+    monkeypatch.setattr(search, "ENTRIES", 3)
+    batch = search.pa.RecordBatch.from_pydict({"edition": ["e"] * 6, "home": [0, 0, 0, 1, 1, 1], "id": [5, 6, 7, 8, 9, 1 << 33], "low": texts})
+    found = {(p["run"], p["base"] + at): n for b in search.cut([batch, batch.slice(0, 0)]) for p in b.to_pylist() for at, n in zip(p["places"], p["hits"], strict=True)}
+    assert found == {(run, i): n for i, low in zip([5, 6, 7, 8, 9, 1 << 33], texts, strict=True) for run, n in search.runs(low).items()}
+
+
+def test_an_index_without_contents(spark, tmp_path):
+    path = f"file://{tmp_path}/i"
+    search.update_index(spark.createDataFrame([("p", "a", None), ("p", "b", "")], SCHEMA), path, buckets=4)
+    for term in ("a", "not there"):
+        assert rows(search.search_index(spark, path, term, buckets=4)) == []
+    search.drop_dead(spark, path)
+    search.update_index(spark.createDataFrame([("p", "a", "now there")], SCHEMA), path, buckets=4)
+    assert rows(search.search_index(spark, path, "there", buckets=4)) == [("p", "a", 1)]
