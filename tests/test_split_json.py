@@ -2,10 +2,13 @@
 
 import json
 import random
+from itertools import groupby
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from shelfmark.sources import split_json
 from shelfmark.sources.registry import parse_registry, read_registry
 from shelfmark.sources.split_json import member_entries
 
@@ -68,3 +71,31 @@ def test_documents_without_entries(spark, tmp_path, text):
     path.write_text(text)
     assert rows(read_registry(spark, str(path))) == []
     assert rows(read_registry(spark, str(tmp_path / "none.json"))) == []
+
+
+def test_texts_are_read_twice_and_not_dealt(spark, tmp_path):
+    """One pass for the sums and one for the texts; no reader of the result walks the document again, or sorts its texts into windows."""
+    path = tmp_path / "d.json"
+    path.write_text(document(1), encoding="utf-8")
+    plan = member_entries(spark, str(path), "repositories")._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" in plan and "Window" not in plan and "MapInArrow" not in plan
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_any_split_gives_the_same_texts(seed):
+    """Entries of a document in one split, and in splits at any of its pieces."""
+    raw = document(seed).encode()
+    pieces = raw.split(b"}")
+    pieces = pieces if pieces[-1] else pieces[:-1]
+    cut, found = random.Random(seed), []
+    for share in (0, 0.3, 0.9):
+        rows, block = [], 0
+        for at, piece in enumerate(pieces):
+            block = at if cut.random() < share else block
+            rows.append({"file": "f", "block": block, "bytes": len(raw), "value": piece})
+        batches = [pa.RecordBatch.from_pylist(rows[i : i + 7]) for i in range(0, len(rows), 7)]
+        sums = [r | {"ends": [dict(e) for e in r["ends"]]} for b in split_json._sums(iter(batches)) for r in b.to_pylist()]
+        texts = [r for b in split_json._joined(split_json._starts(sums))(iter(batches)) for r in b.to_pylist()]
+        entries = [(e, list(g)) for e, g in groupby(texts, key=lambda r: r["entry"])]
+        found.append([(e, g[0]["before"], g[-1]["after"], g[0]["member"], b"".join(r["text"] for r in g)) for e, g in entries])
+    assert found[0] and found[0] == found[1] == found[2]
